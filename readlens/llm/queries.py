@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontam, media, neardup, pii, tokencount, urlfilter
+from . import bpe, decontam, langid, maxent, media, neardup, pii, tokencount, toxicity, urlfilter
 
 MEDIA_WIDTH = 192
 TOKEN_LIMIT = 512
@@ -19,6 +20,11 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _fold(id_: Column, folds: int, fold: int) -> Column:
+    """Whether a row is of the fold that its id's checksum gives."""
+    return F.crc32(id_.cast("string")) % folds == fold
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(_read(spark, sf_dir, "documents"))
 
@@ -35,10 +41,18 @@ def op4_media_png(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(_read(spark, sf_dir, "documents"), MEDIA_WIDTH)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"), _fold(F.col("doc_id"), 4, 2))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), TOKEN_LIMIT)
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(_read(spark, sf_dir, "documents"), _fold(F.col("doc_id"), 10, 0))
+
+
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(_read(spark, sf_dir, "documents"), SIMILARITY)
 
@@ -48,14 +62,25 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(_read(spark, sf_dir, "pages"), rules).withColumnRenamed("id", "page_id")
 
 
+def toxic_fold(id_: Column) -> Column:
+    return _fold(id_, 5, 0)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), toxic_fold)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_byte_bpe": op2_byte_bpe,
     "op3_decontamination": op3_decontamination,
     "op4_media_png": op4_media_png,
+    "op5_language_id": op5_language_id,
     "op6_token_counts": op6_token_counts,
+    "op7_lm_score": op7_lm_score,
     "op8_near_dup": op8_near_dup,
     "op9_url_filter": op9_url_filter,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {

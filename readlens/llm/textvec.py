@@ -37,7 +37,7 @@ def categories() -> np.ndarray:
 
 
 @cache
-def _word_values() -> np.ndarray:
+def word_values() -> np.ndarray:
     """0 for codepoints that separate words, else a random value of the lower-cased codepoint."""
     inside = np.isin(categories(), np.frombuffer(b"LMN", np.uint8))
     lower = np.arange(_ALL, dtype=np.uint64)
@@ -88,7 +88,7 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     Starts and ends index the joined codepoints of `codepoints`.
     """
     cp, ends = codepoints(texts)
-    values = _word_values()[cp]
+    values = word_values()[cp]
     inside = np.zeros(len(cp) + 1, np.int8)
     inside[1:] = values != 0
     step = np.diff(inside)
