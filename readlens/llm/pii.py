@@ -236,10 +236,12 @@ def redact(df: DataFrame, how: Bootstrap | None = None, id_col: str = "doc_id",
         found = F.broadcast(found)
     rows = df.join(found, df[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(df[text_col]) == F.col("__key")), "left").drop("__id", "__key")
 
+    names = df.columns
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             extra = [[(s["kind"], s["start"], s["end"]) for s in spans or []] for spans in batch.column("__spans").to_pylist()]
             texts = [None if (t := value.as_py()) is None else redacted(t, more) for value, more in zip(batch.column(text_col), extra)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text_col else batch.column(n) for n in df.columns], names=df.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == text_col else batch.column(n) for n in names], names=names)
 
     return rows.mapInArrow(run, df.schema)

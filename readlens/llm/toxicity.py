@@ -10,7 +10,7 @@ knows signs that no voter has.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ WIDTH = 1 << BITS
 #: Lengths of the beginnings of words that are features beside the words.
 BEGINNINGS = (4, 5)
 KINDS = 1 + len(BEGINNINGS)
+#: Gradients grow with the rows, so the L1 penalty is that of Params from so many toxic rows on, and less in proportion below, down to a share.
+FULL_L1, LEAST_L1 = 1000, 0.08
 
 
 @dataclass(frozen=True)
@@ -185,7 +187,8 @@ def train(df: DataFrame, params: Params | None = None) -> Model:
     table = votes(rows, np.array([list(p) for p in sample["patterns"]], bool), voter, params)
     posterior = label_model(table, params.rounds)
     data = [(row, np.ones(len(row))) for row in rows]
-    fitted = learn.fit(data, np.stack((1 - posterior, posterior), axis=1), KINDS * WIDTH, params.ftrl)
+    how = replace(params.ftrl, l1=params.ftrl.l1 * min(1.0, max(LEAST_L1, posterior.sum() / FULL_L1)))
+    fitted = learn.fit(data, np.stack((1 - posterior, posterior), axis=1), KINDS * WIDTH, how)
     linear = fitted[1] - fitted[0]
     places = np.flatnonzero(linear[:-1])
     return Model(places, linear[places], float(linear[-1]))
