@@ -1 +1,67 @@
-"""See the README for what lives here."""
+"""Column functions of sequences, positions and qualities."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def revcomp(seq: Column) -> Column:
+    """Reverse complement; only A, C, G and T are complemented."""
+    return F.reverse(F.translate(seq, "ACGT", "TGCA"))
+
+
+def gc_bin(seq: Column) -> Column:
+    """The lower bound of a sequence's ten per cent GC bin; 90 also holds 100, an empty sequence is in bin 0."""
+    gc = F.length(F.regexp_replace(seq, "[^GCgc]", ""))
+    return (10 * F.least(F.lit(9), F.floor(10 * gc / F.greatest(F.length(seq), F.lit(1))))).cast("int")
+
+
+def context(seq: Column, pos: Column, left: int, right: int) -> Column:
+    """Bases around 1-based pos, `.` beyond the ends."""
+    return F.substring(F.concat(F.lit("." * left), seq, F.lit("." * right)), pos, F.lit(left + right + 1))
+
+
+def parse_tile(name: Column) -> Column:
+    """`lane_tile` of a read name of five or seven colon-separated parts; null unless both are digits."""
+    parts = F.split(F.element_at(F.split(name, " "), 1), ":")
+    at = F.when(F.size(parts) == 7, 4).when(F.size(parts) == 5, 2)
+    lane, tile = F.get(parts, at - 1), F.get(parts, at)
+    return F.when(lane.rlike(r"^\d+$") & tile.rlike(r"^\d+$"), F.concat_ws("_", lane, tile))
+
+
+def phred(rate: Column) -> Column:
+    return -10 * F.log10(rate)
+
+
+def op_class(op: Column) -> Column:
+    """match, ins, del or sub."""
+    return F.when(op == "=", "match").when(op.startswith("-"), "ins").when(op.endswith("-"), "del").otherwise("sub")
+
+
+def category(op: Column) -> Column:
+    """Place of a label among schema.CATEGORIES."""
+    to = F.element_at(F.split(op, ">"), -1)
+    base = F.instr(F.lit("ACGT"), to)
+    return F.when(op == "=", 0).when(op.startswith("-"), 4 + base).when(op.endswith("-"), 9).otherwise(base)
+
+
+def one_edit(a: Column, b: Column, v: Column) -> Column:
+    """Whether values of v bases differ by one substitution, or by one base put in or left out with the rest shifted."""
+    head = lambda s, n: F.substring(s, F.lit(1), n)
+    tail = lambda s, n: F.substring(s, n, v)
+    places = F.sequence(F.lit(0), v - 1)
+
+    def fits(i: Column) -> Column:
+        same = head(a, i) == head(b, i)
+        swap = tail(a, i + 2) == tail(b, i + 2)
+        lost = F.substring(a, i + 2, v - i - 1) == F.substring(b, i + 1, v - i - 1)
+        gained = F.substring(a, i + 1, v - i - 1) == F.substring(b, i + 2, v - i - 1)
+        return same & (swap | lost | gained)
+
+    return (a != b) & F.exists(places, fits)
+
+
+def total_variation(a: Column, b: Column) -> Column:
+    """Aggregate: half the summed distance of shares."""
+    return F.sum(F.abs(a - b)) / 2
