@@ -19,8 +19,6 @@ from pyspark.sql import functions as F
 
 from . import learn, textvec
 
-BITS = 20
-WIDTH = 1 << BITS
 #: Lengths of the beginnings of words that are features beside the words.
 BEGINNINGS = (4, 5)
 KINDS = 1 + len(BEGINNINGS)
@@ -30,14 +28,16 @@ FULL_L1, LEAST_L1 = 1000, 0.08
 
 @dataclass(frozen=True)
 class Params:
-    """toxic, clean: at most so many labelled rows of each class are learned from, picked by a hash.
+    """toxic, clean: at most so many labelled rows of each class are learned from, picked by a hash;
+    features of fewer than known_rows of them aren't used.
 
     lexicons: voters of each kind of feature. A term is in so many toxic rows of the sample at least, and at most this
     share of the rows that have it are clean ones.
     """
 
     toxic: int = 4000
-    clean: int = 10000
+    clean: int = 6000
+    known_rows: int = 3
     lexicons: int = 5
     least_rows: int = 6
     most_clean: float = 0.002
@@ -46,29 +46,28 @@ class Params:
 
 
 def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each text the sorted places of its words and beginnings (kind * WIDTH + hash), and its pattern votes."""
+    """For each text the sorted hashes of its words and beginnings, the kind in the two low bits, and its pattern votes."""
     cp, ends = textvec.codepoints(texts)
     hashes, starts, stops, offsets, values, _ = textvec.words(texts)
     up, down = textvec.powers(len(values) + 1)
     total = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(values * up[:-1], out=total[1:])
-    top = np.uint64(64 - BITS)
-    columns = [(hashes >> top).astype(np.int64)]
+    low = ~np.uint64(3)
+    columns = [hashes & low]
     for kind, n in enumerate(BEGINNINGS, 1):
         reach = np.minimum(starts + n, stops)
         own = textvec.mix((total[reach] - total[starts]) * down[starts] + np.uint64(n))
-        columns.append(np.where(stops - starts > n, (own >> top).astype(np.int64) + kind * WIDTH, -1))
-    table = np.stack(columns, axis=1)
+        columns.append(np.where(stops - starts > n, own & low | np.uint64(kind), columns[0]))
+    table = np.stack(columns, axis=1).view(np.int64)
     upper = np.concatenate(([0], np.cumsum((cp >= 65) & (cp <= 90))))
     marks = np.concatenate(([0], np.cumsum((cp == 33) | (cp == 63))))
     out = []
     first = 0
     for k, end in enumerate(ends.tolist()):
         a, b = offsets[k], offsets[k + 1]
-        own = np.unique(table[a:b])
         size = max(1, end - first)
         patterns = np.array([(upper[end] - upper[first]) / size > 0.3, (marks[end] - marks[first]) / size > 0.05, b - a < 30])
-        out.append((own[own >= 0], patterns))
+        out.append((np.unique(table[a:b]), patterns))
         first = end + 1
     return out
 
@@ -79,7 +78,7 @@ def _sampled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in textvec.chunks(batch.column("text").to_pylist()):
             made += features(chunk)
             marks += signatures(chunk).tolist()
-        places = pa.array([r[0].astype(np.int32) for r in made], pa.list_(pa.int32()))
+        places = pa.array([r[0] for r in made], pa.list_(pa.int64()))
         patterns = pa.array([r[1].tolist() for r in made], pa.list_(pa.bool_()))
         yield pa.RecordBatch.from_arrays([batch.column("label"), places, patterns, pa.array(marks, pa.list_(pa.int64()))], names=["label", "places", "patterns", "marks"])
 
@@ -110,15 +109,27 @@ def unlike(marks: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def lexicons(rows: list[np.ndarray], labels: np.ndarray, params: Params) -> np.ndarray:
-    """For each feature the number of the voter that has it as a term, else -1."""
-    toxic, clean = np.zeros(KINDS * WIDTH), np.zeros(KINDS * WIDTH)
+def dense(rows: list[np.ndarray], least: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The hashes that so many rows have at least, sorted, and each row as places among them."""
+    every, n = np.unique(np.concatenate(rows), return_counts=True)
+    known = every[n >= least]
+    out = []
+    for row in rows:
+        at = np.minimum(np.searchsorted(known, row), max(0, len(known) - 1))
+        out.append(at[known[at] == row] if len(known) else at[:0])
+    return known, out
+
+
+def lexicons(known: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, params: Params) -> np.ndarray:
+    """For each known feature the number of the voter that has it as a term, else -1."""
+    toxic, clean = np.zeros(len(known)), np.zeros(len(known))
     for row, label in zip(rows, labels):
         (toxic if label else clean)[row] += 1
     share = (clean / max(1, (labels == 0).sum())) / np.maximum(toxic / max(1, (labels == 1).sum()), 1e-12)
     terms = np.flatnonzero((toxic >= params.least_rows) & (share <= params.most_clean))
-    voter = np.full(KINDS * WIDTH, -1, np.int16)
-    voter[terms] = terms // WIDTH * params.lexicons + textvec.mix(terms.astype(np.uint64)) % np.uint64(params.lexicons)
+    voter = np.full(len(known), -1, np.int16)
+    hashes = known[terms].view(np.uint64)
+    voter[terms] = (hashes & np.uint64(3)).astype(np.int64) * params.lexicons + (textvec.mix(hashes) % np.uint64(params.lexicons)).astype(np.int64)
     return voter
 
 
@@ -176,22 +187,25 @@ class Model:
 def train(df: DataFrame, params: Params | None = None) -> Model:
     """df: (id, text, label), a bounded number of training rows; see `fitted`."""
     params = params or Params()
-    sample = df.select("label", "text").mapInArrow(_sampled, "label int, places array<int>, patterns array<boolean>, marks array<long>").toPandas()
+    sample = df.select("label", "text").mapInArrow(_sampled, "label int, places array<long>, patterns array<boolean>, marks array<long>").toArrow().to_pandas()
     if not len(sample):
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
     rows = [np.asarray(p, np.int64) for p in sample["places"]]
     kept = unlike(np.array([list(m) for m in sample["marks"]], np.int64))
-    rows, sample = [rows[k] for k in kept], sample.iloc[kept]
+    if not len(kept):
+        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0)
+    sample = sample.iloc[kept]
     labels = sample["label"].to_numpy()
-    voter = lexicons(rows, labels, params)
+    known, rows = dense([rows[k] for k in kept], params.known_rows)
+    voter = lexicons(known, rows, labels, params)
     table = votes(rows, np.array([list(p) for p in sample["patterns"]], bool), voter, params)
     posterior = label_model(table, params.rounds)
     data = [(row, np.ones(len(row))) for row in rows]
     how = replace(params.ftrl, l1=params.ftrl.l1 * min(1.0, max(LEAST_L1, posterior.sum() / FULL_L1)))
-    fitted = learn.fit(data, np.stack((1 - posterior, posterior), axis=1), KINDS * WIDTH, how)
+    fitted = learn.fit(data, np.stack((1 - posterior, posterior), axis=1), len(known), how)
     linear = fitted[1] - fitted[0]
     places = np.flatnonzero(linear[:-1])
-    return Model(places, linear[places], float(linear[-1]))
+    return Model(known[places], linear[places], float(linear[-1]))
 
 
 def score(df: DataFrame, labels: DataFrame, held_out: Callable[[Column], Column], params: Params | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
