@@ -1,0 +1,71 @@
+"""Limited-memory BFGS with a line search for sufficient decrease and curvature, for smooth objectives in numpy."""
+
+from __future__ import annotations
+
+import warnings
+from collections.abc import Callable
+from dataclasses import dataclass
+
+import numpy as np
+
+
+@dataclass(frozen=True)
+class Result:
+    x: np.ndarray
+    value: float
+    iterations: int
+    converged: bool
+
+
+def _search(f: Callable, x: np.ndarray, value: float, grad: np.ndarray, step: np.ndarray, length: float) -> tuple[float, float, np.ndarray]:
+    """A step length by bisection between bounds that bracket the Wolfe conditions."""
+    slope = float(grad @ step)
+    low, high = 0.0, np.inf
+    best = None
+    for _ in range(40):
+        new, new_grad = f(x + length * step)
+        if not np.isfinite(new) or new > value + 1e-4 * length * slope:
+            high = length
+        else:
+            best = (length, new, new_grad)
+            if float(new_grad @ step) < 0.9 * slope:
+                low = length
+            else:
+                break
+        length = 2 * length if high == np.inf else (low + high) / 2
+    return best if best else (0.0, value, grad)
+
+
+def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, memory: int = 10, iterations: int = 500, tolerance: float = 1e-6) -> Result:
+    """f gives value and gradient. Stops when no gradient entry exceeds the tolerance (relative to the value) or the value stands still."""
+    x = np.array(x, float)
+    value, grad = f(x)
+    past: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for k in range(iterations):
+        if np.abs(grad).max(initial=0.0) <= tolerance * max(1.0, abs(value)):
+            return Result(x, value, k, True)
+        step = -grad
+        kept = []
+        for s, y, rho in reversed(past):
+            a = rho * float(s @ step)
+            step = step - a * y
+            kept.append(a)
+        if past:
+            s, y, rho = past[-1]
+            step = step / (rho * float(y @ y))
+        for (s, y, rho), a in zip(past, reversed(kept)):
+            step = step + (a - rho * float(y @ step)) * s
+        if float(grad @ step) >= 0:
+            step, past = -grad, []
+        first = 1.0 if past else min(1.0, 1.0 / max(1e-12, float(np.abs(grad).sum())))
+        length, new, new_grad = _search(f, x, value, grad, step, first)
+        if length == 0 or value - new <= 1e-12 * max(1.0, abs(value)):
+            if length:
+                x, value, grad = x + length * step, new, new_grad
+            return Result(x, value, k + 1, True)
+        s, y = length * step, new_grad - grad
+        x, value, grad = x + s, new, new_grad
+        if (sy := float(s @ y)) > 1e-12:
+            past = [*past[-(memory - 1) :], (s, y, 1 / sy)]
+    warnings.warn("the optimiser stopped before it converged", RuntimeWarning, stacklevel=2)
+    return Result(x, value, iterations, False)

@@ -12,7 +12,12 @@ from ..operators import alignments as al
 from ..operators import bases as ba
 from ..operators import evidence as ev
 from ..operators import kmers as km
+from ..kernels import realign as ra
+from ..models import em, rake
+from ..models.heads import Head, Penalty
 from ..operators import overlap as ov
+from ..report import exporters as ex
+from ..streaming import counts as sc
 from ..table import CountTable, counted
 from . import bridge
 
@@ -296,7 +301,7 @@ def one_edit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return km.neighbours(*_sketch(spark, sf_dir), V).select("key", "value", "n")
 
 
-@query(_PAIRS + f""", d AS (SELECT consensus, value, n, list_filter(range(1, {V + 1}), i -> substr(value, i, 1) <> substr(consensus, i, 1)) AS differ FROM near)
+@query(_PAIRS + f""", d AS (SELECT consensus, value, n, list_filter(range(1, {V + 1}), lambda i: substr(value, i, 1) <> substr(consensus, i, 1)) AS differ FROM near)
 SELECT substr(consensus, differ[1], 1) || '>' || substr(value, differ[1], 1) AS op, CAST(sum(n) AS BIGINT) AS n FROM d WHERE len(differ) = 1 GROUP BY 1""")
 def op_spectrum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return km.substitutions(km.neighbours(*_sketch(spark, sf_dir), V), V)
@@ -386,3 +391,188 @@ def walked_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same table by the CIGAR walk kernel, which also knows gaps, clips and masks."""
     table = al.observation_table(bridge.alignments(bridge.reads(spark, sf_dir)), flank=(1, 1), m=1)
     return table.marginal("q", "q_m1", "q_p1", "context", "pos_start", "pos_end", "mate", "op").df
+
+
+# Exporters --------------------------------------------------------------------------------------------------------
+
+
+@query(""", c AS (SELECT base AS symbol, pos_start AS pos, least(q, 41) AS q, count(*) AS n FROM bases GROUP BY ALL UNION ALL SELECT '.', pos_start, least(q, 41), count(*) FROM bases GROUP BY ALL)
+SELECT symbol, pos, q, CAST(sum(n) OVER (PARTITION BY symbol, pos ORDER BY q) AS BIGINT) AS cumulative FROM c""")
+def art_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ex.art_profile(ba.bases(bridge.reads(spark, sf_dir)))
+
+
+@query(""", m AS (SELECT read_id, CAST(floor(least(3, avg(q) / 10)) AS INTEGER) AS bin FROM bases GROUP BY read_id), c AS (SELECT bin, pos_start AS pos, least(q, 40) AS q, count(*) AS n FROM bases JOIN m USING (read_id) GROUP BY ALL)
+SELECT bin, pos, q, round(sum(n) OVER (PARTITION BY bin, pos ORDER BY q) / sum(n) OVER (PARTITION BY bin, pos), 6) AS cdf FROM c""")
+def iss_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ex.mean_quality_cdf(ba.bases(bridge.reads(spark, sf_dir))), "cdf")
+
+
+@query(""", calls AS (SELECT read_id, seq AS template, string_agg(called, '' ORDER BY pos_start) AS seq FROM obs GROUP BY read_id, seq),
+w AS (SELECT substr(template, i, 7) AS kmer, substr(seq, i, 7) AS alternative FROM (SELECT template, seq, unnest(range(1, length(seq) - 5)) AS i FROM calls WHERE length(seq) >= 7)),
+c AS (SELECT kmer, alternative, count(*) AS n FROM w WHERE substr(kmer, 1, 1) = substr(alternative, 1, 1) AND substr(kmer, 7) = substr(alternative, 7) GROUP BY ALL),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY kmer ORDER BY n DESC, alternative) AS INTEGER) AS rank FROM c) SELECT kmer, alternative, n, rank FROM r WHERE rank <= 25""")
+def kmer_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cap of 25 is the exported format's."""
+    return ex.kmer_alternatives(bridge.called(bridge.reads(spark, sf_dir)))
+
+
+@query(""", s AS (SELECT q AS state, lead(q) OVER (PARTITION BY read_id ORDER BY pos_start) AS following FROM bases), c AS (SELECT state, following, count(*) AS n FROM s WHERE following IS NOT NULL GROUP BY ALL)
+SELECT state, following, n, round(n / sum(n) OVER (PARTITION BY state), 6) AS share FROM c""")
+def quality_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ex.chain(ba.bases(bridge.reads(spark, sf_dir))), "share")
+
+
+@query(""" SELECT round(count(*) FILTER (op <> '=' AND op NOT LIKE '%-%') / count(*) FILTER (op <> '='), 6) AS sub, round(count(*) FILTER (op LIKE '-%') / count(*) FILTER (op <> '='), 6) AS ins, round(count(*) FILTER (op LIKE '%-') / count(*) FILTER (op <> '='), 6) AS del FROM obs""")
+def difference_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ex.difference_ratio(_table(_observed(spark, sf_dir), "op").df), "sub", "ins", "del")
+
+
+@query(""", c AS (SELECT q, count(*) AS n, count(*) FILTER (op <> '=') AS e FROM obs GROUP BY q), p AS (SELECT sum(e) / sum(n) AS r FROM c)
+SELECT q, CAST(least(41, greatest(1, round(-10 * log10((e + 1) / (n + 1 / r))))) AS INTEGER) AS remapped FROM c, p""")
+def quality_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ex.remap(_table(_observed(spark, sf_dir), "q", "op").df)
+
+
+# Gaps: the walk kernel on reads with a planted deletion and insertion -----------------------------------------------
+
+
+def _gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full reads with bases 21-22 of the template deleted, and AC put in behind its base 40."""
+    rows = bridge.alignments(bridge.reads(spark, sf_dir)).filter(F.length("template") == bridge.WIDTH)
+    cut = lambda c, put: F.concat(F.substring(c, 1, 20), F.substring(c, 23, 18), F.lit(put), F.substring(c, 41, 60))
+    return rows.withColumns({"sequence": cut("template", "AC"), "quality": cut("quality", "5I"), "cigar": F.lit("20M2D18M2I60M")})
+
+
+@query(""", g AS (SELECT *, substr(seq, 1, 20) || substr(seq, 23, 18) || 'AC' || substr(seq, 41, 60) AS own FROM reads WHERE length(seq) = 100),
+c AS (SELECT read_id, mate, seq, own, unnest(range(1, 103)) AS i FROM g),
+k AS (SELECT *, CASE WHEN i IN (21, 22) THEN 'D' WHEN i IN (41, 42) THEN 'I' ELSE 'M' END AS op, CASE WHEN i <= 40 THEN i WHEN i > 42 THEN i - 2 END AS t, CASE WHEN i <= 20 THEN i WHEN i <= 22 THEN 21 ELSE i - 2 END AS r FROM c)
+SELECT mate, op, CAST(r AS INTEGER) AS pos, CASE WHEN op = 'I' THEN '-' ELSE substr(seq, t, 1) END AS ref, CASE WHEN op = 'D' THEN '-' ELSE substr(own, r, 1) END AS alt, count(*) AS n FROM k GROUP BY ALL""")
+def alignment_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counted(al.columns(_gapped(spark, sf_dir)), ["mate", "op", "pos", "ref", "alt"])
+
+
+@query(""", g AS (SELECT seq FROM reads WHERE length(seq) = 100), e AS (SELECT seq, 'D' AS indel, 21 AS t FROM g UNION ALL SELECT seq, 'I', 41 FROM g),
+b AS (SELECT *, substr(seq, t, 1) AS x FROM e), r AS (SELECT indel, length(regexp_extract(reverse(substr(seq, 1, t)), '^' || x || '+')) + length(regexp_extract(substr(seq, t), '^' || x || '+')) - 1 AS run FROM b)
+SELECT indel, 2 AS indel_length, CAST(run AS INTEGER) AS run, count(*) AS n FROM r GROUP BY ALL""")
+def indel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counted(al.indel_events(_gapped(spark, sf_dir)), ["indel", "indel_length", "run"], "n")
+
+
+@query()
+def gapped_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return al.observation_table(_gapped(spark, sf_dir), flank=(1, 1), m=1, per_event=True).marginal("q", "context", "op").df
+
+
+# Estimators: driver-side iterations over Spark aggregates ---------------------------------------------------------
+
+
+def _scored(spark: SparkSession, head: Head, df: DataFrame, by: list[str]) -> DataFrame:
+    """Expected and measured error rates of a fitted head by some covariates."""
+    rows, counts = head.gather(df)
+    import numpy as np
+
+    p = np.exp(head.log_probabilities(rows))
+    n = counts.sum(axis=1)
+    table = rows[by].assign(n=n, expected=n * (1 - p[:, 0]), errors=counts[:, 1:].sum(axis=1)).groupby(by, as_index=False).sum()
+    return spark.createDataFrame(table)
+
+
+@query()
+def fit_head_e(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(q, n, expected, errors): the error head's rates beside the measured ones."""
+    table = _table(_observed(spark, sf_dir), "q", "context", "mate", "op").df
+    head = Head("E", ["QualityWindow(0)", "Context(1,1)", "Mate"], bridge.QUALITIES, (1, 1), bridge.WIDTH)
+    head.fit(*head.gather(table), Penalty(smooth=30))
+    return _scored(spark, head, table, ["q"])
+
+
+@query()
+def fit_head_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(q_m1, q, p): the quality head's transitions, averaged over the rows."""
+    import numpy as np
+    import pandas as pd
+
+    table = ba.quality_table(bridge.reads(spark, sf_dir), m=1, flank=(0, 0)).marginal("q_m1", "mate", "context", "q").df
+    head = Head("Q", ["QualityMarkov(1)", "Mate", "Context(0,0)"], bridge.QUALITIES, (0, 0), bridge.WIDTH)
+    rows, counts = head.gather(table)
+    head.fit(rows, counts)
+    p, n = np.exp(head.log_probabilities(rows)), counts.sum(axis=1)
+    out = pd.DataFrame(p * n[:, None], columns=list(bridge.QUALITIES)).assign(q_m1=rows["q_m1"].fillna(-1).astype(int), n=n).groupby("q_m1", as_index=False).sum()
+    return spark.createDataFrame([(int(r["q_m1"]), q, float(r[q] / r["n"])) for _, r in out.iterrows() for q in bridge.QUALITIES], "q_m1 int, q int, p double")
+
+
+def _called_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs whose second mate has the planted substitutions where its quality is the lowest one, and only there."""
+    called = bridge.called(bridge.reads(spark, sf_dir)).filter(F.length("seq") == bridge.WIDTH)
+    base = lambda c, p: F.substring(c, p, F.lit(1))
+    own = F.array_join(F.transform(F.sequence(F.lit(31), F.lit(100)), lambda p: F.when(F.get("q", p - 1) == bridge.QUALITIES[0], base("seq", p)).otherwise(base("template", p))), "")
+    return called.select(F.col("read_id").alias("pair_id"), F.substring("template", 1, 70).alias("r1"), F.transform(F.slice("q", 1, 70), lambda q: F.greatest(q, F.lit(bridge.QUALITIES[1]))).alias("q1"), revcomp(own).alias("r2"), F.reverse(F.slice("q", 31, 70)).alias("q2"))
+
+
+@query()
+def overlap_em(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(q_1, q_2, n, first_right): how often the model thinks that mate 1 is right where the mates differ (it always is, and its qualities are higher)."""
+    placed = ov.placements(_called_pairs(spark, sf_dir)).filter("status = 'placed'").persist()
+    try:
+        certain, disputed = ov.certain(placed, m=0, flank=(1, 1)), ov.disputed(placed, m=0, flank=(1, 1))
+        small = certain.marginal("q", "context", "pos_start", "pos_end", "op")
+        fitted = em.overlap(small, disputed, ["QualityWindow(0)", "Context(1,1)"], bridge.QUALITIES, m=0, flank=1)
+        d = disputed.toArrow().to_pandas().assign(w=fitted.first_right)
+    finally:
+        placed.unpersist()
+    d["w"] *= d["n"]
+    out = d.groupby(["q_1", "q_2"], as_index=False)[["n", "w"]].sum()
+    return spark.createDataFrame(out.assign(first_right=out["w"] / out["n"])[["q_1", "q_2", "n", "first_right"]]) if len(out) else spark.createDataFrame([], "q_1 int, q_2 int, n long, first_right double")
+
+
+@query()
+def kmer_em(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(context, p_match): chances by context from the sketch's neighbours, whose edits' places are hidden."""
+    import numpy as np
+    import pandas as pd
+
+    counts, best = _sketch(spark, sf_dir)
+    near = km.neighbours(counts, best, V)
+    places = F.filter(F.sequence(F.lit(1), F.lit(V)), lambda i: F.substring("value", i, F.lit(1)) != F.substring("consensus", i, F.lit(1)))
+    one = near.withColumn("at", places).filter(F.size("at") == 1).withColumn("i", F.get("at", F.lit(0)))
+    ops = one.groupBy("key", F.concat(F.substring("consensus", F.col("i"), F.lit(1)), F.lit(">"), F.substring("value", F.col("i"), F.lit(1))).alias("op")).agg(F.sum("n").alias("n"))
+    wide = ops.groupBy("key").pivot("op", [f"{a}>{b}" for a in "ACGT" for b in "ACGT" if a != b]).sum("n").na.fill(0)
+    loci = best.select("key", F.col("consensus").alias("value"), F.col("consensus_count").alias("exposure")).join(wide, "key", "left").na.fill(0).toArrow().to_pandas()
+    fitted = em.kmer(loci, K, V)
+    contexts = sorted({t[K + i - 1 : K + i + 2] for t in (loci["key"] + loci["value"] + ".") for i in range(V)})
+    p = np.exp(fitted.head.log_probabilities(pd.DataFrame({"q": 0, "context": contexts})))
+    return spark.createDataFrame([(c, float(x)) for c, x in zip(contexts, p[:, 0])], "context string, p_match double")
+
+
+@query(""", c AS (SELECT q, pos_start, count(*) AS n FROM obs GROUP BY ALL), mq AS (SELECT q, count(*) AS m FROM obs WHERE op <> '=' GROUP BY q), mp AS (SELECT pos_start, count(*) AS m FROM obs WHERE op <> '=' GROUP BY pos_start)
+SELECT q, CAST(sum(m) AS BIGINT) AS errors FROM mq GROUP BY q""")
+def ipf_rake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(q, errors): errors by quality of the raked table of quality and position; raking meets the margins, which the oracle states."""
+    import numpy as np
+
+    table = _table(_observed(spark, sf_dir), "q", "pos_start", "op").exposure("q", "pos_start").toArrow().to_pandas()
+    cells = table.pivot(index="q", columns="pos_start", values="n").fillna(0)
+    wrong = table.pivot(index="q", columns="pos_start", values="errors").fillna(0)
+    raked = rake.ipf(cells.to_numpy(float), {0: wrong.sum(axis=1).to_numpy(float), 1: wrong.sum(axis=0).to_numpy(float)})
+    return spark.createDataFrame([(int(q), int(e)) for q, e in zip(cells.index, np.round(raked.sum(axis=1)))], "q int, errors long")
+
+
+@query()
+def realign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cigar, n): the gapped reads aligned anew to their templates, gaps as far left as they go."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            found = [ra.align(a, b).cigar for a, b in zip(batch.column("template").to_pylist(), batch.column("sequence").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], names=["cigar"])
+
+    return counted(_gapped(spark, sf_dir).select("template", "sequence").mapInArrow(run, "cigar string"), ["cigar"])
+
+
+@query(" SELECT CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY ALL")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An extra beside the read analytics: the batch form of the streaming count table."""
+    rows = sc.windowed(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return _rounded(rows.withColumn("start", F.col("start").cast("timestamp_ntz")), "value", digits=4)
