@@ -113,7 +113,7 @@ def train(df: DataFrame, params: Params | None = None) -> Model:
     scale = 1 << 30
     limit = F.create_map(*(x for l, n in sizes.items() for x in (F.lit(l), F.lit(min(scale, int(scale * each / n))))))
     picked = rows.filter(F.pmod(F.xxhash64("id", F.length("text")), F.lit(scale)) < limit[F.col("label")])
-    sample = picked.select("label", "text").mapInArrow(_vectors, "label string, places array<int>, counts array<int>").filter("places is not null").toPandas()
+    sample = picked.select("label", "text").mapInArrow(_vectors, "label string, places array<int>, counts array<int>").filter("places is not null").toArrow().to_pandas()
     model = Model(languages, idf, np.zeros((len(languages), WIDTH + 1)))
     vectors = [model.vector((np.asarray(p), np.asarray(c))) for p, c in zip(sample["places"], sample["counts"])]
     labels = np.array([languages.index(x) for x in sample["label"]], np.int64)
