@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -13,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
+#: Rows of a batch that goes to a Python worker; long texts would make Spark's default of 10,000 rows a heavy one.
+BATCH_ROWS = 2000
+
 _shipped: set[str] = set()
 
 
@@ -25,6 +29,7 @@ def ship(spark: SparkSession) -> SparkSession:
             for file in sorted(PACKAGE.rglob("*.py")):
                 archive.write(file, file.relative_to(PACKAGE.parent))
         context.addPyFile(path)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         _shipped.add(context.applicationId)
     return spark
 
@@ -47,18 +52,24 @@ class Stages:
 
     def __init__(self, spark: SparkSession, job: str) -> None:
         self.spark, self.root = spark, f"{shared_folder(spark)}/readlens/{job}-{uuid.uuid4().hex}"
-        self._paths: dict[int, str] = {}
         atexit.register(self._delete, self.root)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+        out.stage_path = path
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        self._delete(self._paths.pop(id(df)))
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete written tables; frames are as write() gave them."""
+        for df in frames:
+            self._delete(df.stage_path)
+
+    def tidy(self) -> None:
+        """Let Spark delete the shuffle files of frames that nothing holds any more; it waits for the JVM's garbage collector."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def _delete(self, path: str) -> None:
         context = self.spark.sparkContext
