@@ -44,17 +44,24 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("near_dedup", drop_near_copies),
-    ("decontamination", drop_benchmark),
-    ("pii", redact_pii),
-    ("byte_bpe", encode),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _shipped(stage: Stage) -> Stage:
+    """A stage may be run by itself, so each makes sure that executors have the package."""
+    return lambda spark, docs, sf_dir: stage(ship(spark), docs, sf_dir)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", _shipped(drop_toxic)),
+    ("near_dedup", _shipped(drop_near_copies)),
+    ("decontamination", _shipped(drop_benchmark)),
+    ("pii", _shipped(redact_pii)),
+    ("byte_bpe", _shipped(encode)),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     stages = Stages(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
