@@ -37,9 +37,15 @@ WITH raw AS (
 )"""
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out anew only where its scan has fewer tasks than the session has cores (a file of one row group, say)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, read_id, chunk, mate, seq, q."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
     raw = docs.select("doc_id", "source", F.regexp_replace(F.translate("text", _LETTERS, _BASES), "[^ACGT]", "").alias("s")).filter(F.length("s") > 0)
     cut = raw.select("doc_id", "source", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("s") - 1) / WIDTH)), lambda i: F.substring("s", (i * WIDTH + 1).cast("int"), F.lit(WIDTH)))).alias("chunk", "seq"))
     numbered = cut.withColumn("read_id", F.col("doc_id") * 100000 + F.col("chunk"))

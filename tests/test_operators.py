@@ -238,3 +238,49 @@ def test_stream_equals_batch(spark, tmp_path):
     query.stop()
     wanted = {(r.event_type, r.mate): r["count"] for r in rows.groupBy("event_type", "mate").count().collect()}
     assert {(r.event_type, r.mate): r.n for r in spark.table("running").collect()} == wanted
+
+
+def test_command_line(spark, tiny, tmp_path, capsys):
+    from readlens import cli
+    from readlens.models.spec import ModelSpec
+
+    cli.main(["subset", tiny, str(tmp_path / "half.fq"), "--every-n", "2"])
+    assert capsys.readouterr().out.strip() == "1"
+    cli.main(["profile", tiny, "--out", str(tmp_path / "profile")])
+    assert spark.read.csv(str(tmp_path / "profile/length"), sep="\t", header=True).count() == 2
+    cli.main(["pairs", tiny, tiny])
+    assert '"pairs": 2' in capsys.readouterr().out
+    rng = np.random.default_rng(5)
+    genome = "".join(rng.choice(list("ACGT"), 400))
+    lines = ["@HD\tVN:1.6"]
+    for k in range(300):
+        start = int(rng.integers(0, 350))
+        read = list(genome[start : start + 50])
+        if k % 3 == 0:
+            read[10] = "A" if read[10] != "A" else "C"
+        lines.append("\t".join([f"r{k}", "0", "c", str(start + 1), "60", "50M", "*", "0", "0", "".join(read), "".join(chr(33 + int(q)) for q in rng.choice([2, 37], 50))]))
+    (tmp_path / "x.sam").write_text("\n".join(lines) + "\n")
+    (tmp_path / "x.fa").write_text(f">c\n{genome}\n")
+    common = ["--alignments", str(tmp_path / "x.sam"), "--reference", str(tmp_path / "x.fa"), "--mask-frequency", "0.5"]
+    cli.main(["contigs", *common, "--out", str(tmp_path / "contigs")])
+    assert spark.read.csv(str(tmp_path / "contigs"), sep="\t", header=True).first().contig == "c"
+    cli.main(["fit-reference", *common, "--out", str(tmp_path / "model")])
+    spec = ModelSpec.load(str(tmp_path / "model"))
+    assert spec.alphabet == (2, 37) and [c.token for c in spec.error] == ["QualityWindow(1)", "Context(1,1)", "Homopolymer", "Mate"]
+
+
+def test_joint_site_model_finds_planted_sites(spark):
+    from readlens.models import sites
+
+    rng = np.random.default_rng(1)
+    genome = "".join(rng.choice(list("ACGT"), 60))
+    rows = []
+    for k in range(60):
+        read = [("ACGT".replace(b, ""))[int(rng.integers(3))] if rng.random() < 0.01 else b for b in genome]
+        if k % 2:
+            read[20] = "A" if genome[20] != "A" else "G"
+        rows.append((k, "c", 0, False, genome, "".join(read), "F" * 60, "60M", 1))
+    df = spark.createDataFrame(rows, "read_id long, contig string, start long, reverse boolean, template string, sequence string, quality string, cigar string, mate int")
+    head, found = sites.joint(al.observations(df, flank=(0, 0), m=0), ["QualityWindow(0)"], (37,), (0, 0))
+    assert [r.site for r in found.collect()] == [20]
+    assert head.theta is not None
