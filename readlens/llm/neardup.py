@@ -5,17 +5,21 @@ LCS / (n + m - LCS) over the shingle sequences, is 0.8 or more; for texts withou
 is the Jaccard similarity, and one less it is a metric. Classes are the connected components of the links.
 
 Sketch: for each of BANDS hash functions the PICKS smallest occurrence-labelled shingles, kept in text order. Equal
-sketches of a band are a bucket. Equal texts are joined before, so buckets hold different texts only. In a bucket all
-texts are compared with one centre. Those that aren't linked to it stay, together with the centre's own texts where the
-triangle inequality leaves a link between the two possible. What stays (texts that share a passage, say) gets sketches
-of more picks, which texts that resemble each other less than linked ones hardly share, and buckets of those are
-compared with 1, 2, 4, 8 ... centres a turn until none keeps two texts. So no bucket is expanded into all pairs and none is
-capped. At a similarity of just 0.8 a pair shares no bucket with a chance of 4e-8, and no deep one with 8e-6.
+sketches of a band are a bucket. Equal texts are joined before, so buckets hold different texts only. At a similarity of
+just 0.8 a pair shares no bucket with a chance of 4e-8.
+
+In a bucket all texts are compared with one centre. Those that aren't linked to it stay, together with the centre's own
+texts where the triangle inequality leaves a link between the two possible. What stays (texts that share a passage, say)
+is dealt anew by an exact filter: of two linked texts the rarest fifth of the shingles, in any one order of rarity, have
+one in common, and a passage that many texts share is not among them. Buckets of such shingles are compared with 1, 4,
+16 ... centres a turn, only texts of different classes with each other, until each holds one class or one text. So no
+bucket is expanded into all pairs, none is capped, and no pair that could join two classes is left out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,8 +33,11 @@ from ..session import Stages
 BANDS, PICKS = 24, 3
 #: Texts with fewer shingles can't be linked to a different text: 3 of 4 are less than 0.8.
 LEAST = 4
-DEEP_BANDS, DEEP_PICKS = 64, 8
-_FACTORS = textvec.mix(np.arange(101, 101 + max(BANDS, DEEP_BANDS), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+#: Counters of the table that orders shingles by rarity; shared counters only make some look more frequent.
+COUNTERS = 1 << 20
+#: How many times more centres each turn has than the last one.
+GROWTH = 4
+_FACTORS = textvec.mix(np.arange(101, 101 + BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def _labelled(own: np.ndarray, text: np.ndarray) -> np.ndarray:
@@ -76,6 +83,13 @@ def sketches(own: np.ndarray, offsets: np.ndarray, bands: int = BANDS, picks: in
     return out
 
 
+def _keys(texts: list[str], hashes: np.ndarray, offsets: np.ndarray) -> list[str]:
+    """One key for all texts of the same words, and for all equal texts without words."""
+    bounds = offsets.tolist()
+    contents = (b"w" + hashes[a:b].tobytes() if b > a else b"t" + text.encode() for text, a, b in zip(texts, bounds, bounds[1:]))
+    return [hashlib.blake2b(c, digest_size=16).hexdigest() for c in contents]
+
+
 def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keys: list[str] = []
@@ -84,10 +98,7 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in textvec.chunks(batch.column("text").to_pylist()):
             hashes, _, _, offsets, _, _ = textvec.words(chunk)
             own, own_offsets = textvec.shingles(hashes, offsets)
-            bounds = offsets.tolist()
-            for text, a, b in zip(chunk, bounds, bounds[1:]):
-                content = b"w" + hashes[a:b].tobytes() if b > a else b"t" + text.encode()
-                keys.append(hashlib.blake2b(content, digest_size=16).hexdigest())
+            keys += _keys(chunk, hashes, offsets)
             counts = np.diff(own_offsets)
             sizes += counts.tolist()
             fit = counts >= LEAST
@@ -98,12 +109,14 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sequences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        keys: list[str] = []
         made: list[bytes] = []
         for chunk in textvec.chunks(batch.column("text").to_pylist()):
             hashes, _, _, offsets, _, _ = textvec.words(chunk)
             own, own_offsets = textvec.shingles(hashes, offsets)
+            keys += _keys(chunk, hashes, offsets)
             made += [own[a:b].tobytes() for a, b in zip(own_offsets, own_offsets[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(made, pa.binary())], names=["key", "sequence"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(made, pa.binary())], names=["key", "sequence"])
 
 
 def _common(a: list[int], b: list[int], band: int) -> int:
@@ -154,72 +167,131 @@ def _verify(least: float):
     return run
 
 
-def _deep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _labelled_texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for value in batch.column("sequence"):
+        own = np.frombuffer(value.as_py(), np.uint64)
+        yield _labelled(own, np.zeros(len(own), np.int64))
+
+
+def _rarity(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(COUNTERS, np.int64)
     for batch in batches:
-        parts = [np.frombuffer(x.as_py(), np.uint64) for x in batch.column("sequence")]
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in parts], dtype=np.int64)))
-        made = sketches(np.concatenate([*parts, np.zeros(0, np.uint64)]), offsets, DEEP_BANDS, DEEP_PICKS).tolist() if parts else []
-        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(made, pa.list_(pa.int64()))], names=["key", "sketch"])
+        for own in _labelled_texts(batch):
+            np.add.at(total, (own % np.uint64(COUNTERS)).astype(np.int64), 1)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["counter", "n"])
+
+
+def _rarest(shared, threshold: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made, sizes = [], []
+            for own in _labelled_texts(batch):
+                count = shared.value[(own % np.uint64(COUNTERS)).astype(np.int64)]
+                enough = len(own) - math.ceil(threshold * len(own) - 1e-9) + 1
+                made.append(own[np.lexsort((own, count))[:enough]].view(np.int64))
+                sizes.append(len(own))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes, pa.int32()), pa.array(made, pa.list_(pa.int64()))], names=["key", "size", "rare"])
+
+    return run
+
+
+def _same_keys(rows: DataFrame) -> DataFrame:
+    """(bucket, id): for each bucket of two keys or more an id that all buckets of the same keys share."""
+    sums = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum"), F.expr("bit_xor(xxhash64(key, 7))").alias("mixed"))
+    return sums.filter("many > 1").select("bucket", F.xxhash64("many", "sum", "mixed").alias("id"))
+
+
+def _shared(banded: DataFrame) -> DataFrame:
+    """(bucket, key) of the buckets of two keys or more; buckets of the same keys become one."""
+    return banded.join(_same_keys(banded), "bucket").select(F.col("id").alias("bucket"), "key").distinct()
 
 
-def _shared(sketched: DataFrame) -> DataFrame:
-    """(bucket, key) of all buckets that hold two keys or more."""
-    banded = sketched.select("key", F.posexplode("sketch").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "key")
-    many = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("bucket")
-    return banded.join(many, "bucket")
+def _compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(key, center, similarity) of (key, center)."""
+    with_a = pairs.join(texts.withColumnRenamed("sequence", "a"), "key")
+    with_b = with_a.join(texts.select(F.col("key").alias("center"), F.col("sequence").alias("b")), "center")
+    return with_b.select("key", "center", "a", "b").mapInArrow(_verify(least), "key string, center string, similarity double")
 
 
-def _links(members: DataFrame, texts: DataFrame, threshold: float, stages: Stages) -> DataFrame:
-    """(key, center, similarity) of the links that the turns find. members: (bucket, key)."""
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """members with root, many and first, of the buckets that hold two classes or more."""
+    own = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), F.min("key").alias("first"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    return own.join(mixed.select("bucket", "many", "first"), "bucket")
+
+
+def _roots(members: DataFrame, texts: DataFrame, threshold: float, stages: Stages) -> DataFrame:
+    """(key, root) of all linked keys. members: (bucket, key)."""
     least = 2 * threshold - 1  # a text this unlike the centre can't be linked to one that is linked to the centre
-    known: DataFrame | None = None
-    turn = 0
+    centers = members.groupBy("bucket").agg(F.min("key").alias("center"), F.count(F.lit(1)).alias("many"))
+    compared = stages.write(members.join(centers, "bucket").filter("key != center"), "compared-0")
+    known = stages.write(_compared(compared.select("key", "center").distinct(), texts, least), "known-0")
+    roots = components(known.filter(F.col("similarity") >= threshold), stages, "roots-0")
+    judged = compared.filter("many > 2").join(known, ["key", "center"])
+    apart = judged.filter(F.col("similarity") < threshold)
+    doubtful = apart.groupBy("bucket").agg(F.max("similarity").alias("nearest")).filter(F.col("nearest") >= least)
+    helpers = judged.filter(F.col("similarity") >= threshold).join(doubtful, "bucket").filter(F.col("similarity") <= F.col("nearest") + 1 - threshold)
+    left = stages.write(_rooted(apart.select("bucket", "key").unionByName(helpers.select("bucket", "key")), roots).select("key").distinct(), "left-0")
+    rest = stages.write(texts.join(left, "key"), "rest")
+    stages.drop(compared, left, texts)
+    counts = np.zeros(COUNTERS, np.int32)
+    found = rest.select("sequence").mapInArrow(_rarity, "counter long, n long").groupBy("counter").agg(F.sum("n").cast("int").alias("n")).toArrow()
+    counts[found["counter"].to_numpy()] = found["n"].to_numpy()
+    stages.tidy()
+    shared = rest.sparkSession.sparkContext.broadcast(counts)
+    rare = rest.mapInArrow(_rarest(shared, threshold), "key string, size int, rare array<long>").select("key", "size", F.posexplode("rare").alias("place", "bucket"))
+    merged = rare.join(_same_keys(rare), "bucket").groupBy(F.col("id").alias("bucket"), "key").agg(F.min("place").alias("place"), F.min("size").alias("size"))
+    members = held = stages.write(merged, "members-1")
+    turn, current = 1, True
     while True:
-        size = members.groupBy("bucket").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-        chance = F.pmod(F.xxhash64("key", F.lit(turn)), F.col("many")) < (1 << max(0, turn - 1)) - 1
-        marked = stages.write(members.join(size, "bucket").select("bucket", "key", "many", ((F.col("key") == F.col("first")) | chance).alias("central")), f"marked-{turn}")
-        centers = marked.filter("central").select("bucket", F.col("key").alias("center"))
-        compared = stages.write(marked.join(centers, "bucket").filter("key > center or (key < center and not central)"), f"compared-{turn}")
-        pairs = compared.select("key", "center").distinct()
-        if known is not None:
-            pairs = pairs.join(known.select("key", "center"), ["key", "center"], "left_anti")
-        with_a = pairs.join(texts.withColumnRenamed("sequence", "a"), "key")
-        with_b = with_a.join(texts.select(F.col("key").alias("center"), F.col("sequence").alias("b")), "center")
-        fresh = stages.write(with_b.select("key", "center", "a", "b").mapInArrow(_verify(least), "key string, center string, similarity double"), f"verified-{turn}")
-        known = fresh if known is None else known.unionByName(fresh)
-        judged = compared.filter("many > 2 and not central").join(known, ["key", "center"])
-        doubtful = judged.filter((F.col("similarity") < threshold) & (F.col("similarity") >= least))
-        apart = judged.groupBy("bucket", "key").agg(F.max("similarity").alias("best")).filter(F.col("best") < threshold)
-        nearest = doubtful.groupBy("bucket", "center").agg(F.max("similarity").alias("nearest"))
-        helpers = judged.filter(F.col("similarity") >= threshold).join(nearest, ["bucket", "center"]).filter(F.col("similarity") <= F.col("nearest") + 1 - threshold)
-        stays = [x.select("bucket", "key") for x in (apart, doubtful, helpers)]
-        left = stages.write(stays[0].unionByName(stays[1]).unionByName(stays[2]).distinct(), f"left-{turn}")
-        if left.isEmpty():
-            return known.filter(F.col("similarity") >= threshold)
-        if turn == 0:
-            deep = texts.join(left.select("key").distinct(), "key").mapInArrow(_deep, "key string, sketch array<long>")
-            left = stages.write(_shared(stages.write(deep, "deep")), "deep-members")
-        members = left
+        chance = F.pmod(F.xxhash64("key", F.lit(turn)), F.col("many")) < GROWTH ** (turn - 1) - 1
+        marked = stages.write(_rooted(members, roots).withColumn("central", (F.col("key") == F.col("first")) | chance), f"marked-{turn}")
+        stages.drop(held)
+        held = marked
+        if marked.isEmpty():
+            return roots if current else components(roots.withColumnRenamed("root", "center").unionByName(known.filter(F.col("similarity") >= threshold).select("key", "center")), stages, "roots-last")
+        centers = marked.filter("central").select("bucket", F.col("key").alias("center"), F.col("root").alias("center_root"), F.col("place").alias("center_place"), F.col("size").alias("center_size"))
+        # In the bucket of the rarest shingle that two linked texts share, what is rarer in one of them the other lacks.
+        left_over = F.least(F.col("size") - F.col("place"), F.col("center_size") - F.col("center_place"))
+        enough = left_over >= threshold / (1 + threshold) * (F.col("size") + F.col("center_size")) - 1e-9
+        pairs = marked.join(centers, "bucket").filter("root != center_root and (key > center or not central)").filter(enough)
+        pairs = pairs.select(F.greatest("key", "center").alias("key"), F.least("key", "center").alias("center")).distinct()
+        fresh = stages.write(_compared(pairs.join(known.select("key", "center"), ["key", "center"], "left_anti"), rest, threshold), f"known-{turn}")
+        known = known.unionByName(fresh)
+        new = fresh.filter(F.col("similarity") >= threshold).select("key", "center")
+        current = current and new.isEmpty()
+        if not current and turn <= 3:  # classes join early or hardly at all; later links are taken in at the end
+            current = True
+            old = roots
+            roots = components(old.withColumnRenamed("root", "center").unionByName(new), stages, f"roots-{turn}")
+            stages.drop(old)
+        members = marked.filter("not central").select("bucket", "key", "place", "size")
+        stages.tidy()
         turn += 1
 
 
-def components(links: DataFrame, stages: Stages) -> DataFrame:
-    """(key, root): the least key of each linked key's component. Large-star and small-star turns until nothing moves."""
-    edges = stages.write(links.select(F.greatest("key", "center").alias("u"), F.least("key", "center").alias("v")).distinct(), "edges-0")
+def components(links: DataFrame, stages: Stages, name: str = "components") -> DataFrame:
+    """(key, root), a written table: the least key of each linked key's component. links: (key, center).
+
+    Large-star and small-star turns until nothing moves.
+    """
+    edges = stages.write(links.select(F.greatest("key", "center").alias("key"), F.least("key", "center").alias("root")).distinct(), f"{name}-0")
     turn = 0
-    before = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v")
+        both = edges.unionByName(edges.select(F.col("root").alias("key"), F.col("key").alias("root")))
+        least = both.groupBy("key").agg(F.least(F.min("root"), F.first("key")).alias("m"))
+        large = both.filter("root > key").join(least, "key").select(F.col("root").alias("key"), F.col("m").alias("root")).distinct()
+        least = large.groupBy("key").agg(F.min("root").alias("m"))
+        small = large.join(least, "key").select(F.col("root").alias("key"), F.col("m").alias("root")).filter("key != root")
         turn += 1
-        edges = stages.write(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), f"edges-{turn}")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            return edges.withColumnsRenamed({"u": "key", "v": "root"})
-        before = now
+        moved = stages.write(small.unionByName(least.select("key", F.col("m").alias("root"))).distinct(), f"{name}-{turn}")
+        stages.drop(edges)
+        edges = moved
+        # Done when the edges are stars: each key has one root, and no root is a key.
+        ends = edges.select("key", F.lit(1).cast("long").alias("n")).unionByName(edges.select(F.col("root").alias("key"), F.lit(1 << 40).alias("n")).distinct())
+        if ends.groupBy("key").agg(F.sum("n").alias("n")).filter("n != 1 and n != 1099511627776").isEmpty():
+            return edges
 
 
 def classes(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -234,12 +306,18 @@ def classes(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_
     rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
     sketched = stages.write(rows.mapInArrow(_sketch, "doc_id long, key string, size int, sketch array<long>"), "sketched")
     nodes = stages.write(sketched.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("sketch").alias("sketch")), "nodes")
-    members = stages.write(_shared(nodes), "members")
+    banded = nodes.select("key", F.posexplode("sketch").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "key")
+    members = stages.write(_shared(banded), "members")
     wanted = stages.write(members.select("key").distinct().join(nodes.select("key", "first_id"), "key"), "wanted")
-    of_node = F.broadcast(wanted) if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wanted
-    found = rows.join(of_node.withColumnRenamed("first_id", "doc_id"), "doc_id").select("key", "text")
-    texts = stages.write(found.mapInArrow(_sequences, "key string, sequence binary").dropDuplicates(["key"]), "texts")
-    roots = components(_links(members, texts, threshold, stages), stages)
+    ids = wanted.select(F.col("first_id").alias("doc_id")).distinct()
+    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    found = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text")
+    texts = found.mapInArrow(_sequences, "key string, sequence binary").join(F.broadcast(wanted.select("key")) if few else wanted.select("key"), "key", "left_semi")
+    texts = stages.write(texts.dropDuplicates(["key"]), "texts")
+    stages.drop(wanted)
+    stages.tidy()
+    roots = _roots(members, texts, threshold, stages)
+    stages.drop(members)
     rooted = nodes.select("key", "first_id").join(roots, "key", "left").select("key", "first_id", F.coalesce("root", "key").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
     of_key = stages.write(rooted.join(least, "root").select("key", "class_id"), "of-key")
@@ -247,7 +325,7 @@ def classes(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_
 
 
 #: Compared texts up to this number have their ids sent to every executor; more are joined by a shuffle.
-BROADCAST_ROWS = 20_000
+BROADCAST_ROWS = 50_000
 
 
 def deduplicate(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
