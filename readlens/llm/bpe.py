@@ -14,8 +14,8 @@ from pyspark.sql import types as T
 
 from . import pretokens, textvec
 
-#: Slices whose ids a worker remembers; when full it starts afresh.
-CACHE = 1_000_000
+#: Slices whose ids a worker remembers as recent ones, and as many as older ones.
+CACHE = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -62,10 +62,15 @@ class _Cache(dict):
     def __init__(self, ranks: dict[bytes, int]) -> None:
         super().__init__()
         self.ranks = ranks
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, text: str) -> bytes:
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
+        if (known := self.older.get(text)) is not None:
+            self[text] = known
+            return known
         out = self[text] = np.array(merge(text.encode(), self.ranks), "<u4").tobytes()
         return out
 

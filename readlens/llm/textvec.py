@@ -56,11 +56,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _powers(1 << max(20, int(n).bit_length()))
+    up, down = _powers(1 << max(18, int(n).bit_length()))
     return up[:n], down[:n]
 
 
-def chunks(texts: Iterable[str | None], chars: int = 1_000_000) -> Iterator[list[str]]:
+def chunks(texts: Iterable[str | None], chars: int = 250_000) -> Iterator[list[str]]:
     """Runs of whole texts of about so many characters; a longer text stands alone. Null counts as empty."""
     held: list[str] = []
     size = 0

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 
 from . import pretokens, textvec
 
-#: Slices whose count a worker remembers; when full it starts afresh.
-CACHE = 1_000_000
+#: Slices whose count a worker remembers as recent ones, and as many as older ones.
+CACHE = 250_000
 #: A symbol's number needs so many bits in a pair's key.
 _BITS = 20
 
@@ -84,10 +84,15 @@ class Counter(dict):
     def __init__(self, merges: Merges) -> None:
         super().__init__()
         self.merges = merges
+        self.older: dict[str, int] = {}
 
     def __missing__(self, text: str) -> int:
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
+        if (known := self.older.get(text)) is not None:
+            self[text] = known
+            return known
         out = self[text] = count(text.encode(), self.merges)
         return out
 
