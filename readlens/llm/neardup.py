@@ -11,8 +11,8 @@ just 0.8 a pair shares no bucket with a chance of 4e-8.
 In a bucket all texts are compared with one centre. Those that aren't linked to it stay, together with the centre's own
 texts where the triangle inequality leaves a link between the two possible. What stays (texts that share a passage, say)
 is dealt anew by an exact filter: of two linked texts the rarest fifth of the shingles, in any one order of rarity, have
-one in common, and a passage that many texts share is not among them. Buckets of such shingles are compared with 1, 4,
-16 ... centres a turn, only texts of different classes with each other, until each holds one class or one text. So no
+one in common, and a passage that many texts share is not among them. Buckets of such shingles are compared with 1, 8,
+64 ... centres a turn, only texts of different classes with each other, until each holds one class or one text. So no
 bucket is expanded into all pairs, none is capped, and no pair that could join two classes is left out.
 """
 
@@ -36,7 +36,7 @@ LEAST = 4
 #: Counters of the table that orders shingles by rarity; shared counters only make some look more frequent.
 COUNTERS = 1 << 20
 #: How many times more centres each turn has than the last one.
-GROWTH = 4
+GROWTH = 8
 _FACTORS = textvec.mix(np.arange(101, 101 + BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -261,7 +261,7 @@ def _roots(members: DataFrame, texts: DataFrame, threshold: float, stages: Stage
         known = known.unionByName(fresh)
         new = fresh.filter(F.col("similarity") >= threshold).select("key", "center")
         current = current and new.isEmpty()
-        if not current and turn <= 3:  # classes join early or hardly at all; later links are taken in at the end
+        if not current and turn <= 4:  # classes join early or hardly at all; later links are taken in at the end
             current = True
             old = roots
             roots = components(old.withColumnRenamed("root", "center").unionByName(new), stages, f"roots-{turn}")
