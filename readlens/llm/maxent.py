@@ -3,8 +3,8 @@
 The probability of a word is that of its class given the words before it, times that of the word within its class. The
 first factor is a softmax over classes of summed weights of hashed features; the second one of counts over all training
 rows. Frequent words have classes of their own; the others are classed by their last signs. Counts come from every
-training row. Class weights come from gradient updates, made side by side on parts of a bounded sample of training rows
-and averaged after each round.
+training row, and so do class weights: rounds of gradient updates on a bounded sample give a start, from which each task
+goes once over all of its training rows. What tasks learn side by side is averaged, row by row of the weight table.
 
 Counts of all words don't fit one machine, so texts are scored with the counts of the most frequent ones (a bounded
 table), and what other words add is joined by word and summed by text.
@@ -17,6 +17,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,9 @@ END = b""
 class Params:
     """frequent: words whose counts every worker has. own: words with a class of their own, beside `classes` - own others.
 
-    buckets: rows of the table of feature weights. sample: at most so many training rows, picked by a hash, teach the
-    class weights, in `parts` parts and `rounds` rounds. Adding constant `add` smooths counts.
+    buckets: rows of the table of feature weights. sample: at most so many training rows, picked by a hash, start the
+    class weights, in `parts` parts and `rounds` rounds; if there are more, a pass over all follows. Adding constant
+    `add` smooths counts.
     """
 
     frequent: int = 100_000
@@ -99,12 +101,11 @@ class Vocabulary:
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """(features' word numbers, classes, words that aren't frequent) of a text's tokens; rare words' numbers are negative hashes."""
         words = tokens(text)
-        codes = list(map(self.codes.get, words))
-        rare = [w for w, c in zip(words, codes) if c is None]
-        numbers = np.array([-1 if c is None else c for c in codes], np.int64)
+        numbers = np.fromiter(map(self.codes.get, words, repeat(-1)), np.int64, len(words))
         kinds = self.classes[numbers]
+        at = np.flatnonzero(numbers < 0)
+        rare = [words[k] for k in at.tolist()]
         if rare:
-            at = numbers < 0
             kinds[at] = [word_class(w, self.params) for w in rare]
             numbers[at] = [-1 - zlib.crc32(w) for w in rare]
         return numbers, kinds, rare
@@ -130,21 +131,21 @@ def features(numbers: np.ndarray, kinds: np.ndarray, lengths: np.ndarray, bucket
 
 
 def class_logits(table: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    out = table[rows[:, 0]]
+    out = table.take(rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
-        out += table[rows[:, k]]
+        out += table.take(rows[:, k], axis=0)
     return out
 
 
 def log_classes(table: np.ndarray, rows: np.ndarray, kinds: np.ndarray) -> np.ndarray:
     """log10 of each token's class probability, in batches of sparse rows."""
     out = np.empty(len(kinds))
-    for a in range(0, len(kinds), 16384):
-        x = class_logits(table, rows[a : a + 16384])
+    for a in range(0, len(kinds), 4096):
+        x = class_logits(table, rows[a : a + 4096])
         x -= x.max(axis=1, keepdims=True)
-        own = x[np.arange(len(x)), kinds[a : a + 16384]]
+        own = x[np.arange(len(x)), kinds[a : a + 4096]]
         np.exp(x, out=x)
-        out[a : a + 16384] = own - np.log(x.sum(axis=1))
+        out[a : a + 4096] = own - np.log(x.sum(axis=1))
     return out / math.log(10)
 
 
@@ -155,13 +156,23 @@ def updated(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, kinds: np.
     np.exp(x, out=x)
     x /= x.sum(axis=1, keepdims=True)
     x[np.arange(len(x)), kinds] -= 1
-    flat = rows.ravel()
+    flat = rows.astype(np.uint16 if len(table) <= 1 << 16 else np.int64).ravel()
     order = np.argsort(flat, kind="stable")
-    at = np.flatnonzero(np.diff(flat[order], prepend=-1))
-    sums = np.add.reduceat(x[order // rows.shape[1]], at, axis=0)
-    touched = flat[order][at]
-    squares[touched] += np.square(sums).mean(axis=1)
-    table[touched] -= rate * sums / np.sqrt(squares[touched] + 1e-8)[:, None]
+    at = np.flatnonzero(np.diff(flat[order].astype(np.int64), prepend=-1))
+    many = np.diff(at, append=len(flat))
+    token = order // rows.shape[1]
+    sums = x.take(token[at], axis=0)
+    more = np.flatnonzero(many > 1)
+    for nth in range(1, 9):  # most rows of the table are met a few times at most
+        sums[more] += x.take(token[at[more] + nth], axis=0)
+        more = more[many[more] > nth + 1]
+    for k in more.tolist():
+        sums[k] += np.ones(many[k] - 9, x.dtype) @ x.take(token[at[k] + 9 : at[k] + many[k]], axis=0)
+    touched = flat[order[at]].astype(np.int64)
+    square = squares.take(touched) + np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
+    squares[touched] = square
+    sums *= (rate / np.sqrt(square + 1e-8))[:, None]
+    table[touched] -= sums
 
 
 def _learner(vocabulary, table: np.ndarray, squares: np.ndarray, params: Params):
@@ -178,28 +189,49 @@ def _learner(vocabulary, table: np.ndarray, squares: np.ndarray, params: Params)
                     updated(own, sums, rows[b : b + 4096], kinds[b : b + 4096], params.rate)
                 seen += len(kinds)
         moved = np.flatnonzero((own != table).any(axis=1))
-        schema = pa.schema([("row", pa.int32()), ("seen", pa.int64()), ("step", pa.binary()), ("square", pa.float64())])
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(moved.astype(np.int32)), pa.array([seen] * len(moved), pa.int64()), pa.array([(own[r] - table[r]).tobytes() for r in moved], pa.binary()), pa.array((sums - squares)[moved].astype(float))], schema=schema)
+        for a in range(0, len(moved) if seen else 0, 4096):
+            at = moved[a : a + 4096]
+            columns = [pa.array(at.astype(np.int32)), pa.array([seen] * len(at), pa.int64()), pa.array([(own[r] - table[r]).tobytes() for r in at], pa.binary()), pa.array((sums - squares)[at].astype(float))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "seen", "step", "square"])
+
+    return run
+
+
+def _averaged(params: Params):
+    """Of all moves of a row, which are in one task, the mean weighted by tokens, and the sum of squares."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps, seen, squares = np.zeros((params.buckets, params.classes)), np.zeros(params.buckets), np.zeros(params.buckets)
+        for batch in batches:
+            at, weight = batch.column("row").to_numpy(), batch.column("seen").to_numpy().astype(float)
+            moves = np.frombuffer(b"".join(batch.column("step").to_pylist()), np.float32).reshape(len(at), -1)
+            np.add.at(steps, at, moves * weight[:, None])
+            np.add.at(seen, at, weight)
+            np.add.at(squares, at, batch.column("square").to_numpy())
+        at = np.flatnonzero(seen)
+        means = (steps[at] / seen[at, None]).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([m.tobytes() for m in means], pa.binary()), pa.array(squares[at])], names=["row", "step", "square"])
 
     return run
 
 
 def _train(rows: DataFrame, vocabulary, params: Params, total_rows: int) -> np.ndarray:
-    """Class weights. Rounds of side-by-side updates on the parts; the parts' moves, weighted by their tokens, are averaged."""
+    """Class weights. Rounds on the parts of the sample, then, if that isn't all rows, one on the partitions of rows.
+
+    A task holds one table, and so does the driver, whatever the number of rows and tasks.
+    """
     table, squares = np.zeros((params.buckets, params.classes), np.float32), np.zeros(params.buckets, np.float32)
     scale = 1 << 30
     limit = min(scale, scale * params.sample // max(1, total_rows))
     sample = rows.filter(F.pmod(F.xxhash64("id", F.lit("lm")), F.lit(scale)) < limit).select("text").repartition(params.parts)
-    for _ in range(params.rounds):
-        moves = sample.mapInArrow(_learner(vocabulary, table, squares, params), "row int, seen long, step binary, square double").toArrow().to_pandas()
+    for part in [sample] * params.rounds + [rows.select("text")] * (limit < scale):
+        moves = part.mapInArrow(_learner(vocabulary, table, squares, params), "row int, seen long, step binary, square double")
+        moves = moves.repartition("row").mapInArrow(_averaged(params), "row int, step binary, square double").toArrow()
         if not len(moves):
-            break
+            continue
         at = moves["row"].to_numpy()
-        weight = (moves["seen"] / moves.groupby("row")["seen"].transform("sum")).to_numpy(np.float32)
-        steps = np.frombuffer(b"".join(moves["step"]), np.float32).reshape(len(moves), -1)
-        np.add.at(table, at, steps * weight[:, None])
-        np.add.at(squares, at, moves["square"].to_numpy(np.float32))
+        table[at] += np.frombuffer(b"".join(moves["step"].to_pylist()), np.float32).reshape(len(at), -1)
+        squares[at] += moves["square"].to_numpy().astype(np.float32)
     return table
 
 

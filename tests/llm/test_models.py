@@ -94,6 +94,17 @@ def test_language_model_learns_word_order(spark):
     assert sum(r.score for r in test) > 0.8 * sum(r.base_score for r in test)  # a fifth better at least, as order tells the next word
 
 
+def test_language_model_learns_from_all_rows(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(400):  # each text goes round one of 40 rings of words; a sample of a few texts knows few rings
+        ring, at = rng.randrange(40), rng.randrange(6)
+        rows.append((k, " ".join(f"r{ring}w{(at + i) % 6}x{(ring * 7 + at + i) % 6}" for i in range(60))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few = [r for r in maxent.score(df, held(10, 0), maxent.Params(sample=4)).collect() if r.held_out]
+    assert sum(r.score for r in few) > 0.8 * sum(r.base_score for r in few)
+
+
 def test_language_model_is_a_distribution():
     params = maxent.Params(own=2, classes=5, buckets=64)
     words = [b"a", b"b", b"cat", b"dog", b"hat"]
