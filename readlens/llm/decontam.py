@@ -4,7 +4,8 @@ Items are partitioned by their number of shingles, in doubling classes. For the
 cut into blocks of u shingles, and each two neighbouring blocks are a window: an item of the class that a text holds in
 one piece lies in some window whole. Item and window share a minimum of one hash function with the chance of their
 resemblance, which in such windows is 0.19 at least at a containment of 0.8; over HASHES functions less than 2 in a
-million are missed. Blocks of a class are unions of those of the class below, so all classes cost little more than one.
+million are missed. That bound needs FEWEST shingles, as windows of the smallest class are no smaller; texts are searched
+for every shingle of items that have fewer, so none of those is missed. Blocks of a class are unions of those of the class below, so all classes cost little more than one.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from ..session import Stages
 
 HASHES = 64
 SMALLEST = 16
+#: Items of fewer shingles are looked up by each of them, and not by minima.
+FEWEST = 8
 #: Shingles of items that one pass over the documents searches; more items take more passes.
 BLOCK_SHINGLES = 2_000_000
 _BITS = 22
@@ -35,18 +38,23 @@ def _keys(values: np.ndarray, function: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Items of one pass: sorted keys of their minima by size class, their shingles, and short items by number of words."""
+    """Items of one pass: sorted keys of their minima by size class, their shingles, short items by number of words.
+
+    few: sorted shingles of items that have too few for minima, and whose they are.
+    """
 
     ids: list
     shingles: list[np.ndarray]
     levels: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     short: dict[int, tuple[np.ndarray, np.ndarray]]
+    few: tuple[np.ndarray, np.ndarray]
 
     @staticmethod
     def of(items: list[tuple[object, str]]) -> Index:
-        out = Index([], [], {}, {})
+        out = Index([], [], {}, {}, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
         held: dict[int, list[tuple[np.ndarray, int]]] = {}
         brief: dict[int, list[tuple[int, int]]] = {}
+        few: list[tuple[int, int]] = []
         for id_, text in items:
             hashes, _, _, offsets, _, _ = textvec.words([text])
             own = np.unique(textvec.shingles(hashes, offsets)[0])
@@ -59,6 +67,9 @@ class Index:
                 gram = textvec.shingles(hashes, offsets, len(hashes))[0]
                 brief.setdefault(len(hashes), []).append((int(gram[0]), k))
                 continue
+            if len(own) < FEWEST:
+                few += [(int(h), k) for h in own]
+                continue
             level = max(0, (len(own) - 1).bit_length() - SMALLEST.bit_length() + 1)
             minima = (own[None, :] * _FACTORS[:, None]).min(axis=1)
             held.setdefault(level, []).append((_keys(minima, np.arange(HASHES)), k))
@@ -72,6 +83,8 @@ class Index:
         for n, rows in brief.items():
             rows.sort()
             out.short[n] = (np.array([h for h, _ in rows], np.uint64), np.array([k for _, k in rows]))
+        few.sort()
+        out.few = (np.array([h for h, _ in few], np.uint64), np.array([k for _, k in few], np.int64))
         return out
 
 
@@ -128,6 +141,11 @@ def hits(index: Index, texts: list[str], similarity: float) -> list[list[tuple[i
     hashes, _, _, word_offsets, _, _ = textvec.words(texts)
     own, offsets = textvec.shingles(hashes, word_offsets)
     pairs = _candidates(index, own, offsets)
+    keys, owner = index.few
+    if len(keys):
+        at = np.flatnonzero(np.isin(own, keys))
+        place, item = _matches(own[at], keys, owner)
+        pairs.update(zip((np.searchsorted(offsets, at[place], "right") - 1).tolist(), item.tolist()))
     for n, (keys, owner) in index.short.items():
         grams, gram_offsets = textvec.shingles(hashes, word_offsets, n)
         at = np.flatnonzero(np.isin(grams, keys))

@@ -137,6 +137,23 @@ def test_decontamination_equals_brute_force(spark, corpus):
     assert clean.columns == ["doc_id", "text", "clean", "id"]
 
 
+def test_items_of_few_shingles_are_always_found():
+    rng = random.Random(5)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(400)] for _ in range(40)]
+    items, wanted = [], set()
+    for k, text in enumerate(texts):
+        for n in (5, 6, 7, 9, 11):
+            start = rng.randrange(400 - n)
+            part = text[start : start + n]
+            if n > 8 and start % 2:
+                part[-1] = "zzz"  # 4 of 5 and 6 of 7 shingles stay
+            wanted.add((k, len(items)))
+            items.append((len(items), " ".join(part)))
+    items.append((len(items), " ".join(texts[0][:8] + ["zzz"] * 2)))  # 4 of 6
+    got = decontam.hits(decontam.Index.of(items), [" ".join(t) for t in texts], 0.8)
+    assert {(k, item) for k, own in enumerate(got) for item, _ in own} == wanted
+
+
 def test_decontamination_edge_cases(spark, edges, nothing):
     bench = spark.createDataFrame([(1, "quick brown fox jumps over the lazy")], "item_id long, text string")
     assert [r.doc_id for r in decontam.search(edges, bench).collect()] == [1, 1]
