@@ -64,3 +64,32 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert spans[0].startswith("phone:18:")
     text = {r.doc_id: r.text for r in pii.redact(df).collect()}
     assert text[100] == "please call me at [PHONE] before noon" and text[101] == hidden[1][1]
+
+
+def test_bootstrapping_fills_slots_with_any_words(spark):
+    rows = [(i, f"you can write to user{i:02d}@corp.example for more help") for i in range(12)]
+    rows += [(i, f"please call me at +1 555 010 1{i:03d} before noon") for i in range(20, 32)]
+    hidden = {100: "user@localhost", 101: "jane[at]corp", 102: "jdoe"}
+    rows += [(k, f"you can write to {who} for more help") for k, who in hidden.items()]
+    rows += [(103, "please call me at 0171 555 0199 before noon"), (104, "ask jane[at]corp now"), (105, "our friend jdoe came along"), (106, "0171 555 0199 is mine")]
+    spans = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, who in hidden.items():
+        assert spans[k] == f"like_email:17:{17 + len(who)}"
+    assert spans[103] == "like_phone:18:31" and spans[106] == "like_phone:0:13"
+    assert spans[104] == "like_email:4:16" and spans[105] == ""  # an ordinary word is none elsewhere
+
+
+def test_bootstrapping_goes_on_until_nothing_is_added(spark):
+    rows = [(i, f"ap aq user{i:02d}@corp.example ar at") for i in range(20)]
+    rows += [(100 + i, f"ap aq a{i}-777 ar at") for i in range(8)]
+    for step, (last, own) in enumerate(zip("abcde", "bcdef"), 2):  # each context has the last one's instances and new ones
+        rows += [(100 * step + 10 * k + i, f"{own}p {own}q {name}{i}-777 {own}r {own}t") for k, name in enumerate((last, own)) for i in range(8)]
+    how = pii.Bootstrap(min_confidence=0.3, accept=0.6)
+    spans = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string"), how).collect()}
+    assert all(spans[k].startswith("like_email:") for k in spans if k >= 100)
+
+
+def test_scans_of_hostile_texts_take_linear_time():
+    wanted = pii.Wanted(["a a _", "a _ a", "1 _ 1", "0 _ 0"], ["a a", "1"])
+    for text in ("a " * 20_000, "1 " * 20_000, "a@b.c " * 10_000, "a" * 100_000, ". " * 50_000):
+        pii.candidates(text, pii.base_spans(text), wanted)
