@@ -5,15 +5,19 @@ LCS / (n + m - LCS) over the shingle sequences, is 0.8 or more; for texts withou
 is the Jaccard similarity, and one less it is a metric. Classes are the connected components of the links.
 
 Sketch: for each of BANDS hash functions the PICKS smallest occurrence-labelled shingles, kept in text order. Equal
-sketches of a band are a bucket. Equal texts are joined before, so buckets hold different texts only. At a similarity of
-just 0.8 a pair shares no bucket with a chance of 4e-8.
+sketches of a band are a bucket. Equal texts are joined before, so buckets hold different texts only.
 
 In a bucket all texts are compared with one centre. Those that aren't linked to it stay, together with the centre's own
 texts where the triangle inequality leaves a link between the two possible. What stays (texts that share a passage, say)
 is dealt anew by an exact filter: of two linked texts the rarest fifth of the shingles, in any one order of rarity, have
-one in common, and a passage that many texts share is not among them. Buckets of such shingles are compared with 1, 8,
-64 ... centres a turn, only texts of different classes with each other, until each holds one class or one text. So no
-bucket is expanded into all pairs, none is capped, and no pair that could join two classes is left out.
+one in common. In the bucket of the rarest one that both have, what is rarer in either the other lacks, so the smaller of
+the two has it among its rarest ninth. A text is a centre only in buckets where that holds of itself, and is compared only
+with texts of other classes whose size and place leave enough in common: a passage that fills too little of every text to
+link them makes no pair, however many texts share it. Centres go in three turns (one a bucket, some sixteen, all), classes
+are joined between them, and no bucket is capped.
+
+Keys that hold much of a table (a bucket of thousands of copies, say) are at most HOT in number; what belongs to them is
+sent to every task that has their rows, which aren't shuffled then. Members meet the centres of a large bucket in runs.
 """
 
 from __future__ import annotations
@@ -24,19 +28,24 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import textvec
-from ..session import Stages
+from ..session import Stages, unused
 
 BANDS, PICKS = 24, 3
 #: Texts with fewer shingles can't be linked to a different text: 3 of 4 are less than 0.8.
 LEAST = 4
 #: Counters of the table that orders shingles by rarity; shared counters only make some look more frequent.
 COUNTERS = 1 << 20
-#: How many times more centres each turn has than the last one.
-GROWTH = 8
+#: A key is hot from this share of all rows on, so there are so many hot keys at most.
+HOT = 1000
+#: Members of a bucket, or texts compared with one centre, that meet in one run at least.
+RUN = 1000
+#: Centres that a bucket has by turn; the last turn has all that are left.
+TURNS = (1, 16, None)
 _FACTORS = textvec.mix(np.arange(101, 101 + BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -104,19 +113,18 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             fit = counts >= LEAST
             rows = iter(sketches(own[np.repeat(fit, counts)], np.concatenate(([0], np.cumsum(counts[fit])))) if fit.any() else ())
             made += [next(rows) if f else None for f in fit.tolist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.string()), pa.array(sizes, pa.int32()), pa.array(made, pa.list_(pa.int64()))], names=["doc_id", "key", "size", "sketch"])
+        columns = [*(batch.column(n) for n in ("id", *ROW)), pa.array(keys, pa.string()), pa.array(sizes, pa.int32()), pa.array(made, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", *ROW, "key", "size", "sketch"])
 
 
 def _sequences(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys: list[str] = []
         made: list[bytes] = []
         for chunk in textvec.chunks(batch.column("text").to_pylist()):
             hashes, _, _, offsets, _, _ = textvec.words(chunk)
             own, own_offsets = textvec.shingles(hashes, offsets)
-            keys += _keys(chunk, hashes, offsets)
             made += [own[a:b].tobytes() for a, b in zip(own_offsets, own_offsets[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(made, pa.binary())], names=["key", "sequence"])
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], names=["node", "sequence"])
 
 
 def _common(a: list[int], b: list[int], band: int) -> int:
@@ -159,17 +167,25 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
 
 def _verify(least: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.zeros(0, np.uint64)
         for batch in batches:
-            pairs = zip(batch.column("a"), batch.column("b"))
-            made = [similarity(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), least) for a, b in pairs]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("center"), pa.array(made, pa.float64())], names=["key", "center", "similarity"])
+            nodes, centers, made = [], [], []
+            for node, center, sequence in zip(batch.column("node").to_pylist(), batch.column("center").to_pylist(), batch.column("sequence")):
+                own = np.frombuffer(sequence.as_buffer(), np.uint64)
+                if node is None:  # the centre itself comes before what is compared with it
+                    head = own.copy()
+                else:
+                    nodes.append(node)
+                    centers.append(center)
+                    made.append(similarity(own, head, least))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(centers, pa.int64()), pa.array(made, pa.float64())], names=["node", "center", "similarity"])
 
     return run
 
 
 def _labelled_texts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
     for value in batch.column("sequence"):
-        own = np.frombuffer(value.as_py(), np.uint64)
+        own = np.frombuffer(value.as_buffer(), np.uint64)
         yield _labelled(own, np.zeros(len(own), np.int64))
 
 
@@ -191,149 +207,192 @@ def _rarest(shared, threshold: float):
                 enough = len(own) - math.ceil(threshold * len(own) - 1e-9) + 1
                 made.append(own[np.lexsort((own, count))[:enough]].view(np.int64))
                 sizes.append(len(own))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sizes, pa.int32()), pa.array(made, pa.list_(pa.int64()))], names=["key", "size", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int32()), pa.array(made, pa.list_(pa.int64()))], names=["node", "size", "rare"])
 
     return run
 
 
-def _same_keys(rows: DataFrame) -> DataFrame:
-    """(bucket, id): for each bucket of two keys or more an id that all buckets of the same keys share."""
-    sums = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum"), F.expr("bit_xor(xxhash64(key, 7))").alias("mixed"))
-    return sums.filter("many > 1").select("bucket", F.xxhash64("many", "sum", "mixed").alias("id"))
+def joined(rows: DataFrame, facts: DataFrame, on: str, weight: str) -> DataFrame:
+    """rows joined with facts, a written table with one row for each value of `on`, `weight` the number of its rows.
+
+    Values with more than a HOT-th of all rows, fewer than HOT, go by broadcast, so no task gets all rows of one.
+    """
+    total = facts.agg(F.sum(weight)).first()[0] or 0
+    hot = facts.filter(F.col(weight) > max(RUN, total // HOT))
+    if hot.isEmpty():
+        return rows.join(facts, on)
+    cold = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(facts.filter(F.col(weight) <= max(RUN, total // HOT)), on)
+    return rows.join(F.broadcast(hot), on).unionByName(cold)
 
 
-def _shared(banded: DataFrame) -> DataFrame:
-    """(bucket, key) of the buckets of two keys or more; buckets of the same keys become one."""
-    return banded.join(_same_keys(banded), "bucket").select(F.col("id").alias("bucket"), "key").distinct()
+def _buckets(rows: DataFrame, *more: Column) -> DataFrame:
+    """For each bucket of two nodes or more how many it has, the least one, and an id that all buckets of the same nodes share."""
+    either = [F.expr(f"bit_xor(xxhash64({seed}, node))").alias(f"x{seed}") for seed in (1, 2)]
+    found = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), F.min("node").alias("center"), *either, *more).filter("many > 1")
+    return found.withColumn("same", F.xxhash64("many", "x1", "x2")).drop("x1", "x2")
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(key, center, similarity) of (key, center)."""
-    with_a = pairs.join(texts.withColumnRenamed("sequence", "a"), "key")
-    with_b = with_a.join(texts.select(F.col("key").alias("center"), F.col("sequence").alias("b")), "center")
-    return with_b.select("key", "center", "a", "b").mapInArrow(_verify(least), "key string, center string, similarity double")
+def _compared(pairs: DataFrame, texts: DataFrame, least: float, stages: Stages, name: str) -> DataFrame:
+    """(node, center, similarity) of distinct (node, center), a written table.
 
+    A centre's sequence is shuffled once for each run of texts that are compared with it, and each of these once a pair.
+    """
+    pairs = stages.write(pairs, f"pairs-{name}")
+    each = pairs.groupBy("center").agg(F.count(F.lit(1)).alias("n"))
+    bound = max(RUN, pairs.count() // HOT)
+    hot = each.filter(F.col("n") > bound).select("center", F.ceil(F.col("n") / bound).alias("runs"))
+    own = pairs.join(F.broadcast(hot), "center", "left").select("node", "center", F.coalesce(F.pmod(F.xxhash64("node"), F.col("runs")), F.lit(0)).alias("run"))
+    heads = own.select("center", "run").distinct().join(texts.withColumnRenamed("node", "center"), "center").withColumn("node", F.lit(None).cast("long"))
+    both = heads.unionByName(own.join(texts, "node")).repartition("center", "run").sortWithinPartitions("center", "run", F.col("node").asc_nulls_first())
+    out = stages.write(both.select("node", "center", "sequence").mapInArrow(_verify(least), "node long, center long, similarity double"), f"known-{name}")
+    stages.drop(pairs)
+    return out
 
-def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """members with root, many and first, of the buckets that hold two classes or more."""
-    own = members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    mixed = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), F.min("key").alias("first"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    return own.join(mixed.select("bucket", "many", "first"), "bucket")
 
+def _mixed(members: DataFrame, roots: DataFrame, stages: Stages, name: str, *more: Column) -> DataFrame:
+    """members with root, many and more, of the buckets that hold two classes or more."""
+    own = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    facts = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("low"), F.max("root").alias("high"), *more).filter("low < high").drop("low", "high")
+    return joined(own, stages.write(facts, f"mixed-{name}"), "bucket", "many")
 
-def _roots(members: DataFrame, texts: DataFrame, threshold: float, stages: Stages) -> DataFrame:
-    """(key, root) of all linked keys. members: (bucket, key)."""
+
+def _roots(compared: DataFrame, texts: DataFrame, threshold: float, stages: Stages) -> DataFrame:
+    """(node, root) of all linked nodes. compared: (bucket, node, center, many)."""
     least = 2 * threshold - 1  # a text this unlike the centre can't be linked to one that is linked to the centre
-    centers = members.groupBy("bucket").agg(F.min("key").alias("center"), F.count(F.lit(1)).alias("many"))
-    compared = stages.write(members.join(centers, "bucket").filter("key != center"), "compared-0")
-    known = stages.write(_compared(compared.select("key", "center").distinct(), texts, least), "known-0")
-    roots = components(known.filter(F.col("similarity") >= threshold), stages, "roots-0")
-    judged = compared.filter("many > 2").join(known, ["key", "center"])
+    known = _compared(compared.select("node", "center").distinct(), texts, least, stages, "0")
+    roots = components(known.filter(F.col("similarity") >= threshold).select("node", "center"), stages, "roots-0")
+    judged = compared.filter("many > 2").join(known, ["node", "center"])
     apart = judged.filter(F.col("similarity") < threshold)
-    doubtful = apart.groupBy("bucket").agg(F.max("similarity").alias("nearest")).filter(F.col("nearest") >= least)
-    helpers = judged.filter(F.col("similarity") >= threshold).join(doubtful, "bucket").filter(F.col("similarity") <= F.col("nearest") + 1 - threshold)
-    left = stages.write(_rooted(apart.select("bucket", "key").unionByName(helpers.select("bucket", "key")), roots).select("key").distinct(), "left-0")
-    rest = stages.write(texts.join(left, "key"), "rest")
-    stages.drop(compared, left, texts)
+    nearest = judged.groupBy("bucket").agg(F.max(F.when(F.col("similarity") < threshold, F.col("similarity"))).alias("nearest"), F.count(F.lit(1)).alias("n"))
+    nearest = stages.write(nearest.filter(F.col("nearest") >= least), "nearest")
+    # Of the centre's own texts those count that the triangle inequality lets be near one that is apart.
+    helpers = joined(judged.filter(F.col("similarity") >= threshold), nearest, "bucket", "n").filter(F.col("similarity") <= F.col("nearest") + 1 - threshold)
+    left = _mixed(apart.select("bucket", "node").unionByName(helpers.select("bucket", "node")), roots, stages, "0").select("node").distinct()
+    rest = stages.write(texts.join(left, "node"), "rest")
+    stages.drop(texts)
     counts = np.zeros(COUNTERS, np.int32)
     found = rest.select("sequence").mapInArrow(_rarity, "counter long, n long").groupBy("counter").agg(F.sum("n").cast("int").alias("n")).toArrow()
     counts[found["counter"].to_numpy()] = found["n"].to_numpy()
-    stages.tidy()
     shared = rest.sparkSession.sparkContext.broadcast(counts)
-    rare = rest.mapInArrow(_rarest(shared, threshold), "key string, size int, rare array<long>").select("key", "size", F.posexplode("rare").alias("place", "bucket"))
-    merged = rare.join(_same_keys(rare), "bucket").groupBy(F.col("id").alias("bucket"), "key").agg(F.min("place").alias("place"), F.min("size").alias("size"))
-    members = held = stages.write(merged, "members-1")
-    turn, current = 1, True
-    while True:
-        chance = F.pmod(F.xxhash64("key", F.lit(turn)), F.col("many")) < GROWTH ** (turn - 1) - 1
-        marked = stages.write(_rooted(members, roots).withColumn("central", (F.col("key") == F.col("first")) | chance), f"marked-{turn}")
+    share = threshold / (1 + threshold)  # of the two sizes together, what two linked texts have in common at least
+    loose = F.col("size") - F.col("place") >= 2 * share * F.col("size") - 1e-9
+    rare = rest.mapInArrow(_rarest(shared, threshold), "node long, size int, rare array<long>").select("node", "size", F.posexplode("rare").alias("place", "bucket"))
+    buckets = stages.write(_buckets(rare, F.max(loose).alias("loose")).filter("loose").select("bucket", "many", "same"), "buckets")
+    merged = joined(rare, buckets, "bucket", "many").groupBy(F.col("same").alias("bucket"), "node").agg(F.min("place").alias("place"), F.min("size").alias("size"))
+    members = held = stages.write(merged.withColumn("loose", loose), "members-0")
+    for turn, some in enumerate(TURNS, 1):
+        first = F.min(F.when(F.col("loose"), F.struct("size", "node"))).alias("first")
+        marked = _mixed(members, roots, stages, str(turn), first).filter("first is not null")
+        chance = F.lit(True) if some is None else F.pmod(F.xxhash64("node", F.lit(turn)), F.col("many")) < some - 1
+        marked = stages.write(marked.withColumn("central", F.col("loose") & ((F.col("node") == F.col("first.node")) | chance)).drop("first"), f"marked-{turn}")
         stages.drop(held)
         held = marked
         if marked.isEmpty():
-            return roots if current else components(roots.withColumnRenamed("root", "center").unionByName(known.filter(F.col("similarity") >= threshold).select("key", "center")), stages, "roots-last")
-        centers = marked.filter("central").select("bucket", F.col("key").alias("center"), F.col("root").alias("center_root"), F.col("place").alias("center_place"), F.col("size").alias("center_size"))
-        # In the bucket of the rarest shingle that two linked texts share, what is rarer in one of them the other lacks.
+            break
+        runs = F.ceil(F.col("many") / RUN)
+        centers = marked.filter("central").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), runs - 1)).alias("run"), *(F.col(n).alias(f"center_{n}") for n in ("node", "root", "place", "size")))
         left_over = F.least(F.col("size") - F.col("place"), F.col("center_size") - F.col("center_place"))
-        enough = left_over >= threshold / (1 + threshold) * (F.col("size") + F.col("center_size")) - 1e-9
-        pairs = marked.join(centers, "bucket").filter("root != center_root and (key > center or not central)").filter(enough)
-        pairs = pairs.select(F.greatest("key", "center").alias("key"), F.least("key", "center").alias("center")).distinct()
-        fresh = stages.write(_compared(pairs.join(known.select("key", "center"), ["key", "center"], "left_anti"), rest, threshold), f"known-{turn}")
+        enough = left_over >= share * (F.col("size") + F.col("center_size")) - 1e-9
+        pairs = marked.withColumn("run", F.pmod(F.xxhash64("node"), runs)).join(centers, ["bucket", "run"]).filter("root != center_root and (node > center_node or not central)").filter(enough)
+        pairs = pairs.select("node", F.col("center_node").alias("center")).distinct().join(known.select("node", "center"), ["node", "center"], "left_anti")
+        fresh = _compared(pairs, rest, threshold, stages, str(turn))
         known = known.unionByName(fresh)
-        new = fresh.filter(F.col("similarity") >= threshold).select("key", "center")
-        current = current and new.isEmpty()
-        if not current and turn <= 4:  # classes join early or hardly at all; later links are taken in at the end
-            current = True
+        new = fresh.filter(F.col("similarity") >= threshold).select("node", "center")
+        if not new.isEmpty():
             old = roots
             roots = components(old.withColumnRenamed("root", "center").unionByName(new), stages, f"roots-{turn}")
             stages.drop(old)
-        members = marked.filter("not central").select("bucket", "key", "place", "size")
-        stages.tidy()
-        turn += 1
+        members = marked.filter("not central").select("bucket", "node", "place", "size", "loose")
+    return roots
 
 
 def components(links: DataFrame, stages: Stages, name: str = "components") -> DataFrame:
-    """(key, root), a written table: the least key of each linked key's component. links: (key, center).
+    """(node, root), a written table: the least node of each linked node's component. links: (node, center).
 
-    Large-star and small-star turns until nothing moves.
+    Large-star and small-star turns until each node has one root and no root is a node.
     """
-    edges = stages.write(links.select(F.greatest("key", "center").alias("key"), F.least("key", "center").alias("root")).distinct(), f"{name}-0")
+    edges = stages.write(links.select(F.greatest("node", "center").alias("node"), F.least("node", "center").alias("root")).distinct(), f"{name}-0")
     turn = 0
     while True:
-        both = edges.unionByName(edges.select(F.col("root").alias("key"), F.col("key").alias("root")))
-        least = both.groupBy("key").agg(F.least(F.min("root"), F.first("key")).alias("m"))
-        large = both.filter("root > key").join(least, "key").select(F.col("root").alias("key"), F.col("m").alias("root")).distinct()
-        least = large.groupBy("key").agg(F.min("root").alias("m"))
-        small = large.join(least, "key").select(F.col("root").alias("key"), F.col("m").alias("root")).filter("key != root")
+        ends = edges.select("node", F.lit(1).cast("long").alias("n")).unionByName(edges.select(F.col("root").alias("node"), F.lit(1 << 40).alias("n")).distinct())
+        if ends.groupBy("node").agg(F.sum("n").alias("n")).filter("n != 1 and n != 1099511627776").isEmpty():
+            return edges
         turn += 1
-        moved = stages.write(small.unionByName(least.select("key", F.col("m").alias("root"))).distinct(), f"{name}-{turn}")
-        stages.drop(edges)
+        both = edges.unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("root")))
+        least = stages.write(both.groupBy("node").agg(F.least(F.min("root"), F.first("node")).alias("m"), F.count(F.lit(1)).alias("n")), f"{name}-{turn}-large")
+        large = joined(both.filter("root > node"), least, "node", "n").select(F.col("root").alias("node"), F.col("m").alias("root")).distinct()
+        large = stages.write(large, f"{name}-{turn}-edges")
+        fewest = large.groupBy("node").agg(F.min("root").alias("m"))  # a node has no more roots here than it had neighbours below
+        small = large.join(fewest, "node").select(F.col("root").alias("node"), F.col("m").alias("root")).filter("node != root")
+        moved = stages.write(small.unionByName(fewest.select("node", F.col("m").alias("root"))).distinct(), f"{name}-{turn}")
+        stages.drop(edges, least, large)
         edges = moved
-        # Done when the edges are stars: each key has one root, and no root is a key.
-        ends = edges.select("key", F.lit(1).cast("long").alias("n")).unionByName(edges.select(F.col("root").alias("key"), F.lit(1 << 40).alias("n")).distinct())
-        if ends.groupBy("key").agg(F.sum("n").alias("n")).filter("n != 1 and n != 1099511627776").isEmpty():
-            return edges
+
+
+#: What tells a row of the table from others: two hashes of the text and one of the id.
+ROW = ("h1", "h2", "h3")
+
+
+def _row_hashes(id_: Column, text: Column) -> list[Column]:
+    return [F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text), F.xxhash64(F.lit(3), id_)]
+
+
+def _linked(df: DataFrame, threshold: float, id_col: str, text_col: str, stages: Stages) -> tuple[DataFrame, DataFrame]:
+    """(sketched, nodes): a row for each row of df, and one for each different text with the class that it is of.
+
+    sketched: id, hashes, key, size. nodes: key, rows, class_key, first; first is the class's row of the least id (nulls
+    last), then hashes.
+    """
+    rows = df.select(df[id_col].alias("id"), *(c.alias(n) for c, n in zip(_row_hashes(df[id_col], df[text_col]), ROW)), df[text_col].alias("text"))
+    schema = StructType([*rows.drop("text").schema.fields, *StructType.fromDDL("key string, size int, sketch array<long>").fields])
+    sketched = stages.write(rows.mapInArrow(_sketch, schema), "sketched")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", *ROW)).alias("first")
+    nodes = sketched.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), first, F.max("sketch").alias("sketch"))
+    nodes = stages.write(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    banded = nodes.select("node", F.posexplode("sketch").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "node")
+    buckets = stages.write(_buckets(banded), "shared")
+    compared = joined(banded, buckets, "bucket", "many").filter("node != center").select(F.col("same").alias("bucket"), "node", "center", "many").distinct()
+    compared = stages.write(compared, "compared")
+    met = compared.select("node").unionByName(compared.select(F.col("center").alias("node"))).distinct()
+    wanted = stages.write(met.join(nodes.select("node", *(f"first.{n}" for n in ROW)), "node"), "wanted")
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    found = rows.join(F.broadcast(wanted) if few else wanted, list(ROW)).select("node", "text")
+    texts = stages.write(found.mapInArrow(_sequences, "node long, sequence binary").dropDuplicates(["node"]), "texts")
+    roots = _roots(compared, texts, threshold, stages)
+    linked = stages.write(nodes.join(roots, "node").select("key", "root", "first").unionByName(nodes.join(roots.select(F.col("root").alias("node")).distinct(), "node").select("key", F.col("node").alias("root"), "first")), "linked")
+    facts = stages.write(linked.groupBy("root").agg(F.min("key").alias("class_key"), F.min("first").alias("first"), F.count(F.lit(1)).alias("n")), "facts")
+    of_linked = joined(linked.select("key", "root"), facts, "root", "n").select("key", "class_key", F.col("first").alias("class_first"))
+    of_all = nodes.select("key", "rows", "first").join(of_linked, "key", "left")
+    return sketched, of_all.select("key", "rows", F.coalesce("class_key", "key").alias("class_key"), F.coalesce("class_first", "first").alias("first"))
 
 
 def classes(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_shingles) of every row of df; class_id is the least id of the texts that its text is linked to.
+    """(doc_id, class_id, class_key, n_shingles) of every row of df. Ids may be of any type that has an order.
 
-    Texts of equal words are one text, as are equal texts without words; a null text is empty, and all empty texts are
-    one class. A text of one to four words has one shingle, and like all of under four shingles is linked to equal ones
-    only. Rows keep their number; a null id stays null and takes no part in the least, so a class of null ids alone has
-    class_id null.
+    class_key is a digest that tells the classes apart. class_id is the least id of the class's rows; where an id stands
+    on different texts, classes may share it. Texts of equal words are one text, as are equal texts without words; a null
+    text is empty, and all empty texts are one class. A text of one to four words has one shingle, and like all of under
+    four shingles is linked to equal ones only. Rows keep their number; a null id stays null and takes no part in the
+    least, so a class of null ids alone has class_id null. An empty table gives an empty table.
     """
     stages = Stages(df.sparkSession, "neardup")
-    rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    sketched = stages.write(rows.mapInArrow(_sketch, "doc_id long, key string, size int, sketch array<long>"), "sketched")
-    nodes = stages.write(sketched.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.max("sketch").alias("sketch")), "nodes")
-    banded = nodes.select("key", F.posexplode("sketch").alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "key")
-    members = stages.write(_shared(banded), "members")
-    wanted = stages.write(members.select("key").distinct().join(nodes.select("key", "first_id"), "key"), "wanted")
-    ids = wanted.select(F.col("first_id").alias("doc_id")).distinct()
-    few = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    found = rows.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").select("text")
-    texts = found.mapInArrow(_sequences, "key string, sequence binary").join(F.broadcast(wanted.select("key")) if few else wanted.select("key"), "key", "left_semi")
-    texts = stages.write(texts.dropDuplicates(["key"]), "texts")
-    stages.drop(wanted)
-    stages.tidy()
-    roots = _roots(members, texts, threshold, stages)
-    stages.drop(members)
-    rooted = nodes.select("key", "first_id").join(roots, "key", "left").select("key", "first_id", F.coalesce("root", "key").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    of_key = stages.write(rooted.join(least, "root").select("key", "class_id"), "of-key")
-    return sketched.select("doc_id", "key", "size").join(of_key, "key").select("doc_id", "class_id", F.col("size").cast("long").alias("n_shingles"))
-
-
-#: Compared texts up to this number have their ids sent to every executor; more are joined by a shuffle.
+    sketched, nodes = _linked(df, threshold, id_col, text_col, stages)
+    of_key = stages.write(nodes.select("key", "rows", "class_key", F.col("first.id").alias("class_id")), "of-key")
+    return joined(sketched.select("id", "key", "size"), of_key, "key", "rows").select(F.col("id").alias("doc_id"), "class_id", "class_key", F.col("size").cast("long").alias("n_shingles"))
+
+
+#: Compared texts up to this number have their row's hashes sent to every executor; more are joined by a shuffle.
 BROADCAST_ROWS = 50_000
 
 
 def deduplicate(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df, all its columns, with one row of each class of `classes`: one whose id is the class's least.
+    """df, all its columns, with one row of each class of `classes`: of the least id, nulls last.
 
-    Of rows with that id one stays; rows with a null id all stay.
+    Of rows with the same id and text any one stays. Rows of one id whose texts aren't linked all stay.
     """
-    found = classes(df, threshold, id_col, text_col)
-    kept = found.filter("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
-    one = df.filter(df[id_col].isNotNull()).join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi").dropDuplicates([id_col])
-    return one.unionByName(df.filter(df[id_col].isNull()))
+    stages = Stages(df.sparkSession, "neardup")
+    _, nodes = _linked(df, threshold, id_col, text_col, stages)
+    names = unused(ROW, df.columns)
+    kept = stages.write(nodes.filter("class_key = key").select(*(F.col(f"first.{n}").alias(own) for n, own in zip(ROW, names))), "kept")
+    hashed = df.withColumns(dict(zip(names, _row_hashes(df[id_col], df[text_col]))))
+    return hashed.join(kept.hint("shuffle_merge"), names, "left_semi").dropDuplicates(names).drop(*names)

@@ -100,10 +100,59 @@ def test_near_duplicate_edge_cases(edges, nothing):
     kept = neardup.deduplicate(edges)
     assert kept.columns == edges.columns
     assert sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == [1, 2, 4, 5, 6, 7]
-    assert kept.filter("doc_id is null").count() == 2
+    assert [r.text for r in kept.filter("doc_id is null").collect()] == ["an orphan row"]  # the null text is of the class of 2
     assert neardup.classes(nothing).count() == 0 and neardup.deduplicate(nothing).count() == 0
 
 
+def test_near_duplicates_of_repeated_and_textual_ids(spark):
+    rng = random.Random(9)
+    a, b, c = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(3))
+    rows = [("x1", a, 1), ("x1", b, 2), ("x2", c, 3), ("x3", b + " more", 4), (None, c, 5), (None, a + " end", 6)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, h1 int")
+    got = neardup.classes(df)
+    assert dict(got.dtypes)["doc_id"] == "string" and len({r.class_key for r in got.collect()}) == 3
+    kept = neardup.deduplicate(df)
+    assert kept.columns == df.columns and sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([("x1", a), ("x1", b), ("x2", c)])
+
+
+def test_chains_of_near_duplicates_equal_brute_force(spark):
+    """Texts that drift apart word by word, so that classes are chains, and centres of all turns are needed."""
+    rng = random.Random(11)
+    texts = []
+    for _ in range(3):
+        words = [f"c{rng.randrange(10**6)}" for _ in range(50)]
+        for _ in range(60):
+            words = [*words, f"c{rng.randrange(10**6)}"][rng.randrange(2) :]
+            texts.append(" ".join(words))
+    sequences = [textvec.shingles(*(textvec.words([t])[i] for i in (0, 3)))[0] for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if neardup.similarity(sequences[a], sequences[b], 0.8) >= 0.8 and root[a] != root[b]:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(root))
+
+
+def test_shared_passages_make_few_comparisons(spark, monkeypatch):
+    """2,000 texts of which a passage fills five sixths: none are linked, and comparisons grow with the texts, not their pairs."""
+    rng = random.Random(3)
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(90)]
+    made = []
+    compared = neardup._compared
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return compared(pairs, *rest)
+
+    monkeypatch.setattr(neardup, "_compared", counted)
+    rows = [(k, " ".join([*(f"u{rng.randrange(10**6)}" for _ in range(18)), *passage])) for k in range(2000)]
+    got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({r.class_id for r in got}) == 2000
+    assert sum(made) < neardup.BANDS * 2000
+
+
 def test_decontamination_equals_brute_force(spark, corpus):
     rng = random.Random(2)
     items = []
