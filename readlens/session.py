@@ -8,14 +8,17 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
-#: Rows of a batch that goes to a Python worker; long texts would make Spark's default of 10,000 rows a heavy one.
-BATCH_ROWS = 2000
+#: Bounds of a batch that goes to a Python worker, set where the session has Spark's own defaults: long texts would make
+#: 10,000 rows a heavy one.
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+_BATCH_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", BATCH_ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", BATCH_BYTES)}
 
 _shipped: set[str] = set()
 
@@ -29,16 +32,32 @@ def ship(spark: SparkSession) -> SparkSession:
             for file in sorted(PACKAGE.rglob("*.py")):
                 archive.write(file, file.relative_to(PACKAGE.parent))
         context.addPyFile(path)
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        for name, (default, bound) in _BATCH_CONF.items():
+            if spark.conf.get(name, default) == default:
+                spark.conf.set(name, bound)
         _shipped.add(context.applicationId)
     return spark
 
 
+def unused(names: Iterable[str], taken: Iterable[str]) -> list[str]:
+    """Names like these that no column has, in whatever case."""
+    used = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where that is unset and all runs on this machine."""
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="readlens-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
