@@ -34,6 +34,7 @@ from pyspark.sql.types import StructType
 
 from . import textvec
 from ..session import Stages, unused
+from .rows import ROW, row_hashes
 
 BANDS, PICKS = 24, 3
 #: Texts with fewer shingles can't be linked to a different text: 3 of 4 are less than 0.8.
@@ -43,7 +44,7 @@ COUNTERS = 1 << 20
 #: A key is hot from this share of all rows on, so there are so many hot keys at most.
 HOT = 1000
 #: Members of a bucket, or texts compared with one centre, that meet in one run at least.
-RUN = 1000
+RUN = 200
 #: Centres that a bucket has by turn; the last turn has all that are left.
 TURNS = (1, 16, None)
 _FACTORS = textvec.mix(np.arange(101, 101 + BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -261,12 +262,13 @@ def _roots(compared: DataFrame, texts: DataFrame, threshold: float, stages: Stag
     least = 2 * threshold - 1  # a text this unlike the centre can't be linked to one that is linked to the centre
     known = _compared(compared.select("node", "center").distinct(), texts, least, stages, "0")
     roots = components(known.filter(F.col("similarity") >= threshold).select("node", "center"), stages, "roots-0")
-    judged = compared.filter("many > 2").join(known, ["node", "center"])
-    apart = judged.filter(F.col("similarity") < threshold)
-    nearest = judged.groupBy("bucket").agg(F.max(F.when(F.col("similarity") < threshold, F.col("similarity"))).alias("nearest"), F.count(F.lit(1)).alias("n"))
-    nearest = stages.write(nearest.filter(F.col("nearest") >= least), "nearest")
+    several = compared.filter("many > 2")
+    apart = several.join(known.filter(F.col("similarity") < threshold), ["node", "center"])
+    nearest = apart.groupBy("bucket").agg(F.max("similarity").alias("nearest"), F.max("many").alias("n")).filter(F.col("nearest") >= least)
     # Of the centre's own texts those count that the triangle inequality lets be near one that is apart.
-    helpers = joined(judged.filter(F.col("similarity") >= threshold), nearest, "bucket", "n").filter(F.col("similarity") <= F.col("nearest") + 1 - threshold)
+    around = joined(several, stages.write(nearest, "nearest"), "bucket", "n")
+    linked = known.filter(F.col("similarity") >= threshold).withColumnsRenamed({"node": "n2", "center": "c2"})
+    helpers = around.join(linked, (F.col("node") == F.col("n2")) & (F.col("center") == F.col("c2")) & (F.col("similarity") <= F.col("nearest") + 1 - threshold))
     left = _mixed(apart.select("bucket", "node").unionByName(helpers.select("bucket", "node")), roots, stages, "0").select("node").distinct()
     rest = stages.write(texts.join(left, "node"), "rest")
     stages.drop(texts)
@@ -329,21 +331,13 @@ def components(links: DataFrame, stages: Stages, name: str = "components") -> Da
         edges = moved
 
 
-#: What tells a row of the table from others: two hashes of the text and one of the id.
-ROW = ("h1", "h2", "h3")
-
-
-def _row_hashes(id_: Column, text: Column) -> list[Column]:
-    return [F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text), F.xxhash64(F.lit(3), id_)]
-
-
 def _linked(df: DataFrame, threshold: float, id_col: str, text_col: str, stages: Stages) -> tuple[DataFrame, DataFrame]:
     """(sketched, nodes): a row for each row of df, and one for each different text with the class that it is of.
 
     sketched: id, hashes, key, size. nodes: key, rows, class_key, first; first is the class's row of the least id (nulls
     last), then hashes.
     """
-    rows = df.select(df[id_col].alias("id"), *(c.alias(n) for c, n in zip(_row_hashes(df[id_col], df[text_col]), ROW)), df[text_col].alias("text"))
+    rows = df.select(df[id_col].alias("id"), *(c.alias(n) for c, n in zip(row_hashes(df[id_col], df[text_col]), ROW)), df[text_col].alias("text"))
     schema = StructType([*rows.drop("text").schema.fields, *StructType.fromDDL("key string, size int, sketch array<long>").fields])
     sketched = stages.write(rows.mapInArrow(_sketch, schema), "sketched")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", *ROW)).alias("first")
@@ -356,8 +350,8 @@ def _linked(df: DataFrame, threshold: float, id_col: str, text_col: str, stages:
     met = compared.select("node").unionByName(compared.select(F.col("center").alias("node"))).distinct()
     wanted = stages.write(met.join(nodes.select("node", *(f"first.{n}" for n in ROW)), "node"), "wanted")
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    found = rows.join(F.broadcast(wanted) if few else wanted, list(ROW)).select("node", "text")
-    texts = stages.write(found.mapInArrow(_sequences, "node long, sequence binary").dropDuplicates(["node"]), "texts")
+    found = rows.join(F.broadcast(wanted) if few else wanted, list(ROW)).dropDuplicates(list(ROW)).select("node", "text")
+    texts = stages.write(found.mapInArrow(_sequences, "node long, sequence binary"), "texts")
     roots = _roots(compared, texts, threshold, stages)
     linked = stages.write(nodes.join(roots, "node").select("key", "root", "first").unionByName(nodes.join(roots.select(F.col("root").alias("node")).distinct(), "node").select("key", F.col("node").alias("root"), "first")), "linked")
     facts = stages.write(linked.groupBy("root").agg(F.min("key").alias("class_key"), F.min("first").alias("first"), F.count(F.lit(1)).alias("n")), "facts")
@@ -394,5 +388,5 @@ def deduplicate(df: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", t
     _, nodes = _linked(df, threshold, id_col, text_col, stages)
     names = unused(ROW, df.columns)
     kept = stages.write(nodes.filter("class_key = key").select(*(F.col(f"first.{n}").alias(own) for n, own in zip(ROW, names))), "kept")
-    hashed = df.withColumns(dict(zip(names, _row_hashes(df[id_col], df[text_col]))))
+    hashed = df.withColumns(dict(zip(names, row_hashes(df[id_col], df[text_col]))))
     return hashed.join(kept.hint("shuffle_merge"), names, "left_semi").dropDuplicates(names).drop(*names)
