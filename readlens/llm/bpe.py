@@ -10,12 +10,12 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
 
 from . import pretokens, textvec
+from .rows import added, typed
 
-#: Slices whose ids a worker remembers as recent ones, and as many as older ones.
-CACHE = 250_000
+#: Slices whose ids a worker remembers as recent ones, and as many as older ones; longer slices aren't remembered.
+CACHE, CACHED_SIGNS = 250_000, 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -57,21 +57,23 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Cache(dict):
-    """Slice to its ids as little-endian unsigned 32-bit integers."""
+    """What is made of a slice, for as many recent slices as CACHE and as many older ones."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
+    def __init__(self, make: Callable[[str | bytes], bytes], longest: int) -> None:
         super().__init__()
-        self.ranks = ranks
-        self.older: dict[str, bytes] = {}
+        self.make, self.longest = make, longest
+        self.older: dict[str | bytes, bytes] = {}
 
-    def __missing__(self, text: str) -> bytes:
+    def __missing__(self, key: str | bytes) -> bytes:
+        if len(key) > self.longest:
+            return self.make(key)
         if len(self) >= CACHE:
             self.older = dict(self)
             self.clear()
-        if (known := self.older.get(text)) is not None:
-            self[text] = known
-            return known
-        out = self[text] = np.array(merge(text.encode(), self.ranks), "<u4").tobytes()
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
+        self[key] = out
         return out
 
 
@@ -79,7 +81,8 @@ class Codec:
     """Encodes and decodes texts by a table of ranks."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.known = _Cache(ranks)
+        self.known = _Cache(lambda text: np.array(merge(text.encode(), ranks), "<u4").tobytes(), CACHED_SIGNS)
+        self.slices = _Cache(lambda ids: self.decode(np.frombuffer(ids, "<u4")), 4 * CACHED_SIGNS)
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -95,8 +98,12 @@ class Codec:
         bounds = offsets.tolist()
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])], [places[a : b + 1] - places[a] for a, b in zip(bounds, bounds[1:])]
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+    def decode(self, ids: np.ndarray, places: np.ndarray | None = None) -> bytes:
+        """The bytes of ids; where the places of the slices are known, slice by slice through a cache."""
+        if places is None:
+            return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+        raw, at = ids.astype("<u4").tobytes(), (4 * places).tolist()
+        return b"".join([self.slices[raw[a:b]] for a, b in zip(at, at[1:])])
 
 
 _codecs: dict[str, Codec] = {}
@@ -114,13 +121,13 @@ def _encoder(path: str, shared, row: Callable[[Codec, str, np.ndarray, np.ndarra
         own = codec(path, lambda: shared.value)
         for batch in batches:
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            columns: dict[str, list] = {f.name: [] for f in schema if f.name not in keep}
+            columns: dict[str, list] = {f.name: [] for f in schema}
             for chunk in textvec.chunks(texts):
                 for text, ids, places in zip(chunk, *own.encode(chunk)):
                     for name, value in row(own, text, ids, places).items():
                         columns[name].append(value)
-            made = [batch.column(f.name).cast(f.type) if f.name in keep else pa.array(columns[f.name], f.type) for f in schema]
-            yield pa.RecordBatch.from_arrays(made, schema=schema)
+            made = [*(batch.column(n) for n in keep), *(pa.array(columns[f.name], f.type) for f in schema)]
+            yield pa.RecordBatch.from_arrays(made, names=[*keep, *schema.names])
 
     return run
 
@@ -132,38 +139,42 @@ def encode(df: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str
     their number, repeated and null ids included; all other columns of df are left out.
     """
     spark = df.sparkSession
-    schema = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("slice_offsets", pa.list_(pa.int32()))])
+    schema = pa.schema([("ids", pa.list_(pa.int32())), ("slice_offsets", pa.list_(pa.int32()))])
     shared = spark.sparkContext.broadcast(read_ranks(rank_path))
     run = _encoder(rank_path, shared, lambda own, text, ids, places: {"ids": ids.astype(np.int32), "slice_offsets": places.astype(np.int32)}, schema, "text", ["id"])
-    return df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")).mapInArrow(run, "id long, ids array<int>, slice_offsets array<int>")
+    rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    return rows.mapInArrow(run, typed(rows, ["id"], "ids array<int>, slice_offsets array<int>"))
 
 
-def decode(df: DataFrame, rank_path: str, ids_col: str = "ids") -> DataFrame:
-    """df with a column `decoded` (binary): the bytes of its ids. Null ids decode to no bytes; an id without a token raises."""
+def decode(df: DataFrame, rank_path: str, ids_col: str = "ids", offsets_col: str | None = None) -> DataFrame:
+    """df with a column `decoded` (binary), in place of one of that name: the bytes of its ids, slice by slice if offsets_col
+    is given. Null ids decode to no bytes; an id without a token raises."""
+    kept, schema = added(df, ids_col, "decoded binary")
     shared = df.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(rank_path, lambda: shared.value)
         for batch in batches:
-            made = [own.decode(np.array(ids or [], np.int64)) for ids in batch.column(ids_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.binary())], names=[*batch.schema.names, "decoded"])
+            places = batch.column(offsets_col).to_pylist() if offsets_col else [None] * batch.num_rows
+            made = [own.decode(np.array(ids or [], np.int64), None if at is None else np.array(at, np.int64)) for ids, at in zip(batch.column(ids_col).to_pylist(), places)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(made, pa.binary())], names=schema.names)
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("decoded", T.BinaryType())]))
+    return df.mapInArrow(run, schema)
 
 
 def digests(df: DataFrame, rank_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_slices, ids_sha256, decoded_sha256) of every row: encoded, then decoded from the ids."""
     shared = df.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_slices", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    schema = pa.schema([("n_tokens", pa.int64()), ("n_slices", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def row(own: Codec, text: str, ids: np.ndarray, places: np.ndarray) -> dict:
         return {
             "n_tokens": len(ids),
             "n_slices": len(places) - 1,
             "ids_sha256": hashlib.sha256(ids.tobytes()).hexdigest(),
-            "decoded_sha256": hashlib.sha256(own.decode(ids)).hexdigest(),
+            "decoded_sha256": hashlib.sha256(own.decode(ids, places)).hexdigest(),
         }
 
     run = _encoder(rank_path, shared, row, schema, "text", ["doc_id"])
-    rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, n_slices long, ids_sha256 string, decoded_sha256 string")
+    rows = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
+    return rows.mapInArrow(run, typed(rows, ["doc_id"], "n_tokens long, n_slices long, ids_sha256 string, decoded_sha256 string"))

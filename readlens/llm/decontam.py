@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import textvec
 from ..session import Stages
@@ -173,7 +175,7 @@ def hits(index: Index, texts: list[str], similarity: float) -> list[list[tuple[i
 def _passes(items: DataFrame, stages: Stages, id_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
     """The items in blocks of bounded size, each read to the driver in turn."""
     texts = items.select(items[id_col].alias("id"), items[text_col].alias("text")).filter("id is not null and text is not null").distinct()
-    texts = stages.write(texts.withColumn("size", F.size(F.split("text", r"\s+"))), "items")
+    texts = stages.write(texts.withColumn("size", F.regexp_count("text", F.lit(r"[\p{L}\p{M}\p{N}]+"))), "items")
     total = texts.agg(F.sum("size")).first()[0] or 0
     blocks = -(-total // BLOCK_SHINGLES)
     for block in range(blocks):
@@ -191,8 +193,11 @@ def search(df: DataFrame, items: DataFrame, similarity: float = 0.8, id_col: str
     """
     spark = df.sparkSession
     stages = Stages(spark, "decontam")
-    schema = "doc_id long, item_id long, n_item long, n_shared long, containment double"
-    rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
+    rows = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
+    item = T.StructField("item_id", items.schema[item_id_col].dataType)
+    counts = T.StructType.fromDDL("n_item long, n_shared long, containment double").fields
+    schema = T.StructType([rows.schema["doc_id"], item, *counts])
+    kinds = [f.type for f in to_arrow_schema(schema)]
     found = spark.createDataFrame([], schema)
     for block in _passes(items, stages, item_id_col, item_text_col):
         shared = spark.sparkContext.broadcast(Index.of(block))
@@ -208,7 +213,6 @@ def search(df: DataFrame, items: DataFrame, similarity: float = 0.8, id_col: str
                         made += [(ids[k], index.ids[i], len(index.shingles[i]), n, n / len(index.shingles[i])) for i, n in own]
                     done += len(chunk)
                 columns = list(zip(*made)) or [()] * 5
-                kinds = [pa.int64()] * 4 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "n_item", "n_shared", "containment"])
 
         found = found.unionByName(rows.mapInArrow(run, schema))

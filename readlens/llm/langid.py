@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import learn, textvec
+from .rows import typed
 
 ORDERS = (1, 2, 3)
 WIDTH = 1 << 14
@@ -131,13 +132,14 @@ def identify(df: DataFrame, held_out: Column, params: Params | None = None, id_c
     A null text, or one without a letter, is `und` with score 0, as is every text if there is nothing to learn from.
     Rows keep their number; null and repeated ids are kept; a null id counts as held out.
     """
-    rows = df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text"), df[label_col].alias("label"), F.coalesce(held_out, F.lit(True)).alias("held_out"))
+    rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"), df[label_col].alias("label"), F.coalesce(held_out, F.lit(True)).alias("held_out"))
     shared = df.sparkSession.sparkContext.broadcast(train(rows.filter("not held_out").select("id", "text", "label"), params))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             made = [model.predict(row) for chunk in textvec.chunks(batch.column("text").to_pylist()) for row in gram_counts(chunk)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] for m in made], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return rows.select("id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    rows = rows.select(F.col("id").alias("doc_id"), "held_out", "text")
+    return rows.mapInArrow(run, typed(rows, ["doc_id"], "held_out boolean, lang_pred string, score double"))

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Stages
+from .rows import typed
 
 #: The token after each text. No word is empty, so it is the empty one.
 END = b""
@@ -39,7 +40,7 @@ class Params:
     `add` smooths counts.
     """
 
-    frequent: int = 100_000
+    frequent: int = 250_000
     own: int = 11
     classes: int = 32
     buckets: int = 1 << 15
@@ -166,8 +167,9 @@ def updated(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, kinds: np.
     for nth in range(1, 9):  # most rows of the table are met a few times at most
         sums[more] += x.take(token[at[more] + nth], axis=0)
         more = more[many[more] > nth + 1]
-    for k in more.tolist():
-        sums[k] += np.ones(many[k] - 9, x.dtype) @ x.take(token[at[k] + 9 : at[k] + many[k]], axis=0)
+    ones = np.ones(rows.size, x.dtype)
+    for k, a, n in zip(more.tolist(), (at[more] + 9).tolist(), (many[more] - 9).tolist()):
+        sums[k] += ones[:n] @ x.take(token[a : a + n], axis=0)
     touched = flat[order[at]].astype(np.int64)
     square = squares.take(touched) + np.einsum("ij,ij->i", sums, sums) / sums.shape[1]
     squares[touched] = square
@@ -215,7 +217,7 @@ def _averaged(params: Params):
     return run
 
 
-def _train(rows: DataFrame, vocabulary, params: Params, total_rows: int) -> np.ndarray:
+def _train(rows: DataFrame, vocabulary, params: Params, total_rows: int, stages: Stages) -> np.ndarray:
     """Class weights. Rounds on the parts of the sample, then, if that isn't all rows, one on the partitions of rows.
 
     A task holds one table, and so does the driver, whatever the number of rows and tasks.
@@ -223,7 +225,10 @@ def _train(rows: DataFrame, vocabulary, params: Params, total_rows: int) -> np.n
     table, squares = np.zeros((params.buckets, params.classes), np.float32), np.zeros(params.buckets, np.float32)
     scale = 1 << 30
     limit = min(scale, scale * params.sample // max(1, total_rows))
-    sample = rows.filter(F.pmod(F.xxhash64("id", F.lit("lm")), F.lit(scale)) < limit).select("text").repartition(params.parts)
+    sample = rows.filter(F.pmod(F.xxhash64("id", F.lit("lm")), F.lit(scale)) < limit).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(params.parts)))
+    # The parts and their order come from ids and texts alone, so the start doesn't depend on the files.
+    sample = stages.write(sample.select("part", "text"), "sample")
+    sample = sample.repartition(params.parts, "part").sortWithinPartitions("part", F.xxhash64("text")).select("text")
     for part in [sample] * params.rounds + [rows.select("text")] * (limit < scale):
         moves = part.mapInArrow(_learner(vocabulary, table, squares, params), "row int, seen long, step binary, square double")
         moves = moves.repartition("row").mapInArrow(_averaged(params), "row int, step binary, square double").toArrow()
@@ -235,7 +240,7 @@ def _train(rows: DataFrame, vocabulary, params: Params, total_rows: int) -> np.n
     return table
 
 
-_SCORED = "row_key long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, rare array<struct<word: binary, n: long, class: int>>"
+_SCORED = "held_out boolean, n_tokens long, known long, base double, model double, rare array<struct<word: binary, n: long, class: int>>"
 
 
 def _scorer(vocabulary, weights):
@@ -272,7 +277,7 @@ def _scorer(vocabulary, weights):
         parts = [pa.array(words, pa.binary()), pa.array(times, pa.int64()), pa.array([word_class(w, own.params) for w in words], pa.int32())]
         rare_words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["word", "n", "class"]))
         names = ["row_key", "doc_id", "held_out", "n_tokens", "known", "base", "model", "rare"]
-        return pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("id"), batch.column("held_out"), *known, rare_words], names=names)
+        return pa.RecordBatch.from_arrays([batch.column("row_key"), batch.column("doc_id"), batch.column("held_out"), *known, rare_words], names=names)
 
     return run
 
@@ -287,7 +292,7 @@ def score(df: DataFrame, held_out: Column, params: Params | None = None, id_col:
     params = params or Params()
     spark = df.sparkSession
     stages = Stages(spark, "maxent")
-    rows = df.select(df[id_col].cast("long").alias("id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), df[text_col].alias("text"))
+    rows = df.select(df[id_col].alias("id"), F.coalesce(held_out, F.lit(True)).alias("held_out"), df[text_col].alias("text"))
     training = rows.filter("not held_out")
     counts = training.select("text").mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = stages.write(counts, "counts")
@@ -308,9 +313,9 @@ def score(df: DataFrame, held_out: Column, params: Params | None = None, id_col:
     known = Vocabulary(params, {w: k for k, w in enumerate(words)}, kinds if len(kinds) else np.zeros(1, np.int64), n if len(n) else np.zeros(1, np.int64), class_counts, class_words, int(total), int(distinct))
     vocabulary = spark.sparkContext.broadcast(known)
     ends = 0 if END not in known.codes else int(n[known.codes[END]])
-    weights = spark.sparkContext.broadcast(_train(training, vocabulary, params, ends))
-    keyed = rows.withColumn("row_key", F.monotonically_increasing_id())
-    scored = stages.write(keyed.mapInArrow(_scorer(vocabulary, weights), _SCORED), "scored")
+    weights = spark.sparkContext.broadcast(_train(training, vocabulary, params, ends, stages))
+    keyed = rows.withColumnRenamed("id", "doc_id").withColumn("row_key", F.monotonically_increasing_id())
+    scored = stages.write(keyed.mapInArrow(_scorer(vocabulary, weights), typed(keyed, ["row_key", "doc_id"], _SCORED)), "scored")
     add, width = params.add, float(known.total + params.add * (known.distinct + 1))
     table = F.create_map(*(x for k in range(params.own, params.classes) for x in (F.lit(k), F.lit(float(class_counts[k] + add * (class_words[k] + 1))))))
     rare = scored.select("row_key", F.explode("rare").alias("r")).select("row_key", "r.*")

@@ -5,7 +5,6 @@ Images are 8-bit grey and as wide as `width`; row r of the picture is bytes r*wi
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 from collections.abc import Iterable, Iterator
@@ -14,7 +13,10 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
+
+from ..session import Stages
+from .rows import added, typed
 
 # Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -159,13 +161,19 @@ def _areas(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cosine_hash(rows: np.ndarray) -> bytes:
-    """64 bits: which of the 8 by 8 lowest cosine terms of the picture, shrunk to 32 by 32 cells, exceed their median."""
-    sums = np.zeros((rows.shape[0] + 1, SIDE))
+    """64 bits: which of the 8 by 8 lowest cosine terms of the picture, shrunk to 32 by 32 cells, exceed their median.
+
+    Cells' sums are whole numbers; of a tall picture no more is held than the sums of its columns in each cell.
+    """
     a, b = _areas(rows.shape[1])
-    across = np.concatenate((np.zeros((rows.shape[0], 1), np.int64), np.cumsum(rows, axis=1, dtype=np.int64)), axis=1)
-    np.cumsum((across[:, b] - across[:, a]) / (b - a), axis=0, out=sums[1:])
-    a, b = _areas(rows.shape[0])
-    cells = (sums[b] - sums[a]) / (b - a)[:, None]
+    top, bottom = _areas(rows.shape[0])
+    if rows.shape[0] > BAND:
+        down = np.stack([rows[x:y].sum(axis=0, dtype=np.int64) for x, y in zip(top, bottom)])
+    else:
+        sums = np.concatenate((np.zeros((1, rows.shape[1]), np.int64), np.cumsum(rows, axis=0, dtype=np.int64)))
+        down = sums[bottom] - sums[top]
+    across = np.concatenate((np.zeros((SIDE, 1), np.int64), np.cumsum(down, axis=1)), axis=1)
+    cells = (across[:, b] - across[:, a]) / ((bottom - top)[:, None] * (b - a))
     terms = np.round(_cosines() @ cells @ _cosines().T, 6)
     return np.packbits(terms > np.median(terms)).tobytes()
 
@@ -178,47 +186,40 @@ def payload_of(text: str | None, width: int) -> tuple[int, bytes]:
 
 def store(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, png) of every row: its text as a stored image. A null text is empty and gives one row of blanks."""
-    schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("png", pa.binary())])
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [(n, write_png(payload, width)) for n, payload in (payload_of(t.as_py(), width) for t in batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([n for n, _ in made], pa.int64()), pa.array([p for _, p in made], pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([n for n, _ in made], pa.int64()), pa.array([p for _, p in made], pa.binary())], names=["id", "n_bytes", "png"])
 
-    return df.select(df[id_col].cast("long").alias("id"), df[text_col].alias("text")).mapInArrow(run, "id long, n_bytes long, png binary")
+    rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"))
+    return rows.mapInArrow(run, typed(rows, ["id"], "n_bytes long, png binary"))
 
 
 def features(df: DataFrame, png_col: str = "png") -> DataFrame:
-    """df with `payload` (binary, read back from the image) and `feature` (binary, its cosine hash). A broken image raises."""
+    """df with `payload` (binary, read back from the image) and `feature` (binary, its cosine hash), in place of columns of
+    these names. A null image has neither; a broken one raises."""
+    kept, schema = added(df, png_col, "payload binary, feature binary")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pictures = [read_png(data.as_py()) for data in batch.column(png_col)]
-            made = [pa.array([p.tobytes() for p in pictures], pa.binary()), pa.array([cosine_hash(p) for p in pictures], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "payload", "feature"])
+            payloads, hashes = [], []
+            for data in batch.column(png_col):
+                rows = read_png(data.as_py()) if data.is_valid else None
+                payloads.append(None if rows is None else rows.tobytes())
+                hashes.append(None if rows is None else cosine_hash(rows))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept), pa.array(payloads, pa.binary()), pa.array(hashes, pa.binary())], names=schema.names)
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("payload", T.BinaryType()), T.StructField("feature", T.BinaryType())]))
+    return df.mapInArrow(run, schema)
 
 
 def digests(df: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df, of the image that `store` makes, of the bytes read back from it and of their feature (hex).
 
-    Writing and reading share a pass, so that images and payloads never leave the task. Equal texts give equal values.
+    The images are written as a table, and what `features` reads is that table. Equal texts give equal values.
     """
-    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-
-    def of(text: str | None) -> tuple:
-        n, payload = payload_of(text, width)
-        image = write_png(payload, width)
-        rows = read_png(image)
-        back = rows.tobytes()
-        return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(image), hashlib.sha256(image).hexdigest(), cosine_hash(rows).hex()
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = list(zip(*(of(t.as_py()) for t in batch.column("text")))) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, made, kinds)], names=["doc_id", *names])
-
-    rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    stored = Stages(df.sparkSession, "media").write(store(df, width, id_col, text_col), "stored")
+    tail = F.expr("substring(payload, -16, 16)")
+    return features(stored).select(
+        F.col("id").alias("doc_id"), "n_bytes", F.length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
+        F.length("png").cast("long").alias("media_bytes"), F.sha2("png", 256).alias("media_sha256"), F.lower(F.hex("feature")).alias("feature"),
+    )

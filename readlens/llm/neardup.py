@@ -30,11 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from . import textvec
 from ..session import Stages, unused
-from .rows import ROW, row_hashes
+from .rows import ROW, row_hashes, typed
 
 BANDS, PICKS = 24, 3
 #: Texts with fewer shingles can't be linked to a different text: 3 of 4 are less than 0.8.
@@ -338,8 +337,7 @@ def _linked(df: DataFrame, threshold: float, id_col: str, text_col: str, stages:
     last), then hashes.
     """
     rows = df.select(df[id_col].alias("id"), *(c.alias(n) for c, n in zip(row_hashes(df[id_col], df[text_col]), ROW)), df[text_col].alias("text"))
-    schema = StructType([*rows.drop("text").schema.fields, *StructType.fromDDL("key string, size int, sketch array<long>").fields])
-    sketched = stages.write(rows.mapInArrow(_sketch, schema), "sketched")
+    sketched = stages.write(rows.mapInArrow(_sketch, typed(rows, ["id", *ROW], "key string, size int, sketch array<long>")), "sketched")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", *ROW)).alias("first")
     nodes = sketched.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), first, F.max("sketch").alias("sketch"))
     nodes = stages.write(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")

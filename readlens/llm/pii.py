@@ -24,10 +24,9 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..session import Stages, unused
-from .rows import ROW, row_hashes
+from .rows import ROW, row_hashes, typed
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -385,8 +384,7 @@ def find(df: DataFrame, how: Bootstrap | None = None, id_col: str = "doc_id", te
     how = how or Bootstrap()
     stages = Stages(df.sparkSession, "pii")
     rows = df.select(df[id_col].alias("doc_id"), *(c.alias(n) for c, n in zip(row_hashes(df[id_col], df[text_col]), ROW)), df[text_col].alias("text"))
-    schema = StructType([*rows.drop("text").schema.fields, *StructType.fromDDL(_SCANNED).fields])
-    scanned = stages.write(rows.mapInArrow(_scan, schema), "scanned")
+    scanned = stages.write(rows.mapInArrow(_scan, typed(rows, ["doc_id", *ROW], _SCANNED)), "scanned")
     each = scanned.select(F.explode("instances").alias("x")).select("x.*")
     edges = each.select("kind", "instance", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("kind").alias("kind"))
     spans = _accepted(rows, stages.write(edges, "edges"), how, stages)

@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import pretokens, textvec
+from .rows import typed
 
-#: Slices whose count a worker remembers as recent ones, and as many as older ones.
-CACHE = 250_000
+#: Slices whose count a worker remembers as recent ones, and as many as older ones; longer slices aren't remembered.
+CACHE, CACHED_SIGNS = 250_000, 64
 #: A symbol's number needs so many bits in a pair's key.
 _BITS = 20
 
@@ -87,6 +88,8 @@ class Counter(dict):
         self.older: dict[str, int] = {}
 
     def __missing__(self, text: str) -> int:
+        if len(text) > CACHED_SIGNS:
+            return count(text.encode(), self.merges)
         if len(self) >= CACHE:
             self.older = dict(self)
             self.clear()
@@ -129,7 +132,6 @@ def count_tokens(df: DataFrame, tokenizer_path: str, limit: int, id_col: str = "
     Rows keep their number, repeated and null ids included; other columns of df are left out.
     """
     shared = df.sparkSession.sparkContext.broadcast(read_merges(tokenizer_path))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer_path not in _counters:
@@ -139,7 +141,8 @@ def count_tokens(df: DataFrame, tokenizer_path: str, limit: int, id_col: str = "
             texts = [t or "" for t in batch.column("text").to_pylist()]
             tokens = np.array(own.texts(texts), np.int64)
             sizes = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(tokens), pa.array(tokens > limit)], schema=schema)
+            made = [batch.column("doc_id"), pa.array(sizes), pa.array(tokens), pa.array(tokens > limit)]
+            yield pa.RecordBatch.from_arrays(made, names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    rows = df.select(df[id_col].cast("long").alias("doc_id"), df[text_col].alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    rows = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
+    return rows.mapInArrow(run, typed(rows, ["doc_id"], "n_bytes long, n_tokens long, over_limit boolean"))

@@ -154,16 +154,38 @@ def test_toxicity(spark):
     assert {r.doc_id for r in clean.collect()} == {k for k, r in out.items() if r.predicted == 0}
 
 
-def test_label_model_finds_accuracies_without_labels():
+def test_label_model_finds_rates_and_correlations_without_labels():
     rng = np.random.default_rng(2)
-    y = rng.random(3000) < 0.3
-    table = np.zeros((3000, 6), np.int8)
+    y = rng.random(6000) < 0.2
+    table = np.zeros((6000, 7), bool)
     for j, reach in enumerate((0.6, 0.5, 0.4, 0.3)):
-        table[:, j] = (y & (rng.random(3000) < reach)) | (~y & (rng.random(3000) < 0.002))
+        table[:, j] = (y & (rng.random(6000) < reach)) | (~y & (rng.random(6000) < 0.002))
     table[:, 4] = table[:, 0]  # a voter that copies another
-    table[:, 5] = -(~table[:, :5].any(axis=1)).astype(np.int8)
-    found = toxicity.label_model(table, 20) > 0.5
-    assert (found == y).mean() > 0.9
+    table[:, 5] = rng.random(6000) < np.where(y, 0.1, 0.7)  # a pattern that speaks for clean
+    table[:, 6] = rng.random(6000) < 0.3  # and one that says nothing
+    rows, counts = np.unique(table, axis=0, return_counts=True)
+    model = toxicity.label_model(rows, counts.astype(float), 5, 30)
+    assert ((model.posterior(table) > 0.5) == y).mean() > 0.95
+    assert 4 in (model.parents[0],) or model.parents[4] == 0  # the copy hangs on what it copies
+    plain = lambda j, c: (table[y == c, j]).mean()
+    for j in (1, 2, 3, 5, 6):  # rates against those that the hidden classes give
+        above = table[:, model.parents[j]] if model.parents[j] >= 0 else np.zeros(6000, bool)
+        got = [np.where(above, model.rates[c, j, 1], model.rates[c, j, 0])[y == c].mean() for c in (0, 1)]
+        assert abs(got[0] - plain(j, 0)) < 0.05 and abs(got[1] - plain(j, 1)) < 0.08
+
+
+def test_posterior_of_a_tree_equals_brute_force():
+    rng = np.random.default_rng(5)
+    model = toxicity.LabelModel(0.3, np.array([-1, 0, 0, 2]), rng.uniform(0.05, 0.95, (2, 4, 2)))
+    table = np.array([[m >> j & 1 for j in range(4)] for m in range(16)], bool)
+    for row, p in zip(table, model.posterior(table)):
+        joint = []
+        for c, q in ((0, 0.7), (1, 0.3)):
+            for j, up in enumerate((-1, 0, 0, 2)):
+                rate = model.rates[c, j, int(row[up]) if up >= 0 else 0]
+                q *= rate if row[j] else 1 - rate
+            joint.append(q)
+        assert abs(p - joint[1] / sum(joint)) < 1e-9
 
 
 def test_toxicity_edge_cases(spark, edges, nothing):
