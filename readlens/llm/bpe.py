@@ -6,6 +6,7 @@ import base64
 import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +15,9 @@ from pyspark.sql import DataFrame
 from . import pretokens, textvec
 from .rows import added, typed
 
-#: Slices whose ids a worker remembers as recent ones, and as many as older ones; longer slices aren't remembered.
-CACHE, CACHED_SIGNS = 250_000, 64
+#: Slices whose ids a task remembers as recent ones, and as many as older ones; longer slices aren't remembered. A worker
+#: remembers the KEPT first met ones between tasks.
+CACHE, CACHED_SIGNS, KEPT = 250_000, 64, 40_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -77,12 +79,19 @@ class _Cache(dict):
         return out
 
 
+    def rest(self) -> None:
+        """Let go of all but the slices that were met first, among which are the frequent ones."""
+        kept = dict(islice(self.items(), KEPT))
+        self.clear()
+        self.older = {}
+        self.update(kept)
+
+
 class Codec:
     """Encodes and decodes texts by a table of ranks."""
 
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.known = _Cache(lambda text: np.array(merge(text.encode(), ranks), "<u4").tobytes(), CACHED_SIGNS)
-        self.slices = _Cache(lambda ids: self.decode(np.frombuffer(ids, "<u4")), 4 * CACHED_SIGNS)
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
@@ -99,11 +108,12 @@ class Codec:
         return [ids[a:b] for a, b in zip(cuts, cuts[1:])], [places[a : b + 1] - places[a] for a, b in zip(bounds, bounds[1:])]
 
     def decode(self, ids: np.ndarray, places: np.ndarray | None = None) -> bytes:
-        """The bytes of ids; where the places of the slices are known, slice by slice through a cache."""
+        """The bytes of ids; where the places of the slices are known, slice by slice."""
         if places is None:
             return b"".join(map(self.tokens.__getitem__, ids.tolist()))
-        raw, at = ids.astype("<u4").tobytes(), (4 * places).tolist()
-        return b"".join([self.slices[raw[a:b]] for a, b in zip(at, at[1:])])
+        own, at = ids.tolist(), places.tolist()
+        tokens = self.tokens.__getitem__
+        return b"".join([tokens(own[a]) if b == a + 1 else b"".join(map(tokens, own[a:b])) for a, b in zip(at, at[1:])])
 
 
 _codecs: dict[str, Codec] = {}
@@ -128,6 +138,7 @@ def _encoder(path: str, shared, row: Callable[[Codec, str, np.ndarray, np.ndarra
                         columns[name].append(value)
             made = [*(batch.column(n) for n in keep), *(pa.array(columns[f.name], f.type) for f in schema)]
             yield pa.RecordBatch.from_arrays(made, names=[*keep, *schema.names])
+        own.known.rest()
 
     return run
 

@@ -141,6 +141,20 @@ class Words:
         return _patterns(before[::-1], after)
 
 
+class _Known(dict):
+    """Token to word, of as many tokens as KNOWN."""
+
+    def __missing__(self, token: str) -> str:
+        word = _word(token)
+        if len(self) < KNOWN and len(token) <= 64:
+            self[token] = word
+        return word
+
+
+#: Tokens whose words a task remembers.
+KNOWN = 100_000
+
+
 #: Words of a pattern on either side at most.
 BEFORE, AFTER = 3, 2
 
@@ -162,32 +176,57 @@ class Wanted:
 
     def __init__(self, patterns: Iterable[str] = (), instances: Iterable[str] = (), max_words: int = Bootstrap.max_words) -> None:
         self.patterns, self.instances, self.max_words = frozenset(patterns), frozenset(instances), max_words
-        self.before = frozenset(p[: p.index(" _")].split(" ")[-1] for p in self.patterns)
         self.first = frozenset(_word(m[0]) for i in self.instances if (m := _TOKEN.match(i)))
-
-
-def candidates(text: str, wanted: Wanted = Wanted()) -> list[tuple[int, int, list[str]]]:
+        #: By the word before the slot: the words before that one, and the words after the slot of patterns that have no such word.
+        self.before: dict[str, tuple[set[str], set[str]]] = {}
+        for pattern in self.patterns:
+            left, right = pattern.split("_ ")[0].split(" ")[:-1] if "_ " in pattern else pattern.split(" ")[:-1], pattern.partition(" _ ")[2].split(" ")
+            further, after = self.before.setdefault(left[-1], (set(), set()))
+            if len(left) > 1:
+                further.add(left[-2])
+            else:
+                after.add(right[0])
+
+    def starts(self, words: list[str]) -> list[int]:
+        """Numbers of the words that may begin what is wanted."""
+        out = []
+        last = second = None
+        for i, word in enumerate(words):
+            if found := self.before.get(last):
+                further, after = found
+                if second in further or after and not after.isdisjoint(words[i + 1 : i + 1 + self.max_words]):
+                    out.append(i)
+                elif word in self.first:
+                    out.append(i)
+            elif word in self.first:
+                out.append(i)
+            second, last = last, word
+        return out
+
+
+def candidates(text: str, wanted: Wanted = Wanted(), known: _Known | None = None) -> list[tuple[int, int, list[str]]]:
     """(start, end, wanted patterns around) of what is wanted and touches no base span, in text order.
 
     A slot with words on both sides is filled by the words between, the nearest words after it count. A slot without a
     word after it is filled by one word, or by the words from there that have digits.
     """
+    known = _Known() if known is None else known
+    words = [w for w in map(known.__getitem__, text.split()) if w]
+    first = wanted.starts(words)
+    out: list[tuple[int, int, list[str]]] = []
+    if not first:
+        return out
     own = Words(text)
-    words, out = own.words, []
-    starts: list[int] | None = None
+    taken = sorted((a, b) for _, a, b in base_spans(text))
+    starts = [a for a, _ in taken]
     reach = [0]
+    for _, b in taken:
+        reach.append(max(reach[-1], b))
 
     def free(a: int, b: int) -> bool:
         return reach[bisect_right(starts, b - 1)] <= a
 
-    for i, word in enumerate(words):
-        if not (word in wanted.first or i and words[i - 1] in wanted.before):
-            continue
-        if starts is None:
-            taken = sorted((a, b) for _, a, b in base_spans(text))
-            starts = [a for a, _ in taken]
-            for _, b in taken:
-                reach.append(max(reach[-1], b))
+    for i in first:
         a = own.bare(i)[0]
         before = words[max(0, i - BEFORE) : i]
         run = i  # the last of the words with digits from here on
@@ -239,7 +278,7 @@ def _or_of(confidence: Column) -> Column:
 
 
 #: Fillers that a task holds at most, by their signs, before it passes them on.
-HELD_SIGNS = 32 << 20
+HELD_SIGNS = 4 << 20
 
 
 def _filled(shared):
@@ -247,6 +286,7 @@ def _filled(shared):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted, limits = shared.value
+        known = _Known()
         held: dict[str, set[str]] = {}
         over: set[str] = set()
         size = 0
@@ -259,19 +299,22 @@ def _filled(shared):
         for batch in batches:
             for value in batch.column("text"):
                 text = value.as_py() or ""
-                for a, b, found in candidates(text, wanted):
+                for a, b, found in candidates(text, wanted, known):
                     for pattern in found:
                         if pattern in over:
                             continue
                         own = held.setdefault(pattern, set())
-                        own.add(text[a:b])
-                        size += b - a + 64
+                        if (filler := text[a:b]) not in own:
+                            own.add(filler)
+                            size += b - a + 64
                         if len(own) > limits[pattern]:
                             over.add(pattern)
                             del held[pattern]
                 if size > HELD_SIGNS:
                     yield block()
                     size = 0
+                if 10 * len(over & wanted.patterns) > len(wanted.patterns):  # the task needn't look for these any more
+                    wanted = Wanted(wanted.patterns - over, max_words=wanted.max_words)
         yield block()
         yield pa.RecordBatch.from_arrays([pa.array(sorted(over), pa.string()), pa.array([None] * len(over), pa.string())], names=["pattern", "instance"])
 
@@ -280,11 +323,12 @@ def _filled(shared):
 
 def _searched(shared):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Known()
         for batch in batches:
             rows, made = [], []
             for at, value in enumerate(batch.column("text")):
                 text = value.as_py() or ""
-                if found := candidates(text, shared.value):
+                if found := candidates(text, shared.value, known):
                     own = Words(text)
                     made += [(a, b, text[a:b], own.around(a, b), patterns) for a, b, patterns in found]
                     rows += [at] * len(found)

@@ -9,6 +9,7 @@ import json
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,9 @@ from pyspark.sql import DataFrame
 from . import pretokens, textvec
 from .rows import typed
 
-#: Slices whose count a worker remembers as recent ones, and as many as older ones; longer slices aren't remembered.
-CACHE, CACHED_SIGNS = 250_000, 64
+#: Slices whose count a task remembers as recent ones, and as many as older ones; longer slices aren't remembered. A worker
+#: remembers the KEPT first met ones between tasks.
+CACHE, CACHED_SIGNS, KEPT = 250_000, 64, 40_000
 #: A symbol's number needs so many bits in a pair's key.
 _BITS = 20
 
@@ -99,6 +101,13 @@ class Counter(dict):
         out = self[text] = count(text.encode(), self.merges)
         return out
 
+    def rest(self) -> None:
+        """Let go of all but the slices that were met first, among which are the frequent ones."""
+        kept = dict(islice(self.items(), KEPT))
+        self.clear()
+        self.older = {}
+        self.update(kept)
+
     def texts(self, texts: list[str]) -> list[int]:
         """Tokens of each text. A special string within a text is one token and cuts the text, as the library has it by default."""
         extra = [0] * len(texts)
@@ -143,6 +152,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, limit: int, id_col: str = "
             sizes = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
             made = [batch.column("doc_id"), pa.array(sizes), pa.array(tokens), pa.array(tokens > limit)]
             yield pa.RecordBatch.from_arrays(made, names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
+        own.rest()
 
     rows = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
     return rows.mapInArrow(run, typed(rows, ["doc_id"], "n_bytes long, n_tokens long, over_limit boolean"))
