@@ -17,7 +17,8 @@ link them makes no pair, however many texts share it. Centres go in three turns
 are joined between them, and no bucket is capped.
 
 Keys that hold much of a table (a bucket of thousands of copies, say) are at most HOT in number; what belongs to them is
-sent to every task that has their rows, which aren't shuffled then. Members meet the centres of a large bucket in runs.
+sent to every task that has their rows, which aren't shuffled then. All other joins are told to merge: the many small tables
+of the turns would else be gathered by the driver, to be broadcast. Members meet the centres of a large bucket in runs.
 """
 
 from __future__ import annotations
@@ -217,11 +218,12 @@ def joined(rows: DataFrame, facts: DataFrame, on: str, weight: str) -> DataFrame
 
     Values with more than a HOT-th of all rows, fewer than HOT, go by broadcast, so no task gets all rows of one.
     """
-    total = facts.agg(F.sum(weight)).first()[0] or 0
-    hot = facts.filter(F.col(weight) > max(RUN, total // HOT))
-    if hot.isEmpty():
-        return rows.join(facts, on)
-    cold = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(facts.filter(F.col(weight) <= max(RUN, total // HOT)), on)
+    total, most = facts.agg(F.coalesce(F.sum(weight), F.lit(0)), F.coalesce(F.max(weight), F.lit(0))).first()
+    bound = max(RUN, total // HOT)
+    if most <= bound:
+        return rows.join(facts.hint("merge"), on)
+    hot = facts.filter(F.col(weight) > bound)
+    cold = rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(facts.filter(F.col(weight) <= bound).hint("merge"), on)
     return rows.join(F.broadcast(hot), on).unionByName(cold)
 
 
@@ -242,8 +244,8 @@ def _compared(pairs: DataFrame, texts: DataFrame, least: float, stages: Stages,
     bound = max(RUN, pairs.count() // HOT)
     hot = each.filter(F.col("n") > bound).select("center", F.ceil(F.col("n") / bound).alias("runs"))
     own = pairs.join(F.broadcast(hot), "center", "left").select("node", "center", F.coalesce(F.pmod(F.xxhash64("node"), F.col("runs")), F.lit(0)).alias("run"))
-    heads = own.select("center", "run").distinct().join(texts.withColumnRenamed("node", "center"), "center").withColumn("node", F.lit(None).cast("long"))
-    both = heads.unionByName(own.join(texts, "node")).repartition("center", "run").sortWithinPartitions("center", "run", F.col("node").asc_nulls_first())
+    heads = own.select("center", "run").distinct().join(texts.withColumnRenamed("node", "center").hint("merge"), "center").withColumn("node", F.lit(None).cast("long"))
+    both = heads.unionByName(own.join(texts.hint("merge"), "node")).repartition("center", "run").sortWithinPartitions("center", "run", F.col("node").asc_nulls_first())
     out = stages.write(both.select("node", "center", "sequence").mapInArrow(_verify(least), "node long, center long, similarity double"), f"known-{name}")
     stages.drop(pairs)
     return out
@@ -251,7 +253,7 @@ def _compared(pairs: DataFrame, texts: DataFrame, least: float, stages: Stages,
 
 def _mixed(members: DataFrame, roots: DataFrame, stages: Stages, name: str, *more: Column) -> DataFrame:
     """members with root, many and more, of the buckets that hold two classes or more."""
-    own = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    own = members.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     facts = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), F.min("root").alias("low"), F.max("root").alias("high"), *more).filter("low < high").drop("low", "high")
     return joined(own, stages.write(facts, f"mixed-{name}"), "bucket", "many")
 
@@ -262,19 +264,20 @@ def _roots(compared: DataFrame, texts: DataFrame, threshold: float, stages: Stag
     known = _compared(compared.select("node", "center").distinct(), texts, least, stages, "0")
     roots = components(known.filter(F.col("similarity") >= threshold).select("node", "center"), stages, "roots-0")
     several = compared.filter("many > 2")
-    apart = several.join(known.filter(F.col("similarity") < threshold), ["node", "center"])
+    apart = several.join(known.filter(F.col("similarity") < threshold).hint("merge"), ["node", "center"])
     nearest = apart.groupBy("bucket").agg(F.max("similarity").alias("nearest"), F.max("many").alias("n")).filter(F.col("nearest") >= least)
     # Of the centre's own texts those count that the triangle inequality lets be near one that is apart.
     around = joined(several, stages.write(nearest, "nearest"), "bucket", "n")
     linked = known.filter(F.col("similarity") >= threshold).withColumnsRenamed({"node": "n2", "center": "c2"})
-    helpers = around.join(linked, (F.col("node") == F.col("n2")) & (F.col("center") == F.col("c2")) & (F.col("similarity") <= F.col("nearest") + 1 - threshold))
+    helpers = around.join(linked.hint("merge"), (F.col("node") == F.col("n2")) & (F.col("center") == F.col("c2")) & (F.col("similarity") <= F.col("nearest") + 1 - threshold))
     left = _mixed(apart.select("bucket", "node").unionByName(helpers.select("bucket", "node")), roots, stages, "0").select("node").distinct()
-    rest = stages.write(texts.join(left, "node"), "rest")
+    rest = stages.write(texts.join(left.hint("merge"), "node"), "rest")
     stages.drop(texts)
     counts = np.zeros(COUNTERS, np.int32)
     found = rest.select("sequence").mapInArrow(_rarity, "counter long, n long").groupBy("counter").agg(F.sum("n").cast("int").alias("n")).toArrow()
     counts[found["counter"].to_numpy()] = found["n"].to_numpy()
     shared = rest.sparkSession.sparkContext.broadcast(counts)
+    stages.tidy()
     share = threshold / (1 + threshold)  # of the two sizes together, what two linked texts have in common at least
     loose = F.col("size") - F.col("place") >= 2 * share * F.col("size") - 1e-9
     rare = rest.mapInArrow(_rarest(shared, threshold), "node long, size int, rare array<long>").select("node", "size", F.posexplode("rare").alias("place", "bucket"))
@@ -294,8 +297,8 @@ def _roots(compared: DataFrame, texts: DataFrame, threshold: float, stages: Stag
         centers = marked.filter("central").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), runs - 1)).alias("run"), *(F.col(n).alias(f"center_{n}") for n in ("node", "root", "place", "size")))
         left_over = F.least(F.col("size") - F.col("place"), F.col("center_size") - F.col("center_place"))
         enough = left_over >= share * (F.col("size") + F.col("center_size")) - 1e-9
-        pairs = marked.withColumn("run", F.pmod(F.xxhash64("node"), runs)).join(centers, ["bucket", "run"]).filter("root != center_root and (node > center_node or not central)").filter(enough)
-        pairs = pairs.select("node", F.col("center_node").alias("center")).distinct().join(known.select("node", "center"), ["node", "center"], "left_anti")
+        pairs = marked.withColumn("run", F.pmod(F.xxhash64("node"), runs)).join(centers.hint("merge"), ["bucket", "run"]).filter("root != center_root and (node > center_node or not central)").filter(enough)
+        pairs = pairs.select("node", F.col("center_node").alias("center")).distinct().join(known.select("node", "center").hint("merge"), ["node", "center"], "left_anti")
         fresh = _compared(pairs, rest, threshold, stages, str(turn))
         known = known.unionByName(fresh)
         new = fresh.filter(F.col("similarity") >= threshold).select("node", "center")
@@ -304,6 +307,7 @@ def _roots(compared: DataFrame, texts: DataFrame, threshold: float, stages: Stag
             roots = components(old.withColumnRenamed("root", "center").unionByName(new), stages, f"roots-{turn}")
             stages.drop(old)
         members = marked.filter("not central").select("bucket", "node", "place", "size", "loose")
+        stages.tidy()
     return roots
 
 
@@ -324,7 +328,7 @@ def components(links: DataFrame, stages: Stages, name: str = "components") -> Da
         large = joined(both.filter("root > node"), least, "node", "n").select(F.col("root").alias("node"), F.col("m").alias("root")).distinct()
         large = stages.write(large, f"{name}-{turn}-edges")
         fewest = large.groupBy("node").agg(F.min("root").alias("m"))  # a node has no more roots here than it had neighbours below
-        small = large.join(fewest, "node").select(F.col("root").alias("node"), F.col("m").alias("root")).filter("node != root")
+        small = large.join(fewest.hint("merge"), "node").select(F.col("root").alias("node"), F.col("m").alias("root")).filter("node != root")
         moved = stages.write(small.unionByName(fewest.select("node", F.col("m").alias("root"))).distinct(), f"{name}-{turn}")
         stages.drop(edges, least, large)
         edges = moved
@@ -346,15 +350,16 @@ def _linked(df: DataFrame, threshold: float, id_col: str, text_col: str, stages:
     compared = joined(banded, buckets, "bucket", "many").filter("node != center").select(F.col("same").alias("bucket"), "node", "center", "many").distinct()
     compared = stages.write(compared, "compared")
     met = compared.select("node").unionByName(compared.select(F.col("center").alias("node"))).distinct()
-    wanted = stages.write(met.join(nodes.select("node", *(f"first.{n}" for n in ROW)), "node"), "wanted")
+    wanted = stages.write(met.join(nodes.select("node", *(f"first.{n}" for n in ROW)).hint("merge"), "node"), "wanted")
     few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    found = rows.join(F.broadcast(wanted) if few else wanted, list(ROW)).dropDuplicates(list(ROW)).select("node", "text")
+    found = rows.join(F.broadcast(wanted) if few else wanted.hint("merge"), list(ROW)).dropDuplicates(list(ROW)).select("node", "text")
     texts = stages.write(found.mapInArrow(_sequences, "node long, sequence binary"), "texts")
+    stages.tidy()
     roots = _roots(compared, texts, threshold, stages)
-    linked = stages.write(nodes.join(roots, "node").select("key", "root", "first").unionByName(nodes.join(roots.select(F.col("root").alias("node")).distinct(), "node").select("key", F.col("node").alias("root"), "first")), "linked")
+    linked = stages.write(nodes.join(roots.hint("merge"), "node").select("key", "root", "first").unionByName(nodes.join(roots.select(F.col("root").alias("node")).distinct().hint("merge"), "node").select("key", F.col("node").alias("root"), "first")), "linked")
     facts = stages.write(linked.groupBy("root").agg(F.min("key").alias("class_key"), F.min("first").alias("first"), F.count(F.lit(1)).alias("n")), "facts")
     of_linked = joined(linked.select("key", "root"), facts, "root", "n").select("key", "class_key", F.col("first").alias("class_first"))
-    of_all = nodes.select("key", "rows", "first").join(of_linked, "key", "left")
+    of_all = nodes.select("key", "rows", "first").join(of_linked.hint("merge"), "key", "left")
     return sketched, of_all.select("key", "rows", F.coalesce("class_key", "key").alias("class_key"), F.coalesce("class_first", "first").alias("first"))
 
 
