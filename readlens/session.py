@@ -86,7 +86,7 @@ class Stages:
             self._delete(df.stage_path)
 
     def tidy(self) -> None:
-        """Let Spark delete the shuffle files of frames that nothing holds any more; it waits for the JVM's garbage collector."""
+        """Let Spark delete the shuffle files and broadcasts of frames that nothing holds any more; it waits for the JVM's garbage collector."""
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
 
