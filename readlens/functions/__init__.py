@@ -65,3 +65,54 @@ def one_edit(a: Column, b: Column, v: Column) -> Column:
 def total_variation(a: Column, b: Column) -> Column:
     """Aggregate: half the summed distance of shares."""
     return F.sum(F.abs(a - b)) / 2
+
+
+def edit_label(a: Column, b: Column, v: int) -> Column:
+    """The edit that makes value a of value b, one edit away: a substitution, else the first place where a base was left out of
+    b (the rest moved up, so a's last base is new) or put into it. Values of v bases."""
+    base = lambda s, i: F.substring(s, i, F.lit(1))
+    places = F.sequence(F.lit(1), F.lit(v))
+    differ = F.filter(places, lambda i: base(a, i) != base(b, i))
+    same = lambda i: F.substring(a, F.lit(1), i - 1) == F.substring(b, F.lit(1), i - 1)
+    lost = F.filter(places, lambda i: same(i) & (F.substring(a, i, F.lit(v) - i) == F.substring(b, i + 1, F.lit(v) - i)))
+    put_in = F.filter(places, lambda i: same(i) & (F.substring(a, i + 1, F.lit(v) - i) == F.substring(b, i, F.lit(v) - i)))
+    at = lambda found: F.get(found, F.lit(0))
+    return (
+        F.when(F.size(differ) == 1, F.concat(base(b, at(differ)), F.lit(">"), base(a, at(differ))))
+        .when(F.size(lost) > 0, F.concat(base(b, at(lost)), F.lit(">-")))
+        .when(F.size(put_in) > 0, F.concat(F.lit("->"), base(a, at(put_in))))
+    )
+
+
+def logit(p: Column) -> Column:
+    return F.log(p / (1 - p))
+
+
+def divergence(a: Column, b: Column) -> Column:
+    """Aggregate: Kullback-Leibler divergence of shares a from b, in nats; shares of 0 in a add nothing, in b alone infinity."""
+    return F.sum(F.when(a == 0, F.lit(0.0)).when(b == 0, F.lit(float("inf"))).otherwise(a * F.log(a / b)))
+
+
+def gc_ten(lo: Column, hi: Column) -> Column:
+    """The lower bound of the ten per cent bin that a GC bin [lo, hi) lies in; one that crosses a boundary raises."""
+    own = F.floor(lo / 10)
+    crossing = F.raise_error(F.concat(F.lit("GC bin crosses ten per cent at "), lo.cast("string"))).cast("int")
+    return F.when(own == F.floor((hi - 1) / 10), (10 * own).cast("int")).otherwise(crossing)
+
+
+def error_context(context: Column, op: Column, left: int) -> Column:
+    """Previous base, centre, next base of an error whose context has `left` bases before the centre; an insertion's centre is
+    `-`, and the base it stands before comes last."""
+    around = F.substring(context, left, 3)
+    return F.when(op.startswith("-"), F.concat(F.substring(context, left, 1), F.lit("-"), F.substring(context, left + 1, 1))).otherwise(around)
+
+
+def truth_label(op: Column, template: Column, consensus: Column) -> Column:
+    """What a read base is: error (not its molecule's), adapter (no consensus there), variant (the molecule's own) or match.
+    Deletions have no read base: null."""
+    return F.when(op.endswith("-"), None).when(op != "=", "error").when(consensus == ".", "adapter").when(F.upper(template) != consensus, "variant").otherwise("match")
+
+
+def numbers_first(c: Column) -> list[Column]:
+    """Sort keys that order texts that are numbers as numbers, before others by name."""
+    return [c.try_cast("double").asc_nulls_last(), c.asc()]

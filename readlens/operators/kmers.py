@@ -32,22 +32,33 @@ def spectrum(counts: DataFrame, cap: int = 50) -> DataFrame:
     return counts.groupBy(F.least("n", F.lit(cap)).alias("multiplicity")).agg(F.count(F.lit(1)).alias("kmers"))
 
 
-def pairs(df: DataFrame, k: int, v: int, seq: str = "seq", weight: Column | None = None) -> DataFrame:
-    """(key, value, n): windows of k + v bases on both strands; n adds up the weights of their sequences."""
+def picked(key: Column, c: int) -> Column:
+    """Whether a key's hash is in the least 1/c of all (fractional MinHash); md5, so that other engines pick the same."""
+    if c < 1:
+        raise ValueError("c is at least 1")
+    return F.lit(True) if c == 1 else F.md5(key) < F.lit(f"{(1 << 128) // c:032x}")
+
+
+def pairs(df: DataFrame, k: int, v: int, seq: str = "seq", weight: Column | None = None, c: int = 1) -> DataFrame:
+    """(key, value, n): windows of k + v bases on both strands; n adds up the weights of their sequences. Of the keys that
+    `picked` leaves; the others' windows aren't made."""
     if not (1 <= k <= 31 and 1 <= v <= 31):
         raise ValueError("k and v are 1 to 31")
     up = F.upper(seq)
-    rows = df.select(F.explode(F.concat(_windows(up, k + v), _windows(revcomp(up), k + v))).alias("w"), (F.lit(1) if weight is None else weight).alias("weight"))
+
+    def strand(s: Column) -> Column:
+        last = F.length(s) - (k + v) + 1
+        starts = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(F.filter(starts, lambda i: picked(F.substring(s, i, F.lit(k)), c)), lambda i: F.substring(s, i, F.lit(k + v)))
+
+    rows = df.select(F.explode(F.concat(strand(up), strand(revcomp(up)))).alias("w"), (F.lit(1) if weight is None else weight).alias("weight"))
     rows = rows.filter(F.col("w").rlike("^[ACGT]+$"))
     return rows.groupBy(F.substring("w", 1, k).alias("key"), F.substring("w", k + 1, v).alias("value")).agg(F.sum("weight").alias("n"))
 
 
 def sketch(counts: DataFrame, c: int) -> DataFrame:
-    """The keys whose hash is in the least 1/c of all (fractional MinHash); md5, so that other engines pick the same."""
-    if c < 1:
-        raise ValueError("c is at least 1")
-    limit = (1 << 128) // c
-    return counts if c == 1 else counts.filter(F.md5("key") < F.lit(f"{limit:032x}"))
+    """The keys that `picked` leaves of counts that were made of all."""
+    return counts.filter(picked(F.col("key"), c))
 
 
 def consensus(counts: DataFrame, least: int = 10) -> DataFrame:
@@ -56,7 +67,7 @@ def consensus(counts: DataFrame, least: int = 10) -> DataFrame:
     return counts.groupBy("key").agg(best.alias("consensus"), F.max("n").alias("consensus_count"), F.sum("n").alias("total")).filter(F.col("total") >= least)
 
 
-def _agreement(a: Column, b: Column, v: int) -> Column:
+def agreement(a: Column, b: Column, v: int) -> Column:
     """How many first bases two values have in common."""
     same = F.filter(F.sequence(F.lit(1), F.lit(v)), lambda t: F.substring(a, F.lit(1), t) == F.substring(b, F.lit(1), t))
     return F.size(same)
@@ -64,7 +75,7 @@ def _agreement(a: Column, b: Column, v: int) -> Column:
 
 def survival(counts: DataFrame, best: DataFrame, v: int) -> DataFrame:
     """(key, t, n): windows of a key that agree with its consensus through position t, for t from 0 to v."""
-    rows = counts.join(best.select("key", "consensus"), "key").select("key", "n", _agreement(F.col("value"), F.col("consensus"), v).alias("through"))
+    rows = counts.join(best.select("key", "consensus"), "key").select("key", "n", agreement(F.col("value"), F.col("consensus"), v).alias("through"))
     each = rows.groupBy("key", "through").agg(F.sum("n").alias("n"))
     return each.select("key", "n", F.explode(F.sequence(F.lit(0), "through")).alias("t")).groupBy("key", "t").agg(F.sum("n").alias("n"))
 

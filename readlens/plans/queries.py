@@ -16,8 +16,10 @@ from ..kernels import realign as ra
 from ..models import em, rake
 from ..models.heads import Head, Penalty
 from ..operators import overlap as ov
+from ..operators import sketch as sk
 from ..report import exporters as ex
 from ..streaming import counts as sc
+from ..session import Stages
 from ..table import CountTable, counted
 from . import bridge
 
@@ -271,7 +273,8 @@ near AS (SELECT key, value, consensus, n FROM kv JOIN best USING (key) WHERE val
 
 
 def _sketch(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    counts = km.sketch(km.pairs(bridge.reads(spark, sf_dir), K, V), C)
+    """Counts and consensus; the counts are written, as all that follows reads them more than once."""
+    counts = Stages(spark, "sketch").write(km.pairs(bridge.reads(spark, sf_dir), K, V, c=C), "counts")
     return counts, km.consensus(counts)
 
 
@@ -321,6 +324,79 @@ def multiplicity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(km.multiplicity(_sketch(spark, sf_dir)[0], V), "multi_locus", "multi_value", "off_majority", "one_edit", "more_edits")
 
 
+# What the sketch gives without a fit ------------------------------------------------------------------------------
+
+_ROWS = _PAIRS + f""", pl AS (SELECT *, list_filter(range(1, {V + 1}), lambda i: substr(value, i, 1) <> substr(consensus, i, 1)) AS differ,
+  list_filter(range(1, {V + 1}), lambda i: substr(value, 1, i - 1) = substr(consensus, 1, i - 1) AND substr(value, i, {V} - i) = substr(consensus, i + 1, {V} - i)) AS lost,
+  list_filter(range(1, {V + 1}), lambda i: substr(value, 1, i - 1) = substr(consensus, 1, i - 1) AND substr(value, i + 1, {V} - i) = substr(consensus, i, {V} - i)) AS put FROM near),
+lb AS (SELECT key, CASE WHEN len(differ) = 1 THEN substr(consensus, differ[1], 1) || '>' || substr(value, differ[1], 1) WHEN len(lost) > 0 THEN substr(consensus, lost[1], 1) || '>-' ELSE '->' || substr(value, put[1], 1) END AS op, CAST(sum(n) AS BIGINT) AS n FROM pl GROUP BY ALL),
+nb AS (SELECT key, CAST(sum(n) AS BIGINT) AS neighbor FROM lb GROUP BY key),
+rw AS (SELECT best.*, coalesce(neighbor, 0) AS neighbor, coalesce(neighbor, 0) <= consensus_count AS passes FROM best LEFT JOIN nb USING (key)),
+al AS (SELECT key, t, CAST(sum(n) AS BIGINT) AS n FROM kv JOIN best USING (key) JOIN ts ON substr(value, 1, t) = substr(consensus, 1, t) GROUP BY ALL)"""
+
+
+def _kvmer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sk.kvmer_rows(*_sketch(spark, sf_dir), V)
+
+
+@query(_ROWS + " SELECT key || consensus AS locus, '=' AS op, consensus_count AS n FROM rw WHERE passes UNION ALL SELECT key || consensus, op, n FROM lb JOIN rw USING (key) WHERE passes")
+def sketch_kvmer_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sk.kvmer_table(_kvmer_rows(spark, sf_dir)).df
+
+
+@query(_ROWS + " SELECT key || consensus AS locus, CAST(t AS INTEGER) AS t, '=' AS op, n FROM al JOIN rw USING (key)")
+def sketch_survival_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sk.survival_table(_kvmer_rows(spark, sf_dir), use_all=True).df
+
+
+@query(_ROWS + """ SELECT count(*) AS keys, count(*) FILTER (NOT passes) AS keys_dropped, count(DISTINCT consensus) AS consensus_values, count(DISTINCT consensus) - count(DISTINCT consensus) FILTER (passes) AS consensus_values_dropped,
+CAST(sum(neighbor) AS BIGINT) AS error_mass, CAST(coalesce(sum(neighbor) FILTER (NOT passes), 0) AS BIGINT) AS error_mass_dropped, CAST(sum(total) AS BIGINT) AS observations, CAST(coalesce(sum(total) FILTER (NOT passes), 0) AS BIGINT) AS observations_dropped,
+round(coalesce(sum(neighbor) FILTER (NOT passes), 0) / sum(neighbor), 8) AS error_mass_dropped_fraction FROM rw""")
+def sketch_filter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(sk.filter_stats(_kvmer_rows(spark, sf_dir)), "error_mass_dropped_fraction", digits=8)
+
+
+@query(_ROWS + f""", ex AS (SELECT rw.key, consensus_count + neighbor AS r, neighbor, (SELECT sum(least(n, consensus_count + neighbor)) FROM al WHERE al.key = rw.key AND t BETWEEN 1 AND {V - 1}) AS later FROM rw WHERE passes)
+SELECT count(*) AS keys, CAST(sum(neighbor) AS BIGINT) AS single_edit_values, CAST(sum(r + coalesce(later, 0)) AS BIGINT) AS exposure, round(sum(neighbor) / sum(r + coalesce(later, 0)), 8) AS per_base_rate FROM ex""")
+def sketch_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(sk.kvmer_level(_kvmer_rows(spark, sf_dir)), "per_base_rate", digits=8)
+
+
+@query(_PAIRS + " SELECT CAST(t AS INTEGER) AS t, round(hazard, 6) AS hazard FROM hz WHERE hazard > 0 AND hazard < 1")
+def sketch_hazard_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(sk.hazard_window(km.hazard(km.survival(*_sketch(spark, sf_dir), V)), "hazard"), "hazard")
+
+
+_SCAN = _PAIRS + f""", st AS (SELECT read_id, seq, i, substr(seq, i, {K}) AS key FROM (SELECT read_id, seq, unnest(range(1, length(seq) - {K + V - 2})) AS i FROM reads WHERE length(seq) >= {K + V})),
+fw AS (SELECT st.*, consensus FROM st JOIN best USING (key)), ft AS (SELECT read_id, length(seq) AS size, i, t, substr(seq, i + {K}, t) = substr(consensus, 1, t) AS ok, substr(seq, i + {K}, t - 1) = substr(consensus, 1, t - 1) AS reached FROM fw, ts WHERE t > 0),
+sc AS (SELECT f.read_id, f.t, f.i + {K} + f.t - 1 AS pos, f.size - (f.i + {K} + f.t - 1) + 1 AS pos_end, b.q, f.ok FROM ft f JOIN bases b ON b.read_id = f.read_id AND b.pos_start = f.i + {K} + f.t - 1 WHERE reached)"""
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sk.scan(bridge.reads(spark, sf_dir), _sketch(spark, sf_dir)[1], K, V, C)
+
+
+@query(_SCAN + f""" SELECT 'q' AS axis, q AS value, count(*) FILTER (ok) AS num_correct, count(*) FILTER (NOT ok) AS num_error FROM sc WHERE t BETWEEN 3 AND {V - 2} GROUP BY q
+UNION ALL SELECT 'pos_start', CAST(pos AS INTEGER), count(*) FILTER (ok), count(*) FILTER (NOT ok) FROM sc GROUP BY pos UNION ALL SELECT 'pos_end', CAST(pos_end AS INTEGER), count(*) FILTER (ok), count(*) FILTER (NOT ok) FROM sc GROUP BY pos_end""")
+def sketch_covariate_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sk.covariate_rates(_scanned(spark, sf_dir), V)
+
+
+@query(_SCAN + " SELECT count(DISTINCT pos) AS cycles, round(count(*) FILTER (NOT ok) / count(*), 8) AS per_base_rate FROM sc")
+def sketch_position_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates = sk.covariate_rates(_scanned(spark, sf_dir), V).filter("axis like 'pos%'").withColumn("from_start", F.col("axis") == "pos_start")
+    return _rounded(sk.position_level(rates), "per_base_rate", digits=8)
+
+
+@query(_PAIRS + f""", braw AS (SELECT regexp_replace(translate(text, '{bridge._LETTERS}', '{bridge._BASES}'), '[^ACGT]', '', 'g') AS s FROM benchmark), bs AS (SELECT s FROM braw WHERE length(s) >= {K + V} UNION ALL SELECT reverse(translate(s, 'ACGT', 'TGCA')) FROM braw WHERE length(s) >= {K + V}),
+lo AS (SELECT substr(s, i, {K}) AS key, substr(s, i + {K}, {V}) AS value, count(*) AS n FROM (SELECT s, unnest(range(1, length(s) - {K + V - 2})) AS i FROM bs) GROUP BY ALL),
+ln AS (SELECT key, sum(n) AS loci FROM lo GROUP BY key), jn AS (SELECT best.*, coalesce(loci, 0) AS loci, lo.value IS NOT NULL AS true_value FROM best LEFT JOIN ln USING (key) LEFT JOIN lo ON lo.key = best.key AND lo.value = best.consensus)
+SELECT CASE WHEN loci >= 5 THEN '5+' WHEN loci >= 3 THEN '3-4' ELSE CAST(CAST(loci AS INTEGER) AS VARCHAR) END AS class, true_value, count(*) AS keys, CAST(sum(total) AS BIGINT) AS n FROM jn GROUP BY 1, 2""")
+def sketch_by_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    contigs = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.regexp_replace(F.translate("text", bridge._LETTERS, bridge._BASES), "[^ACGT]", "").alias("seq"))
+    return km.by_loci(_sketch(spark, sf_dir)[1], km.pairs(contigs, K, V, c=C))
+
+
 # Overlaps, pileups ------------------------------------------------------------------------------------------------
 
 _PLACE = """, pr AS (SELECT read_id AS pair_id, substr(seq, 1, 70) AS a, substr(seq, 31, 70) AS b FROM reads WHERE length(seq) = 100), o AS (SELECT *, unnest(range(-50, 51)) AS o FROM pr),

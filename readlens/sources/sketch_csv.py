@@ -9,6 +9,9 @@ from ..schema import OPS
 
 # The headers of the files, by the part of the name behind the prefix.
 HEADERS = {
+    "summary_error_rate": "per_base_error_rate per_base_error_rate_5-95th_percentile mean_hazard_rate mean_hazard_rate_5-95th_percentile lambda lambda_5-95th_percentile "
+    "beta beta_5-95th_percentile key_median_coverage key_coverage_5-95th_percentile true_median_coverage true_coverage_5-95th_percentile "
+    "substitution_error_proportion insertion_error_proportion deletion_error_proportion",
     "hazard_rate": "t num_candidates num_survival hazard_ratio 5th_percentile 95th_percentile",
     "survival_rate": "t survival_rate",
     "summary_error_spectrum": "operation prev_base next_base total forward",
@@ -17,7 +20,12 @@ HEADERS = {
     "summary_read_position": "index from_start num_correct num_error error_rate",
 }
 _WHOLE = {"t", "num_candidates", "num_survival", "total", "forward", "qscore", "num_correct", "num_error", "gc_content_min", "gc_content_max_exclusive", "index", "consensus_count", "neighbor_count", "total_count", "homopolymer_length"}
-_REAL = {"hazard_ratio", "5th_percentile", "95th_percentile", "survival_rate", "empirical_qscore", "per_base_error_rate", "error_rate"}
+_REAL = {"mean_hazard_rate", "lambda", "beta", "key_median_coverage", "true_median_coverage", "substitution_error_proportion", "insertion_error_proportion", "deletion_error_proportion", "hazard_ratio", "5th_percentile", "95th_percentile", "survival_rate", "empirical_qscore", "per_base_error_rate", "error_rate"}
+
+
+#: Parts that only versions from 0.3 on write.
+SINCE_0_3 = ("survival_rate", "summary_gc_content")
+PARTS = (*HEADERS, "summary_error_spectrum_dependence_on_t", "kvmer")
 
 
 class SketchFormatError(ValueError):
@@ -40,7 +48,7 @@ def _typed(name: str):
         return own.cast("double").alias(name)
     if name in ("from_start", "passes_filter"):
         return F.when(cell == "true", True).when(cell == "false", False).otherwise(F.raise_error(F.lit(f"{name} is true or false"))).alias(name)
-    if name == "percentile":
+    if name == "percentile" or name.endswith("_5-95th_percentile"):
         parts = F.split(cell, "~")
         return F.struct(F.get(parts, F.lit(0)).cast("double").alias("lo"), F.get(parts, F.lit(1)).cast("double").alias("hi")).alias(name)
     return cell.alias(name)
@@ -55,6 +63,17 @@ def _read(spark: SparkSession, path: str, wanted: list[str] | None) -> DataFrame
     return raw.select(*map(_typed, header))
 
 
+def missing(spark: SparkSession, prefix: str) -> list[str]:
+    """Parts of PARTS that have no file, on whatever file system the prefix is."""
+    context = spark.sparkContext
+    out = []
+    for part in PARTS:
+        path = context._jvm.org.apache.hadoop.fs.Path(f"{prefix}.{part}.csv")
+        if not path.getFileSystem(context._jsc.hadoopConfiguration()).exists(path):
+            out.append(part)
+    return out
+
+
 def read(spark: SparkSession, prefix: str, part: str) -> DataFrame:
     """One of HEADERS' files, as `<prefix>.<part>.csv`."""
     return _read(spark, f"{prefix}.{part}.csv", HEADERS[part].split())
