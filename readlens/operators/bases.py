@@ -21,8 +21,10 @@ def subset(df: DataFrame, every_n: int = 1, offset: int = 0, limit: int | None =
     return out if limit is None else out.orderBy(index).limit(limit)
 
 
-def bases(reads: DataFrame, before: int = 0, after: int = 0, flank: tuple[int, int] = (0, 0)) -> DataFrame:
-    """One row of each base: read_id, mate, gc, pos_start and pos_end (1-based), base, context, q, q_m1.., q_p1..
+def bases(reads: DataFrame, before: int = 0, after: int = 0, flank: tuple[int, int] = (0, 0), carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row of each base: read_id, mate, columns to carry, gc, pos_start and pos_end (1-based), base, context, q, q_m1.., q_p1..
+
+    Reads whose sequence is null or empty have no bases; a null array of qualities gives null qualities.
 
     Each base's values are looked up within its read before the rows are made, so rows stay small, and lags need no
     window and no shuffle. Qualities beyond the read's ends are null.
@@ -35,7 +37,7 @@ def bases(reads: DataFrame, before: int = 0, after: int = 0, flank: tuple[int, i
         return F.struct(pos.alias("pos_start"), (size - pos + 1).alias("pos_end"), F.substring(seq, pos, F.lit(1)).alias("base"), context(seq, pos, *flank).alias("context"), *quality)
 
     each = F.explode(F.transform(F.sequence(F.lit(1), size), row)).alias("__base")
-    return reads.filter(size > 0).select("read_id", "mate", gc_bin(seq).alias("gc"), each).select("read_id", "mate", "gc", "__base.*")
+    return reads.filter(size > 0).select("read_id", "mate", *carry, gc_bin(seq).alias("gc"), each).select("read_id", "mate", *carry, "gc", "__base.*")
 
 
 def quality_table(reads: DataFrame, m: int = 1, flank: tuple[int, int] = (2, 2)) -> CountTable:

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import gc_bin, op_class, parse_tile, revcomp
+from ..functions import gc_bin, gc_ten, op_class, parse_tile, revcomp
 from ..operators import alignments as al
 from ..operators import bases as ba
+from ..operators import compare as cp
 from ..operators import evidence as ev
 from ..operators import kmers as km
 from ..kernels import realign as ra
@@ -47,12 +48,17 @@ def _rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations of the bridge's alignments, planted substitutions being the truth; built-ins only, as nothing has a gap."""
     called = bridge.called(bridge.reads(spark, sf_dir))
-    truth = ba.bases(called.select("read_id", "mate", F.col("template").alias("seq"), "q", "doc_id", "source", "chunk"), before=1, after=1, flank=(1, 1))
+    truth = ba.bases(called.select("read_id", "mate", F.col("template").alias("seq"), "q", "doc_id", "source", "chunk"), before=1, after=1, flank=(1, 1), carry=("doc_id", "source", "chunk"))
     wrong = (F.col("pos_start") * 31 + F.col("read_id") * 17) % 23 == 0
     alt = F.translate("base", "ACGT", "CGTA")
     return truth.select("*", F.when(wrong, F.concat("base", F.lit(">"), alt)).otherwise("=").alias("op"), F.when(wrong, alt).otherwise(F.col("base")).alias("called"), F.lit("+").alias("strand"))
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations with their contig and 0-based site."""
+    return _observed(spark, sf_dir).withColumn("contig", F.col("source")).withColumn("site", (F.col("chunk") * bridge.WIDTH + F.col("pos_start") - 1).cast("long"))
+
+
 def _table(rows: DataFrame, *fields: str) -> CountTable:
     return CountTable(counted(rows, list(fields)), fields, truth="op" in fields)
 
@@ -456,9 +462,7 @@ def coverage_single_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(""", sub AS (SELECT read_id, source AS contig, site, called AS allele FROM obs WHERE op <> '=')
 SELECT a.contig, a.site AS site_a, a.allele AS allele_a, b.site AS site_b, b.allele AS allele_b, count(*) AS n FROM sub a JOIN sub b ON a.read_id = b.read_id AND a.contig = b.contig AND a.site < b.site GROUP BY ALL HAVING count(*) >= 3""")
 def linked_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _observed(spark, sf_dir).filter("op != '='")
-    reads = bridge.reads(spark, sf_dir).select("read_id", F.col("source").alias("contig"), "chunk")
-    placed = rows.join(reads, "read_id").select("read_id", "contig", (F.col("chunk") * bridge.WIDTH + F.col("pos_start")).cast("long").alias("site"), F.col("called").alias("allele"))
+    placed = _placed(spark, sf_dir).filter("op != '='").select("read_id", "contig", (F.col("site") + 1).alias("site"), F.col("called").alias("allele"))
     return al.linked(placed)
 
 
@@ -469,6 +473,83 @@ def walked_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.marginal("q", "q_m1", "q_p1", "context", "pos_start", "pos_end", "mate", "op").df
 
 
+# Read sets beside each other ----------------------------------------------------------------------------------------
+
+_CLASS = "CASE WHEN op = '=' THEN 'match' WHEN op LIKE '-%' THEN 'ins' WHEN op LIKE '%-' THEN 'del' ELSE 'sub' END"
+_DISTANCES = _WINDOWED + f""", g AS (SELECT *, {_CLASS} AS class, doc_id % 3 AS grp FROM w),
+ax AS (SELECT grp, 'rate' AS name, '' AS value, class <> 'match' AS e FROM g UNION ALL SELECT grp, 'substitution_rate', '', class = 'sub' FROM g UNION ALL SELECT grp, 'rate_by_q', CAST(q AS VARCHAR), class <> 'match' FROM g
+  UNION ALL SELECT grp, 'rate_by_cycle', CAST(pos_start AS VARCHAR), class <> 'match' FROM g UNION ALL SELECT grp, 'substitution_by_context', context, class = 'sub' FROM g),
+rt AS (SELECT grp, name, value, count(*) AS n, count(*) FILTER (e) AS x FROM ax GROUP BY grp, name, value),
+rd AS (SELECT b.grp, name, sum(a.n * abs(ln((b.x + 0.5) / (b.n + 1)) - ln((a.x + 0.5) / (a.n + 1)))) / sum(a.n) AS distance FROM rt a JOIN rt b USING (name, value) WHERE a.grp = 0 AND b.grp > 0 GROUP BY b.grp, name),
+qc AS (SELECT grp, pos_start, q, count(*) AS c FROM g GROUP BY grp, pos_start, q), qs AS (SELECT *, sum(c) OVER (PARTITION BY grp, pos_start) AS n FROM qc), qv AS (SELECT DISTINCT q FROM qc), cy AS (SELECT DISTINCT a.pos_start, a.n, b.grp FROM qs a JOIN qs b USING (pos_start) WHERE a.grp = 0 AND b.grp > 0),
+tv AS (SELECT cy.grp, cy.pos_start, any_value(cy.n) AS n, sum(abs(coalesce(a.c / a.n, 0) - coalesce(b.c / b.n, 0))) / 2 AS tv FROM cy CROSS JOIN qv LEFT JOIN qs a ON a.grp = 0 AND a.pos_start = cy.pos_start AND a.q = qv.q LEFT JOIN qs b ON b.grp = cy.grp AND b.pos_start = cy.pos_start AND b.q = qv.q GROUP BY cy.grp, cy.pos_start),
+lg AS (SELECT grp, corr(q_m1, q) AS r FROM g WHERE q_m1 IS NOT NULL GROUP BY grp),
+ds AS (SELECT * FROM rd UNION ALL SELECT grp, 'q_cycle_tv', sum(n * tv) / sum(n) FROM tv GROUP BY grp UNION ALL SELECT b.grp, 'q_lag1', abs(a.r - b.r) FROM lg a, lg b WHERE a.grp = 0 AND b.grp > 0)"""
+
+
+@query(_DISTANCES + """ SELECT name, round(a.distance, 6) AS ours, round(b.distance, 6) AS theirs, CASE WHEN abs(a.distance - b.distance) <= greatest(0.01, 0.1 * greatest(a.distance, b.distance)) THEN 'matches' WHEN a.distance < b.distance THEN 'beats' ELSE 'trails' END AS verdict
+FROM ds a JOIN ds b USING (name) WHERE a.grp = 1 AND b.grp = 2""")
+def profile_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three thirds of the texts as the real reads, ours and theirs."""
+    rows = Stages(spark, "profiles").write(counted(_observed(spark, sf_dir).withColumn("group", F.col("doc_id") % 3), ["group", "q", "q_m1", "pos_start", "context", "op"]), "rows")
+    return _rounded(cp.verdicts(*(rows.filter(F.col("group") == k) for k in range(3))), "ours", "theirs")
+
+
+@query(_WINDOWED + " SELECT context, op, count(*) AS n FROM w WHERE op <> '=' GROUP BY ALL")
+def error_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cp.error_contexts(_table(_observed(spark, sf_dir), "context", "op"), (1, 1))
+
+
+@query(_WINDOWED + ", c AS (SELECT context, count(*) AS n FROM w WHERE op <> '=' GROUP BY ALL) SELECT context, round(n / (SELECT sum(n) FROM c), 6) AS share FROM c ORDER BY n DESC, context LIMIT 8")
+def top_error_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit is the report's."""
+    return _rounded(cp.top_contexts(_table(_observed(spark, sf_dir), "context", "op").df.filter("op != '='")), "share")
+
+
+@query(""", c AS (SELECT op, base AS template, CASE WHEN pos_start > 95 THEN '.' WHEN site % 29 = 0 THEN translate(base, 'ACGT', 'GTAC') ELSE base END AS consensus FROM obs),
+l AS (SELECT CASE WHEN op <> '=' THEN 'error' WHEN consensus = '.' THEN 'adapter' WHEN template <> consensus THEN 'variant' ELSE 'match' END AS label FROM c)
+SELECT count(*) AS bases, round(avg(CAST(label = 'match' AS INTEGER)), 6) AS "match", round(avg(CAST(label = 'variant' AS INTEGER)), 6) AS variant, round(avg(CAST(label = 'error' AS INTEGER)), 6) AS error, round(avg(CAST(label = 'adapter' AS INTEGER)), 6) AS adapter FROM l""")
+def label_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _placed(spark, sf_dir)
+    consensus = F.when(F.col("pos_start") > 95, ".").when((F.col("site") + 1) % 29 == 0, F.translate("base", "ACGT", "GTAC")).otherwise(F.col("base"))
+    return _rounded(cp.label_shares(rows.select("op", F.col("base").alias("template"), consensus.alias("consensus"))), "match", "variant", "error", "adapter")
+
+
+@query(_SITES + """, m AS (SELECT contig, site FROM st WHERE top_alt >= 2 AND top_alt >= 0.3 * depth), o AS (SELECT q, op, source AS contig, site - 1 AS site FROM obs)
+SELECT CASE WHEN m.site IS NULL THEN 'kept' ELSE 'dropped' END AS side, q, count(*) AS bases, round(count(*) FILTER (op <> '=') / count(*), 6) AS mismatch_rate FROM o LEFT JOIN m ON o.contig = m.contig AND o.site = m.site GROUP BY ALL""")
+def quality_at_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(cp.quality_at_masks(_placed(spark, sf_dir), al.site_masks(al.sites(_piled(spark, sf_dir)), freq=0.3)), "mismatch_rate")
+
+
+@query(_SITES + """, m AS (SELECT contig, site FROM st WHERE top_alt >= 2 AND top_alt >= 0.3 * depth), k AS (SELECT contig FROM st GROUP BY contig HAVING avg(depth) >= 5)
+SELECT source AS contig, op, q, count(*) AS n FROM obs WHERE source IN (SELECT contig FROM k) AND NOT EXISTS (SELECT 1 FROM m WHERE m.contig = source AND m.site = obs.site - 1) GROUP BY ALL""")
+def masked_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = al.sites(_piled(spark, sf_dir))
+    return counted(al.unmasked(_placed(spark, sf_dir), al.site_masks(at, freq=0.3), al.contig_report(at, freq=0.3).filter("kept")), ["contig", "op", "q"])
+
+
+@query(_SITES + """, md AS (SELECT contig, median(depth) AS m FROM st GROUP BY contig), fl AS (SELECT contig, site, depth < 5 AS low, depth > 2 * m OR depth < m / 2 AS copies FROM st JOIN md USING (contig)),
+sub AS (SELECT read_id, source AS contig, CAST(site - 1 AS BIGINT) AS site, called AS allele FROM obs WHERE op <> '='), lk AS (SELECT a.contig, a.site AS x, b.site AS y FROM sub a JOIN sub b ON a.read_id = b.read_id AND a.contig = b.contig AND a.site < b.site GROUP BY a.contig, a.site, a.allele, b.site, b.allele HAVING count(*) >= 3),
+en AS (SELECT contig, x AS site FROM lk UNION SELECT contig, y FROM lk), al AS (SELECT * FROM fl WHERE low OR copies)
+SELECT contig, site, CASE WHEN low THEN 'low' WHEN copies THEN 'copies' ELSE 'linked' END AS reason FROM al FULL JOIN en USING (contig, site)""")
+def conservative_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = al.linked(_placed(spark, sf_dir).filter("op != '='").withColumnRenamed("called", "allele"))
+    return al.conservative(al.sites(_piled(spark, sf_dir)), links)
+
+
+@query(""", h AS (SELECT CAST(floor(20.0 * length(regexp_replace(seq, '[^GC]', '', 'g')) / length(seq)) AS INTEGER) * 5 AS lo FROM reads), b AS (SELECT least(lo, 95) AS lo FROM h) SELECT lo // 10 * 10 AS gc, count(*) AS n FROM b GROUP BY 1""")
+def gc_bins_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five per cent bins, pooled into ten per cent ones."""
+    share = F.length(F.regexp_replace("seq", "[^GC]", "")) * 20 / F.length("seq")
+    fine = counted(bridge.reads(spark, sf_dir).select(F.least(F.floor(share).cast("int") * 5, F.lit(95)).alias("gc")), ["gc"])
+    return counted(fine.select(gc_ten(F.col("gc"), F.col("gc") + 5).alias("gc"), "n"), ["gc"], "n")
+
+
+@query(" SELECT q, op, 2 AS mate, count(*) AS n FROM obs GROUP BY q, op")
+def table_with_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(_observed(spark, sf_dir), "q", "mate", "op").with_key("mate", 2).df
+
+
 # Exporters --------------------------------------------------------------------------------------------------------
 
 

@@ -43,14 +43,29 @@ def mutated(seq: str, divergence: float, rng: np.random.Generator, rules: Rules
 
 
 def haplotypes(root: str, n: int, identity: float, shape: str = "star", seed: int = 0, rules: Rules = Rules()) -> list[str]:
-    """n haplotypes that are pairwise about `identity` alike: all from the root (star), or each from a random earlier one (tree)."""
+    """n haplotypes, each about (1 - identity) / 2 away from the root, however they are related.
+
+    star: all are mutated from the root by themselves. tree: a random tree, all tips equally deep; what a branch changes all
+    tips beyond it have, so haplotypes are pairwise as alike as `identity` or more.
+    """
     rng = np.random.default_rng(seed)
     if shape not in ("star", "tree"):
         raise ValueError(f"unknown shape {shape!r}")
-    half = (1 - identity) / 2
-    out = [mutated(root, half, rng, rules)]
-    while len(out) < n:
-        out.append(mutated(root if shape == "star" else out[int(rng.integers(len(out)))], half, rng, rules))
+    depth = (1 - identity) / 2
+    if shape == "star":
+        return [mutated(root, depth, rng, rules) for _ in range(n)]
+    out = [""] * n
+    open_ = [(root, depth, list(range(n)))]
+    while open_:
+        seq, left, tips = open_.pop()
+        if len(tips) == 1:
+            out[tips[0]] = mutated(seq, left, rng, rules)
+            continue
+        down = left * rng.uniform(0.2, 0.8)
+        own = mutated(seq, down, rng, rules)
+        mixed = rng.permutation(tips).tolist()
+        at = int(rng.integers(1, len(tips)))
+        open_ += [(own, left - down, mixed[at:]), (own, left - down, mixed[:at])]
     return out
 
 

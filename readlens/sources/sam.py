@@ -133,11 +133,10 @@ def _aligned(row: dict, reference: str, unclip: bool) -> dict | None:
     cigar = "".join(f"{n}{op}" for n, op in merged)
     if unclip and before + behind:
         whole = end_to_end(reference, start, end, seq, before, behind)
-        if whole is None:
-            return None
-        alignment, low = whole
-        start, end, cigar, before, behind = low + alignment.start, low + alignment.end, alignment.cigar, 0, alignment.after
-        merged = [[int(n), op] for n, op in _PART.findall(cigar)]
+        if whole is not None:  # else a clipped end is none of the reference's, and the aligner's clip stays
+            alignment, low = whole
+            start, end, cigar, before, behind = low + alignment.start, low + alignment.end, alignment.cigar, 0, alignment.after
+            merged = [[int(n), op] for n, op in _PART.findall(cigar)]
     template = reference[start:end].upper()
     body, quality = seq[before : len(seq) - behind], qual[before : len(seq) - behind]
     clips = [qual[:before], qual[len(seq) - behind :]]

@@ -67,6 +67,12 @@ class CountTable:
         a, b = self.df.select(*self.fields, "n"), other.df.select(*self.fields, (-F.col("n")).alias("n"))
         return replace(self, df=counted(a.unionByName(b), list(self.fields), "n"))
 
+    def with_key(self, name: str, value: Column | Any) -> CountTable:
+        """The table with a key column set to a value, in place of one of that name or as the last; rows that become equal add up."""
+        fields = (*(f for f in self.fields if f != name), name)
+        own = self.df.withColumn(name, value if isinstance(value, Column) else F.lit(value))
+        return replace(self, df=counted(own, list(fields), "n"), fields=fields)
+
     def substitutions(self, indels: bool = False) -> CountTable:
         """Matches and substitutions alone, unless indels are asked for."""
         return self if indels else replace(self, df=self.df.filter("op = '=' or op not like '%-%'"))
