@@ -6,13 +6,15 @@ read stand in the read's direction.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..functions import revcomp
 from ..kernels import walk
 from ..table import CountTable, counted
 
@@ -88,28 +90,42 @@ def columns(df: DataFrame) -> DataFrame:
     return _input(df).mapInArrow(run, "read_id long, mate int, op string, pos int, q int, ref string, alt string")
 
 
+def _plain() -> Column:
+    """Whether an alignment is one run of M that fits its template, read and qualities, so that no walk is needed."""
+    size = F.length("sequence")
+    return F.coalesce((F.col("cigar") == F.concat(size.cast("string"), F.lit("M"))) & (F.length("template") == size) & (F.length("quality") == size), F.lit(False))
+
+
+def _walked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found: Counter[tuple[str, int, str]] = Counter()
+        for row, read in _reads(batch):
+            seen_gap = None
+            for op, t, r in walk.columns(read):
+                site = _site(row, t)
+                if op == "I":
+                    gap = site + 1 if row["reverse"] else site
+                    if gap != seen_gap:
+                        found[row["contig"], gap, "ins"] += 1
+                    seen_gap = gap
+                else:
+                    base = "del" if op == "D" else walk.revcomp(read.sequence[r]) if row["reverse"] else read.sequence[r]
+                    if base in ("A", "C", "G", "T", "del"):
+                        found[row["contig"], site, base] += 1
+        columns = [*zip(*found)] or [()] * 3
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.string()))), pa.array(found.values(), pa.int64())], names=["contig", "site", "allele", "n"])
+
+
 def pileup(df: DataFrame) -> DataFrame:
-    """(contig, site, allele, n) in the contig's direction: A, C, G, T, del, and ins for an insertion before the site."""
+    """(contig, site, allele, n) in the contig's direction: A, C, G, T, del, and ins for an insertion before the site.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row, read in _reads(batch):
-                seen_gap = None
-                for op, t, r in walk.columns(read):
-                    site = _site(row, t)
-                    if op == "I":
-                        gap = site + 1 if row["reverse"] else site
-                        if gap != seen_gap:
-                            out.append((row["contig"], gap, "ins"))
-                        seen_gap = gap
-                    else:
-                        base = "del" if op == "D" else walk.revcomp(read.sequence[r]) if row["reverse"] else read.sequence[r]
-                        if base in ("A", "C", "G", "T", "del"):
-                            out.append((row["contig"], site, base))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 3, (pa.string(), pa.int64(), pa.string()))], names=["contig", "site", "allele"])
-
-    return counted(_input(df).mapInArrow(run, "contig string, site long, allele string"), ["contig", "site", "allele"])
+    Reads without gaps are taken apart by built-ins, the others walked and added up within each batch.
+    """
+    own = F.when(F.col("reverse"), revcomp(F.col("sequence"))).otherwise(F.col("sequence"))
+    each = F.transform(F.sequence(F.lit(1), F.length("sequence")), lambda i: F.struct((F.col("start") + i - 1).alias("site"), F.substring(own, i, F.lit(1)).alias("allele")))
+    plain = df.filter(_plain() & (F.length("sequence") > 0)).select("contig", F.explode(each).alias("x")).select("contig", "x.*", F.lit(1).cast("long").alias("n")).filter(F.col("allele").isin(*"ACGT"))
+    gapped = _input(df).filter(~_plain()).mapInArrow(_walked, "contig string, site long, allele string, n long")
+    return counted(plain.unionByName(gapped), ["contig", "site", "allele"], "n")
 
 
 def sites(piled: DataFrame) -> DataFrame:

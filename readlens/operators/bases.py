@@ -75,3 +75,9 @@ def homopolymer_runs(rows: DataFrame, key: str = "read_id", at: str = "pos_start
     marked = rows.withColumn("__new", (F.col(base) != F.lag(base).over(order)).cast("int"))
     runs = marked.withColumn("__run", F.sum(F.coalesce("__new", F.lit(0))).over(order))
     return runs.groupBy(key, "__run", base).agg(F.min(at).alias("start"), F.count(F.lit(1)).alias("run")).drop("__run")
+
+
+def read_runs(reads: DataFrame) -> DataFrame:
+    """(base, run, n): homopolymer runs of whole reads by length, found within each read, without a shuffle of bases."""
+    runs = reads.select(F.explode(F.regexp_extract_all(F.upper("seq"), F.lit("(A+|C+|G+|T+)"), F.lit(1))).alias("s"))
+    return counted(runs.select(F.substring("s", 1, 1).alias("base"), F.length("s").alias("run")), ["base", "run"])

@@ -72,6 +72,10 @@ def alignments(df: DataFrame) -> DataFrame:
 
 
 def pairs(df: DataFrame) -> DataFrame:
-    """Full reads as mate pairs of 70 bases that overlap in 40."""
-    full = df.filter(F.length("seq") == WIDTH)
-    return full.select(F.col("read_id").alias("pair_id"), F.substring("seq", 1, 70).alias("r1"), F.slice("q", 1, 70).alias("q1"), revcomp(F.substring("seq", 31, 70)).alias("r2"), F.reverse(F.slice("q", 31, 70)).alias("q2"))
+    """All reads as mate pairs of seven tenths of their length each; the second mate has the substitutions of `called`."""
+    size = F.length("template")
+    m = F.floor(size * 7 / 10).cast("int")
+    return called(df).filter(m > 0).select(
+        F.col("read_id").alias("pair_id"), F.substring("template", F.lit(1), m).alias("r1"), F.slice("q", F.lit(1), m).alias("q1"),
+        revcomp(F.substring("seq", size - m + 1, m)).alias("r2"), F.reverse(F.slice("q", size - m + 1, m)).alias("q2"),
+    )

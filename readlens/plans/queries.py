@@ -129,8 +129,7 @@ def tile_of_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 runs AS (SELECT *, sum(new) OVER (PARTITION BY read_id ORDER BY pos_start) AS run_id FROM marked), each AS (SELECT read_id, run_id, base, count(*) AS run FROM runs GROUP BY ALL)
 SELECT base, run, count(*) AS n FROM each GROUP BY base, run""")
 def homopolymer_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = ba.homopolymer_runs(ba.bases(bridge.reads(spark, sf_dir)))
-    return runs.groupBy("base", "run").agg(F.count(F.lit(1)).alias("n"))
+    return ba.read_runs(bridge.reads(spark, sf_dir)).withColumn("run", F.col("run").cast("long"))
 
 
 # Count tables and evidence ---------------------------------------------------------------------------------------
@@ -405,30 +404,48 @@ def sketch_by_loci(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Overlaps, pileups ------------------------------------------------------------------------------------------------
 
-_PLACE = """, pr AS (SELECT read_id AS pair_id, substr(seq, 1, 70) AS a, substr(seq, 31, 70) AS b FROM reads WHERE length(seq) = 100), o AS (SELECT *, unnest(range(-50, 51)) AS o FROM pr),
-h AS (SELECT pair_id, o, 70 - abs(o) AS n, hamming(substr(a, 1 + greatest(o, 0), 70 - abs(o)), substr(b, 1 + greatest(-o, 0), 70 - abs(o))) AS d FROM o),
+_PLACE = """, pr AS (SELECT read_id AS pair_id, (7 * length(seq)) // 10 AS m, substr(seq, 1, (7 * length(seq)) // 10) AS a,
+  substr(array_to_string([CASE WHEN (i * 31 + read_id * 17) % 23 = 0 THEN translate(substr(seq, i, 1), 'ACGT', 'CGTA') ELSE substr(seq, i, 1) END FOR i IN range(1, length(seq) + 1)], ''), length(seq) - (7 * length(seq)) // 10 + 1) AS b FROM reads WHERE length(seq) >= 2),
+o AS (SELECT *, unnest(range(20 - m, m - 19)) AS o FROM pr), h AS (SELECT pair_id, o, m - abs(o) AS n, hamming(substr(a, 1 + greatest(o, 0), m - abs(o)), substr(b, 1 + greatest(-o, 0), m - abs(o))) AS d FROM o),
 top AS (SELECT pair_id, arg_min(o, (d / n, -n, o)) AS best FROM h GROUP BY pair_id),
-pl AS (SELECT pair_id, CAST(best AS INTEGER) AS "offset", CAST(max(CASE WHEN o = best THEN n END) AS INTEGER) AS overlap, CAST(max(CASE WHEN o = best THEN d END) AS INTEGER) AS mismatches, coalesce(bool_or(abs(o - best) > 3 AND d / n < 0.35), false) AS rival FROM h JOIN top USING (pair_id) GROUP BY pair_id, best)"""
-
-
-@query(_PLACE + ' SELECT pair_id, "offset", overlap, mismatches, rival FROM pl')
+pl AS (SELECT pair_id, CAST(any_value(best) AS INTEGER) AS "offset", CAST(max(CASE WHEN o = best THEN n END) AS INTEGER) AS overlap, CAST(max(CASE WHEN o = best THEN d END) AS INTEGER) AS mismatches, coalesce(bool_or(abs(o - best) > 3 AND d / n < 0.35), false) AS rival FROM h JOIN top USING (pair_id) GROUP BY pair_id),
+cn AS (SELECT pl.pair_id, "offset" AS o, overlap, mismatches, a, b, m FROM pl JOIN pr USING (pair_id) WHERE NOT rival AND mismatches >= 3), sh AS (SELECT unnest(range(-3, 4)) AS s),
+wr AS (SELECT pair_id, s, i, o, CASE WHEN i - o - s BETWEEN 0 AND m - 1 THEN CAST(substr(a, i + 1, 1) <> substr(b, i - o - s + 1, 1) AS INTEGER) ELSE 1 END AS x FROM (SELECT *, unnest(range(greatest(0, o), least(m, o + m))) AS i FROM cn), sh),
+cu AS (SELECT pair_id, s, i, sum(x) OVER (PARTITION BY pair_id, s ORDER BY i) - x AS pre, sum(x) OVER (PARTITION BY pair_id, s) AS total FROM wr),
+sp AS (SELECT z.pair_id, least(min(z.pre + y.total - y.pre), min(y.pre + z.total - z.pre)) AS best FROM cu z JOIN cu y ON y.pair_id = z.pair_id AND y.i = z.i AND z.s = 0 AND y.s <> 0 GROUP BY z.pair_id),
+pd AS (SELECT pair_id, "offset", coalesce(overlap, 0) AS overlap, coalesce(mismatches, 0) AS mismatches, coalesce(rival, false) AS rival,
+  CASE WHEN overlap IS NULL THEN 'no_overlap' WHEN NOT rival AND best <= mismatches - 3 AND best <= 0.2 * overlap THEN 'indel' WHEN rival OR mismatches / overlap > 0.2 THEN 'no_overlap' ELSE 'placed' END AS status FROM pr LEFT JOIN pl USING (pair_id) LEFT JOIN sp USING (pair_id))"""
+_BOTH = _PLACE + """, ql AS (SELECT read_id AS pair_id, list(q ORDER BY pos_start) AS q FROM bases GROUP BY read_id),
+ov AS (SELECT pr.*, "offset" AS o, reverse(translate(b, 'ACGT', 'TGCA')) AS r2, q[1:m] AS q1, list_reverse(q[len(q) - m + 1:]) AS q2, unnest(range(greatest(0, "offset"), greatest(0, "offset") + overlap)) AS p1 FROM pd JOIN pr USING (pair_id) JOIN ql USING (pair_id) WHERE status = 'placed'),
+bt AS (SELECT substr(a, p1 + 1, 1) AS b1, substr(b, p1 - o + 1, 1) AS b2, substr('.' || a || '.', p1 + 1, 3) AS context_1, substr('.' || r2 || '.', p2 + 1, 3) AS context_2, q1[p1 + 1] AS q_1, q2[p2 + 1] AS q_2,
+  CASE WHEN p1 > 0 THEN q1[p1] END AS q_m1_1, CASE WHEN p1 + 1 < m THEN q1[p1 + 2] END AS q_p1_1, CASE WHEN p2 > 0 THEN q2[p2] END AS q_m1_2, CASE WHEN p2 + 1 < m THEN q2[p2 + 2] END AS q_p1_2,
+  CAST(p1 + 1 AS INTEGER) AS pos_start_1, CAST(m - p1 AS INTEGER) AS pos_end_1, CAST(p2 + 1 AS INTEGER) AS pos_start_2, CAST(m - p2 AS INTEGER) AS pos_end_2,
+  CAST(10 * least(9, floor(10.0 * length(regexp_replace(a, '[^GC]', '', 'g')) / length(a))) AS INTEGER) AS gc FROM (SELECT *, m - 1 - (p1 - o) AS p2 FROM ov))"""
+
+
+def _mates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ov.placements(bridge.pairs(bridge.reads(spark, sf_dir)))
+
+
+@query(_PLACE + ' SELECT pair_id, status, "offset", CAST(overlap AS INTEGER) AS overlap, CAST(mismatches AS INTEGER) AS mismatches, rival FROM pd')
 def overlap_place(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ov.placements(bridge.pairs(bridge.reads(spark, sf_dir))).select("pair_id", "offset", "overlap", "mismatches", "rival")
+    return _mates(spark, sf_dir).select("pair_id", "status", "offset", "overlap", "mismatches", "rival")
 
 
-@query()
+@query(_PLACE + """ SELECT count(*) AS pairs, count(*) FILTER (status = 'no_overlap') AS no_overlap, count(*) FILTER (status = 'indel') AS indel, CAST(coalesce(sum(overlap - mismatches) FILTER (status = 'placed'), 0) AS BIGINT) AS agree, CAST(coalesce(sum(mismatches) FILTER (status = 'placed'), 0) AS BIGINT) AS disagree FROM pd""")
 def overlap_agree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ov.agreement(ov.placements(bridge.pairs(bridge.reads(spark, sf_dir))))
+    return ov.agreement(_mates(spark, sf_dir))
 
 
-@query()
+@query(_BOTH + """, e AS (SELECT q_1 AS q, q_m1_1 AS q_m1, q_p1_1 AS q_p1, context_1 AS context, pos_start_1 AS pos_start, pos_end_1 AS pos_end, 1 AS mate, '+' AS strand, gc FROM bt WHERE b1 = b2 UNION ALL SELECT q_2, q_m1_2, q_p1_2, context_2, pos_start_2, pos_end_2, 2, '-', gc FROM bt WHERE b1 = b2)
+SELECT *, '=' AS op, count(*) AS n FROM e GROUP BY ALL""")
 def overlap_certain_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ov.certain(ov.placements(bridge.pairs(bridge.reads(spark, sf_dir))).filter("status = 'placed'"), flank=(1, 1)).df
+    return ov.certain(_mates(spark, sf_dir).filter("status = 'placed'"), flank=(1, 1)).df
 
 
-@query()
+@query(_BOTH + " SELECT *, count(*) AS n FROM bt WHERE b1 <> b2 GROUP BY ALL")
 def overlap_disputed_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ov.disputed(ov.placements(bridge.pairs(bridge.reads(spark, sf_dir))).filter("status = 'placed'"), flank=(1, 1))
+    return ov.disputed(_mates(spark, sf_dir).filter("status = 'placed'"), flank=(1, 1))
 
 
 _SITES = """, pile AS (SELECT source AS contig, CAST(site - 1 AS BIGINT) AS site, called AS allele, count(*) AS n FROM obs GROUP BY ALL),
@@ -562,7 +579,7 @@ def art_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(""", m AS (SELECT read_id, CAST(floor(least(3, avg(q) / 10)) AS INTEGER) AS bin FROM bases GROUP BY read_id), c AS (SELECT bin, pos_start AS pos, least(q, 40) AS q, count(*) AS n FROM bases JOIN m USING (read_id) GROUP BY ALL)
 SELECT bin, pos, q, round(sum(n) OVER (PARTITION BY bin, pos ORDER BY q) / sum(n) OVER (PARTITION BY bin, pos), 6) AS cdf FROM c""")
 def iss_cdf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(ex.mean_quality_cdf(ba.bases(bridge.reads(spark, sf_dir))), "cdf")
+    return _rounded(ex.mean_quality_cdf(bridge.reads(spark, sf_dir)), "cdf")
 
 
 @query(""", calls AS (SELECT read_id, seq AS template, string_agg(called, '' ORDER BY pos_start) AS seq FROM obs GROUP BY read_id, seq),
@@ -577,7 +594,7 @@ def kmer_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(""", s AS (SELECT q AS state, lead(q) OVER (PARTITION BY read_id ORDER BY pos_start) AS following FROM bases), c AS (SELECT state, following, count(*) AS n FROM s WHERE following IS NOT NULL GROUP BY ALL)
 SELECT state, following, n, round(n / sum(n) OVER (PARTITION BY state), 6) AS share FROM c""")
 def quality_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(ex.chain(ba.bases(bridge.reads(spark, sf_dir))), "share")
+    return _rounded(ex.chain(bridge.reads(spark, sf_dir)), "share")
 
 
 @query(""" SELECT round(count(*) FILTER (op <> '=' AND op NOT LIKE '%-%') / count(*) FILTER (op <> '='), 6) AS sub, round(count(*) FILTER (op LIKE '-%') / count(*) FILTER (op <> '='), 6) AS ins, round(count(*) FILTER (op LIKE '%-') / count(*) FILTER (op <> '='), 6) AS del FROM obs""")

@@ -42,11 +42,11 @@ def read_art(text: str) -> dict[int, dict[int, float]]:
     return out
 
 
-def mean_quality_cdf(rows: DataFrame, bins: int = 4, top: int = 40) -> DataFrame:
-    """(bin, pos, q, cdf): quality distribution by position for reads in bins of their mean quality."""
-    mean = F.floor(F.least(F.lit(bins - 1), F.avg("q") / (top / bins))).cast("int")
-    binned = rows.join(rows.groupBy("read_id").agg(mean.alias("bin")), "read_id").select("bin", F.col("pos_start").alias("pos"), F.least("q", F.lit(top)).alias("q"))
-    n = counted(binned, ["bin", "pos", "q"])
+def mean_quality_cdf(reads: DataFrame, bins: int = 4, top: int = 40) -> DataFrame:
+    """(bin, pos, q, cdf): quality distribution by position for reads in bins of their mean quality, which is taken within the read."""
+    mean = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x) / F.size("q")
+    own = reads.filter(F.size("q") > 0).select(F.floor(F.least(F.lit(bins - 1), mean / (top / bins))).cast("int").alias("bin"), F.posexplode("q").alias("pos", "q"))
+    n = counted(own.select("bin", (F.col("pos") + 1).alias("pos"), F.least("q", F.lit(top)).alias("q")), ["bin", "pos", "q"])
     order = Window.partitionBy("bin", "pos")
     return n.select("bin", "pos", "q", (F.sum("n").over(order.orderBy("q")) / F.sum("n").over(order)).alias("cdf"))
 
@@ -64,11 +64,10 @@ def kmer_alternatives(pairs: DataFrame, k: int = 7, keep: int = 25) -> DataFrame
     return n.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= keep)
 
 
-def chain(rows: DataFrame) -> DataFrame:
-    """(state, following, n, share): transitions between a base's quality and the next one's."""
-    order = Window.partitionBy("read_id").orderBy("pos_start")
-    steps = rows.select(F.col("q").alias("state"), F.lead("q").over(order).alias("following")).filter("following is not null")
-    n = counted(steps, ["state", "following"])
+def chain(reads: DataFrame) -> DataFrame:
+    """(state, following, n, share): transitions between a base's quality and the next one's, paired within the read."""
+    both = F.arrays_zip(F.slice("q", F.lit(1), F.size("q") - 1).alias("state"), F.slice("q", F.lit(2), F.size("q") - 1).alias("following"))
+    n = counted(reads.filter(F.size("q") > 1).select(F.explode(both).alias("x")).select("x.*"), ["state", "following"])
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("state")))
 
 
