@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..functions import revcomp
 from ..kernels import walk
 from ..table import CountTable, counted
 
@@ -90,16 +90,42 @@ def columns(df: DataFrame) -> DataFrame:
     return _input(df).mapInArrow(run, "read_id long, mate int, op string, pos int, q int, ref string, alt string")
 
 
-def _plain() -> Column:
+_CODES = np.full(256, 4, np.uint8)
+_CODES[np.frombuffer(b"ACGT", np.uint8)] = range(4)
+_ALLELES = np.array(["A", "C", "G", "T"])
+
+
+def _counted_plain(rows: list[dict]) -> pa.RecordBatch:
+    """Alleles of reads without gaps, added up: all bases of the rows in a few array passes."""
+    own = [walk.revcomp(r["sequence"]) if r["reverse"] else r["sequence"] for r in rows]
+    size = np.array(list(map(len, own)), np.int64)
+    codes = _CODES[np.frombuffer("".join(own).encode("ascii", "replace"), np.uint8)]
+    names, contig = np.unique([r["contig"] for r in rows], return_inverse=True)
+    start = np.array([r["start"] for r in rows], np.int64)
+    site = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    low = int(start.min())
+    span = int((start + size).max()) - low
+    known = codes < 4
+    keys, n = np.unique(((np.repeat(contig, size) * span + site - low) * 4 + codes)[known], return_counts=True)
+    at = keys // 4
+    return pa.RecordBatch.from_arrays([pa.array(names[at // span], pa.string()), pa.array(at % span + low), pa.array(_ALLELES[keys % 4], pa.string()), pa.array(n)], names=["contig", "site", "allele", "n"])
+
+
+def _plain(row: dict) -> bool:
     """Whether an alignment is one run of M that fits its template, read and qualities, so that no walk is needed."""
-    size = F.length("sequence")
-    return F.coalesce((F.col("cigar") == F.concat(size.cast("string"), F.lit("M"))) & (F.length("template") == size) & (F.length("quality") == size), F.lit(False))
+    size = len(row["sequence"])
+    return size > 0 and row["cigar"] == f"{size}M" and len(row["template"]) == size == len(row["quality"])
 
 
 def _walked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        plain = batch.select(["contig", "start", "reverse", "template", "sequence", "quality", "cigar"]).to_pylist()
+        gapped = [k for k, row in enumerate(plain) if not _plain(row)]
+        if len(gapped) < len(plain):
+            left_out = set(gapped)
+            yield _counted_plain([row for k, row in enumerate(plain) if k not in left_out])
         found: Counter[tuple[str, int, str]] = Counter()
-        for row, read in _reads(batch):
+        for row, read in _reads(batch.take(pa.array(gapped, pa.int64()))):
             seen_gap = None
             for op, t, r in walk.columns(read):
                 site = _site(row, t)
@@ -119,21 +145,17 @@ def _walked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def pileup(df: DataFrame) -> DataFrame:
     """(contig, site, allele, n) in the contig's direction: A, C, G, T, del, and ins for an insertion before the site.
 
-    Reads without gaps are taken apart by built-ins, the others walked and added up within each batch.
+    Reads without gaps are added up as arrays, the others walked; what leaves a batch is one row an allele of a site.
     """
-    own = F.when(F.col("reverse"), revcomp(F.col("sequence"))).otherwise(F.col("sequence"))
-    each = F.transform(F.sequence(F.lit(1), F.length("sequence")), lambda i: F.struct((F.col("start") + i - 1).alias("site"), F.substring(own, i, F.lit(1)).alias("allele")))
-    plain = df.filter(_plain() & (F.length("sequence") > 0)).select("contig", F.explode(each).alias("x")).select("contig", "x.*", F.lit(1).cast("long").alias("n")).filter(F.col("allele").isin(*"ACGT"))
-    gapped = _input(df).filter(~_plain()).mapInArrow(_walked, "contig string, site long, allele string, n long")
-    return counted(plain.unionByName(gapped), ["contig", "site", "allele"], "n")
+    return counted(_input(df).mapInArrow(_walked, "contig string, site long, allele string, n long"), ["contig", "site", "allele"], "n")
 
 
 def sites(piled: DataFrame) -> DataFrame:
     """(contig, site, depth, top_alt): depth of the five alleles, and the count of the second of them."""
-    own = piled.filter("allele != 'ins'").groupBy("contig", "site").agg(F.sum("n").alias("depth"), F.sort_array(F.collect_list("n"), asc=False).alias("n"))  # five at most
-    ins = piled.filter("allele = 'ins'").select("contig", "site", F.col("n").alias("ins"))
-    second = F.coalesce(F.get("n", F.lit(1)), F.lit(0))
-    return own.join(ins, ["contig", "site"], "left").select("contig", "site", "depth", F.greatest(second, F.coalesce("ins", F.lit(0))).alias("top_alt"))
+    each = [F.coalesce(F.sum(F.when(F.col("allele") == x, F.col("n"))), F.lit(0)).alias(x) for x in ("A", "C", "G", "T", "del", "ins")]
+    own = piled.groupBy("contig", "site").agg(*each).withColumn("five", F.sort_array(F.array("A", "C", "G", "T", "del"), asc=False))
+    depth = F.aggregate("five", F.lit(0).cast("long"), lambda a, x: a + x)
+    return own.select("contig", "site", depth.alias("depth"), F.greatest(F.get("five", F.lit(1)), F.col("ins")).alias("top_alt")).filter("depth > 0")
 
 
 def site_masks(at: DataFrame, freq: float = 0.1, least: int = 2) -> DataFrame:

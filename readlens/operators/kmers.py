@@ -18,7 +18,7 @@ def _windows(seq: Column, width: int) -> Column:
 
 def kmers(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
     """(kmer, n): counts of canonical k-mers, the lesser of each window and its reverse complement; windows with other signs go."""
-    each = df.select(F.explode(_windows(F.upper(seq), k)).alias("w")).filter(F.col("w").rlike("^[ACGT]+$"))
+    each = df.select(F.upper(seq).alias("up")).select(F.explode(_windows(F.col("up"), k)).alias("w")).filter(F.col("w").rlike("^[ACGT]+$"))
     return each.groupBy(F.least("w", revcomp(F.col("w"))).alias("kmer")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -51,7 +51,9 @@ def pairs(df: DataFrame, k: int, v: int, seq: str = "seq", weight: Column | None
         starts = F.when(last > 0, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
         return F.transform(F.filter(starts, lambda i: picked(F.substring(s, i, F.lit(k)), c)), lambda i: F.substring(s, i, F.lit(k + v)))
 
-    rows = df.select(F.explode(F.concat(strand(up), strand(revcomp(up)))).alias("w"), (F.lit(1) if weight is None else weight).alias("weight"))
+    # Both strands are columns first: within the functions of each place they would be made anew for every place.
+    both = df.select(up.alias("up"), revcomp(up).alias("down"), (F.lit(1) if weight is None else weight).alias("weight"))
+    rows = both.select(F.explode(F.concat(strand(F.col("up")), strand(F.col("down")))).alias("w"), "weight")
     rows = rows.filter(F.col("w").rlike("^[ACGT]+$"))
     return rows.groupBy(F.substring("w", 1, k).alias("key"), F.substring("w", k + 1, v).alias("value")).agg(F.sum("weight").alias("n"))
 
