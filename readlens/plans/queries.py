@@ -608,6 +608,53 @@ def quality_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.remap(_table(_observed(spark, sf_dir), "q", "op").df)
 
 
+def _strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column strings of the bridge's alignments, made by built-ins, as nothing has a gap."""
+    wrong = lambda p: (p * 31 + F.col("read_id") * 17) % 23 == 0
+    own = F.transform(F.sequence(F.lit(1), F.size("q")), lambda p: F.when(wrong(p), "X").otherwise("="))
+    return bridge.reads(spark, sf_dir).select("read_id", F.array_join(own, "").alias("ops"), "q")
+
+
+_STRINGS = """, st AS (SELECT read_id, string_agg(CASE op WHEN '=' THEN '=' ELSE 'X' END, '' ORDER BY pos_start) AS ops, list(q ORDER BY pos_start) AS qs FROM obs GROUP BY read_id)"""
+
+
+@query(_STRINGS + """, w AS (SELECT ops, qs, k, unnest(range(1, length(ops) - k + 2)) AS j FROM st, (SELECT unnest([1, 3, 5, 7, 9]) AS k) WHERE length(ops) >= k),
+c AS (SELECT substr(ops, j, k) AS cigar, qs[j + k // 2] AS q, count(*) AS n FROM w GROUP BY ALL), t AS (SELECT cigar, sum(n) AS total FROM c GROUP BY cigar)
+SELECT cigar, q, n FROM c JOIN t USING (cigar) WHERE length(cigar) = 1 OR total >= 100 UNION ALL SELECT 'overall', q, CAST(sum(n) AS BIGINT) FROM c WHERE length(cigar) = 1 GROUP BY q""")
+def qscore_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without gaps there are fewer windows than the format's limit of 10,000, so the oracle doesn't rank them."""
+    return ex.qscore_model(_strings(spark, sf_dir))
+
+
+@query(" SELECT read_id, round(count(*) FILTER (op = '=') / count(*), 6) AS identity FROM obs GROUP BY read_id")
+def read_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ex.identities(_strings(spark, sf_dir)), "identity")
+
+
+_CHAIN = """, u AS (SELECT row_number() OVER (ORDER BY v) - 1 AS s, v FROM (SELECT DISTINCT v FROM x)), m AS (SELECT lag(s) OVER (PARTITION BY read_id ORDER BY pos_start) AS a, s AS b FROM x JOIN u USING (v))
+SELECT 'IP' AS kind, CAST(b AS INTEGER) AS state, CAST(NULL AS INTEGER) AS target, round(count(*) / sum(count(*)) OVER (), 6) AS p FROM m WHERE a IS NULL GROUP BY b
+UNION ALL SELECT 'TP', CAST(a AS INTEGER), CAST(b AS INTEGER), round(count(*) / sum(count(*)) OVER (PARTITION BY a), 6) FROM m WHERE a IS NOT NULL GROUP BY a, b """
+
+
+@query(", x AS (SELECT read_id, pos_start, q AS v FROM bases)" + _CHAIN + " UNION ALL SELECT 'EP', CAST(s AS INTEGER), v, 1.0 FROM u")
+def quality_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ex.quality_hmm(bridge.reads(spark, sf_dir)), "p")
+
+
+@query(", x AS (SELECT read_id, pos_start, CAST(op <> '=' AS INTEGER) AS v FROM obs), pl AS (SELECT v, count(*) AS n FROM x GROUP BY v)" + _CHAIN + """
+UNION ALL SELECT 'TP', g.s, v, round(n / sum(n) OVER (PARTITION BY g.s), 6) FROM pl, (SELECT unnest([2, 3]) AS s) g UNION ALL SELECT 'EP', s, s, 1.0 FROM (SELECT unnest([0, 1, 2, 3]) AS s)""")
+def error_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(ex.error_hmm(_strings(spark, sf_dir)), "p")
+
+
+@query(""", c AS (SELECT mate, pos_start AS pos, base, called AS alt, count(*) AS n FROM obs WHERE op <> '=' GROUP BY ALL)
+SELECT mate, pos, base, alt, round(n / sum(n) OVER (PARTITION BY mate, pos, base), 6) AS p FROM c""")
+def iss_substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _observed(spark, sf_dir).select("mate", F.lit("M").alias("op"), F.col("pos_start").alias("pos"), F.col("base").alias("ref"), F.col("called").alias("alt"))
+    tables = ex.mate_tables(counted(rows, ["mate", "op", "pos", "ref", "alt"]))
+    return _rounded(tables.filter("kind = 'sub'").drop("kind"), "p")
+
+
 # Gaps: the walk kernel on reads with a planted deletion and insertion -----------------------------------------------
 
 
@@ -626,6 +673,17 @@ def alignment_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(al.columns(_gapped(spark, sf_dir)), ["mate", "op", "pos", "ref", "alt"])
 
 
+@query(""", g AS (SELECT *, substr(seq, 1, 20) || substr(seq, 23, 18) || 'AC' || substr(seq, 41, 60) AS own FROM reads WHERE length(seq) = 100),
+c AS (SELECT read_id, mate, seq, own, unnest(range(1, 103)) AS i FROM g),
+k AS (SELECT *, CASE WHEN i IN (21, 22) THEN 'D' WHEN i IN (41, 42) THEN 'I' ELSE 'M' END AS op, CASE WHEN i <= 40 THEN i WHEN i > 42 THEN i - 2 END AS t, CASE WHEN i <= 20 THEN i WHEN i <= 22 THEN 21 ELSE i - 2 END AS pos FROM c),
+a AS (SELECT mate, pos, substr(seq, t, 1) AS base, count(*) AS there, count(*) FILTER (op = 'D') AS gone FROM k WHERE op <> 'I' GROUP BY ALL), p AS (SELECT mate, pos, sum(there) AS there FROM a GROUP BY ALL),
+i AS (SELECT mate, greatest(pos - 1, 1) AS pos, substr(own, pos, 1) AS base, count(*) AS n FROM k WHERE op = 'I' GROUP BY ALL)
+SELECT 'ins' AS kind, mate, CAST(pos AS INTEGER) AS pos, base, round(n / there, 6) AS p FROM i JOIN p USING (mate, pos) UNION ALL SELECT 'del', mate, CAST(pos AS INTEGER), base, round(gone / there, 6) FROM a WHERE gone > 0""")
+def iss_indel_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = counted(al.columns(_gapped(spark, sf_dir)), ["mate", "op", "pos", "ref", "alt"])
+    return _rounded(ex.mate_tables(columns).filter("kind <> 'sub'").drop("alt"), "p")
+
+
 @query(""", g AS (SELECT seq FROM reads WHERE length(seq) = 100), e AS (SELECT seq, 'D' AS indel, 21 AS t FROM g UNION ALL SELECT seq, 'I', 41 FROM g),
 b AS (SELECT *, substr(seq, t, 1) AS x FROM e), r AS (SELECT indel, length(regexp_extract(reverse(substr(seq, 1, t)), '^' || x || '+')) + length(regexp_extract(substr(seq, t), '^' || x || '+')) - 1 AS run FROM b)
 SELECT indel, 2 AS indel_length, CAST(run AS INTEGER) AS run, count(*) AS n FROM r GROUP BY ALL""")

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..kernels import walk
+from ..operators.alignments import _input, _reads
 from ..operators.kmers import _windows
 from ..table import counted
 
@@ -84,3 +89,131 @@ def remap(rows: DataFrame, top: int = 41) -> DataFrame:
     pooled = F.sum("e").over(Window.partitionBy()) / F.sum("n").over(Window.partitionBy())
     rate = (F.col("e") + 1) / (F.col("n") + 1 / pooled)
     return by.select("q", F.least(F.lit(top), F.greatest(F.lit(1), F.round(-10 * F.log10(rate)))).cast("int").alias("remapped"))
+
+
+# Tables over the column strings of alignments: = match, X substitution, I insertion, D deletion ------------------------
+
+
+def column_strings(df: DataFrame) -> DataFrame:
+    """(read_id, ops, q): each alignment's columns as a string, and the qualities of its read bases."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [(row["read_id"], walk.gapped(read)[2], [ord(c) - 33 for c in read.quality]) for row, read in _reads(batch)]
+            kinds = (pa.int64(), pa.string(), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*own)) or [()] * 3, kinds)], names=["read_id", "ops", "q"])
+
+    return _input(df).mapInArrow(run, "read_id long, ops string, q array<int>")
+
+
+def qscore_model(strings: DataFrame, widest: int = 9, deletions: int = 6, least: int = 100, most: int = 10_000) -> DataFrame:
+    """(cigar, q, n): qualities of the middle base of every odd window of read bases, by the window's columns.
+
+    strings: ops and q of column_strings. Longer runs of deletions count as `deletions`. `overall` has every base. Windows of more
+    than one column seen fewer than `least` times go, and of the rest the `most` frequent stay, by name among equals, and the three
+    single columns in any case; these limits are the format's. Reads without bases add nothing.
+    """
+    places = F.filter(F.sequence(F.lit(1), F.length("ops")), lambda i: F.substring("ops", i, F.lit(1)) != "D")
+    own = strings.filter(F.length("ops") > 0).select("ops", "q", places.alias("at"))
+
+    def windows(k: int):
+        def one(j):
+            start, end = F.get("at", j), F.get("at", j + (k - 1))
+            return F.struct(F.substring("ops", start, end - start + 1).alias("cigar"), F.get("q", j + k // 2).alias("q"))
+
+        return F.when(F.size("at") >= k, F.transform(F.sequence(F.lit(0), F.size("at") - k), one)).otherwise(F.array().cast("array<struct<cigar:string,q:int>>"))
+
+    every = F.concat(*(windows(k) for k in range(1, widest + 1, 2)))
+    raw = counted(own.select(F.explode(every).alias("w")).select("w.cigar", "w.q"), ["cigar", "q"])
+    n = counted(raw.select(F.regexp_replace("cigar", f"D{{{deletions + 1},}}", "D" * deletions).alias("cigar"), "q", "n"), ["cigar", "q"], "n")
+    single = F.length("cigar") == 1
+    totals = n.groupBy("cigar").agg(F.sum("n").alias("total"))
+    ranked = totals.filter(single | (F.col("total") >= least)).orderBy(F.desc("total"), "cigar").limit(most).select("cigar", F.lit(True).alias("kept"))
+    names = F.when(single, F.array("cigar", F.lit("overall"))).otherwise(F.array("cigar"))
+    kept = n.join(ranked, "cigar", "left").filter(single | F.col("kept"))
+    return counted(kept.select(F.explode(names).alias("cigar"), "q", "n"), ["cigar", "q"], "n")
+
+
+def identities(strings: DataFrame) -> DataFrame:
+    """(read_id, identity): the share of matches among an alignment's columns; 0 where it has none."""
+    same = F.length(F.regexp_replace("ops", "[^=]", ""))
+    return strings.select("read_id", (same / F.greatest(F.length("ops"), F.lit(1))).alias("identity"))
+
+
+def steps(tracks: DataFrame, states: str) -> DataFrame:
+    """(state, following, n): each place of the reads' state arrays with the one before it, which is null at a read's start."""
+    own = tracks.filter(F.size(states) > 0)
+    before = F.concat(F.array(F.lit(None).cast("int")), F.slice(states, F.lit(1), F.size(states) - 1))
+    both = F.arrays_zip(before.alias("state"), F.col(states).alias("following"))
+    return counted(own.select(F.explode(both).alias("x")).select("x.state", "x.following"), ["state", "following"])
+
+
+def _chained(moves: DataFrame, states: DataFrame) -> DataFrame:
+    """(kind, state, target, p): IP, shares of first states (no target), and TP, of those that follow; a state that nothing
+    follows has the shares of all places. At most as many rows as pairs of states."""
+    start = moves.filter("state is null").groupBy(F.col("following").alias("state")).agg(F.sum("n").alias("n"))
+    first = start.select(F.lit("IP").alias("kind"), "state", F.lit(None).cast("int").alias("target"), (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("p"))
+    seen = moves.filter("state is not null").groupBy("state", F.col("following").alias("target")).agg(F.sum("n").alias("n"))
+    places = moves.groupBy(F.col("following").alias("target")).agg(F.sum("n").alias("n")).agg(F.collect_list(F.struct("target", "n")).alias("all"))
+    unseen = states.join(seen, "state", "left_anti").select("state", F.explode(places.scalar()).alias("x")).select("state", "x.target", "x.n")
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("state"))
+    return first.unionByName(seen.unionByName(unseen).select(F.lit("TP").alias("kind"), "state", "target", share.alias("p")))
+
+
+def quality_hmm(reads: DataFrame, most: int = 50) -> DataFrame:
+    """(kind, state, target, p): a chain whose states are runs of neighbouring qualities, at most `most` and of sizes that differ
+    by one at most, the larger first. EP has the shares of a state's qualities (target). reads: q arrays."""
+    moves = steps(reads, "q")
+    values = moves.groupBy(F.col("following").alias("q")).agg(F.sum("n").alias("n"))  # no more rows than there are qualities
+    total = F.count(F.lit(1)).over(Window.partitionBy())
+    groups = F.least(total, F.lit(most))
+    size, larger = F.floor(total / groups), total % groups
+    rank = F.row_number().over(Window.orderBy("q")) - 1
+    placed = values.select("q", "n", rank.alias("rank"), size.alias("size"), larger.alias("larger"))
+    cut = F.col("larger") * (F.col("size") + 1)
+    state = F.when(F.col("rank") < cut, F.floor(F.col("rank") / (F.col("size") + 1))).otherwise(F.col("larger") + F.floor((F.col("rank") - cut) / F.col("size")))
+    of = placed.select("q", "n", state.cast("int").alias("s"))
+    lower = of.select(F.col("q").alias("state"), F.col("s").alias("from"))
+    upper = of.select(F.col("q").alias("following"), F.col("s").alias("to"))
+    grouped = moves.join(lower, "state", "left").join(upper, "following").groupBy(F.col("from").alias("state"), F.col("to").alias("following")).agg(F.sum("n").alias("n"))
+    emitted = of.select(F.lit("EP").alias("kind"), F.col("s").alias("state"), F.col("q").cast("int").alias("target"), (F.col("n") / F.sum("n").over(Window.partitionBy("s"))).alias("p"))
+    return _chained(grouped, of.select(F.col("s").alias("state")).distinct()).unionByName(emitted)
+
+
+def error_hmm(strings: DataFrame) -> DataFrame:
+    """(kind, state, target, p): a chain of columns, 0 match, 1 substitution, 2 insertion, 3 deletion; each state emits itself."""
+    codes = F.transform(F.split("ops", ""), lambda c: F.instr(F.lit("=XID"), c) - 1)
+    moves = steps(strings.filter(F.length("ops") > 0).select(codes.alias("states")), "states")
+    own = strings.sparkSession.range(4).select(F.col("id").cast("int").alias("state"))
+    return _chained(moves, own).unionByName(own.select(F.lit("EP").alias("kind"), "state", F.col("state").alias("target"), F.lit(1.0).alias("p")))
+
+
+def hmm_text(model: DataFrame, levels: Iterable[int] = range(1, 101)) -> str:
+    """The model's lines, whole rows with their zeros, once for each accuracy level."""
+    rows = model.collect()  # no more than most * 94 + most * most rows
+    n = 1 + max((r.state for r in rows), default=-1)
+    width = {"EP": 1 + max((r.target for r in rows if r.kind == "EP"), default=-1), "TP": n}
+    p = {(r.kind, r.state, r.target): r.p for r in rows}
+    lines = [f"IP {i + 1} {p.get(('IP', i, None), 0.0):.6e}" for i in range(n)]
+    for kind in ("EP", "TP"):
+        lines += [f"{kind} {i + 1} " + " ".join(f"{p.get((kind, i, j), 0.0):.6e}" for j in range(width[kind])) for i in range(n)]
+    return "".join(f"{level} {line}\n" for level in levels for line in lines)
+
+
+def mate_tables(columns: DataFrame) -> DataFrame:
+    """(kind, mate, pos, base, alt, p): what a template base is read as when substituted (sub, shares), and rates of an insertion
+    behind a place per base of any kind there (ins), and of a deletion per such base there (del).
+
+    columns: mate, op (M, I, D), pos, ref, alt and n, alignment columns added up. Bases other than A, C, G and T are left out.
+    """
+    known = F.col("base").isin(*"ACGT")
+    at = columns.filter("op <> 'I'").groupBy("mate", "pos", F.col("ref").alias("base")).agg(F.sum("n").alias("there"))
+    place = at.filter(known).groupBy("mate", "pos").agg(F.sum("there").alias("there"))
+    none = F.lit(None).cast("string")
+    sub = columns.filter("op = 'M' and ref <> alt").groupBy("mate", "pos", F.col("ref").alias("base"), "alt").agg(F.sum("n").alias("n")).filter(known & F.col("alt").isin(*"ACGT"))
+    subs = sub.select(F.lit("sub").alias("kind"), "mate", "pos", "base", "alt", (F.col("n") / F.sum("n").over(Window.partitionBy("mate", "pos", "base"))).alias("p"))
+    put = columns.filter("op = 'I'").groupBy("mate", F.greatest(F.col("pos") - 1, F.lit(1)).alias("pos"), F.col("alt").alias("base")).agg(F.sum("n").alias("n"))
+    ins = put.filter(known).join(place, ["mate", "pos"]).select(F.lit("ins").alias("kind"), "mate", "pos", "base", none.alias("alt"), (F.col("n") / F.col("there")).alias("p"))
+    gone = columns.filter("op = 'D'").groupBy("mate", "pos", F.col("ref").alias("base")).agg(F.sum("n").alias("n"))
+    dels = gone.filter(known).join(at, ["mate", "pos", "base"]).select(F.lit("del").alias("kind"), "mate", "pos", "base", none.alias("alt"), (F.col("n") / F.col("there")).alias("p"))
+    return subs.unionByName(ins).unionByName(dels)
