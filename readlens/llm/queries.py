@@ -8,11 +8,12 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, maxent, media, neardup, pii, tokencount, toxicity, urlfilter
+from . import ann, bpe, decontam, exponion, langid, maxent, media, neardup, pii, tokencount, toxicity, urlfilter
 
 MEDIA_WIDTH = 192
 TOKEN_LIMIT = 512
 SIMILARITY = 0.8
+NEAREST = 20
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
@@ -70,6 +71,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), toxic_fold)
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, NEAREST)
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exponion.cluster(_read(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_byte_bpe": op2_byte_bpe,
@@ -81,8 +90,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dup": op8_near_dup,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op11_nearest": op11_nearest,
+    "op12_clusters": op12_clusters,
 }
 
+
+
+def _clusters_sql(k: int = 8, rounds: int = 10) -> str:
+    """K-means as a chain of views: c0 has the first centroids, a0 the first assignment, c1 the centroids after it, and so on."""
+    parts = ["""
+kept AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64
+)""", f"""
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id), v) - 1 AS c, v FROM kept ORDER BY sha256('3:' || vec_id), v LIMIT {k}
+)"""]
+    for i in range(rounds + 1):
+        parts.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT r, any_value(vec_id) AS vec_id, any_value(kept.v) AS v,
+         min({{'d': CAST(list_sum(list_transform(list_zip(kept.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'c': c.c}}) AS near
+  FROM kept, c{i} c GROUP BY r
+)""")
+        if i < rounds:
+            parts.append(f"""
+c{i + 1} AS MATERIALIZED (
+  SELECT c.c, coalesce(m.v, c.v) AS v
+  FROM c{i} c LEFT JOIN (
+    SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY place) AS v
+    FROM (SELECT near.c AS c, place, sum(v[place]) AS s, count(*) AS n FROM a{i}, range(1, 65) p(place) GROUP BY ALL) GROUP BY c
+  ) m USING (c)
+)""")
+    return "WITH " + ",".join(parts) + f"""
+SELECT vec_id, CAST(near.c AS INTEGER) AS cluster, near.d AS distance, CAST(sum(near.d) OVER (PARTITION BY near.c) AS BIGINT) AS cluster_inertia,
+       CAST(sum(near.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.c = a.near.c
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_decontamination": r"""
 WITH d AS (
@@ -119,4 +165,5 @@ WITH parts AS (
 SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.action, 'allow') AS verdict
 FROM split s LEFT JOIN fits f USING (page_id)
 """,
+    "op12_clusters": _clusters_sql(),
 }
