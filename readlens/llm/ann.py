@@ -48,7 +48,7 @@ class Params:
     flood: float = 1.1
     degree: int = 16
     region_lists: int = 64
-    lane_rows: int = 65536
+    lane_rows: int = 16384
     block_rows: int = 16384
     query_rows: int = 256
     trial: int = 256
@@ -133,6 +133,30 @@ class Graph:
             yield rows[kept] + start, nodes[kept], d[kept]
 
 
+@dataclass(frozen=True)
+class Reading:
+    """Which lists a query reads: those within reach of its nearest, and farther ones while all together have fewer than `enough` rows."""
+
+    graph: Graph
+    sizes: np.ndarray
+    reach: float
+    least: float
+    flood: float
+    enough: int
+
+    def lists(self, x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, list) of all rows of x, in parts; every row is whole in one of them."""
+        open_, reach, wanted = np.arange(len(x)), self.reach, min(self.enough, self.sizes.sum())
+        while len(open_):
+            short = []
+            for rows, nodes, _ in self.graph.search(x[open_], reach, self.least, self.flood * reach):
+                full = np.bincount(rows, self.sizes[nodes], len(open_)) >= wanted
+                yield open_[rows[full[rows]]], nodes[full[rows]]
+                own = np.unique(rows)
+                short.append(own[~full[own]])
+            open_, reach = open_[np.concatenate(short)], reach * 1.5
+
+
 # Columns and batches
 
 
@@ -229,7 +253,7 @@ def search(df: DataFrame, id_column: str, column: str, is_query: Column, k: int,
     Ids are whole numbers. Rows without an id, and vectors that are null, empty, zero or not of finite numbers take no part,
     nor do vectors of another length than most have (of equally many, the smaller length). Repeated rows count once; an id on
     several vectors is several candidates and several queries, whose ranks stand under one id. Rows of a query's own id are
-    not its candidates. Ties go to the smaller id. Fewer candidates than k: all. No query or no candidate: no rows.
+    not its candidates (so an id on many vectors may find fewer than k). Ties go to the smaller id. Fewer candidates than k: all. No query or no candidate: no rows.
     Further columns, whatever their names, play no part.
     """
     spark = df.sparkSession
@@ -252,10 +276,12 @@ def search(df: DataFrame, id_column: str, column: str, is_query: Column, k: int,
     reach, least = _reach(lists, queries, graph, dim, k, how)
     if reach is None:
         return nothing
+    counted = lists.select(F.explode("lists").alias("list")).groupBy("list").count().toArrow()  # at most max_lists rows
+    sizes = np.bincount(counted["list"].to_numpy(), counted["count"].to_numpy(), len(graph.points))
     lanes, blocks = _blocks(lists, stages, how)
     stages.drop(lists)
     stages.tidy()
-    found = _scan(blocks, lanes, queries, spark.sparkContext.broadcast((graph, reach, least)), dim, k, how)
+    found = _scan(blocks, lanes, queries, spark.sparkContext.broadcast(Reading(graph, sizes, reach, least, how.flood, how.copies * (k + 1))), dim, k, how)
     rank = F.dense_rank().over(Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id"))
     ranked = found.withColumn("rank", rank).filter(F.col("rank") <= k).dropDuplicates(["query_id", "h", "rank", "vec_id"])
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -313,8 +339,8 @@ def _reach(lists: DataFrame, queries: DataFrame, graph: Graph, dim: int, k: int,
     ids, q = trial["id"].to_numpy(), _matrix(trial["v"], dim)
     x = _asked(q)
     d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + graph.squares - 2 * x @ graph.points.T, 0))
-    least = float(np.median(d.min(1))) / 2
-    ratio = d / np.maximum(np.maximum(d.min(1), least), 1e-12)[:, None]
+    least = max(float(np.median(d.min(1))) / 2, 1e-6)
+    ratio = d / np.maximum(d.min(1), least)[:, None]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -352,16 +378,15 @@ def _blocks(lists: DataFrame, stages: Stages, how: Params) -> tuple[DataFrame, D
     return lanes, stages.write(_packed(dealt.withColumnsRenamed({"id": "ids", "v": "vs"}), ["region", "lane"], how.block_rows, schema), "blocks")
 
 
-def _scan(blocks: DataFrame, lanes: DataFrame, queries: DataFrame, index, dim: int, k: int, how: Params) -> DataFrame:
+def _scan(blocks: DataFrame, lanes: DataFrame, queries: DataFrame, reading, dim: int, k: int, how: Params) -> DataFrame:
     """(query_id, h, vec_id, score) of each query's k best vectors in every block of a region that it reads lists of.
 
     A region's queries, in chunks, are sent to each of its lanes.
     """
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph, reach, least = index.value
         for batch in batches:
-            for rows, nodes, _ in graph.search(_asked(_matrix(batch["v"], dim)), reach, least, how.flood * reach):
+            for rows, nodes in reading.value.lists(_asked(_matrix(batch["v"], dim))):
                 yield _by_region(batch, rows, nodes, how, ["region", "query_ids", "hs", "qs", "asked"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
