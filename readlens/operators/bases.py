@@ -60,6 +60,19 @@ def profile(reads: DataFrame, order: int = 1, flank: tuple[int, int] = (2, 2)) -
     }
 
 
+def profile_axes(reads: DataFrame, by: tuple[str, ...] = (), flank: tuple[int, int] = (1, 1)) -> DataFrame:
+    """(by, axis, value, q, n): qualities by position, by the quality before and by context, in one pass over the bases.
+
+    Bases are added up by all covariates first, so the three groupings see few rows. A read's first base has no quality
+    before it and is left out of that axis, as are bases without a quality of all.
+    """
+    fields = [*by, "pos_start", "q_m1", "context", "q"]
+    cells = counted(bases(reads, before=1, flank=flank, carry=by).filter("q is not null"), fields)
+    axis = {"position": F.col("pos_start").cast("string"), "transition": F.col("q_m1").cast("string"), "context": F.col("context")}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("axis"), v.alias("value")) for k, v in axis.items())))
+    return counted(cells.select(*by, each.alias("a"), "q", "n").select(*by, "a.axis", "a.value", "q", "n").filter("value is not null"), [*by, "axis", "value", "q"], "n")
+
+
 def lag_moments(rows: DataFrame, x: str = "q_m1", y: str = "q") -> DataFrame:
     """n and the five sums of a lag's correlation, and the correlation (null where one side doesn't vary)."""
     pairs = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))

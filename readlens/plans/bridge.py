@@ -45,7 +45,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, read_id, chunk, mate, seq, q."""
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
+    return cut(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")))
+
+
+def cut(docs: DataFrame) -> DataFrame:
+    """The reads of documents (doc_id, source, text). A text that is null or has no letter has none, and without a doc_id reads have no read_id and no qualities."""
     raw = docs.select("doc_id", "source", F.regexp_replace(F.translate("text", _LETTERS, _BASES), "[^ACGT]", "").alias("s")).filter(F.length("s") > 0)
     cut = raw.select("doc_id", "source", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor((F.length("s") - 1) / WIDTH)), lambda i: F.substring("s", (i * WIDTH + 1).cast("int"), F.lit(WIDTH)))).alias("chunk", "seq"))
     numbered = cut.withColumn("read_id", F.col("doc_id") * 100000 + F.col("chunk"))
@@ -71,11 +75,11 @@ def alignments(df: DataFrame) -> DataFrame:
     )
 
 
-def pairs(df: DataFrame) -> DataFrame:
-    """All reads as mate pairs of seven tenths of their length each; the second mate has the substitutions of `called`."""
+def pairs(df: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """All reads as mate pairs of seven tenths of their length each; the second mate has the substitutions of `called`. carry: further columns."""
     size = F.length("template")
     m = F.floor(size * 7 / 10).cast("int")
     return called(df).filter(m > 0).select(
         F.col("read_id").alias("pair_id"), F.substring("template", F.lit(1), m).alias("r1"), F.slice("q", F.lit(1), m).alias("q1"),
-        revcomp(F.substring("seq", size - m + 1, m)).alias("r2"), F.reverse(F.slice("q", size - m + 1, m)).alias("q2"),
+        revcomp(F.substring("seq", size - m + 1, m)).alias("r2"), F.reverse(F.slice("q", size - m + 1, m)).alias("q2"), *carry,
     )

@@ -415,8 +415,10 @@ cu AS (SELECT pair_id, s, i, sum(x) OVER (PARTITION BY pair_id, s ORDER BY i) -
 sp AS (SELECT z.pair_id, least(min(z.pre + y.total - y.pre), min(y.pre + z.total - z.pre)) AS best FROM cu z JOIN cu y ON y.pair_id = z.pair_id AND y.i = z.i AND z.s = 0 AND y.s <> 0 GROUP BY z.pair_id),
 pd AS (SELECT pair_id, "offset", coalesce(overlap, 0) AS overlap, coalesce(mismatches, 0) AS mismatches, coalesce(rival, false) AS rival,
   CASE WHEN overlap IS NULL THEN 'no_overlap' WHEN NOT rival AND best <= mismatches - 3 AND best <= 0.2 * overlap THEN 'indel' WHEN rival OR mismatches / overlap > 0.2 THEN 'no_overlap' ELSE 'placed' END AS status FROM pr LEFT JOIN pl USING (pair_id) LEFT JOIN sp USING (pair_id))"""
-_BOTH = _PLACE + """, ql AS (SELECT read_id AS pair_id, list(q ORDER BY pos_start) AS q FROM bases GROUP BY read_id),
-ov AS (SELECT pr.*, "offset" AS o, reverse(translate(b, 'ACGT', 'TGCA')) AS r2, q[1:m] AS q1, list_reverse(q[len(q) - m + 1:]) AS q2, unnest(range(greatest(0, "offset"), greatest(0, "offset") + overlap)) AS p1 FROM pd JOIN pr USING (pair_id) JOIN ql USING (pair_id) WHERE status = 'placed'),
+#: A row of each base that both mates of a placed pair read: pair_id, p1 on the first mate, m and o; q1 and q2.
+PLACED_BASES = _PLACE + """, ql AS (SELECT read_id AS pair_id, list(q ORDER BY pos_start) AS q FROM bases GROUP BY read_id),
+ov AS (SELECT pr.*, "offset" AS o, reverse(translate(b, 'ACGT', 'TGCA')) AS r2, q[1:m] AS q1, list_reverse(q[len(q) - m + 1:]) AS q2, unnest(range(greatest(0, "offset"), greatest(0, "offset") + overlap)) AS p1 FROM pd JOIN pr USING (pair_id) JOIN ql USING (pair_id) WHERE status = 'placed')"""
+_BOTH = PLACED_BASES + """,
 bt AS (SELECT substr(a, p1 + 1, 1) AS b1, substr(b, p1 - o + 1, 1) AS b2, substr('.' || a || '.', p1 + 1, 3) AS context_1, substr('.' || r2 || '.', p2 + 1, 3) AS context_2, q1[p1 + 1] AS q_1, q2[p2 + 1] AS q_2,
   CASE WHEN p1 > 0 THEN q1[p1] END AS q_m1_1, CASE WHEN p1 + 1 < m THEN q1[p1 + 2] END AS q_p1_1, CASE WHEN p2 > 0 THEN q2[p2] END AS q_m1_2, CASE WHEN p2 + 1 < m THEN q2[p2 + 2] END AS q_p1_2,
   CAST(p1 + 1 AS INTEGER) AS pos_start_1, CAST(m - p1 AS INTEGER) AS pos_end_1, CAST(p2 + 1 AS INTEGER) AS pos_start_2, CAST(m - p2 AS INTEGER) AS pos_end_2,
