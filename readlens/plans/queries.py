@@ -779,17 +779,26 @@ def kmer_em(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(c, float(x)) for c, x in zip(contexts, p[:, 0])], "context string, p_match double")
 
 
-@query(""", c AS (SELECT q, pos_start, count(*) AS n FROM obs GROUP BY ALL), mq AS (SELECT q, count(*) AS m FROM obs WHERE op <> '=' GROUP BY q), mp AS (SELECT pos_start, count(*) AS m FROM obs WHERE op <> '=' GROUP BY pos_start)
-SELECT q, CAST(sum(m) AS BIGINT) AS errors FROM mq GROUP BY q""")
+def _ipf_sql(rounds: int) -> str:
+    """Errors of cells of quality and position from the margins' product, scaled to qualities and then to positions, so many rounds."""
+    parts = [""", c AS (SELECT q, pos_start AS pos, count(*) AS n, count(*) FILTER (op <> '=') AS x FROM obs GROUP BY ALL),
+mq AS (SELECT q, sum(x) AS want, sum(n) AS n FROM c GROUP BY q), mp AS (SELECT pos, sum(x) AS want, sum(n) AS n FROM c GROUP BY pos), lv AS (SELECT sum(want) AS level FROM mq),
+s0 AS (SELECT q, pos, c.n, c.n * (mq.want / mq.n) * (mp.want / mp.n) AS e FROM c JOIN mq USING (q) JOIN mp USING (pos)), e0 AS (SELECT * REPLACE (e * (SELECT level FROM lv) / (SELECT sum(e) FROM s0) AS e) FROM s0)"""]
+    for i in range(rounds):
+        parts.append(f"""h{i} AS (SELECT s.* REPLACE (coalesce(s.e * want / nullif(sum(s.e) OVER (PARTITION BY s.q), 0), 0) AS e) FROM e{i} s JOIN mq USING (q)),
+e{i + 1} AS (SELECT s.* REPLACE (coalesce(s.e * want / nullif(sum(s.e) OVER (PARTITION BY s.pos), 0), 0) AS e) FROM h{i} s JOIN mp USING (pos))""")
+    return ", ".join(parts) + f" SELECT q, pos AS pos_start, round(least(e, n), 6) AS errors FROM e{rounds}"
+
+
+@query(_ipf_sql(3))
 def ipf_rake(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(q, errors): errors by quality of the raked table of quality and position; raking meets the margins, which the oracle states."""
-    import numpy as np
-
+    """(q, pos_start, errors): a table of quality and position raked to its margins, three rounds, which is what SQL can follow."""
     table = _table(_observed(spark, sf_dir), "q", "pos_start", "op").exposure("q", "pos_start").toArrow().to_pandas()
     cells = table.pivot(index="q", columns="pos_start", values="n").fillna(0)
     wrong = table.pivot(index="q", columns="pos_start", values="errors").fillna(0)
-    raked = rake.ipf(cells.to_numpy(float), {0: wrong.sum(axis=1).to_numpy(float), 1: wrong.sum(axis=0).to_numpy(float)})
-    return spark.createDataFrame([(int(q), int(e)) for q, e in zip(cells.index, np.round(raked.sum(axis=1)))], "q int, errors long")
+    raked = rake.ipf(cells.to_numpy(float), {0: wrong.sum(axis=1).to_numpy(float), 1: wrong.sum(axis=0).to_numpy(float)}, rounds=3)
+    rows = [(int(q), int(p), float(raked[i, j])) for i, q in enumerate(cells.index) for j, p in enumerate(cells.columns) if cells.iat[i, j]]
+    return _rounded(spark.createDataFrame(rows, "q int, pos_start int, errors double"), "errors")
 
 
 @query()
@@ -810,3 +819,6 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An extra beside the read analytics: the batch form of the streaming count table."""
     rows = sc.windowed(spark.read.parquet(f"{sf_dir}/events.parquet"))
     return _rounded(rows.withColumn("start", F.col("start").cast("timestamp_ntz")), "value", digits=4)
+
+
+from . import loci_queries  # noqa: E402, F401  registers the k-mer source's queries
