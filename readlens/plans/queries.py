@@ -14,7 +14,7 @@ from ..operators import compare as cp
 from ..operators import evidence as ev
 from ..operators import kmers as km
 from ..kernels import realign as ra
-from ..models import em, rake
+from ..models import rake
 from ..models.heads import Head, Penalty
 from ..operators import overlap as ov
 from ..operators import sketch as sk
@@ -736,49 +736,6 @@ def fit_head_q(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(int(r["q_m1"]), q, float(r[q] / r["n"])) for _, r in out.iterrows() for q in bridge.QUALITIES], "q_m1 int, q int, p double")
 
 
-def _called_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs whose second mate has the planted substitutions where its quality is the lowest one, and only there."""
-    called = bridge.called(bridge.reads(spark, sf_dir)).filter(F.length("seq") == bridge.WIDTH)
-    base = lambda c, p: F.substring(c, p, F.lit(1))
-    own = F.array_join(F.transform(F.sequence(F.lit(31), F.lit(100)), lambda p: F.when(F.get("q", p - 1) == bridge.QUALITIES[0], base("seq", p)).otherwise(base("template", p))), "")
-    return called.select(F.col("read_id").alias("pair_id"), F.substring("template", 1, 70).alias("r1"), F.transform(F.slice("q", 1, 70), lambda q: F.greatest(q, F.lit(bridge.QUALITIES[1]))).alias("q1"), revcomp(own).alias("r2"), F.reverse(F.slice("q", 31, 70)).alias("q2"))
-
-
-@query()
-def overlap_em(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(q_1, q_2, n, first_right): how often the model thinks that mate 1 is right where the mates differ (it always is, and its qualities are higher)."""
-    placed = ov.placements(_called_pairs(spark, sf_dir)).filter("status = 'placed'").persist()
-    try:
-        certain, disputed = ov.certain(placed, m=0, flank=(1, 1)), ov.disputed(placed, m=0, flank=(1, 1))
-        small = certain.marginal("q", "context", "pos_start", "pos_end", "op")
-        fitted = em.overlap(small, disputed, ["QualityWindow(0)", "Context(1,1)"], bridge.QUALITIES, m=0, flank=1)
-        d = disputed.toArrow().to_pandas().assign(w=fitted.first_right)
-    finally:
-        placed.unpersist()
-    d["w"] *= d["n"]
-    out = d.groupby(["q_1", "q_2"], as_index=False)[["n", "w"]].sum()
-    return spark.createDataFrame(out.assign(first_right=out["w"] / out["n"])[["q_1", "q_2", "n", "first_right"]]) if len(out) else spark.createDataFrame([], "q_1 int, q_2 int, n long, first_right double")
-
-
-@query()
-def kmer_em(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(context, p_match): chances by context from the sketch's neighbours, whose edits' places are hidden."""
-    import numpy as np
-    import pandas as pd
-
-    counts, best = _sketch(spark, sf_dir)
-    near = km.neighbours(counts, best, V)
-    places = F.filter(F.sequence(F.lit(1), F.lit(V)), lambda i: F.substring("value", i, F.lit(1)) != F.substring("consensus", i, F.lit(1)))
-    one = near.withColumn("at", places).filter(F.size("at") == 1).withColumn("i", F.get("at", F.lit(0)))
-    ops = one.groupBy("key", F.concat(F.substring("consensus", F.col("i"), F.lit(1)), F.lit(">"), F.substring("value", F.col("i"), F.lit(1))).alias("op")).agg(F.sum("n").alias("n"))
-    wide = ops.groupBy("key").pivot("op", [f"{a}>{b}" for a in "ACGT" for b in "ACGT" if a != b]).sum("n").na.fill(0)
-    loci = best.select("key", F.col("consensus").alias("value"), F.col("consensus_count").alias("exposure")).join(wide, "key", "left").na.fill(0).toArrow().to_pandas()
-    fitted = em.kmer(loci, K, V)
-    contexts = sorted({t[K + i - 1 : K + i + 2] for t in (loci["key"] + loci["value"] + ".") for i in range(V)})
-    p = np.exp(fitted.head.log_probabilities(pd.DataFrame({"q": 0, "context": contexts})))
-    return spark.createDataFrame([(c, float(x)) for c, x in zip(contexts, p[:, 0])], "context string, p_match double")
-
-
 def _ipf_sql(rounds: int) -> str:
     """Errors of cells of quality and position from the margins' product, scaled to qualities and then to positions, so many rounds."""
     parts = [""", c AS (SELECT q, pos_start AS pos, count(*) AS n, count(*) FILTER (op <> '=') AS x FROM obs GROUP BY ALL),
@@ -821,4 +778,4 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(rows.withColumn("start", F.col("start").cast("timestamp_ntz")), "value", digits=4)
 
 
-from . import loci_queries  # noqa: E402, F401  registers the k-mer source's queries
+from . import em_queries, loci_queries  # noqa: E402, F401  they register theirs

@@ -2,15 +2,16 @@
 
 import math
 import random
+import warnings
 
 import numpy as np
 import pandas as pd
 import pytest
 
-from readlens.kernels import lbfgs, realign, walk
+from readlens.kernels import newton, realign, walk
 from readlens.kernels.place import Rules, place_all
-from readlens.models import rake
-from readlens.models.heads import Head, Penalty
+from readlens.models import rake, spread
+from readlens.models.heads import Design, Head, Penalised, Penalty
 from readlens.models.spec import Component, ModelSpec, SpecError, Token
 
 
@@ -118,7 +119,12 @@ def test_optimiser_solves_a_quadratic():
     rng = np.random.default_rng(0)
     a = rng.normal(size=(20, 20))
     a, b = a @ a.T + np.eye(20), rng.normal(size=20)
-    found = lbfgs.minimise(lambda x: (0.5 * x @ a @ x - b @ x, a @ x - b), np.zeros(20))
+    class Quadratic:
+        value = staticmethod(lambda x: (0.5 * x @ a @ x - b @ x, a @ x - b))
+        product = staticmethod(lambda x, v: a @ v)
+        diagonal = staticmethod(lambda x: np.diag(a))
+
+    found = newton.minimise(Quadratic, np.zeros(20))
     assert found.converged and np.abs(found.x - np.linalg.solve(a, b)).max() < 1e-4
 
 
@@ -144,6 +150,55 @@ def test_head_gradient_and_fit():
         Head("E", ["Mate"], alphabet, (1, 1), 10)
 
 
+def test_objective_derivatives_and_a_separable_fit():
+    """Gradient and curvature by differences; and a table where errors are sure by context still converges, to a small gradient."""
+    rng = np.random.default_rng(3)
+    alphabet = (2, 12, 23, 37)
+    rows = pd.DataFrame({"q": rng.choice(alphabet, 60), "context": ["".join(x) for x in rng.choice(list("ACGT"), (60, 3))], "mate": rng.integers(1, 3, 60)})
+    counts = np.zeros((60, 10))
+    counts[:, 0] = rng.integers(1000, 500_000, 60)
+    counts[np.arange(60), 1 + np.array(["CGTA".index(c[1]) for c in rows["context"]])] = rng.integers(1, 20_000, 60)
+    counts[np.arange(60), 1 + np.array(["ACGT".index(c[1]) for c in rows["context"]])] = 0
+    head = Head("E", ["QualityWindow(0)", "Context(1,1)", "Mate"], alphabet, (1, 1), 10)
+    blocks = head.design(rows, True)
+    data = Design(np.concatenate([b.places for b in blocks], axis=1), np.concatenate([b.values for b in blocks], axis=1), head._mask(rows), counts)
+    size = blocks[-1].first + blocks[-1].size
+    f = Penalised(data, Penalty(1.0, 0.5, 30.0), size, 10, blocks[0].size, head._curvature(), True)
+    x, v = rng.normal(size=size * 10) / 5, rng.normal(size=size * 10)
+    h = 1e-5
+    (up, g_up), (down, g_down) = f.value(x + h * v), f.value(x - h * v)
+    assert (up - down) / (2 * h) == pytest.approx(f.value(x)[1] @ v, rel=1e-5)
+    assert np.allclose((g_up - g_down) / (2 * h), f.product(x, v), rtol=1e-3, atol=1e-2 * np.abs(f.product(x, v)).max())
+    for i in rng.choice(size * 10, 5):
+        assert f.product(x, np.eye(size * 10)[i])[i] == pytest.approx(f.diagonal(x)[i], rel=1e-6)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        found = head.fit(rows, counts, Penalty(smooth=30.0))
+    value, grad = Penalised(data, Penalty(smooth=30.0), size, 10, blocks[0].size, head._curvature(), True).value(found.x)
+    assert found.converged and np.abs(grad).max() <= 1e-7 * value
+
+
+@pytest.mark.parametrize("kind", ["E", "Q"])
+def test_spread_fit_and_scores_equal_the_local_ones(spark, kind):
+    rng = np.random.default_rng(4)
+    n, alphabet = 3000, (2, 12, 37)
+    context = ["".join(x) for x in rng.choice(list("ACGT"), (n, 3))]
+    op = ["=" if rng.random() < 0.9 else c[1] + ">" + "CGTA"["ACGT".index(c[1])] for c in context]
+    start = rng.integers(1, 30, n)
+    table = pd.DataFrame({"q": rng.choice(alphabet, n), "q_m1": [None if s == 1 else int(rng.choice(alphabet)) for s in start], "context": context, "pos_start": start, "pos_end": 31 - start, "mate": rng.integers(1, 3, n), "op": op, "n": rng.integers(1, 9, n)})
+    df = spark.createDataFrame(table.astype({"q_m1": "Int64"}).astype(object).where(table.notna(), None).values.tolist(), "q int, q_m1 int, context string, pos_start int, pos_end int, mate int, op string, n long")
+    tokens = ["QualityWindow(0)", "Context(1,1)", "Position(4)"] if kind == "E" else ["QualityMarkov(1)", "Position(4)", "Mate"]
+    local, far = (Head(kind, tokens, alphabet, (1, 1), 30) for _ in range(2))
+    spread.fit(df, local)
+    found = spread.fit(df, far, most=10)
+    assert found.converged and np.allclose(local.theta, far.theta, atol=1e-3)
+    rows = spread.scored(df, local).select(*local.fields(), "logp").toPandas()
+    assert np.allclose(np.stack(rows["logp"].to_numpy()), local.log_probabilities(rows))
+    gathered = Head(kind, tokens, alphabet, (1, 1), 30)
+    gathered.fit(*gathered.gather(df))
+    assert np.allclose(gathered.theta, local.theta, atol=1e-3)
+
+
 def test_spec_round_trip(tmp_path):
     spec = ModelSpec((2, 12), "reference", [Component("QualityMarkov(1)", {"weights": np.ones((4, 2))})], [Component("QualityWindow(0)", {"weights": np.zeros((4, 10))})], {"rate": np.array([0.5])}, {"reads": 3})
     spec.save(str(tmp_path / "m"))
