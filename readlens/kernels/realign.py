@@ -1,14 +1,15 @@
-"""Global affine-gap alignment of a read to a template, in rows of numpy, with gaps as far left as they go."""
+"""Affine-gap alignment of a read to a template, in rows of numpy, within a band that is widened until it is safe."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 
-from .walk import encode, parts
+from .walk import encode, parts, revcomp
 
-_FAR = -(1 << 40)
+#: Less than any score, and twice of it still fits.
+_FAR = -(1 << 29)
 
 
 @dataclass(frozen=True)
@@ -30,58 +31,139 @@ class Alignment:
     after: int
 
 
-def align(template: str, read: str, scores: Scores = Scores(), free_ends: bool = False) -> Alignment:
+def align(template: str, read: str, scores: Scores = Scores(), free_ends: bool = False, band: int = 64) -> Alignment:
     """free_ends: template bases before and after the read cost nothing.
 
-    Rows are template bases, columns read bases. A deletion moves down a column, so whole rows are computed at once; an
-    insertion moves along the row, and as it is linear in its length a running maximum gives it for the row.
+    Cells further than a band from the diagonals that gapless alignments use are left out. A way through them has gaps so
+    long that its score is bounded; unless what was found is better than that bound, the band is doubled, so the result is
+    the best of all. Where scores tie, matches go last, so gaps are as far left as they go, and gaps stay whole.
     """
     a, b = np.frombuffer(template.encode(), np.uint8), np.frombuffer(read.encode(), np.uint8)
     n, m = len(a), len(b)
-    best = np.full((n + 1, m + 1), _FAR, np.int64)
-    gone = np.full((n + 1, m + 1), _FAR, np.int64)  # ends in a deletion
-    more = np.full((n + 1, m + 1), _FAR, np.int64)  # ends in an insertion
-    steps = scores.extend * np.arange(m + 1)
-
-    def inserted(row: np.ndarray) -> np.ndarray:
-        reach = np.maximum.accumulate(row - steps)
-        out = np.full(m + 1, _FAR, np.int64)
-        out[1:] = reach[:-1] + scores.open + steps[1:]
-        return out
-
-    for i in range(n + 1):
-        row = np.full(m + 1, _FAR, np.int64)
-        if i == 0 or free_ends:
+    while True:
+        found = _banded(a, b, scores, free_ends, band)
+        if band >= max(n, m) or (found and found.score > scores.match * min(n, m) + scores.open + scores.extend * (band + 1)):
+            return found
+        band *= 2
+
+
+class _Rows:
+    """Rows of the three tables within the band. Row i holds columns first(i) to first(i) + width, before and behind which nothing is."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, scores: Scores, free_ends: bool, band: int) -> None:
+        self.a, self.b, self.scores, self.free = a, b, scores, free_ends
+        n, m = len(a), len(b)
+        self.below, self.above = max(0, n - m) + band, max(0, m - n) + band
+        self.width = min(m + 1, self.below + self.above + 1)
+        self.steps = (scores.extend * np.arange(self.width)).astype(np.int32)
+        self.top = m + 1 - self.width
+
+    def first(self, i: int) -> int:
+        return min(max(0, i - self.below), self.top)
+
+    def next(self, i: int, best: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(best, gone, more) of row i from row i - 1: a deletion moves down a column, an insertion along the row, where it is linear
+        in its length, so that a running maximum gives it."""
+        s, low = self.scores, self.first(i)
+        row = np.full(self.width, _FAR, np.int32)
+        if low == 0 and (i == 0 or self.free):
             row[0] = 0
+        new = np.full(self.width, _FAR, np.int32)
         if i:
-            gone[i] = np.maximum(best[i - 1] + scores.open, gone[i - 1]) + scores.extend
-            row[1:] = best[i - 1, :-1] + np.where(b == a[i - 1], scores.match, scores.mismatch)
-            row = np.maximum(row, gone[i])
-        more[i] = inserted(row)
-        best[i] = np.maximum(row, more[i])
-    end = int(best[:, m].argmax()) if free_ends else n
+            moved = low - self.first(i - 1)
+            kept = slice(moved, self.width)
+            new[: self.width - moved] = np.maximum(best[kept] + s.open, gone[kept]) + s.extend
+            # The cell diagonally before column low + k stands at k - 1 + moved in the last row.
+            first, before = 1 - moved, best[: self.width - 1 + moved]
+            bases = self.b[low + first - 1 : low + first - 1 + len(before)]
+            row[first : first + len(before)] = before + np.where(bases == self.a[i - 1], s.match, s.mismatch).astype(np.int32)
+            row = np.maximum(row, new)
+        reach = np.maximum.accumulate(row - self.steps)
+        more = np.full(self.width, _FAR, np.int32)
+        more[1:] = reach[:-1] + s.open + self.steps[1:]
+        return np.maximum(row, more), new, more
+
+
+def _banded(a: np.ndarray, b: np.ndarray, scores: Scores, free_ends: bool, band: int) -> Alignment | None:
+    """The best alignment within a band; None where no way leads through it.
+
+    Only every so-manieth row is kept; on the way back the rows between two of them are made once more.
+    """
+    rows = _Rows(a, b, scores, free_ends, band)
+    n, m = len(a), len(b)
+    each = max(1, int((n + 1) ** 0.5))
+    kept, ends = {}, np.full(n + 1, _FAR, np.int64)
+    best = gone = np.full(rows.width, _FAR, np.int32)
+    for i in range(n + 1):
+        if i and (i - 1) % each == 0:
+            kept[i - 1] = best, gone
+        best, gone, _ = rows.next(i, best, gone)
+        if rows.first(i) + rows.width > m:
+            ends[i] = best[m - rows.first(i)]
+    end = int(ends.argmax()) if free_ends else n
+    score = int(ends[end])
+    if score <= _FAR // 2:
+        return None
+    made: dict[int, tuple] = {}
+
+    def table(i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if i not in made:
+            start = ((i - 1) // each) * each if i else 0
+            if i:
+                best_, gone_ = kept[start]
+            else:
+                best_ = gone_ = np.full(rows.width, _FAR, np.int32)
+            for old in [k for k in made if k > i + 1]:
+                del made[old]
+            if i == 0:
+                made[0] = rows.next(0, best_, gone_)
+            for k in range(start + 1, i + 1):
+                made[k] = rows.next(k, best_, gone_)
+                best_, gone_ = made[k][:2]
+        return made[i]
+
+    def cell(which: int, i: int, j: int) -> int:
+        at = j - rows.first(i)
+        return int(table(i)[which][at]) if 0 <= at < rows.width else _FAR
+
     i, j, state, ops = end, m, "M", []
     while j or (i and not free_ends):
         if state == "M":
-            if i and j and best[i, j] == best[i - 1, j - 1] + (scores.match if a[i - 1] == b[j - 1] else scores.mismatch):
+            if i and j and cell(0, i, j) == cell(0, i - 1, j - 1) + (scores.match if a[i - 1] == b[j - 1] else scores.mismatch):
                 ops.append("M")
                 i, j = i - 1, j - 1
             else:
-                state = "D" if i and best[i, j] == gone[i, j] else "I"
+                state = "D" if i and cell(0, i, j) == cell(1, i, j) else "I"
         elif state == "D":
             ops.append("D")
-            state = "M" if gone[i, j] == best[i - 1, j] + scores.open + scores.extend else "D"
+            state = "D" if cell(1, i, j) == cell(1, i - 1, j) + scores.extend else "M"
             i -= 1
         else:
             ops.append("I")
-            state = "M" if more[i, j] == best[i, j - 1] + scores.open + scores.extend else "I"
+            state = "I" if j > 1 and cell(2, i, j) == cell(2, i, j - 1) + scores.extend else "M"
             j -= 1
     ops.reverse()
     after = 0
     while ops and ops[-1] == "I":
         ops.pop()
         after += 1
-    return Alignment(int(best[end, m]), i, end, encode("".join(ops)), after)
+    return Alignment(score, i, end, encode("".join(ops)), after)
+
+
+def align_forward(window: str, read: str, reverse: bool, scores: Scores = Scores()) -> tuple[Alignment, int, int]:
+    """A read within a window of the forward strand, template ends free: the alignment in the read's own direction, and how many
+    bases of its start and of its end are clipped. The alignment's start and end are the window's.
+
+    Ties are broken on the forward strand, as aligners do, whichever strand the read is from. Bases put in behind the forward
+    strand's last base are clipped, and so are those that end the read once it is turned.
+    """
+    found = align(window, revcomp(read) if reverse else read, scores, free_ends=True)
+    if not reverse:
+        return replace(found, after=0), 0, found.after
+    turned, behind = parts(found.cigar)[::-1], 0
+    if turned and turned[-1][1] == "I":
+        behind = turned.pop()[0]
+    return replace(found, cigar="".join(f"{k}{op}" for k, op in turned), after=0), found.after, behind
 
 
 def end_to_end(reference: str, start: int, end: int, read: str, before: int, behind: int, margin: int = 16, max_divergence: float = 0.5, min_clip: int = 8, scores: Scores = Scores()) -> tuple[Alignment, int] | None:

@@ -1,10 +1,9 @@
-"""Small estimators on the driver: raking margins, run-length models, Weibull levels, site tests, forward selection."""
+"""Small estimators on the driver: raking margins, Weibull levels, site tests, forward selection."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass
 
 import numpy as np
 
@@ -39,25 +38,6 @@ def ipf(counts: np.ndarray, margins: dict[int, np.ndarray], rounds: int = 200, t
     return np.minimum(e, counts)
 
 
-@dataclass
-class IndelLength:
-    """Probabilities of lengths 1 to n (n also holds longer ones) by kind and homopolymer run, capped."""
-
-    probabilities: dict[tuple[str, int], np.ndarray]
-
-
-def indel_lengths(events: list[tuple[str, int, int, float]], longest: int, cap: int = 8, l2: float = 1.0) -> IndelLength:
-    """events: (kind, length, run, count). A ridge on log-probabilities is, for so few cells, pseudo-counts of the kind's own mean."""
-    cells: dict[tuple[str, int], np.ndarray] = {}
-    for kind, length, run, n in events:
-        cells.setdefault((kind, min(run, cap)), np.zeros(longest))[min(length, longest) - 1] += n
-    out = {}
-    for (kind, run), counts in cells.items():
-        pooled = sum(c for (k, _), c in cells.items() if k == kind)
-        out[kind, run] = (counts + l2 * pooled / pooled.sum()) / (counts.sum() + l2)
-    return IndelLength(out)
-
-
 def weibull(t: np.ndarray, hazard: np.ndarray, beta: float | None = None) -> dict[str, float]:
     """Level from hazards: log(-log(1 - h)) is linear in log t, with slope beta - 1, which can be pinned. se is the intercept's."""
     ok = (hazard > 0) & (hazard < 1)

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import warnings
 
 import numpy as np
@@ -87,6 +88,87 @@ def test_alignment_score_equals_brute_force():
         assert (i, j + found.after) == (len(a), len(b))
 
 
+def all_best(a, b, s, free):
+    """Every way of the best score, as (start, operations): by trying all."""
+    from functools import cache
+
+    @cache
+    def ways(i, j, state):
+        out = [(0, "")] if j == len(b) and (i == len(a) or free) else []
+        if i < len(a) and j < len(b):
+            out += [(x + (s.match if a[i] == b[j] else s.mismatch), "M" + o) for x, o in ways(i + 1, j + 1, "M")]
+        if i < len(a):
+            out += [(x + s.extend + (0 if state == "D" else s.open), "D" + o) for x, o in ways(i + 1, j, "D")]
+        if j < len(b):
+            out += [(x + s.extend + (0 if state == "I" else s.open), "I" + o) for x, o in ways(i, j + 1, "I")]
+        top = max((x for x, _ in out), default=0)
+        return [(x, o) for x, o in out if x == top]
+
+    found = [(x, i, o) for i in (range(len(a) + 1) if free else [0]) for x, o in ways(i, 0, "M")]
+    top = max(x for x, *_ in found)
+    return top, {(i, o) for x, i, o in found if x == top}
+
+
+@pytest.mark.parametrize("free", [False, True])
+def test_any_band_finds_a_best_way(free):
+    """Narrow bands are widened until nothing outside can be better; all give the same way, which is a best one."""
+    rng = random.Random(11)
+    s = realign.Scores()
+    for _ in range(120):
+        a = "".join(rng.choice("ACG") for _ in range(rng.randint(1, 8)))
+        b = "".join(rng.choice("ACG") for _ in range(rng.randint(1, 6)))
+        found = [realign.align(a, b, s, free, band) for band in (1, 2, 64)]
+        assert found[0] == found[1] == found[2]
+        top, best = all_best(a, b, s, free)
+        ops = "".join(op * n for n, op in walk.parts(found[0].cigar)) + "I" * found[0].after
+        assert found[0].score == top and (found[0].start, ops) in best
+
+
+def test_narrow_bands_equal_wide_ones_on_long_reads():
+    rng = random.Random(12)
+    for _ in range(6):
+        a = "".join(rng.choice("ACGT") for _ in range(400))
+        b, i = [], 30
+        while i < 370:
+            x = rng.random()
+            b.append(rng.choice("ACGT") if x < 0.05 else a[i])
+            i += 1 + (rng.randint(1, 25) if x > 0.985 else 0)
+            if 0.97 < x < 0.985:
+                b.append("".join(rng.choice("ACGT") for _ in range(rng.randint(1, 25))))
+        for free in (True, False):
+            assert realign.align(a, "".join(b), free_ends=free, band=4) == realign.align(a, "".join(b), free_ends=free, band=1000)
+
+
+def test_long_pairs_stay_small():
+    rng = np.random.default_rng(13)
+    a = rng.choice(np.frombuffer(b"ACGT", np.uint8), 20_000)
+    b = a.copy()
+    at = rng.choice(20_000, 3000, replace=False)
+    b[at] = rng.choice(np.frombuffer(b"ACGT", np.uint8), 3000)
+    b = np.delete(b, rng.choice(20_000, 500, replace=False))
+    tracemalloc.start()
+    found = realign.align(a.tobytes().decode(), b.tobytes().decode())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200 << 20 and found.score > 15_000
+
+
+def test_gaps_are_whole_and_stand_left_on_the_forward_strand():
+    window = "GATTACAGGCCAAAATCGTACCGTTAGCATG"
+    read = window[4:12] + window[14:27]  # AA of AAAA is gone
+    found, before, behind = realign.align_forward(window, read, False)
+    assert (found.start, found.end, found.cigar, before, behind) == (4, 27, "7M2D14M", 0, 0)
+    turned, before, behind = realign.align_forward(window, walk.revcomp(read), True)
+    assert (turned.start, turned.end, turned.cigar, before, behind) == (4, 27, "14M2D7M", 0, 0)
+    plain = realign.align(walk.revcomp(window), walk.revcomp(read), free_ends=True)
+    assert plain.cigar == "12M2D9M"  # in the read's own direction the gap would be at the run's other end
+    longer = read + "TTTTTTTTT"
+    kept, before, behind = realign.align_forward(window, longer, False, realign.Scores(2, -9, -1, -1))
+    assert behind == 9 - (kept.end - 27) and before == 0 and not kept.cigar.endswith("I")
+    back, before, behind = realign.align_forward(window, walk.revcomp(longer), True, realign.Scores(2, -9, -1, -1))
+    assert before == 9 - (back.end - 27) and behind == 0 and sum(n for n, op in walk.parts(back.cigar) if op != "D") + before == len(longer)
+
+
 def test_gaps_stand_left():
     assert realign.align("ACGTTTTGCA", "ACGTTGCA").cigar == "3M2D5M"
     free = realign.align("GGGGACGTACGTCCCC", "ACGTACGT", free_ends=True)
@@ -235,8 +317,6 @@ def test_levels_tails_and_posteriors():
     p = rake.site_posterior(np.array([100.0, 100.0]), np.ones((2, 3)), np.array([[1, 1, 1], [30, 1, 1.0]]))
     assert p[0] < 0.01 and p[1] > 0.99
     assert rake.strand_shift(5, 10) == (0.0, 0.0)
-    lengths = rake.indel_lengths([("I", 1, 1, 90.0), ("I", 2, 1, 10.0), ("I", 9, 20, 5.0)], 3)
-    assert set(lengths.probabilities) == {("I", 1), ("I", 8)} and all(abs(p.sum() - 1) < 1e-9 for p in lengths.probabilities.values())
 
 
 def test_selection_stops_where_nothing_is_gained():
