@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..kernels import walk
+from ..kernels import plain, walk
 from ..table import CountTable, counted
 
 _COLUMNS = ("read_id", "contig", "start", "reverse", "template", "sequence", "quality", "cigar", "mate")
@@ -38,17 +38,38 @@ def _input(df: DataFrame) -> DataFrame:
 
 
 def observations(df: DataFrame, flank: tuple[int, int] = (2, 2), m: int = 1, per_event: bool = False) -> DataFrame:
-    """One row of each draw: read_id, contig, site, t, q, q_m1, q_p1 .., context, pos_start, pos_end, mate, strand, gc, op."""
+    """One row of each draw: read_id, contig, site, t, q, q_m1, q_p1 .., context, pos_start, pos_end, mate, strand, gc, op.
+
+    Reads of one M part are worked out as arrays, a batch at once; only reads with gaps are walked base by base.
+    """
     around = [schema.shifted(o) for o in schema.window(m)[1:]]
     names = ["read_id", "contig", "site", "t", "q", *around, "context", "pos_start", "pos_end", "mate", "strand", "gc", "op"]
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32(), *[pa.int32()] * len(around), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.string()]
     spark_kinds = ["long", "string", "long", "int", "int", *["int"] * len(around), "string", "int", "int", "int", "string", "int", "string"]
 
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Rows of reads without gaps, as arrays."""
+        n = batch.num_rows
+        column = lambda c, default: [default if x is None else x for x in batch[c].to_pylist()] if c in batch.schema.names else [default] * n
+        found = plain.observations({c: column(c, "") for c in ("template", "sequence", "quality", "clip_before", "clip_after")} | {"masked": column("masked", None)}, flank, m)
+        read = pa.array(found["read"])
+        start, size = batch["start"].to_numpy(), np.fromiter(map(len, batch["template"].to_pylist()), np.int64, n)
+        t = found["t"].to_numpy().astype(np.int64)
+        own = found["read"]
+        site = start[own] + np.where(batch["reverse"].to_numpy(zero_copy_only=False)[own], size[own] - 1 - t, t)
+        strand = pa.array([s or ("-" if k == 2 else "+") for s, k in zip(column("strand", None), column("mate", 1))], pa.string())
+        columns = [batch["read_id"].take(read), batch["contig"].take(read), pa.array(site), found["t"], found["q"], *found["near"], found["context"], found["pos_start"], found["pos_end"], batch["mate"].take(read).cast(pa.int32()), strand.take(read), found["gc"], found["op"]]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in range(0, batch.num_rows, 500):
+            same = np.array([c == f"{len(s)}M" and len(s) == len(t) for c, s, t in zip(batch["cigar"].to_pylist(), batch["sequence"].to_pylist(), batch["template"].to_pylist())], bool)
+            straight, gapped = batch.filter(pa.array(same)), batch.filter(pa.array(~same))
+            for at in range(0, straight.num_rows, 500):
+                yield whole(straight.slice(at, 500))
+            for at in range(0, gapped.num_rows, 500):
                 out = []
-                for row, read in _reads(batch.slice(part, 500)):
+                for row, read in _reads(gapped.slice(at, 500)):
                     for t, q, near, *rest in walk.observations(read, flank, m, per_event):
                         out.append((row["read_id"], row["contig"], _site(row, t), t, q, *near, *rest))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * len(names), kinds)], names=names)

@@ -183,12 +183,13 @@ def scan(reads: DataFrame, best: DataFrame, k: int, v: int, c: int) -> DataFrame
     """
     size = F.length("seq")
     starts = F.filter(F.sequence(F.lit(1), F.greatest(size - (k + v) + 1, F.lit(1))), lambda i: km.picked(F.substring("seq", i, F.lit(k)), c) & (i + (k + v) - 1 <= size))
-    each = reads.select("read_id", "seq", "q", F.explode(starts).alias("i"))
-    rows = each.withColumn("key", F.substring("seq", F.col("i"), F.lit(k))).join(best.select("key", "consensus"), "key")
-    through = km.agreement(F.substring("seq", F.col("i") + k, F.lit(v)), F.col("consensus"), v)
-    each = rows.select("read_id", "seq", "q", "i", through.alias("through"), F.explode(F.sequence(F.lit(1), F.least(through + 1, F.lit(v)))).alias("t"))
+    # Only a key's value and its qualities meet the consensus, so that no read is shuffled once for each of its keys.
+    cut = F.transform(starts, lambda i: F.struct(i.alias("i"), F.substring("seq", i, F.lit(k)).alias("key"), F.substring("seq", i + k, F.lit(v)).alias("value"), F.slice("q", i + k, F.lit(v)).alias("q")))
+    rows = reads.select("read_id", size.alias("size"), F.explode(cut).alias("w")).select("read_id", "size", "w.*").join(best.select("key", "consensus"), "key")
+    through = km.agreement(F.col("value"), F.col("consensus"), v)
+    each = rows.select("read_id", "size", "i", "q", through.alias("through")).select("*", F.explode(F.sequence(F.lit(1), F.least(F.col("through") + 1, F.lit(v)))).alias("t"))
     pos = F.col("i") + k + F.col("t") - 1
-    return each.select("read_id", "t", pos.alias("pos_start"), (size - pos + 1).alias("pos_end"), F.get("q", pos - 1).alias("q"), (F.col("t") <= F.col("through")).alias("right"))
+    return each.select("read_id", "t", pos.alias("pos_start"), (F.col("size") - pos + 1).alias("pos_end"), F.get("q", F.col("t") - 1).alias("q"), (F.col("t") <= F.col("through")).alias("right"))
 
 
 def covariate_rates(scanned: DataFrame, v: int) -> DataFrame:

@@ -487,7 +487,7 @@ def linked_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_WINDOWED + " SELECT q, q_m1, q_p1, context, pos_start, pos_end, mate, op, count(*) AS n FROM w GROUP BY ALL")
 def walked_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same table by the CIGAR walk kernel, which also knows gaps, clips and masks."""
+    """The same table from alignments, whose reads may also have gaps, clips and masks."""
     table = al.observation_table(bridge.alignments(bridge.reads(spark, sf_dir)), flank=(1, 1), m=1)
     return table.marginal("q", "q_m1", "q_p1", "context", "pos_start", "pos_end", "mate", "op").df
 

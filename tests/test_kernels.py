@@ -14,6 +14,7 @@ from readlens.kernels.place import Rules, place_all
 from readlens.models import rake, spread
 from readlens.models.heads import Design, Head, Penalised, Penalty
 from readlens.models.spec import Component, ModelSpec, SpecError, Token
+from readlens.operators import alignments
 
 
 def quality(*values):
@@ -153,6 +154,31 @@ def test_long_pairs_stay_small():
     assert most < 200 << 20 and found.score > 15_000
 
 
+def test_reads_without_gaps_as_arrays_equal_the_walk(spark):
+    rng = random.Random(21)
+    text = lambda n, signs="ACGT": "".join(rng.choice(signs) for _ in range(n))
+    rows = []
+    for i in range(60):
+        n = rng.randint(1, 30)
+        template = text(n, "ACGTNa")
+        sequence = "".join(rng.choice("ACGTN") if rng.random() < 0.2 else c for c in template)
+        cigar = f"{n}M"
+        if i % 4 == 0 and n > 6:
+            sequence, cigar = sequence[:3] + sequence[5:], f"3M2D{n - 5}M"
+        clips = [text(rng.randint(0, 3), "!5I") if i % 3 == 0 else None for _ in range(2)]
+        rows.append((i, "c", rng.randint(0, 99), i % 2 == 0, template, sequence, text(len(sequence), "!+5I"), cigar, 1 + i % 2, *clips, rng.choice([None, "+"]), rng.choice([None, [], [0, n - 1, n + 5]])))
+    names = "read_id long, contig string, start long, reverse boolean, template string, sequence string, quality string, cigar string, mate int, clip_before string, clip_after string, strand string, masked array<int>"
+    df = spark.createDataFrame(rows, names)
+    for flank, m in (((2, 1), 1), ((0, 0), 0), ((1, 2), 2)):
+        wanted = []
+        for r in rows:
+            read = walk.Read(*r[4:8], r[9] or "", r[10] or "", r[11], r[8], frozenset(r[12] or ()))
+            for t, q, near, *rest in walk.observations(read, flank, m):
+                wanted.append((r[0], "c", r[2] + (len(r[4]) - 1 - t if r[3] else t), t, q, *near, *rest))
+        assert sorted(map(str, wanted)) == sorted(str(tuple(x)) for x in alignments.observations(df, flank, m).collect())
+    assert alignments.observations(df.filter("false")).count() == 0
+
+
 def test_gaps_are_whole_and_stand_left_on_the_forward_strand():
     window = "GATTACAGGCCAAAATCGTACCGTTAGCATG"
     read = window[4:12] + window[14:27]  # AA of AAAA is gone
