@@ -661,40 +661,45 @@ def iss_substitutions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _gapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Full reads with bases 21-22 of the template deleted, and AC put in behind its base 40."""
-    rows = bridge.alignments(bridge.reads(spark, sf_dir)).filter(F.length("template") == bridge.WIDTH)
-    cut = lambda c, put: F.concat(F.substring(c, 1, 20), F.substring(c, 23, 18), F.lit(put), F.substring(c, 41, 60))
-    return rows.withColumns({"sequence": cut("template", "AC"), "quality": cut("quality", "5I"), "cigar": F.lit("20M2D18M2I60M")})
+    """Reads of 41 bases or more with bases 21-22 of the template deleted, and AC put in behind its base 40; shorter ones as they are."""
+    rows = bridge.alignments(bridge.reads(spark, sf_dir))
+    long = F.length("template") > 40
+    cut = lambda c, put: F.when(long, F.concat(F.substring(c, 1, 20), F.substring(c, 23, 18), F.lit(put), F.substring(c, F.lit(41), F.length(c)))).otherwise(F.col(c))
+    cigar = F.when(long, F.concat(F.lit("20M2D18M2I"), F.length("template") - 40, F.lit("M"))).otherwise(F.concat(F.length("template").cast("string"), F.lit("M")))
+    return rows.withColumns({"sequence": cut("template", "AC"), "quality": cut("quality", "5I"), "cigar": cigar})
 
 
-@query(""", g AS (SELECT *, substr(seq, 1, 20) || substr(seq, 23, 18) || 'AC' || substr(seq, 41, 60) AS own FROM reads WHERE length(seq) = 100),
-c AS (SELECT read_id, mate, seq, own, unnest(range(1, 103)) AS i FROM g),
-k AS (SELECT *, CASE WHEN i IN (21, 22) THEN 'D' WHEN i IN (41, 42) THEN 'I' ELSE 'M' END AS op, CASE WHEN i <= 40 THEN i WHEN i > 42 THEN i - 2 END AS t, CASE WHEN i <= 20 THEN i WHEN i <= 22 THEN 21 ELSE i - 2 END AS r FROM c)
-SELECT mate, op, CAST(r AS INTEGER) AS pos, CASE WHEN op = 'I' THEN '-' ELSE substr(seq, t, 1) END AS ref, CASE WHEN op = 'D' THEN '-' ELSE substr(own, r, 1) END AS alt, count(*) AS n FROM k GROUP BY ALL""")
+_GAPS = """, g AS (SELECT *, length(seq) > 40 AS gap, CASE WHEN length(seq) > 40 THEN substr(seq, 1, 20) || substr(seq, 23, 18) || 'AC' || substr(seq, 41) ELSE seq END AS own FROM reads),
+c AS (SELECT read_id, mate, seq, own, gap, unnest(range(1, length(seq) + CASE WHEN gap THEN 3 ELSE 1 END)) AS i FROM g),
+k AS (SELECT *, CASE WHEN gap AND i IN (21, 22) THEN 'D' WHEN gap AND i IN (41, 42) THEN 'I' ELSE 'M' END AS op, CASE WHEN NOT gap OR i <= 40 THEN i WHEN i > 42 THEN i - 2 END AS t, CASE WHEN NOT gap OR i <= 20 THEN i WHEN i <= 22 THEN 21 ELSE i - 2 END AS r FROM c)"""
+
+
+@query(_GAPS + """ SELECT mate, op, CAST(r AS INTEGER) AS pos, CASE WHEN op = 'I' THEN '-' ELSE substr(seq, t, 1) END AS ref, CASE WHEN op = 'D' THEN '-' ELSE substr(own, r, 1) END AS alt, count(*) AS n FROM k GROUP BY ALL""")
 def alignment_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(al.columns(_gapped(spark, sf_dir)), ["mate", "op", "pos", "ref", "alt"])
 
 
-@query(""", g AS (SELECT *, substr(seq, 1, 20) || substr(seq, 23, 18) || 'AC' || substr(seq, 41, 60) AS own FROM reads WHERE length(seq) = 100),
-c AS (SELECT read_id, mate, seq, own, unnest(range(1, 103)) AS i FROM g),
-k AS (SELECT *, CASE WHEN i IN (21, 22) THEN 'D' WHEN i IN (41, 42) THEN 'I' ELSE 'M' END AS op, CASE WHEN i <= 40 THEN i WHEN i > 42 THEN i - 2 END AS t, CASE WHEN i <= 20 THEN i WHEN i <= 22 THEN 21 ELSE i - 2 END AS pos FROM c),
-a AS (SELECT mate, pos, substr(seq, t, 1) AS base, count(*) AS there, count(*) FILTER (op = 'D') AS gone FROM k WHERE op <> 'I' GROUP BY ALL), p AS (SELECT mate, pos, sum(there) AS there FROM a GROUP BY ALL),
-i AS (SELECT mate, greatest(pos - 1, 1) AS pos, substr(own, pos, 1) AS base, count(*) AS n FROM k WHERE op = 'I' GROUP BY ALL)
+@query(_GAPS + """, a AS (SELECT mate, r AS pos, substr(seq, t, 1) AS base, count(*) AS there, count(*) FILTER (op = 'D') AS gone FROM k WHERE op <> 'I' GROUP BY ALL), p AS (SELECT mate, pos, sum(there) AS there FROM a GROUP BY ALL),
+i AS (SELECT mate, greatest(r - 1, 1) AS pos, substr(own, r, 1) AS base, count(*) AS n FROM k WHERE op = 'I' GROUP BY ALL)
 SELECT 'ins' AS kind, mate, CAST(pos AS INTEGER) AS pos, base, round(n / there, 6) AS p FROM i JOIN p USING (mate, pos) UNION ALL SELECT 'del', mate, CAST(pos AS INTEGER), base, round(gone / there, 6) FROM a WHERE gone > 0""")
 def iss_indel_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = counted(al.columns(_gapped(spark, sf_dir)), ["mate", "op", "pos", "ref", "alt"])
     return _rounded(ex.mate_tables(columns).filter("kind <> 'sub'").drop("alt"), "p")
 
 
-@query(""", g AS (SELECT seq FROM reads WHERE length(seq) = 100), e AS (SELECT seq, 'D' AS indel, 21 AS t FROM g UNION ALL SELECT seq, 'I', 41 FROM g),
+@query(""", g AS (SELECT seq FROM reads WHERE length(seq) > 40), e AS (SELECT seq, 'D' AS indel, 21 AS t FROM g UNION ALL SELECT seq, 'I', 41 FROM g),
 b AS (SELECT *, substr(seq, t, 1) AS x FROM e), r AS (SELECT indel, length(regexp_extract(reverse(substr(seq, 1, t)), '^' || x || '+')) + length(regexp_extract(substr(seq, t), '^' || x || '+')) - 1 AS run FROM b)
 SELECT indel, 2 AS indel_length, CAST(run AS INTEGER) AS run, count(*) AS n FROM r GROUP BY ALL""")
 def indel_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shorter reads have no events, whatever is planted."""
     return counted(al.indel_events(_gapped(spark, sf_dir)), ["indel", "indel_length", "run"], "n")
 
 
-@query()
+@query(""", o AS (SELECT q, lead(q, 2) OVER (PARTITION BY read_id ORDER BY pos_start) AS later, base, pos_start AS t, length(seq) > 40 AS gap, substr('.' || seq || '.', pos_start, 3) AS context FROM bases),
+e AS (SELECT q, context, '=' AS op FROM o WHERE NOT (gap AND t IN (21, 22)) UNION ALL SELECT later, context, base || '>-' FROM o WHERE gap AND t = 21 UNION ALL SELECT q, context, '->A' FROM o WHERE gap AND t = 41)
+SELECT q, context, op, count(*) AS n FROM e GROUP BY ALL""")
 def gapped_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of a gap its first base alone counts."""
     return al.observation_table(_gapped(spark, sf_dir), flank=(1, 1), m=1, per_event=True).marginal("q", "context", "op").df
 
 
