@@ -1,8 +1,7 @@
-"""FASTQ and FASTA as DataFrames: a Python data source with one partition for each file.
+"""FASTQ and FASTA as DataFrames: a Python data source with one partition for each file, or for each part of a FASTQ file.
 
-FASTQ records are four lines, and a quality line may start with '@', so a file can't be cut at line ends; sequencing runs
-come as many files, which is what spreads the work. Strides are passed as options, because a data source can't be told of
-them by the planner.
+Strides are passed as options, because a data source can't be told of them by the planner. A part of a file doesn't know how
+many records stand before it, so records of split files are counted first, in a pass of their own.
 """
 
 from __future__ import annotations
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schema import PHRED_OFFSET
+from . import splits
 
 
 class FastqFormatError(ValueError):
@@ -67,37 +67,45 @@ def fasta(lines: Iterator[bytes]) -> Iterator[tuple[str, str, str]]:
 
 
 class _File(InputPartition):
-    def __init__(self, order: int, path: str) -> None:
-        self.order, self.path = order, path
+    def __init__(self, order: int, path: str, part: tuple[int, int] | None = None) -> None:
+        self.order, self.path, self.part = order, path, part
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, kind: str) -> None:
         self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
         self.kind, self.every, self.offset = kind, int(options.get("every_n", 1)), int(options.get("offset", 0))
+        self.split = int(options.get("split_bytes", 0))
         if not self.paths or self.every < 1 or self.offset < 0:
             raise ValueError("paths are needed, every_n is at least 1 and offset at least 0")
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(k, p) for k, p in enumerate(self.paths)]
+        if not self.split:
+            return [_File(k, p) for k, p in enumerate(self.paths)]
+        return [_File(k, p, part) for k, p in enumerate(self.paths) for part in splits.ranges(p, self.split)]
 
     def read(self, partition: _File) -> Iterator[tuple]:
+        if partition.part:
+            for k, row in enumerate(splits.records(partition.path, *partition.part)):
+                yield (partition.order, partition.path, partition.part[0], k, *row)
+            return
         with opened(partition.path) as file:
             found = records(iter(file), partition.path) if self.kind == "fastq" else fasta(iter(file))
             for k, row in enumerate(found):
                 if k >= self.offset and (k - self.offset) % self.every == 0:
-                    yield (partition.order, partition.path, k, *row)
+                    yield (partition.order, partition.path, *([0] if self.kind == "fastq" else []), k, *row)
 
 
 class FastqSource(DataSource):
-    """format("fastq"): option paths (comma-joined), every_n and offset within each file."""
+    """format("fastq"): options paths (comma-joined), every_n and offset within each file; or split_bytes, with which files are read in
+    parts of about so many bytes: `part` is where one begins, and idx counts within it. Gzip files that aren't blocks stay whole."""
 
     @classmethod
     def name(cls) -> str:
         return "fastq"
 
     def schema(self) -> str:
-        return "file_order int, file string, idx long, name string, seq string, qual string"
+        return "file_order int, file string, part long, idx long, name string, seq string, qual string"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options, "fastq")
@@ -117,10 +125,31 @@ class FastaSource(DataSource):
         return _Reader(self.options, "fasta")
 
 
-def read_fastq(spark: SparkSession, paths: list[str], every_n: int = 1, offset: int = 0, limit: int | None = None) -> DataFrame:
-    """file_order, file, idx, name, seq, qual and q (ARRAY<INT>). The stride runs within each file, the limit over all in order."""
+def _numbered(df: DataFrame) -> DataFrame:
+    """df with idx counted within files instead of within their parts."""
+    parts = df.groupBy("file_order", "part").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a part
+    before, starts = {}, []
+    for r in sorted(parts):
+        starts.append((r["file_order"], r["part"], before.get(r["file_order"], 0)))
+        before[r["file_order"]] = starts[-1][2] + r["n"]
+    known = df.sparkSession.createDataFrame(starts, "file_order int, part long, start long")
+    return df.join(F.broadcast(known), ["file_order", "part"]).withColumn("idx", F.col("idx") + F.col("start")).select(*df.columns)
+
+
+def read_fastq(spark: SparkSession, paths: list[str], every_n: int = 1, offset: int = 0, limit: int | None = None, split_bytes: int | None = None) -> DataFrame:
+    """file_order, file, idx, name, seq, qual and q (ARRAY<INT>). The stride runs within each file, the limit over all in order.
+
+    With split_bytes, files are read in parts of about so many bytes, each a partition; rows are the same for any size.
+    """
     spark.dataSource.register(FastqSource)
-    df = spark.read.format("fastq").option("paths", ",".join(paths)).option("every_n", every_n).option("offset", offset).load()
+    source = spark.read.format("fastq").option("paths", ",".join(paths))
+    if split_bytes:
+        if every_n < 1 or offset < 0:
+            raise ValueError("every_n is at least 1 and offset at least 0")
+        df = _numbered(source.option("split_bytes", split_bytes).load()).filter((F.col("idx") >= offset) & ((F.col("idx") - offset) % every_n == 0))
+    else:
+        df = source.option("every_n", every_n).option("offset", offset).load()
+    df = df.drop("part")
     if limit is not None:
         df = df.orderBy("file_order", "idx").limit(limit)
     values = F.transform(F.sequence(F.lit(1), F.length("qual")), lambda p: F.ascii(F.substring("qual", p, F.lit(1))) - PHRED_OFFSET)

@@ -155,26 +155,53 @@ def _aligned(row: dict, reference: str, unclip: bool) -> dict | None:
     }
 
 
-def alignments(records: DataFrame, reference: DataFrame, min_mapq: int = 20, unclip: bool = False) -> DataFrame:
+#: A genome of so many bases goes to every executor whole; of a larger one, records are joined with the pieces that they lie on.
+BROADCAST_BASES = 64 << 20
+PIECE = 1 << 16
+#: Bases around a record that realigning its clipped ends may look at.
+MARGIN = 16
+
+
+def _on_pieces(keyed: DataFrame, reference: DataFrame, piece: int) -> DataFrame:
+    """Records with the piece of their contig that holds all that they span, `ref`, and where it begins, `low`.
+
+    Pieces overlap by the longest span, so each record needs one. Where records crowd on a piece, the planner splits them.
+    """
+    counts = F.regexp_extract_all("cigar", F.lit(r"(\d+)[MDN=X]"), F.lit(1))
+    span = F.aggregate(counts, F.lit(0).cast("long"), lambda s, n: s + n.cast("long")) + 2 * (F.length("seq") + MARGIN)
+    own = keyed.withColumns({"__span": span, "piece": F.floor(F.greatest(F.col("pos") - F.length("seq") - MARGIN, F.lit(0)) / piece)})
+    longest = own.agg(F.max("__span")).first()[0] or 0
+    starts = F.explode(F.sequence(F.lit(0), F.floor(F.greatest(F.length("seq") - 1, F.lit(0)) / piece))).alias("piece")
+    cut = reference.select(F.col("name").alias("contig"), "seq", starts).select("contig", "piece", F.substring("seq", (F.col("piece") * piece + 1).cast("int"), F.lit(int(piece + longest))).alias("ref"))
+    return own.drop("__span").join(cut, ["contig", "piece"]).withColumn("low", F.col("piece") * piece).drop("piece")
+
+
+def alignments(records: DataFrame, reference: DataFrame, min_mapq: int = 20, unclip: bool = False, broadcast_bases: int = BROADCAST_BASES, piece: int = PIECE) -> DataFrame:
     """Usable records with their template: mapped, primary, passed, no duplicate, MAPQ of min_mapq or more.
 
-    reference: name and seq of the contigs; it is sent to every executor, so it has to be a genome of bounded size. The
-    cheap filters on flags come before the kernel, as the planner can't move them there.
+    reference: name and seq of the contigs; records on others are left out. Up to broadcast_bases it is sent to every executor,
+    else cut into pieces that records are joined with. The cheap filters on flags come before the kernel, as the planner
+    can't move them there.
     """
-    contigs = {r["name"]: r["seq"] for r in reference.select("name", "seq").collect()}
-    shared = records.sparkSession.sparkContext.broadcast(contigs)
     bad = UNMAPPED | SECONDARY | FAILED | DUPLICATE | SUPPLEMENTARY
     usable = records.filter((F.col("flag").bitwiseAND(bad) == 0) & (F.col("mapq") >= min_mapq) & (F.col("cigar") != "") & (F.col("seq") != "") & (F.col("qual") != ""))
     keyed = usable.select(F.xxhash64("file", "idx").alias("read_id"), "flag", "contig", "pos", "cigar", "seq", "qual")
     text = pa.string()
     schema = pa.schema([("read_id", pa.int64()), ("contig", text), ("start", pa.int64()), ("end", pa.int64()), ("reverse", pa.bool_()), ("template", text), ("sequence", text), ("quality", text), ("cigar", text), ("clip_before", text), ("clip_after", text), ("mate", pa.int32())])
 
+    bases = reference.agg(F.sum(F.length("seq"))).first()[0] or 0
+    if bases > broadcast_bases:
+        keyed, shared = _on_pieces(keyed, reference, piece), None
+    else:
+        shared = records.sparkSession.sparkContext.broadcast({r["name"]: r["seq"] for r in reference.select("name", "seq").collect()})
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for row in batch.to_pylist():
-                if row["contig"] in shared.value and (made := _aligned(row, shared.value[row["contig"]], unclip)):
-                    rows.append(made | {"read_id": row["read_id"]})
+                text, low = (shared.value.get(row["contig"]), 0) if shared else (row["ref"], row["low"])
+                if text is not None and (made := _aligned(row | {"pos": row["pos"] - low}, text, unclip)):
+                    rows.append(made | {"read_id": row["read_id"], "start": made["start"] + low, "end": made["end"] + low})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
     return keyed.mapInArrow(run, "read_id long, contig string, start long, end long, reverse boolean, template string, sequence string, quality string, cigar string, clip_before string, clip_after string, mate int")

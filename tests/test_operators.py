@@ -1,7 +1,10 @@
 """Sources, tables and operators on literal inputs; the registered queries against DuckDB."""
 
 import gzip
+import io
+import random
 import struct
+import zlib
 
 import duckdb
 import numpy as np
@@ -17,7 +20,7 @@ from readlens.operators import overlap as ov
 from readlens.plans import queries as plans
 from readlens.report import exporters
 from readlens.sim import generate, variation
-from readlens.sources import fastq, sam, sketch_csv
+from readlens.sources import fastq, sam, sketch_csv, splits
 from readlens.streaming import counts as streaming
 from readlens.table import CountTable, TableError
 
@@ -76,6 +79,60 @@ def test_fastq_is_unzipped_by_content_and_strided_within_files(spark, tiny, tmp_
     assert "@b\nGG\n+\n**" in "\n".join(r.value for r in spark.read.text(str(tmp_path / "back")).collect())
 
 
+def bgzf(data, size):
+    """Gzip members of so many bytes each, with their sizes in an extra field, and the empty one at the end."""
+    out = b""
+    for at in [*range(0, len(data), size), len(data)]:
+        packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = packer.compress(data[at : at + size]) + packer.flush()
+        out += b"\x1f\x8b\x08\x04" + bytes(5) + b"\xff" + struct.pack("<HBBHH", 6, 66, 67, 2, len(body) + 25) + body + struct.pack("<II", zlib.crc32(data[at : at + size]), len(data[at : at + size]))
+    return out
+
+
+@pytest.fixture(scope="module")
+def long_fastq():
+    """Records whose qualities begin like headers and separators, with blank lines between some, an empty read, and no line end at the end."""
+    rng, text = random.Random(5), []
+    for i in range(60):
+        n = rng.randint(0, 40) if i % 7 else 0
+        quality = "".join(rng.choice("@+I5") for _ in range(n))
+        text.append(f"@r{i} x\n{''.join(rng.choice('ACGT') for _ in range(n))}\n+{'r' if i % 5 == 0 else ''}\n{quality}\n" + ("\n" if i % 9 == 3 else ""))
+    return "".join(text)[:-1].encode()
+
+
+@pytest.mark.parametrize("packing", ["plain", "blocks", "gzip"])
+def test_parts_of_a_file_hold_each_record_once(long_fastq, packing, tmp_path):
+    path = str(tmp_path / "x.fq")
+    made = {"plain": lambda: long_fastq, "blocks": lambda: bgzf(long_fastq, 90), "gzip": lambda: gzip.compress(long_fastq)}[packing]()
+    (tmp_path / "x.fq").write_bytes(made)
+    wanted = list(fastq.records(iter(io.BytesIO(long_fastq)), "x"))
+    assert len(wanted) == 60
+    for size in (1, 2, 3, 7, 31, 100, 1000, 10**6) if packing != "blocks" else (1, 13, 60, 100, 500, 10**6):
+        parts = splits.ranges(path, size)
+        assert packing == "gzip" or len(parts) == -(-len(made) // size)
+        assert [r for part in parts for r in splits.records(path, *part)] == wanted
+
+
+def test_split_files_are_numbered_and_strided_alike(spark, long_fastq, tmp_path):
+    paths = []
+    for name, data in (("a.fq", long_fastq), ("b.fq.gz", bgzf(long_fastq, 200)), ("c.fq.gz", gzip.compress(long_fastq))):
+        (tmp_path / name).write_bytes(data)
+        paths.append(str(tmp_path / name))
+    rows = lambda **how: sorted(map(str, fastq.read_fastq(spark, paths, **how).collect()))
+    assert rows(split_bytes=300) == rows(split_bytes=77) == rows()
+    assert rows(split_bytes=300, every_n=7, offset=2) == rows(every_n=7, offset=2)
+    assert rows(split_bytes=300, limit=70) == rows(limit=70)
+    assert fastq.read_fastq(spark, paths, split_bytes=300).rdd.getNumPartitions() > 10
+
+
+def test_broken_parts_raise(tmp_path):
+    good = "".join(f"@r{i}\nACGT\n+\nIIII\n" for i in range(20))
+    for bad in (good + "x\n" * 9 + good, good + "@r\nACGT\n+\n", good + "@r\nACGT\n", good[:100] + "@r\nACG\n+\nIIII\n" + good[100:]):
+        (tmp_path / "bad.fq").write_text(bad)
+        with pytest.raises(fastq.FastqFormatError):
+            [r for part in splits.ranges(str(tmp_path / "bad.fq"), 50) for r in splits.records(str(tmp_path / "bad.fq"), *part)]
+
+
 @pytest.mark.parametrize(("text", "line"), [("@a\nACGT\n+\n!!\n", 1), ("@a\nAC\n+\n!!\n@b\nAC\n+\n", 5), ("@a\nAC\n+\n! \n", 4)])
 def test_broken_fastq_names_the_line(text, line):
     with pytest.raises(fastq.FastqFormatError, match=f":{line}:"):
@@ -127,6 +184,9 @@ def test_sam_and_bam_alignments(spark, tmp_path):
         assert (rows[3].cigar, rows[3].clip_before, rows[3].clip_after) == ("6M", "II", "II")
         whole = {r.start: r.cigar for r in sam.alignments(records, contigs, unclip=True).collect()}
         assert whole[1] == "10M" and 3 not in whole
+        for unclip in (False, True):
+            plain = sam.alignments(records, contigs, unclip=unclip)
+            assert sorted(map(str, sam.alignments(records, contigs, unclip=unclip, broadcast_bases=0, piece=3).collect())) == sorted(map(str, plain.collect()))
         assert sam.reads_as_sequenced(records).count() == 6
 
 
