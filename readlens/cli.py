@@ -8,11 +8,13 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .models import kmer_source, overlap_em, shapes
 from .models.heads import Head, Penalty
 from .models.spec import ModelSpec
-from .operators import alignments, bases, kmers, overlap
+from .operators import alignments, bases, compare, kmers, overlap
+from .operators import sketch as sketch_run
 from .plans import queries
-from .session import ship
+from .session import Stages, ship
 from .sources import fastq, sam
 from .table import counted
 
@@ -60,6 +62,39 @@ def fit_reference(spark: SparkSession, a: argparse.Namespace) -> None:
     ModelSpec(alphabet, "reference", quality, error, provenance={"alignments": a.alignments, "reference": a.reference}).save(a.out)
 
 
+def fit_overlap(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Both heads from the overlaps of mates."""
+    placed = Stages(spark, "fit-overlap").write(overlap.placements(overlap.pair_up(_reads(spark, [a.r1]), _reads(spark, [a.r2], mate=2))).drop("r2_rc"), "placed")
+    found = overlap_em.fit(placed, ["QualityWindow(1)", "Context(1,1)", "Position(4)", "Mate"], ["QualityMarkov(1)", "Position(12)", "Mate", "Context(1,1)"])
+    found.spec(r1=a.r1, r2=a.r2, stats=overlap.agreement(placed).first().asDict()).save(a.out)
+
+
+def fit_kmer(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Both heads from a k-mer sketch's files and the reads that it was of."""
+    run = sketch_run.read_analyze(spark, a.prefix)
+    source = kmer_source.of_run(run, _reads(spark, a.fastq), (1, 1), a.least_key)
+    kmer_source.fit(source, ["QualityWindow(0)", "Context(1,1)", "Position(4)", "Strand", "GC(3)"], ["QualityMarkov(1)", "Position(12)", "Context(1,1)"], a.use_all, level_from=a.level_from, run=a.prefix).save(a.out)
+
+
+def multiplicity(spark: SparkSession, a: argparse.Namespace) -> None:
+    """How often keys stand for several places of a genome, weighted by the contigs' coverage."""
+    contigs = fastq.coverage(fastq.read_fasta(spark, [a.reference]))
+    print(json.dumps(kmers.multiplicity(kmers.pairs(contigs, a.k, a.v, weight=F.col("coverage")), a.v).first().asDict()))
+
+
+def baseline(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Whether our reads are nearer to real ones than theirs, by the distances of their profiles. Alignments are of one reference."""
+    reference = fastq.read_fasta(spark, [a.reference])
+    stages = Stages(spark, "baseline")
+
+    def rows(paths: list[str], name: str) -> DataFrame:
+        usable = sam.alignments(sam.read_records(spark, paths), reference, a.min_mapq)
+        return stages.write(counted(alignments.observations(usable, flank=(1, 1)), ["q", "q_m1", "pos_start", "context", "op"]), name)
+
+    found = compare.verdicts(*(rows([p], name) for p, name in ((a.real, "real"), (a.ours, "ours"), (a.theirs, "theirs"))))
+    compare.report(found, a.out, real=a.real, ours=a.ours, theirs=a.theirs)
+
+
 def profile(spark: SparkSession, a: argparse.Namespace) -> None:
     for name, table in bases.profile(_reads(spark, a.fastq, a.every_n)).items():
         table.df.orderBy(*table.fields).coalesce(1).write.mode("overwrite").csv(f"{a.out}/{name}", sep="\t", header=True)
@@ -107,6 +142,10 @@ def parser() -> argparse.ArgumentParser:
     add(subset, ("source", {}), ("target", {}), ("--every-n", whole | {"default": 1}), ("--offset", whole | {"default": 0}), ("--limit", whole), spark=False)
     add(contigs, *files)
     add(fit_reference, *files, ("--unclip", {"action": "store_true"}))
+    add(fit_overlap, ("r1", {}), ("r2", {}), ("--out", {"required": True}))
+    add(fit_kmer, ("prefix", {}), ("fastq", {"nargs": "+"}), ("--out", {"required": True}), ("--use-all", {"action": "store_true"}), ("--level-from", {"choices": shapes.LEVELS, "default": "skiver"}), ("--least-key", whole | {"default": sketch_run.LEAST_KEY}))
+    add(multiplicity, ("reference", {}), ("--k", whole | {"default": 21}), ("--v", whole | {"default": 13}))
+    add(baseline, ("real", {}), ("ours", {}), ("theirs", {}), ("--reference", {"required": True}), ("--out", {"required": True}), ("--min-mapq", whole | {"default": 20}))
     add(query, ("name", {"choices": sorted(queries.QUERIES)}), ("tables", {}), ("--out", {"required": True}))
     return out
 

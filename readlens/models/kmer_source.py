@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import loci
+from ..operators import bases, loci
+from ..operators.sketch import LEAST_KEY, Analysis, check_key_length, check_value_length
 from ..schema import BASES, CATEGORIES, OPS
 from ..session import Stages
 from ..table import CountTable, counted
@@ -249,6 +250,24 @@ class Sketch:
     qualities: CountTable
 
 
+def of_run(a: Analysis, reads: DataFrame, flank: tuple[int, int], least_key: int = LEAST_KEY) -> Sketch:
+    """The files of a run beside the reads that it was of. Values and keys that are too short raise.
+
+    reads: read_id, mate, seq, q. Qualities that the run has counted nothing for have no rate.
+    """
+    check_value_length(a.v)
+    check_key_length(a.k, least_key)
+    own = bases.profile(reads, flank=flank)
+    phred, gc = a.parts["summary_phred"], a.parts["summary_gc_content"]
+    return Sketch(
+        a.k, a.v, a.kvmer, phred.filter("num_correct + num_error > 0").select(F.col("qscore").cast("int").alias("q"), F.col("per_base_error_rate").alias("rate")),
+        a.parts["summary_read_position"], a.parts["summary_error_spectrum"].select(F.col("operation").alias("op"), "forward", "total"),
+        gc.select(F.col("gc_content_min").alias("lo"), F.col("gc_content_max_exclusive").alias("hi"), F.col("per_base_error_rate").alias("rate"), "num_error"),
+        a.parts["hazard_rate"].select("t", F.col("hazard_ratio").alias("hazard")), a.parts["summary_error_rate"].first()["per_base_error_rate"],
+        own["context"], own["length"].df, bases.quality_table(reads, 1, flank),
+    )
+
+
 def fit(sketch: Sketch, error_tokens: Sequence[str], quality_tokens: Sequence[str], use_all: bool = False, level: float = 1.0, level_from: str = "skiver", mates: Sequence[tuple[DataFrame, CountTable]] = (), **provenance: Any) -> ModelSpec:
     """Both heads. level multiplies the rates by quality (that of a test of keys, say); level_from says whose level they get."""
     context_tokens, raked_tokens, margins = split(error_tokens, bool(mates))

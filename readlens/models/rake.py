@@ -79,20 +79,6 @@ def binomial_tail(k: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
     return out
 
 
-def outliers(at_risk: np.ndarray, lost: np.ndarray, p0: float = 1e-12) -> np.ndarray:
-    """Which keys (rows; columns are positions) lose more windows somewhere than the others' hazard lets expect; refitted until none joins."""
-    bad = np.zeros(len(at_risk), bool)
-    while True:
-        risk, gone = at_risk[~bad].sum(axis=0), lost[~bad].sum(axis=0)
-        hazard = np.clip(gone / np.maximum(risk, 1), 1e-9, 0.5)
-        new = bad.copy()
-        for t in range(at_risk.shape[1]):
-            new |= binomial_tail(lost[:, t], at_risk[:, t], float(hazard[t])) < p0
-        if (new == bad).all():
-            return bad
-        bad = new
-
-
 def site_posterior(depth: np.ndarray, expected: np.ndarray, observed: np.ndarray, prior: float = 1e-3, linked: np.ndarray | None = None, linkage: float = 5.0) -> np.ndarray:
     """Chance that a site is polymorphic: the best category's Bayes factor of its observed against its expected count, and linkage."""
     d = depth[:, None]

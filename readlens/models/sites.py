@@ -8,27 +8,21 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import category
 from ..table import counted
+from . import spread
 from .heads import Head, Penalty
 
 CATEGORIES = range(1, 10)
 
 
-def _scores(head: Head, rows_df: DataFrame, fields: list[str]) -> DataFrame:
+def _scores(head: Head, rows: DataFrame, fields: list[str]) -> DataFrame:
     """(fields, p1 .. p9): chances of each edit, for the covariate tuples that occur."""
-    rows, _ = head.gather(rows_df)
-    p = np.exp(head.log_probabilities(rows))
-    out = rows.assign(**{f"p{k}": p[:, k] for k in CATEGORIES})
-    schema = ", ".join([*(f"{f} {dict(rows_df.dtypes)[f]}" for f in fields), *(f"p{k} double" for k in CATEGORIES)])
-    records = [tuple(None if isinstance(v, float) and math.isnan(v) else v for v in r) for r in out[[*fields, *(f"p{k}" for k in CATEGORIES)]].itertuples(index=False, name=None)]
-    kinds = dict(rows_df.dtypes)
-    whole = [i for i, f in enumerate(fields) if kinds[f] in ("int", "bigint")]
-    return rows_df.sparkSession.createDataFrame([tuple(int(v) if i in whole and v is not None else v for i, v in enumerate(r)) for r in records], schema)
+    scored = spread.scored(rows.select(*fields).distinct(), head)
+    return scored.select(*fields, *(F.exp(F.get("logp", F.lit(k))).alias(f"p{k}") for k in CATEGORIES))
 
 
 def _posterior(prior: float, linked: Column, linkage: float) -> Column:
@@ -56,8 +50,8 @@ def joint(rows: DataFrame, tokens: list[str], alphabet: tuple[int, ...], flank:
     before = None
     for _ in range(iterations):
         kept = own if masked is None else own.join(masked.select("contig", "site"), ["contig", "site"], "left_anti")
-        head.fit(*head.gather(counted(kept, [*fields, "op"])), penalty)
-        scores = _scores(head, counted(own, [*fields, "op"]), fields)
+        spread.fit(counted(kept, [*fields, "op"]), head, penalty)
+        scores = _scores(head, own, fields)
         same = [own[f].eqNullSafe(scores[f]) for f in fields]
         scored = own.join(scores, same).select("contig", "site", category(own["op"]).alias("kind"), *(f"p{k}" for k in CATEGORIES))
         sums = [F.sum(f"p{k}").alias(f"e{k}") for k in CATEGORIES] + [F.sum((F.col("kind") == k).cast("double")).alias(f"o{k}") for k in CATEGORIES]

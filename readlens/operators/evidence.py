@@ -74,3 +74,20 @@ def implied_rate(rows: DataFrame) -> DataFrame:
         (F.sum(F.pow(F.lit(10.0), -F.col("q") / 10) * F.col("n")) / F.sum("n")).alias("implied"),
         (F.sum(F.when(errors(F.col("op")), F.col("n")).otherwise(0)) / F.sum("n")).alias("measured"),
     )
+
+
+def column_rates(columns: DataFrame) -> DataFrame:
+    """(kind, exposure, errors, rate, implied): error rates of alignment columns by what counts.
+
+    columns: op (M, I or D), ref, alt, q and n. substitution: read bases that stand for a template base, and those that differ.
+    any: all read bases, and every edit, deletions too. implied: what the qualities of the exposed bases claim. Without
+    exposure rates are null.
+    """
+    differs = (F.col("op") == "M") & (F.col("ref") != F.col("alt"))
+    kinds = {"substitution": (F.col("op") == "M", differs), "any": (F.col("op") != "D", differs | (F.col("op") != "M"))}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), e.alias("exposed"), x.alias("error")) for k, (e, x) in kinds.items()))).alias("k")
+    own = columns.select("n", "q", each).select("n", "q", "k.*")
+    some = lambda c, x=F.col("n"): F.coalesce(F.sum(F.when(c, x)), F.lit(0))
+    claimed = F.pow(F.lit(10.0), -F.col("q") / 10) * F.col("n")
+    out = own.groupBy("kind").agg(some(F.col("exposed")).alias("exposure"), some(F.col("error")).alias("errors"), F.sum(F.when(F.col("exposed"), claimed)).alias("c"))
+    return out.select("kind", "exposure", "errors", F.try_divide("errors", "exposure").alias("rate"), F.try_divide("c", "exposure").alias("implied"))

@@ -5,10 +5,16 @@ Sequences are columns of a DataFrame; k-mers are strings, which sort as their tw
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import one_edit, revcomp
+from ..session import Stages
 
 
 def _windows(seq: Column, width: int) -> Column:
@@ -139,6 +145,51 @@ def multiplicity(loci: DataFrame, v: int) -> DataFrame:
     )
 
 
+def _tail(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chances of as many losses or more, of rows at_risk, lost and hazard."""
+    for batch in batches:
+        out = []
+        for n, k, p in zip(*(batch[c].to_pylist() for c in ("at_risk", "lost", "hazard"))):
+            if k <= 0:
+                out.append(1.0)
+                continue
+            j = np.arange(k, n + 1)
+            logs = math.lgamma(n + 1) - np.array([math.lgamma(x + 1) + math.lgamma(n - x + 1) for x in j.tolist()]) + j * math.log(p) + (n - j) * math.log1p(-p)
+            out.append(min(1.0, float(np.exp(logs).sum())))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, "tail"])
+
+
+def outliers(alive: DataFrame, p0: float = 1e-12, turns: int | None = None) -> DataFrame:
+    """(key, t, at_risk, lost, tail) where a key loses more windows at a place than the hazard of all other keys lets expect.
+
+    alive: (key, t, n) of `survival`; places that a key has no row for have none left. Hazards, one a place, are taken anew
+    without the keys found, until no key joins them (or for so many turns). The tail is worked out once for each different
+    count at a place, which are far fewer than keys.
+    """
+    stages = Stages(alive.sparkSession, "outliers")
+    last = alive.agg(F.max("t")).first()[0] or 0
+    before = alive.withColumn("t", F.col("t") + 1).withColumnRenamed("n", "at_risk").filter(F.col("t") <= last)
+    rows = before.join(alive, ["key", "t"], "left").select("key", "t", "at_risk", (F.col("at_risk") - F.coalesce("n", F.lit(0))).alias("lost"))
+    rows = stages.write(rows, "rows")
+    counts = stages.write(rows.groupBy("t", "at_risk", "lost").count(), "counts")
+    found: DataFrame | None = None
+    known = 0
+    turn = 0
+    while True:
+        turn += 1
+        good = rows if found is None else rows.join(found.select("key").distinct(), "key", "left_anti")
+        hazard = good.groupBy("t").agg(F.least(F.greatest(F.sum("lost") / F.greatest(F.sum("at_risk"), F.lit(1)), F.lit(1e-9)), F.lit(0.5)).alias("hazard"))
+        # Where no good key is left at a place, nothing is expected of it.
+        tails = counts.drop("count").join(F.broadcast(hazard), "t").mapInArrow(_tail, "t int, at_risk long, lost long, hazard double, tail double").filter(F.col("tail") < p0)
+        new = stages.write(rows.join(tails, ["t", "at_risk", "lost"]).select("key", "t", "at_risk", "lost", "tail"), f"turn{turn}")
+        both = new if found is None else found.unionByName(new.join(found.select("key", "t"), ["key", "t"], "left_anti"))
+        keys = both.select("key").distinct().count()
+        found = both
+        if keys == known or turn == turns:
+            return found
+        known = keys
+
+
 def by_loci(rows: DataFrame, loci: DataFrame) -> DataFrame:
     """(class, true_value, keys, n): keys of a sketch by how many loci of the contigs have them (0, 1, 2, 3-4, 5+), and whether their consensus is one of those loci's values."""
     at = loci.groupBy("key").agg(F.sum("n").alias("loci"))

@@ -703,6 +703,45 @@ def gapped_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return al.observation_table(_gapped(spark, sf_dir), flank=(1, 1), m=1, per_event=True).marginal("q", "context", "op").df
 
 
+@query(_GAPS + """, w AS (SELECT k.*, CASE WHEN op = 'I' THEN CASE i WHEN 41 THEN 20 ELSE 40 END ELSE b.q END AS q FROM k LEFT JOIN bases b ON b.read_id = k.read_id AND b.pos_start = CASE WHEN op = 'D' THEN 23 ELSE t END),
+x AS (SELECT 'substitution' AS kind, op = 'M' AS exposed, false AS error, q FROM w UNION ALL SELECT 'any', op <> 'D', op <> 'M', q FROM w)
+SELECT kind, count(*) FILTER (exposed) AS exposure, count(*) FILTER (error) AS errors, round(count(*) FILTER (error) / count(*) FILTER (exposed), 6) AS rate, round(sum(pow(10, -q / 10)) FILTER (exposed) / count(*) FILTER (exposed), 6) AS implied FROM x GROUP BY kind""")
+def column_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps are the only edits of these reads."""
+    columns = counted(al.columns(_gapped(spark, sf_dir)), ["op", "ref", "alt", "q"])
+    return _rounded(ev.column_rates(columns), "rate", "implied")
+
+
+_HALVES = """, hr AS (SELECT *, doc_id % 2 AS grp FROM reads WHERE length(seq) >= 15), km AS (SELECT grp, substr(seq, i, 15) AS w FROM (SELECT grp, seq, unnest(range(1, length(seq) - 13)) AS i FROM hr)),
+kc AS (SELECT grp, least(w, reverse(translate(w, 'ACGT', 'TGCA'))) AS kmer, count(*) AS n FROM km GROUP BY ALL), kn AS (SELECT DISTINCT kmer FROM kc WHERE md5(kmer) < '8'),
+sp AS (SELECT grp, least(n, 50) AS value, count(*) AS c FROM kc GROUP BY ALL), rb AS (SELECT doc_id % 2 AS grp, least(floor(count(*) FILTER (op <> '=') / count(*) / 0.002), 50) AS value FROM obs GROUP BY read_id, doc_id % 2), rc AS (SELECT grp, value, count(*) AS c FROM rb GROUP BY ALL),
+hs AS (SELECT 'kmer_spectrum_tv' AS name, * FROM sp UNION ALL SELECT 'read_error_rate_tv', * FROM rc), hp AS (SELECT name, grp, value, c / sum(c) OVER (PARTITION BY name, grp) AS p FROM hs),
+tv AS (SELECT name, sum(abs(coalesce(a, 0) - coalesce(b, 0))) / 2 AS distance FROM (SELECT name, value, max(CASE WHEN grp = 0 THEN p END) AS a, max(CASE WHEN grp = 1 THEN p END) AS b FROM hp GROUP BY ALL) GROUP BY name),
+ab AS (SELECT grp, sum(CASE WHEN kn.kmer IS NULL THEN n ELSE 0 END) / sum(n) AS share FROM kc LEFT JOIN kn USING (kmer) GROUP BY grp)"""
+
+
+@query(_HALVES + """ SELECT name, round(distance, 6) AS distance FROM tv UNION ALL SELECT 'kmer_absent', round(abs(ln(max(CASE WHEN grp = 1 THEN share END) / max(CASE WHEN grp = 0 THEN share END))), 6) FROM ab""")
+def profile_kmer_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of even and of odd ids as two read sets; k-mers whose checksum is low are the known ones."""
+    reads, observed = bridge.reads(spark, sf_dir), _observed(spark, sf_dir)
+    sides = []
+    for k in range(2):
+        counts = Stages(spark, "kmers").write(km.kmers(reads.filter(F.col("doc_id") % 2 == k), 15), "counts")
+        sides.append((counts, ev.read_rates(observed.filter(F.col("doc_id") % 2 == k).withColumn("n", F.lit(1)))))
+    known = sides[0][0].select("kmer").unionByName(sides[1][0].select("kmer")).distinct().filter(F.md5("kmer") < "8")
+    return _rounded(cp.kmer_distances(*sides, known), "distance")
+
+
+@query(_PAIRS + f""", ak AS (SELECT key, t, CAST(sum(n) AS BIGINT) AS n FROM kv JOIN best USING (key) JOIN ts ON substr(value, 1, t) = substr(consensus, 1, t) GROUP BY ALL),
+rl AS (SELECT a.key, a.t + 1 AS t, a.n AS at_risk, a.n - coalesce(b.n, 0) AS lost FROM ak a LEFT JOIN ak b ON b.key = a.key AND b.t = a.t + 1 WHERE a.t < {V}), hh AS (SELECT t, least(greatest(sum(lost) / greatest(sum(at_risk), 1), 1e-9), 0.5) AS p FROM rl GROUP BY t),
+tl AS (SELECT key, CAST(t AS INTEGER) AS t, at_risk, lost, list_sum(list_transform(range(lost, at_risk + 1), lambda j: exp(lgamma(at_risk + 1) - lgamma(j + 1) - lgamma(at_risk - j + 1) + j * ln(p) + (at_risk - j) * ln(1 - p)))) AS tail FROM rl JOIN hh USING (t) WHERE lost > 0)
+SELECT key, t, at_risk, lost FROM tl WHERE tail < 0.01""")
+def kvmer_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first turn of the outlier test. Texts' hazards are so high that the usual bound finds nothing; this one is 0.01."""
+    alive = km.survival(*_sketch(spark, sf_dir), V)
+    return km.outliers(alive, 0.01, turns=1).drop("tail")
+
+
 # Estimators: driver-side iterations over Spark aggregates ---------------------------------------------------------
 
 

@@ -11,13 +11,8 @@ UNITS = ("base", "value", "read", "error")
 FIELDS = frozenset("op indel indel_length context locus q t pos_start pos_end strand mate gc length run read latent tile contig site allele".split())
 _SHIFTED = re.compile(r"q_[mp][1-9]\d*\Z")
 
-# The 22 labels of an edit, match and unusable first, in the order that tables are reported in.
-OPS = (
-    "=", "!",
-    "A>C", "A>G", "A>T", "C>A", "C>G", "C>T", "G>A", "G>C", "G>T", "T>A", "T>C", "T>G",
-    "->A", "->C", "->G", "->T",
-    "A>-", "C>-", "G>-", "T>-",
-)
+#: Labels of an edit: a match, what can't be told, substitutions, insertions, deletions.
+OPS = frozenset({"=", "!"} | {f"{a}>{b}" for a in BASES for b in BASES if a != b} | {f"->{b}" for b in BASES} | {f"{b}>-" for b in BASES})
 #: Categories of the error head: match, to a base, insertion of a base, deletion.
 CATEGORIES = ("=", ">A", ">C", ">G", ">T", "->A", "->C", "->G", "->T", "-")
 

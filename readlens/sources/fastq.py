@@ -125,15 +125,15 @@ class FastaSource(DataSource):
         return _Reader(self.options, "fasta")
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """df with idx counted within files instead of within their parts."""
-    parts = df.groupBy("file_order", "part").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a part
+def numbered(df: DataFrame, file: str) -> DataFrame:
+    """df with idx counted within files, which a column names, instead of within their parts."""
+    parts = df.groupBy(file, "part").agg(F.count(F.lit(1)).alias("n")).collect()  # one row a part
     before, starts = {}, []
     for r in sorted(parts):
-        starts.append((r["file_order"], r["part"], before.get(r["file_order"], 0)))
-        before[r["file_order"]] = starts[-1][2] + r["n"]
-    known = df.sparkSession.createDataFrame(starts, "file_order int, part long, start long")
-    return df.join(F.broadcast(known), ["file_order", "part"]).withColumn("idx", F.col("idx") + F.col("start")).select(*df.columns)
+        starts.append((r[file], r["part"], before.get(r[file], 0)))
+        before[r[file]] = starts[-1][2] + r["n"]
+    known = df.sparkSession.createDataFrame(starts, f"{file} {df.schema[file].dataType.simpleString()}, part long, start long")
+    return df.join(F.broadcast(known), [file, "part"]).withColumn("idx", F.col("idx") + F.col("start")).select(*df.columns)
 
 
 def read_fastq(spark: SparkSession, paths: list[str], every_n: int = 1, offset: int = 0, limit: int | None = None, split_bytes: int | None = None) -> DataFrame:
@@ -146,7 +146,7 @@ def read_fastq(spark: SparkSession, paths: list[str], every_n: int = 1, offset:
     if split_bytes:
         if every_n < 1 or offset < 0:
             raise ValueError("every_n is at least 1 and offset at least 0")
-        df = _numbered(source.option("split_bytes", split_bytes).load()).filter((F.col("idx") >= offset) & ((F.col("idx") - offset) % every_n == 0))
+        df = numbered(source.option("split_bytes", split_bytes).load(), "file_order").filter((F.col("idx") >= offset) & ((F.col("idx") - offset) % every_n == 0))
     else:
         df = source.option("every_n", every_n).option("offset", offset).load()
     df = df.drop("part")
@@ -174,6 +174,18 @@ def write_fastq(df: DataFrame, path: str, quality: bool = True, compression: str
     (writer.option("compression", compression) if compression else writer).text(path)
 
 
+def write_interleaved(pairs: DataFrame, path: str, only: int | None = None, compression: str | None = None) -> None:
+    """Pairs (name, r1, qual1, r2, qual2) as text, both mates of each after another, named :m1 and :m2; or one mate alone.
+
+    The suffix outlives aligners that cut /1 and /2 off a name; `sam.pair_flags` reads it.
+    """
+    if only not in (None, 1, 2):
+        raise ValueError("a mate is 1 or 2")
+    mates = [F.concat(F.lit("@"), "name", F.lit(f":m{k}\n"), f"r{k}", F.lit("\n+\n"), f"qual{k}") for k in ((1, 2) if only is None else (only,))]
+    writer = pairs.select(F.concat_ws("\n", *mates).alias("value")).write
+    (writer.option("compression", compression) if compression else writer).text(path)
+
+
 def write_subset(source: str, target: str, every_n: int = 1, offset: int = 0, limit: int | None = None) -> int:
     """A strided copy of one file, record for record; zipped if the target ends in .gz. Gives the number of records."""
     n = 0

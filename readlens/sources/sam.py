@@ -13,14 +13,15 @@ from pyspark.sql import functions as F
 
 from ..kernels.realign import end_to_end
 from ..kernels.walk import revcomp
-from .fastq import opened
+from . import splits
+from .fastq import numbered, opened
 
 # Flag bits of the format, and its letters for operations and bases in packed form.
-PAIRED, UNMAPPED, REVERSE, SECOND, SECONDARY, FAILED, DUPLICATE, SUPPLEMENTARY = 0x1, 0x4, 0x10, 0x80, 0x100, 0x200, 0x400, 0x800
+PAIRED, UNMAPPED, REVERSE, FIRST, SECOND, SECONDARY, FAILED, DUPLICATE, SUPPLEMENTARY = 0x1, 0x4, 0x10, 0x40, 0x80, 0x100, 0x200, 0x400, 0x800
 _CIGAR_LETTERS = "MIDNSHP=X"
 _BASE_LETTERS = "=ACMGRSVTWYHKDBN"
 _PART = re.compile(r"(\d+)([MIDNSHP=X])")
-_SCHEMA = "file string, idx long, name string, flag int, contig string, pos long, mapq int, cigar string, seq string, qual string"
+_SCHEMA = "file string, part long, idx long, name string, flag int, contig string, pos long, mapq int, cigar string, seq string, qual string"
 
 
 def sam_rows(lines: Iterable[bytes]) -> Iterator[tuple]:
@@ -35,58 +36,94 @@ def sam_rows(lines: Iterable[bytes]) -> Iterator[tuple]:
         yield f[0], int(f[1]), empty(f[2]), int(f[3]) - 1, int(f[4]), empty(f[5]), empty(f[9]), empty(f[10])
 
 
-def bam_rows(file) -> Iterator[tuple]:
-    """The same of a BAM file whose blocks have been unzipped (its blocks are members of one gzip stream)."""
+def _exactly(file, n: int) -> bytes:
+    data = file.read(n)
+    if len(data) != n:
+        raise ValueError("the BAM file ends within a record")
+    return data
 
-    def exactly(n: int) -> bytes:
-        data = file.read(n)
-        if len(data) != n:
-            raise ValueError("the BAM file ends within a record")
-        return data
 
-    if exactly(4) != b"BAM\1":
+def bam_header(file) -> tuple[list[str], list[int], int]:
+    """Names and lengths of the contigs, and the header's unzipped size."""
+    if _exactly(file, 4) != b"BAM\1":
         raise ValueError("no BAM file")
-    exactly(struct.unpack("<i", exactly(4))[0])
-    contigs = []
-    for _ in range(struct.unpack("<i", exactly(4))[0]):
-        contigs.append(exactly(struct.unpack("<i", exactly(4))[0])[:-1].decode())
-        exactly(4)
+    text = struct.unpack("<i", _exactly(file, 4))[0]
+    _exactly(file, text)
+    size, names, lengths = 12 + text, [], []
+    for _ in range(struct.unpack("<i", _exactly(file, 4))[0]):
+        name = struct.unpack("<i", _exactly(file, 4))[0]
+        names.append(_exactly(file, name)[:-1].decode())
+        lengths.append(struct.unpack("<i", _exactly(file, 4))[0])
+        size += 8 + name
+    return names, lengths, size
+
+
+def _bam_row(data: bytes, contigs: list[str]) -> tuple:
+    """(name, flag, contig, 0-based pos, mapq, cigar, seq, qual) of a record."""
+    ref, pos, name_size, mapq, _, ops, flag, size = struct.unpack_from("<iiBBHHHi", data)
+    at = 32
+    name = data[at : at + name_size - 1].decode()
+    at += name_size
+    cigar = "".join(f"{x >> 4}{_CIGAR_LETTERS[x & 15]}" for x in struct.unpack_from(f"<{ops}I", data, at))
+    at += 4 * ops
+    packed = data[at : at + (size + 1) // 2]
+    seq = "".join(_BASE_LETTERS[b >> 4] + _BASE_LETTERS[b & 15] for b in packed)[:size]
+    at += len(packed)
+    quality = data[at : at + size]
+    return name, flag, contigs[ref] if ref >= 0 else "", pos, mapq, cigar, seq, "" if quality[:1] == b"\xff" else "".join(chr(q + 33) for q in quality)
+
+
+def bam_rows(file) -> Iterator[tuple]:
+    """Rows of a BAM file whose blocks have been unzipped (its blocks are members of one gzip stream)."""
+    contigs, _, _ = bam_header(file)
     while head := file.read(4):
-        data = exactly(struct.unpack("<i", head)[0])
-        ref, pos, name_size, mapq, _, ops, flag, size = struct.unpack_from("<iiBBHHHi", data)
-        at = 32
-        name = data[at : at + name_size - 1].decode()
-        at += name_size
-        cigar = "".join(f"{x >> 4}{_CIGAR_LETTERS[x & 15]}" for x in struct.unpack_from(f"<{ops}I", data, at))
-        at += 4 * ops
-        packed = data[at : at + (size + 1) // 2]
-        seq = "".join(_BASE_LETTERS[b >> 4] + _BASE_LETTERS[b & 15] for b in packed)[:size]
-        at += len(packed)
-        quality = data[at : at + size]
-        yield name, flag, contigs[ref] if ref >= 0 else "", pos, mapq, cigar, seq, "" if quality[:1] == b"\xff" else "".join(chr(q + 33) for q in quality)
+        yield _bam_row(_exactly(file, struct.unpack("<i", head)[0]), contigs)
+
+
+def _is_bam(path: str) -> bool:
+    with opened(path) as file:
+        return hasattr(file, "peek") and file.peek(4)[:4] == b"BAM\1"
+
+
+def part_rows(path: str, start: int, end: int) -> Iterator[tuple]:
+    """The rows that a part of a file owns."""
+    if not _is_bam(path):
+        yield from sam_rows(splits.lines(path, start, end))
+        return
+    with opened(path) as file:
+        contigs, lengths, size = bam_header(file)
+    for data in splits.bam_records(path, start, end, size, lengths):
+        yield _bam_row(data, contigs)
 
 
 class _File(InputPartition):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, part: tuple[int, int] | None = None) -> None:
+        self.path, self.part = path, part
 
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
+        self.split = int(options.get("split_bytes", 0))
 
     def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in self.paths]
+        if not self.split:
+            return [_File(p) for p in self.paths]
+        return [_File(p, part) for p in self.paths for part in splits.ranges(p, self.split)]
 
     def read(self, partition: _File) -> Iterator[tuple]:
+        if partition.part and splits.kind(partition.path) != "gzip":
+            for k, row in enumerate(part_rows(partition.path, *partition.part)):
+                yield (partition.path, partition.part[0], k, *row)
+            return
         with opened(partition.path) as file:
-            start = file.peek(4)[:4] if hasattr(file, "peek") else b""
-            for k, row in enumerate(bam_rows(file) if start == b"BAM\1" else sam_rows(file)):
-                yield (partition.path, k, *row)
+            for k, row in enumerate(bam_rows(file) if _is_bam(partition.path) else sam_rows(file)):
+                yield (partition.path, 0, k, *row)
 
 
 class SamSource(DataSource):
-    """format("alignments"): SAM or BAM by content; option paths (comma-joined), one partition for each file."""
+    """format("alignments"): SAM or BAM by content; option paths (comma-joined), one partition for each file. With split_bytes, files are read
+    in parts of about so many bytes: `part` is where one begins, and idx counts within it. Gzip files that aren't blocks stay whole."""
 
     @classmethod
     def name(cls) -> str:
@@ -99,9 +136,20 @@ class SamSource(DataSource):
         return _Reader(self.options)
 
 
-def read_records(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_records(spark: SparkSession, paths: list[str], split_bytes: int | None = None) -> DataFrame:
+    """Records with file and idx, their place in it. With split_bytes, files are read in parts, each a partition, and records are counted first."""
     spark.dataSource.register(SamSource)
-    return spark.read.format("alignments").option("paths", ",".join(paths)).load()
+    source = spark.read.format("alignments").option("paths", ",".join(paths))
+    if not split_bytes:
+        return source.load().drop("part")
+    return numbered(source.option("split_bytes", split_bytes).load(), "file").drop("part")
+
+
+def pair_flags(records: DataFrame) -> DataFrame:
+    """Records whose names end in :m1 or :m2 with the flags of a pair's first or second mate, and without that suffix; others as they are."""
+    mate = F.regexp_extract("name", r":m([12])$", 1)
+    bits = F.when(mate == "1", PAIRED | FIRST).when(mate == "2", PAIRED | SECOND).otherwise(0)
+    return records.withColumns({"flag": F.col("flag").bitwiseOR(bits), "name": F.regexp_replace("name", r":m[12]$", "")})
 
 
 def reads_as_sequenced(records: DataFrame) -> DataFrame:

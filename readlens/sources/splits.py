@@ -1,6 +1,6 @@
-"""Parts of a FASTQ file that can be read apart: byte ranges of plain files, ranges of blocks of block-gzipped ones.
+"""Parts of FASTQ, SAM and BAM files that can be read apart: byte ranges of plain files, ranges of blocks of block-gzipped ones.
 
-A part owns the records whose first line starts within it or right at its end, and reads on until the last of them is whole;
+A part of lines owns the records whose first line starts within it or right at its end, and reads on until the last of them is whole;
 it begins behind the first line end, at the first place where four lines make a record.
 """
 
@@ -150,3 +150,93 @@ def records(path: str, start: int, end: int) -> Iterator[tuple[str, str, str]]:
             if not own:
                 return
             yield from fastq.records(iter([line, *(x for x, _ in (next(rest, (b"", False)) for _ in range(3)) if x)]), name)
+
+
+def lines(path: str, start: int, end: int) -> Iterator[bytes]:
+    """Lines that begin within a part of a file or right at its end, but for that which begins right at its start, unless it is the file's."""
+    with open(path, "rb") as file:
+        found = _lines((_blocks if kind(path) == "blocks" else _plain)(file, start, end))
+        if start:
+            next(found, None)
+        for line, own in found:
+            if not own:
+                return
+            yield line
+
+
+class _Stream:
+    """Unzipped bytes of a part by their place, and where what it owns ends, once that has been read."""
+
+    def __init__(self, chunks: Iterator[tuple[bytes, bool]]) -> None:
+        self.chunks, self.data, self.first, self.end, self.over = chunks, bytearray(), 0, None, False
+
+    def has(self, place: int, n: int) -> bool:
+        """Whether there are n bytes from a place on; reads until there are."""
+        while not self.over and self.first + len(self.data) < place + n:
+            chunk, inside = next(self.chunks, (None, False))
+            if chunk is None:
+                self.over = True
+                break
+            if not inside and self.end is None:
+                self.end = self.first + len(self.data)
+            self.data += chunk
+        return self.first + len(self.data) >= place + n
+
+    def get(self, place: int, n: int) -> bytes:
+        return bytes(self.data[place - self.first : place - self.first + n])
+
+    def forget(self, place: int) -> None:
+        if place - self.first > 4 * CHUNK:
+            del self.data[: place - self.first]
+            self.first = place
+
+
+#: Records in a row that have to be sound for a place to count as the start of one.
+_SOUND = 4
+
+
+def _sound(stream: _Stream, place: int, lengths: list[int]) -> int | None:
+    """Where the record after one at this place would begin, or None if none can be here."""
+    if not stream.has(place, 36):
+        return None
+    size, ref, pos, name, _, _, ops, _, bases, other, other_pos, _ = struct.unpack("<iiiBBHHHiiii", stream.get(place, 36))
+    if not (32 <= size < 1 << 28 and -1 <= ref < len(lengths) and -1 <= other < len(lengths) and pos >= -1 and other_pos >= -1 and name >= 1 and bases >= 0):
+        return None
+    if ref >= 0 and pos > lengths[ref] or 32 + name + 4 * ops + (bases + 1) // 2 + bases > size or not stream.has(place, 4 + size):
+        return None
+    text = stream.get(place + 36, name)
+    cigar = struct.unpack(f"<{ops}I", stream.get(place + 36 + name, 4 * ops))
+    if text[-1] or not all(33 <= c <= 126 for c in text[:-1]) or any(x & 15 > 8 for x in cigar):
+        return None
+    return place + 4 + size
+
+
+def _starts(stream: _Stream, place: int, lengths: list[int]) -> bool:
+    at: int | None = place
+    for _ in range(_SOUND):
+        if not stream.has(at, 1):
+            return at != place
+        at = _sound(stream, at, lengths)
+        if at is None:
+            return False
+    return True
+
+
+def bam_records(path: str, start: int, end: int, header: int, lengths: list[int]) -> Iterator[bytes]:
+    """Records, without their sizes, that begin in the blocks of a part. header: its unzipped size; lengths: the contigs'.
+
+    A part begins at the first place where several sound records follow each other. Blocks may end within records.
+    """
+    with open(path, "rb") as file:
+        stream = _Stream(_blocks(file, start, end))
+        place = 0 if start else header
+        if start:
+            while stream.has(place, 1) and (stream.end is None or place < stream.end) and not _starts(stream, place, lengths):
+                place += 1
+        while stream.has(place, 4) and (stream.end is None or place < stream.end):
+            size = struct.unpack("<i", stream.get(place, 4))[0]
+            if size < 32 or not stream.has(place, 4 + size):
+                raise ValueError(f"{path}@{start}: a record doesn't end")
+            yield stream.get(place + 4, size)
+            place += 4 + size
+            stream.forget(place)

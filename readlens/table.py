@@ -49,7 +49,7 @@ class CountTable:
         """One pass over the data, at a source's boundary: counts are at least 0 and labels legal."""
         bad = F.col("n").isNull() | (F.col("n") < 0)
         if "op" in self.fields:
-            bad |= ~F.col("op").isin(*schema.OPS)
+            bad |= ~F.col("op").isin(*sorted(schema.OPS))
         if found := self.df.filter(bad).head(1):
             raise TableError(f"illegal row {found[0].asDict()}")
         return self

@@ -337,9 +337,6 @@ def test_levels_tails_and_posteriors():
     assert all(low <= mid <= high for mid, low, high in rake.pinned_band(t, h).values())
     exact = sum(math.comb(10, j) * 0.1**j * 0.9 ** (10 - j) for j in range(3, 11))
     assert abs(rake.binomial_tail(np.array([3]), np.array([10]), 0.1)[0] - exact) < 1e-12
-    risk, lost = np.full((50, 3), 100), np.ones((50, 3), int)
-    lost[7, 1] = 60
-    assert np.flatnonzero(rake.outliers(risk, lost)).tolist() == [7]
     p = rake.site_posterior(np.array([100.0, 100.0]), np.ones((2, 3)), np.array([[1, 1, 1], [30, 1, 1.0]]))
     assert p[0] < 0.01 and p[1] > 0.99
     assert rake.strand_shift(5, 10) == (0.0, 0.0)

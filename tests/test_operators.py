@@ -2,6 +2,8 @@
 
 import gzip
 import io
+import json
+import math
 import random
 import struct
 import zlib
@@ -15,6 +17,8 @@ import __spark_entry__
 from readlens import functions as fn
 from readlens.operators import alignments as al
 from readlens.operators import bases as ba
+from readlens.operators import compare as cp
+from readlens.operators import evidence as ev
 from readlens.operators import kmers as km
 from readlens.operators import overlap as ov
 from readlens.plans import queries as plans
@@ -125,6 +129,30 @@ def test_split_files_are_numbered_and_strided_alike(spark, long_fastq, tmp_path)
     assert fastq.read_fastq(spark, paths, split_bytes=300).rdd.getNumPartitions() > 10
 
 
+@pytest.fixture(scope="module")
+def many_records():
+    rng, out = random.Random(6), ["@HD\tVN:1.6"]
+    for i in range(150):
+        n = rng.randint(1, 60)
+        text = "".join(rng.choice("ACGT") for _ in range(n))
+        cigar = f"{n}M" if n < 10 or i % 3 else f"4M1D{n - 6}M2I"
+        out.append("\t".join([f"read{i}", str(rng.choice([0, 16])), "c", str(rng.randint(1, 29)), "60", cigar, "*", "0", "0", text, "".join(rng.choice("!+5I") for _ in range(n))]))
+    return "\n".join(out) + "\n"
+
+
+@pytest.mark.parametrize("packing", ["sam", "zipped sam", "bam", "bam in small blocks"])
+def test_parts_of_alignments_hold_each_record_once(spark, many_records, packing, tmp_path):
+    plain = gzip.decompress(as_bam(many_records))
+    data = {"sam": many_records.encode(), "zipped sam": bgzf(many_records.encode(), 300), "bam": bgzf(plain, 4000), "bam in small blocks": bgzf(plain, 70)}[packing]
+    path = str(tmp_path / "x")
+    (tmp_path / "x").write_bytes(data)
+    wanted = list(sam.sam_rows(many_records.encode().splitlines(True)))
+    for size in (150, 400, 1000, 10**6):
+        assert [r for part in splits.ranges(path, size) for r in sam.part_rows(path, *part)] == wanted
+    whole = sorted(map(str, sam.read_records(spark, [path]).collect()))
+    assert sorted(map(str, sam.read_records(spark, [path], split_bytes=700).collect())) == whole and len(whole) == 150
+
+
 def test_broken_parts_raise(tmp_path):
     good = "".join(f"@r{i}\nACGT\n+\nIIII\n" for i in range(20))
     for bad in (good + "x\n" * 9 + good, good + "@r\nACGT\n+\n", good + "@r\nACGT\n", good[:100] + "@r\nACG\n+\nIIII\n" + good[100:]):
@@ -190,6 +218,54 @@ def test_sam_and_bam_alignments(spark, tmp_path):
         assert sam.reads_as_sequenced(records).count() == 6
 
 
+def test_pairs_are_written_interleaved_and_their_flags_found(spark, tmp_path):
+    pairs = spark.createDataFrame([("p", "ACGT", "IIII", "GG", "!!"), ("q", "A", "I", "C", "I")], "name string, r1 string, qual1 string, r2 string, qual2 string").coalesce(1)
+    text = lambda name: "".join(p.read_text() for p in sorted((tmp_path / name).glob("part-*")))
+    fastq.write_interleaved(pairs, str(tmp_path / "both"))
+    fastq.write_interleaved(pairs, str(tmp_path / "second"), only=2)
+    assert text("both") == "@p:m1\nACGT\n+\nIIII\n@p:m2\nGG\n+\n!!\n@q:m1\nA\n+\nI\n@q:m2\nC\n+\nI\n"
+    assert [n for n, *_ in fastq.records(iter(text("second").encode().splitlines(True)), "x")] == ["p:m2", "q:m2"]
+    with pytest.raises(ValueError):
+        fastq.write_interleaved(pairs, str(tmp_path / "third"), only=3)
+    df = spark.createDataFrame([("a:m1", 16), ("a:m2", 0), ("b", 4), (None, 0), (":m3", 0)], "name string, flag int")
+    assert {(r.name, r.flag) for r in sam.pair_flags(df).collect()} == {("a", 16 | 0x41), ("a", 0x81), ("b", 4), (None, 0), (":m3", 0)}
+
+
+def test_outliers_are_found_in_turns(spark):
+    """A key that loses much hides a second one until it is gone; the tail is the binomial's."""
+    rows = []
+    for key in range(60):
+        n = [100, 99, 98, 97]
+        if key == 7:
+            n = [30_000, 15_000, 15_000, 15_000]
+        if key == 9:
+            n = [100, 55, 54, 53]
+        rows += [(f"k{key}", t, x) for t, x in enumerate(n)]
+    rows += [("gone", 0, 40), ("none", 0, 0)]
+    alive = spark.createDataFrame(rows, "key string, t int, n long")
+    first = {(r.key, r.t) for r in km.outliers(alive, 1e-12, turns=1).collect()}
+    found = {(r.key, r.t): r for r in km.outliers(alive, 1e-12).collect()}
+    assert first == {("k7", 1), ("gone", 1)} and found.keys() == {("k7", 1), ("k9", 1), ("gone", 1)}
+    lost, at_risk = 58 + 45, 58 * 100 + 100  # what is left once the two of the first turn are gone
+    p = lost / at_risk
+    exact = sum(math.comb(100, j) * p**j * (1 - p) ** (100 - j) for j in range(45, 101))
+    assert found["k9", 1].lost == 45 and found["k9", 1].tail == pytest.approx(exact, rel=1e-6)
+    assert km.outliers(alive.filter("false")).count() == 0
+
+
+def test_rates_by_exposure_and_histograms(spark):
+    columns = spark.createDataFrame([("M", "A", "A", 10, 7), ("M", "A", "C", 20, 2), ("I", "-", "G", 10, 1), ("D", "T", "-", 30, 3)], "op string, ref string, alt string, q int, n long")
+    out = {r.kind: r for r in ev.column_rates(columns).collect()}
+    assert (out["substitution"].exposure, out["substitution"].errors, out["any"].exposure, out["any"].errors) == (9, 2, 10, 6)
+    assert out["any"].implied == pytest.approx((0.1 * 8 + 0.01 * 2) / 10) and out["substitution"].rate == pytest.approx(2 / 9)
+    assert ev.column_rates(columns.filter("false")).count() == 0 and ev.column_rates(columns.filter("op = 'D'")).filter("kind = 'any'").first().rate is None
+    bins = lambda *x: spark.createDataFrame(list(x), "v int, n long")
+    assert cp.histogram_distance(bins((1, 3), (2, 1)), bins((1, 1), (60, 1), (70, 2)), "v", "n").first().distance == pytest.approx((0.5 + 0.25 + 0.75) / 2)
+    assert cp.histogram_distance(bins((1, 3)), bins((1, 1)).filter("false"), "v", "n").first().distance is None
+    counts = spark.createDataFrame([("AA", 3), ("AC", 1)], "kmer string, n long")
+    assert cp.absent_share(counts, counts.filter("kmer = 'AA'")).first().share == 0.25 and cp.absent_share(counts, counts.filter("false")).first().share == 1.0
+
+
 def test_pileup_masks_and_anti_join(spark):
     rows = [(k, "c", 0, False, "ACGTACGT", "ACGAACGT" if k < 3 else "ACGTACGT", "I" * 8, "8M", 1) for k in range(8)] + [(9, "c", 0, True, "ACGTACGT", "ACGTACT", "I" * 7, "6M1D1M", 1)]
     df = spark.createDataFrame(rows, "read_id long, contig string, start long, reverse boolean, template string, sequence string, quality string, cigar string, mate int")
@@ -242,6 +318,13 @@ def test_mates_must_pair(spark):
         ov.pair_up(r1, r1.filter("idx = 0")).collect()
 
 
+def test_pairs_with_tiles(spark):
+    reads = lambda *names: spark.createDataFrame([(i, n, "ACGT", [2] * 4) for i, n in enumerate(names)], "idx long, name string, seq string, q array<int>")
+    assert [r.tile for r in ov.with_tiles(reads("m:1:f:2:17:9:9 x", "m:3:4:9:9"), reads("a", "b")).orderBy("pair_id").collect()] == ["2_17", "3_4"]
+    with pytest.raises(Exception, match="no tile in the name m:a"):
+        ov.with_tiles(reads("m:a"), reads("b")).collect()
+
+
 def test_art_profile_round_trip(spark):
     rows = spark.createDataFrame([("A", 1, 2), ("C", 1, 12), ("A", 1, 12), ("A", 2, 45)], "base string, pos_start int, q int")
     back = exporters.read_art(exporters.art_text(exporters.art_profile(rows)))
@@ -327,6 +410,21 @@ def test_command_line(spark, tiny, tmp_path, capsys):
     cli.main(["fit-reference", *common, "--out", str(tmp_path / "model")])
     spec = ModelSpec.load(str(tmp_path / "model"))
     assert spec.alphabet == (2, 37) and [c.token for c in spec.error] == ["QualityWindow(1)", "Context(1,1)", "Homopolymer", "Mate"]
+    cli.main(["baseline", *[str(tmp_path / "x.sam")] * 3, "--reference", str(tmp_path / "x.fa"), "--out", str(tmp_path / "verdicts.json")])
+    assert {r["verdict"] for r in json.loads((tmp_path / "verdicts.json").read_text())["rows"]} == {"matches"}
+    capsys.readouterr()
+    cli.main(["multiplicity", str(tmp_path / "x.fa"), "--k", "11", "--v", "5"])
+    assert json.loads(capsys.readouterr().out)["multi_value"] < 0.05
+    pairs = []
+    for k in range(60):
+        start = int(rng.integers(0, 340))
+        text, q = genome[start : start + 50], "".join(rng.choice(["#", "F"], 40))
+        pairs.append((k, text[:40], q, text[10:][::-1].translate(str.maketrans("ACGT", "TGCA")), q))
+    for name, a, b in (("r1.fq", 1, 2), ("r2.fq", 3, 4)):
+        (tmp_path / name).write_text("".join(f"@p{r[0]}\n{r[a]}\n+\n{r[b]}\n" for r in pairs))
+    cli.main(["fit-overlap", str(tmp_path / "r1.fq"), str(tmp_path / "r2.fq"), "--out", str(tmp_path / "pairs")])
+    spec = ModelSpec.load(str(tmp_path / "pairs"))
+    assert spec.mode == "pe-overlap" and spec.provenance["stats"]["pairs"] == 60 and [c.token for c in spec.quality][0] == "QualityMarkov(1)"
 
 
 def test_joint_site_model_finds_planted_sites(spark):

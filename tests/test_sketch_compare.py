@@ -1,6 +1,7 @@
 """Sketch files as one source, comparisons, and cases that were once wrong."""
 
 import warnings
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from readlens import functions as fn
 from readlens.kernels import place, walk
+from readlens.models import kmer_source
 from readlens.operators import alignments as al
 from readlens.operators import compare as cp
 from readlens.operators import sketch as sk
@@ -68,6 +70,19 @@ def test_a_run_gives_its_tables(spark, run):
     assert [tuple(r) for r in sk.hazard_window(a.parts["hazard_rate"]).collect()] == [(5, 0.01)]
 
 
+def test_a_run_and_its_reads_are_fitted(spark, run):
+    reads = spark.createDataFrame([(i, 1, "ACGTGGACCT" * 2, [12, 37] * 10) for i in range(20)], "read_id long, mate int, seq string, q array<int>")
+    a = sk.read_analyze(spark, str(run / "x"))
+    with pytest.raises(ValueError):
+        kmer_source.of_run(a, reads, (1, 1))
+    with pytest.warns(UserWarning):
+        source = kmer_source.of_run(replace(a, v=4), reads, (1, 1), least_key=3)
+    source.v = 3
+    source.hazard = spark.createDataFrame([(t, 0.01) for t in range(5, 9)], "t int, hazard double")
+    spec = kmer_source.fit(source, ["QualityWindow(0)", "Context(1,1)", "Position(4)", "Strand", "GC(3)"], ["QualityMarkov(1)", "Context(1,1)"])
+    assert spec.alphabet == (12, 37) and len(spec.error) == 5 and spec.provenance["k"] == 4 and spec.provenance["level_scale"] == 1.0
+
+
 def test_incomplete_runs_raise(spark, run):
     (run / "x.survival_rate.csv").unlink()
     with pytest.raises(SketchFormatError, match="older than 0.3"):
