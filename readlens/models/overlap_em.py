@@ -27,24 +27,40 @@ from .spec import ModelSpec
 _UNSEEN = slice(5, None)
 
 
+#: An impossible call is so far off that no sum of others makes up for it, and two of them cancel.
+_OFF = -1e6
+
+
+def call_gaps(rows: DataFrame, keys: list[str], error: Head) -> DataFrame:
+    """(keys, gap): how much likelier both mates' calls are if mate 1 is right, as a logarithm. rows: keys and the `rows` of a dispute."""
+    side = F.when(F.col("i") < 2, 1).otherwise(-1)
+    own = rows.select(*keys, F.posexplode("rows").alias("i", "r")).select(*keys, side.alias("side"), "r.*")
+    calls = spread.scored(own, error).select(*keys, "side", F.get("logp", category(F.col("op"))).alias("x"))
+    return calls.groupBy(*keys).agg(F.sum(F.col("side") * F.greatest("x", F.lit(_OFF))).alias("gap"))
+
+
+def quality_gaps(disputes: DataFrame, quality: Head) -> DataFrame:
+    """(dispute, gap): the same of the qualities around the base, given what then is the base."""
+    around = [disputes.select("dispute", F.lit(s).alias("side"), F.explode(c).alias("r")).select("dispute", "side", "r.*") for s, c in ((1, "first"), (-1, "second"))]
+    place = F.array_position(F.lit(list(quality.alphabet)), F.col("q")).cast("int") - 1
+    scored = spread.scored(around[0].unionByName(around[1]), quality).select("dispute", "side", F.get("logp", place).alias("x"))
+    return scored.groupBy("dispute").agg(F.sum(F.col("side") * F.greatest("x", F.lit(_OFF))).alias("gap"))
+
+
+def chance(gap: Column) -> Column:
+    return 1 / (1 + F.exp(-F.greatest(F.least(gap, F.lit(500.0)), F.lit(-500.0))))
+
+
 def first_right(disputes: DataFrame, error: Head, quality: Head | None = None) -> DataFrame:
     """(dispute, right): the chance that mate 1 is right. disputes: `overlap.disputes` with an id of each, `dispute`.
 
-    Either explanation has the chances of both mates' calls, and with a quality head those of the qualities around the base
-    given what then is the base. A dispute that neither explains has a half.
+    Either explanation has the chances of both mates' calls, and with a quality head those of the qualities around the base.
+    A dispute that neither explains has a half.
     """
-    side = lambda i: F.when(i < 2, 1).otherwise(-1)
-    own = disputes.select("dispute", F.posexplode("rows").alias("i", "r")).select("dispute", side(F.col("i")).alias("side"), "r.*")
-    calls = spread.scored(own, error).select("dispute", "side", F.get("logp", category(F.col("op"))).alias("x"))
-    parts = [calls]
+    gaps = call_gaps(disputes, ["dispute"], error)
     if quality is not None:
-        around = [disputes.select("dispute", F.lit(s).alias("side"), F.explode(c).alias("r")).select("dispute", "side", "r.*") for s, c in ((1, "first"), (-1, "second"))]
-        place = F.array_position(F.lit(list(quality.alphabet)), F.col("q")).cast("int") - 1
-        parts.append(spread.scored(around[0].unionByName(around[1]), quality).select("dispute", "side", F.get("logp", place).alias("x")))
-    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    # An impossible call is so far off that no sum of others makes up for it, and two of them cancel.
-    sums = rows.groupBy("dispute").agg(F.sum(F.col("side") * F.greatest("x", F.lit(-1e6))).alias("gap"))
-    return sums.select("dispute", (1 / (1 + F.exp(-F.greatest(F.least("gap", F.lit(500.0)), F.lit(-500.0))))).alias("right"))
+        gaps = gaps.unionByName(quality_gaps(disputes, quality)).groupBy("dispute").agg(F.sum("gap").alias("gap"))
+    return gaps.select("dispute", chance(F.col("gap")).alias("right"))
 
 
 def expected(certain: DataFrame, disputes: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -102,18 +118,25 @@ def fit(pairs: DataFrame, error_tokens: Sequence[str], quality_tokens: Sequence[
     if certain.isEmpty() and open_.isEmpty():
         raise ValueError("no pair overlaps, so there is nothing to learn from")
     spread.fit(bases, quality)
-    weights: DataFrame | None = None
+    # Qualities are weighed once. Disputes of the same calls differ in them alone, so a turn scores each set of calls once.
+    calls = ["c1", "c2"]
+    keyed = open_.withColumns({c: F.xxhash64(F.lit(k), "rows") for k, c in enumerate(calls)})
+    sets = stages.write(keyed.groupBy(*calls).agg(F.first("rows").alias("rows")), "sets")
+    state = stages.write(keyed.join(quality_gaps(open_, quality).withColumnRenamed("gap", "around"), "dispute").select("dispute", *calls, "n", "around", F.lit(0.5).alias("right")), "start")
+    certain = certain.withColumn("n", F.col("n").cast("double"))
     for turn in range(1, iterations + 1):
-        spread.fit(expected(certain, open_, weights), error, penalty)
-        after = stages.write(first_right(open_, error, quality), f"weights{turn}")
-        old = F.lit(0.5) if weights is None else F.col("old")
-        both = after if weights is None else after.join(weights.withColumnRenamed("right", "old"), "dispute")
-        moved = both.agg(F.max(F.abs(F.col("right") - old))).first()[0] or 0.0
-        if weights is not None:
-            stages.drop(weights)
-        weights = after
+        sums = state.groupBy(*calls).agg(F.sum(F.col("n") * F.col("right")).alias("one"), F.sum(F.col("n") * (1 - F.col("right"))).alias("two"))
+        each = sets.join(sums, calls).select("one", "two", F.posexplode("rows").alias("i", "r"))
+        split = each.select("r.*", F.when(F.col("i") < 2, F.col("one")).otherwise(F.col("two")).alias("n"))
+        spread.fit(certain.unionByName(split), error, penalty)
+        found = state.drop("last").withColumnRenamed("right", "last").join(call_gaps(sets, calls, error), calls)
+        after = stages.write(found.withColumn("right", chance(F.col("gap") + F.col("around"))).drop("gap"), f"turn{turn}")
+        moved = after.agg(F.max(F.abs(F.col("right") - F.col("last")))).first()[0] or 0.0
+        stages.drop(state)
+        state = after
         if moved < tolerance:
             break
+    weights = state.select("dispute", "right")
     error.theta[0, _UNSEEN] = -np.inf
     one = lambda df, head: df.select(*head.fields()).limit(1).toArrow().to_pandas()
     return Fit(error, quality, open_, weights, turn, float(moved), one(expected(certain, open_), error), one(bases, quality))
