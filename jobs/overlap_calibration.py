@@ -51,9 +51,9 @@ def run(spark: SparkSession, documents: str, out: str, config: dict[str, Any] |
     docs = spark.read.parquet(documents).select("doc_id", F.nullif("source", F.lit("")).alias("source"), "text")
     if sources is not None:
         docs = docs.filter(F.col("source").isin(list(sources)))
-    log.info("read %s: %s", documents, "all sources" if sources is None else f"sources {sorted(sources)}")
     stages = Stages(spark, "overlap-calibration")
     placed = stages.write(overlap.placements(bridge.pairs(bridge.cut(bridge.spread(docs)), ("source",)), rules).drop("r2_rc"), "placed")
+    log.info("read %s, %s: %d pairs", documents, "all sources" if sources is None else f"sources {sorted(sources)}", placed.count())
     made = {
         "pairs": overlap.agreement(placed, ("source",)),
         "calibration": overlap.calibration(placed.filter("status = 'placed'"), ("source",)),

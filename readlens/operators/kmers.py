@@ -1,6 +1,8 @@
 """k-mers, their multiplicity on contigs, and the (k, v)-mer sketch with its hazard estimates.
 
-Sequences are columns of a DataFrame; k-mers are strings, which sort as their two-bit codes do.
+Sequences are columns of a DataFrame; k-mers are strings, which sort as their two-bit codes do. A sequence that is null or
+shorter than a window has none, repeated sequences count as often as they occur, and empty tables give no rows (reports of
+one row: counts of 0, and nulls for sums and shares of nothing).
 """
 
 from __future__ import annotations
