@@ -50,8 +50,8 @@ def read_art(text: str) -> dict[int, dict[int, float]]:
 def mean_quality_cdf(reads: DataFrame, bins: int = 4, top: int = 40) -> DataFrame:
     """(bin, pos, q, cdf): quality distribution by position for reads in bins of their mean quality, which is taken within the read."""
     mean = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x) / F.size("q")
-    own = reads.filter(F.size("q") > 0).select(F.floor(F.least(F.lit(bins - 1), mean / (top / bins))).cast("int").alias("bin"), F.posexplode("q").alias("pos", "q"))
-    n = counted(own.select("bin", (F.col("pos") + 1).alias("pos"), F.least("q", F.lit(top)).alias("q")), ["bin", "pos", "q"])
+    own = reads.filter(F.size("q") > 0).select(F.floor(F.least(F.lit(bins - 1), mean / (top / bins))).cast("int").alias("bin"), F.col("q").alias("all"), F.explode(F.sequence(F.lit(1), F.size("q"))).alias("pos"))
+    n = counted(own.select("bin", "pos", F.least(F.get("all", F.col("pos") - 1), F.lit(top)).alias("q")), ["bin", "pos", "q"])
     order = Window.partitionBy("bin", "pos")
     return n.select("bin", "pos", "q", (F.sum("n").over(order.orderBy("q")) / F.sum("n").over(order)).alias("cdf"))
 
@@ -71,8 +71,8 @@ def kmer_alternatives(pairs: DataFrame, k: int = 7, keep: int = 25) -> DataFrame
 
 def chain(reads: DataFrame) -> DataFrame:
     """(state, following, n, share): transitions between a base's quality and the next one's, paired within the read."""
-    both = F.arrays_zip(F.slice("q", F.lit(1), F.size("q") - 1).alias("state"), F.slice("q", F.lit(2), F.size("q") - 1).alias("following"))
-    n = counted(reads.filter(F.size("q") > 1).select(F.explode(both).alias("x")).select("x.*"), ["state", "following"])
+    each = reads.filter(F.size("q") > 1).select("q", F.explode(F.sequence(F.lit(1), F.size("q") - 1)).alias("i"))
+    n = counted(each.select(F.get("q", F.col("i") - 1).alias("state"), F.get("q", F.col("i")).alias("following")), ["state", "following"])
     return n.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("state")))
 
 
@@ -142,10 +142,8 @@ def identities(strings: DataFrame) -> DataFrame:
 
 def steps(tracks: DataFrame, states: str) -> DataFrame:
     """(state, following, n): each place of the reads' state arrays with the one before it, which is null at a read's start."""
-    own = tracks.filter(F.size(states) > 0)
-    before = F.concat(F.array(F.lit(None).cast("int")), F.slice(states, F.lit(1), F.size(states) - 1))
-    both = F.arrays_zip(before.alias("state"), F.col(states).alias("following"))
-    return counted(own.select(F.explode(both).alias("x")).select("x.state", "x.following"), ["state", "following"])
+    each = tracks.filter(F.size(states) > 0).select(states, F.explode(F.sequence(F.lit(1), F.size(states))).alias("i"))
+    return counted(each.select(F.get(states, F.col("i") - 2).alias("state"), F.get(states, F.col("i") - 1).alias("following")), ["state", "following"])
 
 
 def _chained(moves: DataFrame, states: DataFrame) -> DataFrame:
@@ -182,8 +180,11 @@ def quality_hmm(reads: DataFrame, most: int = 50) -> DataFrame:
 
 def error_hmm(strings: DataFrame) -> DataFrame:
     """(kind, state, target, p): a chain of columns, 0 match, 1 substitution, 2 insertion, 3 deletion; each state emits itself."""
-    codes = F.transform(F.split("ops", ""), lambda c: F.instr(F.lit("=XID"), c) - 1)
-    moves = steps(strings.filter(F.length("ops") > 0).select(codes.alias("states")), "states")
+    # Columns are counted in twos as they are, a read's first behind a blank; only the few different ones become states.
+    each = strings.filter(F.length("ops") > 0).select(F.concat(F.lit(" "), "ops").alias("ops"), F.explode(F.sequence(F.lit(1), F.length("ops"))).alias("i"))
+    twos = counted(each.select(F.substring("ops", F.col("i"), F.lit(2)).alias("two")), ["two"])
+    code = lambda i: F.instr(F.lit("=XID"), F.substring("two", i, 1)) - 1
+    moves = twos.select(F.when(F.substring("two", 1, 1) != " ", code(1)).alias("state"), code(2).alias("following"), "n")
     own = strings.sparkSession.range(4).select(F.col("id").cast("int").alias("state"))
     return _chained(moves, own).unionByName(own.select(F.lit("EP").alias("kind"), "state", F.col("state").alias("target"), F.lit(1.0).alias("p")))
 
