@@ -94,21 +94,71 @@ def indel_events(df: DataFrame) -> DataFrame:
     return counted(_input(df).mapInArrow(run, "indel string, indel_length int, run int, q int"), ["indel", "indel_length", "run", "q"])
 
 
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Code points of all texts, where each begins, and their sizes."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.cumsum(size) - size, size
+
+
+def _signs(points: np.ndarray) -> pa.Array:
+    known, at = np.unique(points, return_inverse=True)
+    return pa.array([chr(x) for x in known.tolist()], pa.string()).take(pa.array(at))
+
+
+def _columns(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Columns of a batch's reads. Reads of one CIGAR have the same operations and places, so each is walked once."""
+    texts = {c: [x or "" for x in batch[c].to_pylist()] for c in ("template", "sequence", "quality", "cigar")}
+    (template, t0, t_size), (sequence, r0, r_size), (quality, _, q_size) = (_points(texts[c]) for c in ("template", "sequence", "quality"))
+    by: dict[str, list[int]] = {}
+    for k, cigar in enumerate(texts["cigar"]):
+        by.setdefault(cigar, []).append(k)
+    parts = []
+    for cigar, rows in by.items():
+        one = walk.Read(texts["template"][rows[0]], texts["sequence"][rows[0]], texts["quality"][rows[0]], cigar)
+        own = np.array(rows)
+        fits = (t_size[own] == t_size[own[0]]) & (r_size[own] == r_size[own[0]]) & (q_size[own] == r_size[own[0]])
+        if not fits.all():
+            raise ValueError(f"{cigar} doesn't fit all of its reads")
+        steps = list(walk.columns(one))
+        if not steps:
+            continue
+        if not one.sequence:
+            raise ValueError(f"{cigar} has no read base")
+        op, t, r = np.array([ord(x[0]) for x in steps]), np.array([x[1] for x in steps]), np.array([x[2] for x in steps])
+        at = np.minimum(r, len(one.sequence) - 1)
+        ref = np.where(op == ord("I"), ord("-"), template[np.minimum(t0[own][:, None] + t, max(len(template) - 1, 0))] if len(template) else ord("-"))
+        alt = np.where(op == ord("D"), ord("-"), sequence[r0[own][:, None] + at])
+        wide = lambda x: np.broadcast_to(x, (len(own), len(steps))).ravel()
+        parts.append((wide(own[:, None]), wide(op), wide(at + 1), quality[r0[own][:, None] + at].ravel().astype(np.int64) - 33, ref.ravel(), alt.ravel()))
+    read, op, pos, q, ref, alt = (np.concatenate(c) for c in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 6
+    read = pa.array(read.astype(np.int64))
+    return pa.RecordBatch.from_arrays([batch["read_id"].take(read), batch["mate"].take(read).cast(pa.int32()), _signs(op), pa.array(pos.astype(np.int32)), pa.array(q.astype(np.int32)), _signs(ref), _signs(alt)], names=list(_COLUMN_SCHEMA))
+
+
+_COLUMN_SCHEMA = {"read_id": "long", "mate": "int", "op": "string", "pos": "int", "q": "int", "ref": "string", "alt": "string"}
+
+
 def columns(df: DataFrame) -> DataFrame:
     """One row of each alignment column: read_id, mate, op (M, I, D), pos, q, ref, alt. A deletion has the read base after it, or the last one."""
-    names = ["read_id", "mate", "op", "pos", "q", "ref", "alt"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for row, read in _reads(batch):
-                for op, t, r in walk.columns(read):
-                    at = min(r, len(read.sequence) - 1)
-                    out.append((row["read_id"], read.mate, op, at + 1, ord(read.quality[at]) - 33, "-" if op == "I" else read.template[t], "-" if op == "D" else read.sequence[r]))
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out)) or [()] * 7, kinds)], names=names)
-
-    return _input(df).mapInArrow(run, "read_id long, mate int, op string, pos int, q int, ref string, alt string")
+            for at in range(0, batch.num_rows, 500):
+                yield _columns(batch.slice(at, 500))
+
+    return _input(df).mapInArrow(run, ", ".join(f"{n} {k}" for n, k in _COLUMN_SCHEMA.items()))
+
+
+def column_counts(df: DataFrame, fields: list[str]) -> DataFrame:
+    """(fields, n): `columns` added up by some of them; what leaves a batch is one row of each different one."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.Table.from_batches([_columns(batch)]).group_by(fields).aggregate([([], "count_all")])
+            yield from found.select([*fields, "count_all"]).rename_columns([*fields, "n"]).combine_chunks().to_batches()
+
+    kinds = ", ".join(f"{f} {_COLUMN_SCHEMA[f]}" for f in fields)
+    return counted(_input(df).mapInArrow(run, f"{kinds}, n long"), fields, "n")
 
 
 _CODES = np.full(256, 4, np.uint8)

@@ -468,3 +468,29 @@ def test_mates_are_counted_in_one_pass(spark):
 
     plan = queries.QUERIES["on_support"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan  # the bases were counted before; the rest reads counts
+
+
+def test_columns_are_added_up_within_a_batch(spark):
+    from readlens.operators import alignments as al
+
+    reads = [(k, "c", 0, False, "ACGTAC", s, "5" * len(s), c, m) for k, (s, c, m) in enumerate([("ACGTAC", "6M", 1), ("ACTTAC", "6M", 1), ("ACAC", "2M2D2M", 2), ("ACGGTAC", "3M1I3M", 2)] * 5)]
+    df = spark.createDataFrame(reads, "read_id long, contig string, start long, reverse boolean, template string, sequence string, quality string, cigar string, mate int").coalesce(1)
+    fields = ["mate", "op", "pos", "ref", "alt"]
+    each = {tuple(r[f] for f in fields): r["count"] for r in al.columns(df).groupBy(*fields).count().collect()}
+    assert {tuple(r[f] for f in fields): r.n for r in al.column_counts(df, fields).collect()} == each
+    assert each[1, "M", 3, "G", "T"] == 5 and each[2, "D", 3, "G", "-"] == 5 and each[2, "I", 4, "-", "G"] == 5
+
+
+def test_pairs_are_placed_once_for_both_mates_rows(spark):
+    from readlens.plans import queries
+
+    plan = queries.QUERIES["overlap_certain_rows"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+
+
+def test_documents_are_read_once_for_absent_kmers(spark):
+    from readlens.plans import queries
+
+    df = queries.QUERIES["kmer_absent_fraction"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1
