@@ -13,7 +13,9 @@ is dealt anew by an exact filter: of two linked texts the rarest fifth of the sh
 one in common. In the bucket of the rarest one that both have, what is rarer in either the other lacks, so the smaller of
 the two has it among its rarest ninth. A text is a centre only in buckets where that holds of itself, and is compared only
 with texts of other classes whose size and place leave enough in common: a passage that fills too little of every text to
-link them makes no pair, however many texts share it. Centres go in three turns (one a bucket, some sixteen, all), classes
+link them makes no pair, however many texts share it. Before texts meet as pairs, parities of the numbers of their shingles in
+each of 512 bins are compared: bins that differ are no more than the shingles that only one of the two has, so no link is
+lost, and of texts that share much but too little hardly a pair is left. Centres go in three turns (one a bucket, some sixteen, all), classes
 are joined between them, and no bucket is capped.
 
 Keys that hold much of a table (a bucket of thousands of copies, say) are at most HOT in number; what belongs to them is
@@ -26,6 +28,8 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +49,8 @@ COUNTERS = 1 << 20
 HOT = 1000
 #: Members of a bucket, or texts compared with one centre, that meet in one run at least.
 RUN = 200
+#: Columns of 64 parities each, bins of a text's shingles.
+PARITIES = [f"parity_{i}" for i in range(8)]
 #: Centres that a bucket has by turn; the last turn has all that are left.
 TURNS = (1, 16, None)
 _FACTORS = textvec.mix(np.arange(101, 101 + BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -199,16 +205,25 @@ def _rarity(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["counter", "n"])
 
 
+def parities(own: np.ndarray) -> np.ndarray:
+    """Whether each of the bins of 64 times PARITIES has an odd number of a text's labelled shingles, 64 to a number."""
+    bins = 64 * len(PARITIES)
+    odd = np.bincount((own % np.uint64(bins)).astype(np.int64), minlength=bins) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _rarest(shared, threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made, sizes = [], []
+            made, sizes, odd = [], [], np.empty((batch.num_rows, len(PARITIES)), np.int64)
             for own in _labelled_texts(batch):
                 count = shared.value[(own % np.uint64(COUNTERS)).astype(np.int64)]
                 enough = len(own) - math.ceil(threshold * len(own) - 1e-9) + 1
+                odd[len(made)] = parities(own)
                 made.append(own[np.lexsort((own, count))[:enough]].view(np.int64))
                 sizes.append(len(own))
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sizes, pa.int32()), pa.array(made, pa.list_(pa.int64()))], names=["node", "size", "rare"])
+            columns = [batch.column("node"), pa.array(sizes, pa.int32()), *map(pa.array, np.ascontiguousarray(odd.T)), pa.array(made, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "size", *PARITIES, "rare"])
 
     return run
 
@@ -280,9 +295,10 @@ def _roots(compared: DataFrame, texts: DataFrame, threshold: float, stages: Stag
     stages.tidy()
     share = threshold / (1 + threshold)  # of the two sizes together, what two linked texts have in common at least
     loose = F.col("size") - F.col("place") >= 2 * share * F.col("size") - 1e-9
-    rare = rest.mapInArrow(_rarest(shared, threshold), "node long, size int, rare array<long>").select("node", "size", F.posexplode("rare").alias("place", "bucket"))
+    kinds = ", ".join(f"{n} long" for n in PARITIES)
+    rare = rest.mapInArrow(_rarest(shared, threshold), f"node long, size int, {kinds}, rare array<long>").select("node", "size", *PARITIES, F.posexplode("rare").alias("place", "bucket"))
     buckets = stages.write(_buckets(rare, F.max(loose).alias("loose")).filter("loose").select("bucket", "many", "same"), "buckets")
-    merged = joined(rare, buckets, "bucket", "many").groupBy(F.col("same").alias("bucket"), "node").agg(F.min("place").alias("place"), F.min("size").alias("size"))
+    merged = joined(rare, buckets, "bucket", "many").groupBy(F.col("same").alias("bucket"), "node").agg(F.min("place").alias("place"), *(F.min(n).alias(n) for n in ("size", *PARITIES)))
     members = held = stages.write(merged.withColumn("loose", loose), "members-0")
     for turn, some in enumerate(TURNS, 1):
         first = F.min(F.when(F.col("loose"), F.struct("size", "node"))).alias("first")
@@ -294,9 +310,11 @@ def _roots(compared: DataFrame, texts: DataFrame, threshold: float, stages: Stag
         if marked.isEmpty():
             break
         runs = F.ceil(F.col("many") / RUN)
-        centers = marked.filter("central").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), runs - 1)).alias("run"), *(F.col(n).alias(f"center_{n}") for n in ("node", "root", "place", "size")))
+        centers = marked.filter("central").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), runs - 1)).alias("run"), *(F.col(n).alias(f"center_{n}") for n in ("node", "root", "place", "size", *PARITIES)))
         left_over = F.least(F.col("size") - F.col("place"), F.col("center_size") - F.col("center_place"))
-        enough = left_over >= share * (F.col("size") + F.col("center_size")) - 1e-9
+        both = F.col("size") + F.col("center_size")
+        differ = reduce(add, (F.bit_count(F.col(n).bitwiseXOR(F.col(f"center_{n}"))) for n in PARITIES))
+        enough = (left_over >= share * both - 1e-9) & (differ <= (1 - 2 * share) * both + 1e-9)
         pairs = marked.withColumn("run", F.pmod(F.xxhash64("node"), runs)).join(centers.hint("merge"), ["bucket", "run"]).filter("root != center_root and (node > center_node or not central)").filter(enough)
         pairs = pairs.select("node", F.col("center_node").alias("center")).distinct().join(known.select("node", "center").hint("merge"), ["node", "center"], "left_anti")
         fresh = _compared(pairs, rest, threshold, stages, str(turn))
@@ -306,7 +324,7 @@ def _roots(compared: DataFrame, texts: DataFrame, threshold: float, stages: Stag
             old = roots
             roots = components(old.withColumnRenamed("root", "center").unionByName(new), stages, f"roots-{turn}")
             stages.drop(old)
-        members = marked.filter("not central").select("bucket", "node", "place", "size", "loose")
+        members = marked.filter("not central").select("bucket", "node", "place", "size", *PARITIES, "loose")
         stages.tidy()
     return roots
 

@@ -153,6 +153,40 @@ def test_shared_passages_make_few_comparisons(spark, monkeypatch):
     assert sum(made) < neardup.BANDS * 2000
 
 
+def test_copies_with_too_many_changes_make_few_comparisons(spark, monkeypatch):
+    """400 copies of a text with four changed words each: places and sizes allow links, what they have in common doesn't."""
+    rng = random.Random(5)
+    base = [f"b{rng.randrange(10**6)}" for _ in range(120)]
+    texts = []
+    for _ in range(400):
+        words = base[:]
+        for at in rng.sample(range(120), 4):
+            words[at] = f"n{rng.randrange(10**9)}"
+        texts.append(" ".join(words))
+    sequences = [textvec.shingles(*(textvec.words([t])[i] for i in (0, 3)))[0] for t in texts]
+    labelled = [neardup._labelled(s, np.zeros(len(s), np.int64)) for s in sequences]
+    odd = [neardup.parities(s) for s in labelled]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            differ = sum(int(x).bit_count() for x in (odd[a] ^ odd[b]).view(np.uint64))
+            assert differ <= len(np.setxor1d(labelled[a], labelled[b]))
+            if neardup.similarity(sequences[a], sequences[b], 0.8) >= 0.8 and root[a] != root[b]:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    made = []
+    compared = neardup._compared
+
+    def counted(pairs, *rest):
+        made.append(pairs.count())
+        return compared(pairs, *rest)
+
+    monkeypatch.setattr(neardup, "_compared", counted)
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(root))
+    assert sum(made[1:]) < 5 * len(texts), made
+
+
 def test_decontamination_equals_brute_force(spark, corpus):
     rng = random.Random(2)
     items = []
