@@ -350,3 +350,22 @@ def test_selection_stops_where_nothing_is_gained():
     make = lambda tokens: (Head("E", tokens, (2, 37), (0, 0), 5), rows, counts)
     steps = rake.select(make, ["QualityWindow(0)"], {"mate": ["Mate"], "strand": ["Strand"]}, penalty=Penalty(0.1))
     assert steps[-1][0] == ["QualityWindow(0)", "Mate"]
+
+
+def test_many_alignments_at_once_are_those_of_one_by_one(monkeypatch):
+    rng = random.Random(8)
+    templates, reads = [], []
+    for k in range(600):
+        a = "".join(rng.choice("AC" if k % 3 else "ACGT") for _ in range(rng.choice((0, 1, 5, 12, 30, 30, 100))))
+        b = list(a)
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.choice((0, 0, 1, 2, 20))] = "".join(rng.choice("ACGT") for _ in range(rng.choice((0, 1, 2, 15))))
+        templates.append(a)
+        reads.append("".join(b))
+    for scores in (realign.Scores(), realign.Scores(1, -1, -1, -1), realign.Scores(2, -9, -1, -1)):
+        alone = [realign.align(a, b, scores) for a, b in zip(templates, reads)]
+        assert realign.align_many(templates, reads, scores) == alone
+        assert realign.align_many(templates, reads, scores, band=1) == alone
+    monkeypatch.setattr(realign, "CELLS", 3000)
+    assert realign.align_many(templates, reads, band=2) == [realign.align(a, b) for a, b in zip(templates, reads)]
