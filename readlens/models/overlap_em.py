@@ -104,7 +104,7 @@ def fit(pairs: DataFrame, error_tokens: Sequence[str], quality_tokens: Sequence[
     deletions end with no chance.
     """
     stages = Stages(pairs.sparkSession, "overlap-em")
-    bases = overlap.quality_rows(pairs, m, flank).df
+    bases = stages.write(overlap.quality_rows(pairs, m, flank).df, "bases")  # read three times, each of which would go over all bases
     seen = bases.groupBy("q").agg(F.max(F.greatest("pos_start", "pos_end")).alias("top")).collect()  # one row a quality
     alphabet, top = tuple(sorted(r["q"] for r in seen if r["q"] is not None)), max((r["top"] for r in seen), default=1)
     quality, error = Head("Q", list(quality_tokens), alphabet, flank, top), Head("E", list(error_tokens), alphabet, flank, top)
