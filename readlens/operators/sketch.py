@@ -12,7 +12,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import edit_label
 from ..sources import sketch_csv
 from ..sources.sketch_csv import SketchFormatError
 from ..table import CountTable
@@ -67,12 +66,17 @@ def kvmer_rows(counts: DataFrame, best: DataFrame, v: int) -> DataFrame:
 
     A key's rows are added up before they are gathered into its row, which holds at most one entry of each label and place.
     """
-    near = km.neighbours(counts, best, v)
-    labelled = near.groupBy("key", edit_label(F.col("value"), F.col("consensus"), v).alias("op")).agg(F.sum("n").alias("n"))
-    ops = labelled.groupBy("key").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("op", "n")))).alias("op_counts"), F.sum("n").alias("neighbor_count"))
-    alive = km.survival(counts, best, v).filter("t > 0").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("through"))
-    rows = best.join(ops, "key", "left").join(alive, "key", "left")
-    survival = F.transform(F.sequence(F.lit(1), F.lit(v)), lambda t: F.coalesce(F.element_at("through", t), F.lit(0).cast("long")))
+    facts = km.compared(counts.join(best.select("key", "consensus"), "key").select("key", "value", "n", "consensus"), "consensus", v)
+    agreeing = F.struct("through", F.lit(None).cast("string").alias("op"))
+    label = F.struct(F.lit(None).cast("int").alias("through"), "op")
+    each = facts.select("key", "n", F.explode(F.when(F.col("op").isNull(), F.array(agreeing)).otherwise(F.array(agreeing, label))).alias("e"))
+    added = each.select("key", "n", "e.*").groupBy("key", "through", "op").agg(F.sum("n").alias("n"))
+    by_key = added.groupBy("key").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("op").isNotNull(), F.struct("op", "n"))))).alias("op_counts"), F.sum(F.when(F.col("op").isNotNull(), F.col("n"))).alias("neighbor_count"),
+        F.map_from_entries(F.collect_list(F.when(F.col("through").isNotNull(), F.struct("through", "n")))).alias("through"),
+    )
+    rows = best.join(by_key, "key", "left")
+    survival = F.transform(F.sequence(F.lit(1), F.lit(v)), lambda t: km.through(F.col("through"), t, F.lit(v)))
     near_n = F.coalesce("neighbor_count", F.lit(0).cast("long"))
     return rows.select(
         "key", F.col("consensus").alias("consensus_value"), (near_n <= F.col("consensus_count")).alias("passes_filter"), "consensus_count", near_n.alias("neighbor_count"),

@@ -1,20 +1,25 @@
 """Walks, alignments, placements and optimisers on literal inputs and against brute force."""
 
+import hashlib
 import math
 import random
 import tracemalloc
 import warnings
+from collections import Counter
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from readlens import functions as fn
 from readlens.kernels import newton, realign, walk
 from readlens.kernels.place import Rules, place_all
 from readlens.models import rake, spread
 from readlens.models.heads import Design, Head, Penalised, Penalty
 from readlens.models.spec import Component, ModelSpec, SpecError, Token
 from readlens.operators import alignments
+from readlens.operators import kmers as km
 
 
 def quality(*values):
@@ -369,3 +374,44 @@ def test_many_alignments_at_once_are_those_of_one_by_one(monkeypatch):
         assert realign.align_many(templates, reads, scores, band=1) == alone
     monkeypatch.setattr(realign, "CELLS", 3000)
     assert realign.align_many(templates, reads, band=2) == [realign.align(a, b) for a, b in zip(templates, reads)]
+
+
+def test_windows_are_those_of_both_strands_whatever_the_signs_and_lengths(spark):
+    rng = random.Random(5)
+    signs = "ACGT" * 9 + "acgtNxé"
+    rows = [("".join(rng.choice(signs) for _ in range(rng.randint(0, 90))), rng.randint(1, 4)) for _ in range(120)] + [(None, 1), ("", 1), ("ẗ" * 30, 2)]
+    df = spark.createDataFrame(rows, "seq string, w int")
+    for k, v, c in ((5, 4, 3), (11, 13, 1), (13, 9, 2), (17, 16, 2), (1, 1, 2), (2, 3, 5)):
+        for weight in (None, F.col("w")):
+            want = Counter()
+            for s, w in rows:
+                up = (s or "").upper()
+                for own in (up, up[::-1].translate(str.maketrans("ACGT", "TGCA"))):
+                    for i in range(len(own) - k - v + 1):
+                        x = own[i : i + k + v]
+                        if set(x) <= set("ACGT") and (c == 1 or hashlib.md5(x[:k].encode()).hexdigest() < f"{(1 << 128) // c:032x}"):
+                            want[x[:k], x[k:]] += 1 if weight is None else w
+            got = {(r["key"], r["value"]): r["n"] for r in km.pairs(df, k, v, weight=weight, c=c).collect()}
+            assert got == dict(want) and (want or k > 11)
+
+
+def test_values_beside_each_other_are_labelled_as_by_the_column_functions(spark):
+    rng = random.Random(6)
+    rows = [("A" * 6, "A" * 6), ("ACG", "ACGT"), ("ACGTAC", "ACGTAC"), (None, "A"), ("A", None), ("é" * 6, "é" * 5 + "A"), ("", "")]
+    for _ in range(1500):
+        b = "".join(rng.choice("ACGT"[: rng.choice((2, 4))]) for _ in range(6))
+        i, x = rng.randrange(6), rng.choice("ACGT")
+        rows.append((rng.choice((b[:i] + x + b[i + 1 :], (b[:i] + b[i + 1 :] + x)[:6], (b[:i] + x + b[i:])[:6], b[:i] + x * (6 - i))), b))
+    df = spark.createDataFrame(rows, "value string, consensus string")
+    a, b = F.col("value"), F.col("consensus")
+    for part in (df, df.filter("length(value) = 6 and length(consensus) = 6")):
+        own = km.compared(part, "consensus", 6)
+        wrong = own.filter(~(F.col("through").eqNullSafe(km.agreement(a, b, 6)) & F.col("op").eqNullSafe(F.when(fn.one_edit(a, b, F.lit(6)), fn.edit_label(a, b, 6)))))
+        assert wrong.collect() == [] and own.filter("op is not null").count() > 500
+
+
+def test_a_sketch_goes_to_tasks_as_windows_not_as_interpreted_arrays(spark):
+    """The windows of every place and their hashes were made by functions that Spark interprets, several microseconds a base."""
+    df = spark.createDataFrame([("ACGT" * 20,)], "seq string")
+    plan = km.pairs(df, 11, 13, c=8)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "mapinarrow" in plan.lower()
