@@ -11,11 +11,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema
-from ..kernels import plain, walk
+from ..kernels import groups, plain, walk
 from ..table import CountTable, counted
 
 _COLUMNS = ("read_id", "contig", "start", "reverse", "template", "sequence", "quality", "cigar", "mate")
@@ -163,40 +164,39 @@ def column_counts(df: DataFrame, fields: list[str]) -> DataFrame:
 
 _CODES = np.full(256, 4, np.uint8)
 _CODES[np.frombuffer(b"ACGT", np.uint8)] = range(4)
-_ALLELES = np.array(["A", "C", "G", "T"])
+_ALLELES = pa.array(["A", "C", "G", "T"])
 
 
-def _counted_plain(rows: list[dict]) -> pa.RecordBatch:
+def _counted_plain(batch: pa.RecordBatch) -> pa.RecordBatch:
     """Alleles of reads without gaps, added up: all bases of the rows in a few array passes."""
-    own = [walk.revcomp(r["sequence"]) if r["reverse"] else r["sequence"] for r in rows]
-    size = np.array(list(map(len, own)), np.int64)
-    codes = _CODES[np.frombuffer("".join(own).encode("ascii", "replace"), np.uint8)]
-    names, contig = np.unique([r["contig"] for r in rows], return_inverse=True)
-    start = np.array([r["start"] for r in rows], np.int64)
-    site = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
-    low = int(start.min())
-    span = int((start + size).max()) - low
-    known = codes < 4
-    keys, n = np.unique(((np.repeat(contig, size) * span + site - low) * 4 + codes)[known], return_counts=True)
-    at = keys // 4
-    return pa.RecordBatch.from_arrays([pa.array(names[at // span], pa.string()), pa.array(at % span + low), pa.array(_ALLELES[keys % 4], pa.string()), pa.array(n)], names=["contig", "site", "allele", "n"])
-
-
-def _plain(row: dict) -> bool:
-    """Whether an alignment is one run of M that fits its template, read and qualities, so that no walk is needed."""
-    size = len(row["sequence"])
-    return size > 0 and row["cigar"] == f"{size}M" and len(row["template"]) == size == len(row["quality"])
+    signs, size = groups.points(batch["sequence"])
+    read = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(signs)) - np.repeat(np.cumsum(size) - size, size)
+    code = np.where(signs < 256, _CODES[np.minimum(signs, 255)], 4).astype(np.int64)
+    reverse = batch["reverse"].to_numpy(zero_copy_only=False).astype(bool)[read]
+    site = batch["start"].to_numpy()[read] + np.where(reverse, size[read] - 1 - place, place)
+    contig, names = groups.codes(batch["contig"])
+    low, known = int(site.min()), code < 4
+    (contig, site, code), n = groups.grouped([contig[read][known], (site - low)[known], np.where(reverse, 3 - code, code)[known]])
+    return pa.RecordBatch.from_arrays([names.take(pa.array(contig)), pa.array(site + low), _ALLELES.take(pa.array(code)), pa.array(n)], names=["contig", "site", "allele", "n"])
+
+
+def _plain(batch: pa.RecordBatch) -> np.ndarray:
+    """Which alignments are one run of M that fits its template, read and qualities, so that no walk is needed."""
+    size = pc.utf8_length(batch["sequence"])
+    fits = pc.equal(batch["cigar"], pc.binary_join_element_wise(size.cast(pa.string()), "M", ""))
+    for other in ("template", "quality"):
+        fits = pc.and_(fits, pc.equal(pc.utf8_length(batch[other]), size))
+    return pc.and_(fits, pc.greater(size, 0)).fill_null(False).to_numpy(zero_copy_only=False)
 
 
 def _walked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        plain = batch.select(["contig", "start", "reverse", "template", "sequence", "quality", "cigar"]).to_pylist()
-        gapped = [k for k, row in enumerate(plain) if not _plain(row)]
-        if len(gapped) < len(plain):
-            left_out = set(gapped)
-            yield _counted_plain([row for k, row in enumerate(plain) if k not in left_out])
+    for batch in groups.chunks(batches, "sequence"):
+        plain = _plain(batch)
+        if plain.any():
+            yield _counted_plain(batch.filter(pa.array(plain)))
         found: Counter[tuple[str, int, str]] = Counter()
-        for row, read in _reads(batch.take(pa.array(gapped, pa.int64()))):
+        for row, read in _reads(batch.filter(pa.array(~plain))):
             seen_gap = None
             for op, t, r in walk.columns(read):
                 site = _site(row, t)
@@ -257,6 +257,52 @@ def linked(rows: DataFrame, min_pairs: int = 3) -> DataFrame:
     return both.groupBy("contig", "site_a", "allele_a", "site_b", "allele_b").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pairs)
 
 
+_LINK = ("contig", "site_a", "allele_a", "site_b", "allele_b")
+
+
+def linked_reads(reads: DataFrame, min_pairs: int = 3) -> DataFrame:
+    """`linked` of reads without gaps: read_id, contig, start, template and seq, forward. What is shuffled is a row a read, not one
+    a pair of sites; rows of one read_id and contig are one read.
+    """
+    own = reads.filter("read_id is not null and contig is not null and start is not null and length(template) > 0")
+    own = own.select("read_id", "contig", "start", F.upper("template").alias("template"), F.upper("seq").alias("seq"))
+
+    def edits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in groups.chunks(batches, "template"):
+            (true, size), (called, other) = groups.points(batch["template"]), groups.points(batch["seq"])
+            if (other != size).any():
+                raise ValueError("a read and its template differ in length")
+            true, called = (np.where(x < 256, _CODES[np.minimum(x, 255)], 4).astype(np.int64) for x in (true, called))
+            at = np.flatnonzero((true < 4) & (called < 4) & (true != called))
+            read = np.repeat(np.arange(len(size)), size)[at]
+            site = batch["start"].to_numpy()[read] + at - (np.cumsum(size) - size)[read]
+            offsets = np.concatenate(([0], np.cumsum(np.bincount(read, minlength=len(size))))).astype(np.int32)
+            edited = pa.ListArray.from_arrays(pa.array(offsets), pa.array(site * 4 + called[at]))
+            made = pa.RecordBatch.from_arrays([batch["read_id"], batch["contig"], edited], names=["read_id", "contig", "edits"])
+            yield made.filter(pa.array(np.diff(offsets) > 0))
+
+    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = np.repeat(np.arange(batch.num_rows), batch["edits"].value_lengths().to_numpy(zero_copy_only=False))
+            edit = batch["edits"].flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            low = int(edit.min() // 4 * 4) if len(edit) else 0
+            (read, edit), times = groups.grouped([read, edit - low])  # in order of read and site
+            left, step = [], 1
+            while len(i := np.flatnonzero(read[:-step] == read[step:])):  # edits so many places apart in one read
+                left.append((i[edit[i] // 4 < edit[i + step] // 4], step))
+                step += 1
+            a = np.concatenate([i for i, _ in left]) if left else np.zeros(0, np.int64)
+            b = np.concatenate([i + k for i, k in left]) if left else a
+            contig, names = groups.codes(batch["contig"])
+            (contig, x, y, each), n = groups.grouped([contig[read[a]], edit[a], edit[b], times[a] * times[b]])
+            columns = [names.take(pa.array(contig)), pa.array((x + low) // 4), _ALLELES.take(pa.array(x % 4)), pa.array((y + low) // 4), _ALLELES.take(pa.array(y % 4)), pa.array(n * each)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*_LINK, "n"])
+
+    found = own.mapInArrow(edits, "read_id long, contig string, edits array<long>").groupBy("read_id", "contig").agg(F.flatten(F.collect_list("edits")).alias("edits"))
+    both = found.filter(F.size("edits") > 1).select("contig", "edits").mapInArrow(pairs, "contig string, site_a long, allele_a string, site_b long, allele_b string, n long")
+    return counted(both, list(_LINK), "n").filter(F.col("n") >= min_pairs)
+
+
 def single_copy(at: DataFrame, min_depth: int = 5, ratio: float = 2.0) -> DataFrame:
     """(contig, site, low, copies): sites that are too shallow, or off the contig's median depth by more than a ratio."""
     median = at.groupBy("contig").agg(F.median("depth").alias("median"))

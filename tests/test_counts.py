@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from readlens.kernels import groups
 from readlens.models.heads import Head
+from readlens.operators import alignments as al
 from readlens.operators import bases as ba
+from readlens.operators import compare as cp
+from readlens.plans import queries
 from readlens.table import counted
 
 
@@ -61,3 +64,29 @@ def test_a_heads_rows_are_counted_once(spark):
     table = spark.createDataFrame([(2, 2, 5), (2, 12, 3)], "q_m1 int, q int, n long").mapInArrow(run, "q_m1 int, q int, n long")
     rows, counts = Head("Q", ["QualityMarkov(1)"], (2, 12), (0, 0), 5).gather(table)
     assert len(rows) == 1 and counts.tolist() == [[5, 3]] and seen.value == 2
+
+
+def test_linked_reads_equal_the_join_of_their_edits(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(60):
+        true = "".join(rng.choice(list("ACGTN"), 12))
+        called = "".join(b if rng.random() < 0.6 else str(rng.choice(list("ACGTN"))) for b in true)
+        rows.append((None if k == 7 else k // 2 * 2, None if k == 9 else "ab"[k % 4 // 3], int(rng.integers(-2, 2)), true, called))
+    reads = spark.createDataFrame([*rows, (70, "a", 0, "", "")], "read_id long, contig string, start long, template string, seq string")
+    edits = [(r, c, s + i, b) for r, c, s, t, q in rows for i, (a, b) in enumerate(zip(t, q)) if a != b and "N" not in (a, b)]
+    plain = al.linked(spark.createDataFrame(edits, "read_id long, contig string, site long, allele string"), 2)
+    _same(al.linked_reads(reads, 2), plain)
+
+
+def test_masked_observations_take_counts(spark):
+    rows = spark.createDataFrame([("c", s, "=" if s % 3 else "A>C", q) for s in range(6) for q in (2, 2, 12)], "contig string, site long, op string, q int")
+    masks = spark.createDataFrame([("c", 1), ("c", 3)], "contig string, site long")
+    _same(cp.quality_at_masks(counted(rows, ["contig", "site", "op", "q"]), masks), cp.quality_at_masks(rows, masks))
+
+
+@pytest.mark.parametrize("name", ["masked_observations", "quality_at_masks", "conservative_sites", "linked_sites"])
+def test_bases_are_counted_before_they_are_rows(spark, name, monkeypatch):
+    """No plan of these makes a row of each base."""
+    monkeypatch.setattr(queries.ba, "bases", None)
+    assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 0
