@@ -71,3 +71,13 @@ def points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     whole = "".join(texts.to_pylist())
     found = np.frombuffer(whole.encode("ascii"), np.uint8) if whole.isascii() else np.frombuffer(whole.encode("utf-32-le"), np.uint32)
     return found, pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def values_at(lists: pa.ListArray, row: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, int]:
+    """What rows of a column of whole numbers' arrays have at 0-based places: numbers from 1 on, 0 for nothing; and what to add to them."""
+    values = lists.flatten()
+    length = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    low = pc.min(values).as_py() or 0
+    shifted = np.append(pc.subtract(values, low).cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False) + 1, 0)
+    there = (place >= 0) & (place < length[row])
+    return shifted[np.where(there, (np.cumsum(length) - length)[row] + place, len(values))], low - 1

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..kernels import walk
+from ..kernels import groups, walk
 from ..operators.alignments import _input, _reads
 from ..operators.kmers import _windows
 from ..table import counted
@@ -113,19 +114,27 @@ def qscore_model(strings: DataFrame, widest: int = 9, deletions: int = 6, least:
     than one column seen fewer than `least` times go, and of the rest the `most` frequent stay, by name among equals, and the three
     single columns in any case; these limits are the format's. Reads without bases add nothing.
     """
-    places = F.filter(F.sequence(F.lit(1), F.length("ops")), lambda i: F.substring("ops", i, F.lit(1)) != "D")
-    own = strings.filter(F.length("ops") > 0).select("ops", "q", places.alias("at"))
+    own = strings.filter(F.length("ops") > 0).select("ops", F.col("q").cast("array<int>").alias("q"))
 
-    def windows(k: int):
-        def one(j):
-            start, end = F.get("at", j), F.get("at", j + (k - 1))
-            return F.struct(F.substring("ops", start, end - start + 1).alias("cigar"), F.get("q", j + k // 2).alias("q"))
-
-        return F.when(F.size("at") >= k, F.transform(F.sequence(F.lit(0), F.size("at") - k), one)).otherwise(F.array().cast("array<struct<cigar:string,q:int>>"))
-
-    every = F.concat(*(windows(k) for k in range(1, widest + 1, 2)))
-    raw = counted(own.select(F.explode(every).alias("w")).select("w.cigar", "w.q"), ["cigar", "q"])
-    n = counted(raw.select(F.regexp_replace("cigar", f"D{{{deletions + 1},}}", "D" * deletions).alias("cigar"), "q", "n"), ["cigar", "q"], "n")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in groups.chunks(batches, "ops"):
+            signs, size = groups.points(batch["ops"])
+            letters, code = np.unique(signs, return_inverse=True)
+            at = np.flatnonzero(signs != ord("D"))
+            row = np.repeat(np.arange(len(size)), size)[at]
+            first = np.cumsum(np.bincount(row, minlength=len(size)))  # read bases up to each read's end
+            gap = np.minimum(np.diff(at) - 1, deletions)
+            for k in range(1, widest + 1, 2):
+                j = np.flatnonzero(row[: max(0, len(row) - k + 1)] == row[k - 1 :])
+                before = j - np.concatenate(([0], first))[row[j]]
+                q, low = groups.values_at(batch["q"], row[j], before + k // 2)
+                gaps = [i for i in range(k - 1) if gap[j + i].any()]
+                columns, n = groups.grouped([q, *(code[at[j + i]] for i in range(k)), *(gap[j + i] for i in gaps)])
+                number, shown, runs = columns[0], columns[1 : k + 1], dict(zip(gaps, columns[k + 1 :]))
+                cigar = ["".join(chr(letters[shown[i][r]]) + "D" * int(runs[i][r] if i in runs else 0) for i in range(k)) for r in range(len(n))]
+                yield pa.RecordBatch.from_arrays([pa.array(cigar, pa.string()), pa.array((number + low).astype(np.int32), mask=number == 0), pa.array(n)], names=["cigar", "q", "n"])
+
+    n = counted(own.mapInArrow(run, "cigar string, q int, n long"), ["cigar", "q"], "n")
     single = F.length("cigar") == 1
     totals = n.groupBy("cigar").agg(F.sum("n").alias("total"))
     ranked = totals.filter(single | (F.col("total") >= least)).orderBy(F.desc("total"), "cigar").limit(most).select("cigar", F.lit(True).alias("kept"))

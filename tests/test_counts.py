@@ -1,5 +1,7 @@
 """Counts that are made within a task, against the plain ones."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from readlens.operators import alignments as al
 from readlens.operators import bases as ba
 from readlens.operators import compare as cp
 from readlens.plans import queries
+from readlens.report import exporters as ex
 from readlens.table import counted
 
 
@@ -90,3 +93,22 @@ def test_bases_are_counted_before_they_are_rows(spark, name, monkeypatch):
     """No plan of these makes a row of each base."""
     monkeypatch.setattr(queries.ba, "bases", None)
     assert queries.QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 0
+
+
+def test_windows_of_column_strings_equal_the_plain_ones(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(k, "".join(rng.choice(list("==XIDDD"), int(rng.integers(0, 40)))) + "D" * (9 * (k % 3)) + "=" * (k % 2), [int(x) for x in rng.integers(-1, 3, 30)] if k % 7 else None) for k in range(40)]
+    plain = {}
+    for _, ops, q in rows:
+        at = [i for i, c in enumerate(ops) if c != "D"]
+        for k in (1, 3, 5, 7, 9):
+            for j in range(len(at) - k + 1):
+                cigar, i = re.sub("D{7,}", "D" * 6, ops[at[j] : at[j + k - 1] + 1]), j + k // 2
+                for name in (cigar, "overall") if k == 1 else (cigar,):
+                    key = name, q[i] if q and i < len(q) else None
+                    plain[key] = plain.get(key, 0) + 1
+    for size in (1, 1 << 20):
+        monkeypatch.setattr(groups.chunks, "__defaults__", (size,))
+        found = ex.qscore_model(spark.createDataFrame(rows, "read_id long, ops string, q array<int>"), least=1)
+        assert "transform(" not in found._jdf.queryExecution().analyzed().toString()
+        assert {(r.cigar, r.q): r.n for r in found.collect()} == plain
