@@ -145,7 +145,7 @@ SELECT context, q, op, round(n, 6) AS n FROM lab WHERE n > 0"""
 @query(_raked_sql())
 def kmer_raked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reads' bases by context and quality with errors raked to rates by either, a fixed number of rounds."""
-    exposure = CountTable(ba.profile(bridge.reads(spark, sf_dir), flank=FLANK)["context"].df, ("context", "q"))
+    exposure = CountTable(ba.base_counts(bridge.reads(spark, sf_dir), ["context", "q"], FLANK), ("context", "q"))
     rates = spark.createDataFrame([(q, 10 ** (-q / 10) / 2 + 0.0001) for q in bridge.QUALITIES], "q int, rate double")
     return _rounded(kmer_source.raked(_fixed(), FLANK, rates, exposure, ROUNDS), "n")
 
@@ -155,17 +155,22 @@ def _source(spark: SparkSession, sf_dir: str) -> kmer_source.Sketch:
     stages = Stages(spark, "source")
     reads = bridge.reads(spark, sf_dir)
     counts, best = _sketch(spark, sf_dir)
+    best = stages.write(best, "best")
     rows = stages.write(sk.kvmer_rows(counts, best, V), "rows")
     scanned = stages.write(sk.covariate_rates(sk.scan(reads.select("read_id", "seq", "q"), best, K, V, C), V), "scanned")
-    hazard = km.hazard(km.survival(counts, best, V))
+    hazard = stages.write(km.hazard(km.survival(counts, best, V)), "hazard")
     rate = km.weibull(hazard).first()["h1"] or 0.01
     rates = scanned.filter("axis = 'q'").select(F.col("value").alias("q"), (F.col("num_error") / (F.col("num_error") + F.col("num_correct"))).alias("rate"))
     positions = scanned.filter("axis != 'q'").select(F.col("value").alias("index"), (F.col("axis") == "pos_start").alias("from_start"), "num_correct", "num_error")
-    profile = ba.profile(reads, flank=FLANK)
+    # Bases and lengths are counted once; the fit reads these tables several times.
+    fields = ("q_m1", "pos_start", "pos_end", "mate", "context", "q")
+    qualities = CountTable(stages.write(ba.base_counts(reads, list(fields), FLANK), "qualities"), fields)
+    exposure = CountTable(stages.write(counted(qualities.df, ["context", "q"], "n"), "exposure"), ("context", "q"))
+    lengths = stages.write(counted(reads.select(F.length("seq").alias("length")), ["length"]), "lengths")
     none = lambda schema: spark.createDataFrame([], schema)
     return kmer_source.Sketch(
         K, V, rows, rates, positions, none("op string, forward long, total long"), none("lo int, hi int, rate double, num_error long"), hazard, rate,
-        profile["context"], profile["length"].df, CountTable(counted(ba.bases(reads, before=1, flank=FLANK), ["q_m1", "pos_start", "pos_end", "mate", "context", "q"]), ("q_m1", "pos_start", "pos_end", "mate", "context", "q")),
+        exposure, lengths, qualities,
     )
 
 
