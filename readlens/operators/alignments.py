@@ -78,10 +78,137 @@ def observations(df: DataFrame, flank: tuple[int, int] = (2, 2), m: int = 1, per
     return _input(df).mapInArrow(run, ", ".join(f"{n} {k}" for n, k in zip(names, spark_kinds)))
 
 
+_OBSERVED = {"read_id": "long", "contig": "string", "site": "long", "t": "int", "context": "string", "pos_start": "int", "pos_end": "int", "mate": "int", "strand": "string", "gc": "int", "op": "string"}
+_LABELS = pa.array(["=" if a == b else f"{a}>{b}" for a in "ACGT-" for b in "ACGT-"])
+
+
+def _coded(points: np.ndarray) -> np.ndarray:
+    return np.where(points < 256, _CODES[np.minimum(points, 255)], 4).astype(np.int64)
+
+
+def _track(one: walk.Read, steps: list[tuple[str, int, int]]) -> np.ndarray | None:
+    """Where `walk.track` takes the quality of each place from, among the qualities clipped before, the read's own and those clipped after."""
+    own = np.full(len(one.template), -1)
+    for op, t, r in steps:
+        if op == "M":
+            own[t] = r
+    known = np.flatnonzero(own >= 0)
+    if not len(known):
+        return None
+    own = own[known[np.minimum(np.searchsorted(known, np.arange(len(own))), len(known) - 1)]]
+    before, after = len(one.clip_before), len(one.clip_after)
+    return np.concatenate((np.arange(before), before + own, before + len(one.sequence) + np.arange(after)))
+
+
+def _observed(batch: pa.RecordBatch, fields: list[str], flank: tuple[int, int], per_event: bool) -> pa.RecordBatch:
+    """The batch's observations added up by fields. Reads of one CIGAR have the same draws, but for the bases that show, so each is walked once."""
+    n = batch.num_rows
+    names = ("template", "sequence", "quality", "cigar", "clip_before", "clip_after")
+    texts = {c: [x or "" for x in batch[c].to_pylist()] if c in batch.schema.names else [""] * n for c in names}
+    masked = batch["masked"].to_pylist() if "masked" in batch.schema.names else [None] * n
+    (template, t0, t_size), (sequence, r0, r_size) = (_points(texts[c]) for c in ("template", "sequence"))
+    quality, q0, q_size = _points([a + b + c for a, b, c in zip(texts["clip_before"], texts["quality"], texts["clip_after"])])
+    by: dict[tuple[str, int, int], list[int]] = {}
+    for k, (cigar, before, after) in enumerate(zip(texts["cigar"], texts["clip_before"], texts["clip_after"])):
+        by.setdefault((cigar, len(before), len(after)), []).append(k)
+    true, called = _coded(template), _coded(sequence)
+    asked = {o: f for o in range(-MOST_AROUND, MOST_AROUND + 1) if (f := schema.shifted(o)) in fields}
+    parts = []
+    for (cigar, before, after), rows in by.items():
+        one = walk.Read(*(texts[c][rows[0]] for c in names))
+        own = np.array(rows)
+        if not ((t_size[own] == len(one.template)) & (r_size[own] == len(one.sequence)) & (q_size[own] == before + len(one.quality) + after)).all():
+            raise ValueError(f"{cigar} doesn't fit all of its reads")
+        steps = list(walk.columns(one))
+        track = _track(one, steps)
+        if track is None:
+            continue
+        kept, last, gone = [], "", -2
+        for k, (op, t, _) in enumerate(steps):
+            again = op == "I" and last == "I" or op == "D" and gone == t - 1
+            if t < len(one.template) and not (per_event and again):
+                kept.append(k)
+            gone, last = t if op == "D" else gone, op
+        kinds, t, r = (np.array(x) for x in zip(*(steps[k] for k in kept)))
+        a = true[t0[own][:, None] + t]
+        b = np.where(kinds == "D", 4, called[r0[own][:, None] + np.minimum(r, len(one.sequence) - 1)])
+        shown = (a < 4) & ((b < 4) | (kinds == "D"))
+        for k, row in enumerate(rows):
+            if masked[row]:
+                shown[k] &= ~np.isin(t, masked[row])
+        i, j = np.nonzero(shown)
+        read, at = own[i], before + t[j]
+        near = []
+        for o in asked:
+            there = (at + o >= 0) & (at + o < len(track))
+            near.append(np.where(there, quality[q0[read] + track[np.where(there, at + o, 0)]].astype(np.int64) + 1, 0))
+        parts.append((read, t[j], at, np.full(len(read), len(track)), np.where(kinds[j] == "I", 4, a[i, j]) * 5 + b[i, j], *near))
+    read, t, at, size, op, *near = (np.concatenate(c) for c in zip(*parts)) if parts else [np.zeros(0, np.int64)] * (5 + len(asked))
+    near = dict(zip(asked.values(), near))
+    left, right = flank
+    letters = np.unique(np.append(template, ord(".")))
+    columns: list[np.ndarray] = []
+    decode = []  # the number of columns that a field takes, and what makes it of them
+
+    def add(values: list[np.ndarray], of) -> None:
+        columns.extend(values)
+        decode.append((len(values), of))
+
+    def base(o: int) -> np.ndarray:
+        there = (t + o >= 0) & (t + o < t_size[read])
+        return np.searchsorted(letters, np.where(there, template[t0[read] + np.where(there, t + o, 0)], ord("."))) if len(t) else t
+
+    def of_read(values: pa.Array) -> None:
+        numbers, known = groups.codes(values)
+        add([numbers[read]], lambda x: known.take(pa.array(x)))
+
+    for f in fields:
+        if f in near:
+            add([near[f]], lambda x: pa.array((x - 34).astype(np.int32), mask=x == 0))
+        elif f == "context":
+            add([base(o) for o in range(-left, right + 1)], lambda *found: pa.array(["".join(map(chr, x)) for x in letters[np.stack(found, axis=1)].tolist()], pa.string()))
+        elif f == "op":
+            add([op], lambda x: _LABELS.take(pa.array(x)))
+        elif f in ("t", "pos_start", "pos_end"):
+            add([{"t": t, "pos_start": at + 1, "pos_end": size - at}[f]], lambda x: pa.array(x.astype(np.int32)))
+        elif f == "site":
+            start, reverse = batch["start"].to_numpy()[read], batch["reverse"].to_numpy(zero_copy_only=False).astype(bool)[read]
+            site = start + np.where(reverse, t_size[read] - 1 - t, t)
+            low = int(site.min()) if len(site) else 0
+            add([site - low], lambda x, low=low: pa.array(x + low))
+        elif f == "gc":
+            share = np.bincount(np.repeat(np.arange(n), t_size)[(template == ord("G")) | (template == ord("C"))], minlength=n)
+            of_read(pa.array((10 * np.minimum(9, 10 * share // np.maximum(1, t_size))).astype(np.int32)))
+        elif f == "strand":
+            given = batch["strand"].to_pylist() if "strand" in batch.schema.names else [None] * n
+            of_read(pa.array([s or ("-" if k == 2 else "+") for s, k in zip(given, batch["mate"].to_pylist())], pa.string()))
+        else:
+            of_read(batch[f].cast(pa.int32()) if f == "mate" else batch[f])
+    found, counts = groups.grouped(columns)
+    made, k = [], 0
+    for used, of_columns in decode:
+        made.append(of_columns(*found[k : k + used]))
+        k += used
+    return pa.RecordBatch.from_arrays([*made, pa.array(counts)], names=[*fields, "n"])
+
+
+#: How far from its base a quality can be asked for.
+MOST_AROUND = 99
+
+
+def observation_counts(df: DataFrame, fields: list[str], flank: tuple[int, int] = (2, 2), per_event: bool = False) -> DataFrame:
+    """(fields, n): `observations` added up by some of their columns; what leaves a task is counts, not draws."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in groups.chunks(batches, "template"):
+            yield _observed(batch, fields, flank, per_event)
+
+    return counted(_input(df).mapInArrow(run, ", ".join(f"`{f}` {_OBSERVED.get(f, 'int')}" for f in fields) + ", n long"), fields, "n")
+
+
 def observation_table(df: DataFrame, flank: tuple[int, int] = (2, 2), m: int = 1, per_event: bool = False, extra: tuple[str, ...] = ()) -> CountTable:
-    rows = observations(df, flank, m, per_event)
     fields = ("q", *(schema.shifted(o) for o in schema.window(m)[1:]), "context", "pos_start", "pos_end", "mate", "strand", "gc", *extra, "op")
-    return CountTable(counted(rows, list(fields)), fields, truth=True)
+    return CountTable(observation_counts(df, list(fields), flank, per_event), fields, truth=True)
 
 
 def indel_events(df: DataFrame) -> DataFrame:

@@ -439,3 +439,38 @@ def test_rows_of_the_same_covariates_are_scored_once(spark):
         df = spark.createDataFrame(given, "i int, q_m1 int, q int")
         got = {r["i"]: r["logp"] for r in spread.scored(df, plain, classes=classes).collect()}
         assert np.allclose([got[i] for i in range(5000)], want)
+
+
+def test_observations_counted_within_the_tasks_equal_the_walk(spark):
+    rng = random.Random(22)
+    text = lambda n, signs="ACGT": "".join(rng.choice(signs) for _ in range(n))
+    rows = []
+    for i in range(80):
+        cigar = rng.choice(["2I3M", "3M2D4M", "1D2I1D5M2I", "4M1I1D1I1D2M", "2M1D1I1D1M3D", "9M", "3D", "2I", "4M2I2D"])
+        parts = walk.parts(cigar)
+        template, sequence = text(sum(n for n, op in parts if op != "I"), "ACGTNa"), text(sum(n for n, op in parts if op != "D"), "ACGTN")
+        clips = [text(rng.randint(0, 2), "!5I") if i % 3 == 0 else None for _ in range(2)]
+        rows.append((i, "cd"[i % 2], rng.randint(0, 99), i % 2 == 0, template, sequence, text(len(sequence), "!+5I"), cigar, 1 + i % 2, *clips, rng.choice([None, "", "+"]), rng.choice([None, [], [0, 3, 50]])))
+    names = "read_id long, contig string, start long, reverse boolean, template string, sequence string, quality string, cigar string, mate int, clip_before string, clip_after string, strand string, masked array<int>"
+    df = spark.createDataFrame(rows, names)
+    for flank, per_event in (((2, 1), True), ((0, 0), False)):
+        fields = ["read_id", "contig", "site", "t", "q", "q_m1", "q_p1", "context", "pos_start", "pos_end", "mate", "strand", "gc", "op"]
+        each = []
+        for r in rows:
+            read = walk.Read(*r[4:8], r[9] or "", r[10] or "", r[11], r[8], frozenset(r[12] or ()))
+            for t, q, near, *rest in walk.observations(read, flank, 1, per_event):
+                each.append(dict(zip(fields, (r[0], r[1], r[2] + (len(r[4]) - 1 - t if r[3] else t), t, q, *near, *rest))))
+        for own in (fields, ["q", "context", "op"], ["op"]):
+            wanted = Counter(tuple(x[f] for f in own) for x in each)
+            assert {tuple(x)[:-1]: x.n for x in alignments.observation_counts(df, own, flank, per_event).collect()} == wanted and sum(wanted.values()) > 200
+    with pytest.raises(Exception, match="fit"):
+        alignments.observation_counts(spark.createDataFrame([rows[0][:7] + ("99M",) + rows[0][8:]], names), ["op"]).collect()
+
+
+def test_draws_of_gapped_reads_are_added_up_before_they_leave_a_task(spark):
+    rows = [(i, "c", 0, False, "ACGTACGT", "ACGACGTT", "I" * 8, "3M1D4M1I", 1) for i in range(300)]
+    df = spark.createDataFrame(rows, "read_id long, contig string, start long, reverse boolean, template string, sequence string, quality string, cigar string, mate int").coalesce(1)
+    table = alignments.observation_table(df).df
+    assert {(r.t_op, r.n) for r in table.select(F.concat("pos_start", "op").alias("t_op"), "n").collect()} == {("4T>-", 300), *((f"{t}=", 300) for t in (1, 2, 3, 5, 6, 7, 8))}
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum(n" in plan and "count(1)" not in plan
