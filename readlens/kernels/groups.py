@@ -45,14 +45,15 @@ def grouped(columns: Sequence[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray
 
 
 def chunks(batches: Iterable[pa.RecordBatch], text: str, size: int = CHUNK) -> Iterator[pa.RecordBatch]:
-    """Batches put together until a column of text has so many bytes; none without rows."""
+    """Batches put together until a column of text has so many bytes, or one of arrays so many entries; none without rows."""
     held: list[pa.RecordBatch] = []
     bytes_held = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
-        bytes_held += pc.sum(pc.binary_length(batch[text])).as_py() or 0
+        own = batch[text]
+        bytes_held += len(own.flatten()) if pa.types.is_list(own.type) else pc.sum(pc.binary_length(own)).as_py() or 0
         if bytes_held >= size:
             yield pa.concat_batches(held)
             held, bytes_held = [], 0

@@ -49,10 +49,28 @@ def read_art(text: str) -> dict[int, dict[int, float]]:
 
 
 def mean_quality_cdf(reads: DataFrame, bins: int = 4, top: int = 40) -> DataFrame:
-    """(bin, pos, q, cdf): quality distribution by position for reads in bins of their mean quality, which is taken within the read."""
-    mean = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x) / F.size("q")
-    own = reads.filter(F.size("q") > 0).select(F.floor(F.least(F.lit(bins - 1), mean / (top / bins))).cast("int").alias("bin"), F.col("q").alias("all"), F.explode(F.sequence(F.lit(1), F.size("q"))).alias("pos"))
-    n = counted(own.select("bin", "pos", F.least(F.get("all", F.col("pos") - 1), F.lit(top)).alias("q")), ["bin", "pos", "q"])
+    """(bin, pos, q, cdf): quality distribution by position for reads in bins of their mean quality, which is taken within the read.
+
+    Places are added up within the tasks. A place without a quality counts for nothing, and neither does a read without any.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in groups.chunks(batches, "q"):
+            size = batch["q"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            read = np.repeat(np.arange(len(size)), size)
+            pos = np.arange(len(read)) - (np.cumsum(size) - size)[read]
+            values = batch["q"].flatten()
+            known = ~values.is_null().to_numpy(zero_copy_only=False)
+            q, read, pos = values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[known], read[known], pos[known]
+            mean = np.bincount(read, q, len(size)) / np.maximum(1, np.bincount(read, minlength=len(size)))
+            low = int(q.min()) if len(q) else 0
+            bin_ = np.floor(np.minimum(bins - 1, mean / (top / bins))).astype(np.int64)
+            first = int(bin_.min())
+            (b, p, q), n = groups.grouped([(bin_ - first)[read], pos, np.minimum(q, top) - min(low, top)])
+            columns = [b + first, p + 1, q + min(low, top)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int32)) for c in columns), pa.array(n)], names=["bin", "pos", "q", "n"])
+
+    n = counted(reads.filter(F.size("q") > 0).select(F.col("q").cast("array<int>").alias("q")).mapInArrow(run, "bin int, pos int, q int, n long"), ["bin", "pos", "q"], "n")
     order = Window.partitionBy("bin", "pos")
     return n.select("bin", "pos", "q", (F.sum("n").over(order.orderBy("q")) / F.sum("n").over(order)).alias("cdf"))
 

@@ -65,3 +65,12 @@ def test_mate_tables(spark):
     rows = [(1, "M", 1, "A", "A", 6), (1, "M", 1, "A", "C", 3), (1, "M", 1, "A", "G", 1), (1, "M", 1, "N", "A", 5), (1, "I", 1, "-", "T", 2), (1, "D", 1, "C", "-", 1), (1, "M", 1, "C", "C", 3)]
     got = {(r.kind, r.base, r.alt): r.p for r in ex.mate_tables(spark.createDataFrame(rows, "mate int, op string, pos int, ref string, alt string, n long")).collect()}
     assert got == {("sub", "A", "C"): 0.75, ("sub", "A", "G"): 0.25, ("ins", "T", None): 2 / 14, ("del", "C", None): 0.25}
+
+
+def test_mean_quality_bins_are_counted_without_a_row_of_each_base(spark):
+    reads = spark.createDataFrame([([2, 50, 38],), ([9, None, 10],), ([None, None],), ([],), (None,), ([30, 30],)], "q array<int>")
+    found = ex.mean_quality_cdf(reads)
+    got = {(r.bin, r.pos, r.q): round(r.cdf, 6) for r in found.collect()}
+    assert got == {(3, 1, 2): 0.5, (3, 1, 30): 1.0, (3, 2, 30): 0.5, (3, 2, 40): 1.0, (3, 3, 38): 1.0, (0, 1, 9): 1.0, (0, 3, 10): 1.0}
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert ex.mean_quality_cdf(reads.filter("false")).count() == 0
