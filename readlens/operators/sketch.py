@@ -9,9 +9,13 @@ from __future__ import annotations
 import warnings
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..kernels import windows
+from ..session import Stages
 from ..sources import sketch_csv
 from ..sources.sketch_csv import SketchFormatError
 from ..table import CountTable
@@ -201,3 +205,26 @@ def covariate_rates(scanned: DataFrame, v: int) -> DataFrame:
     axes = [("q", F.when(F.col("t").between(3, v - 2), F.col("q"))), ("pos_start", F.col("pos_start")), ("pos_end", F.col("pos_end"))]
     each = scanned.select("right", F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), x.cast("int").alias("value")) for a, x in axes))).alias("x")).select("right", "x.*").filter("value is not null")
     return each.groupBy("axis", "value").agg(F.sum(F.col("right").cast("long")).alias("num_correct"), F.sum((~F.col("right")).cast("long")).alias("num_error"))
+
+
+#: Keys whose consensus goes to every task, at most: 16 bytes each.
+SENT = 1 << 20
+
+
+def scan_rates(reads: DataFrame, best: DataFrame, k: int, v: int, c: int, most: int = SENT) -> DataFrame:
+    """covariate_rates of the scan. Up to `most` keys go to every task, which adds its own bases up, so that nothing of a read is shuffled.
+
+    best: as kmers.consensus has it of kmers.pairs.
+    """
+    if k > km.TABLED or k + v > 31 or v > 26:
+        return covariate_rates(scan(reads, best, k, v, c), v)
+    best = Stages(reads.sparkSession, "scan").write(best.select("key", "consensus"), "best")
+    if best.limit(most + 1).count() > most:
+        return covariate_rates(scan(reads, best, k, v, c), v)
+    table = best.filter(km.picked(F.col("key"), c)).toArrow().combine_chunks()
+    key, consensus = (windows.codes(pa.array(table[name].to_pylist(), pa.string()), n) for name, n in (("key", k), ("consensus", v)))
+    order = np.argsort(key)
+    sent = reads.sparkSession.sparkContext.broadcast((key[order], consensus[order]))
+    own = reads.filter(F.length("seq") >= k + v).select("seq", F.col("q").cast("array<int>").alias("q"))
+    rows = own.mapInArrow(windows.scan(k, v, sent), "axis string, value int, num_correct long, num_error long")
+    return rows.groupBy("axis", "value").agg(F.sum("num_correct").alias("num_correct"), F.sum("num_error").alias("num_error"))

@@ -157,7 +157,7 @@ def _source(spark: SparkSession, sf_dir: str) -> kmer_source.Sketch:
     counts, best = _sketch(spark, sf_dir)
     best = stages.write(best, "best")
     rows = stages.write(sk.kvmer_rows(counts, best, V), "rows")
-    scanned = stages.write(sk.covariate_rates(sk.scan(reads.select("read_id", "seq", "q"), best, K, V, C), V), "scanned")
+    scanned = stages.write(sk.scan_rates(reads.select("read_id", "seq", "q"), best, K, V, C), "scanned")
     hazard = stages.write(km.hazard(km.survival(counts, best, V)), "hazard")
     rate = km.weibull(hazard).first()["h1"] or 0.01
     rates = scanned.filter("axis = 'q'").select(F.col("value").alias("q"), (F.col("num_error") / (F.col("num_error") + F.col("num_correct"))).alias("rate"))

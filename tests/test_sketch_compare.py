@@ -12,6 +12,7 @@ from readlens.kernels import place, walk
 from readlens.models import kmer_source
 from readlens.operators import alignments as al
 from readlens.operators import compare as cp
+from readlens.operators import kmers as km
 from readlens.operators import sketch as sk
 from readlens.sim import variation
 from readlens.sources import sam
@@ -203,3 +204,32 @@ def test_pileup_by_arrays_equals_the_walk(spark, monkeypatch):
     for key, n in gapped.items():
         wanted[key] = wanted.get(key, 0) + n
     assert plain == sorted((*k, n) for k, n in wanted.items())
+
+
+def test_scanned_bases_are_added_up_within_the_tasks(spark):
+    rng = np.random.default_rng(12)
+    genome = "".join(rng.choice(list("ACGT"), 90))
+    rows = []
+    for i in range(400):
+        at, size = int(rng.integers(0, 50)), int(rng.integers(5, 41))
+        seq = "".join(rng.choice(list("ACGTNé")) if rng.random() < 0.03 else b for b in genome[at : at + size])
+        q = rng.choice([2, 12, 37], len(seq)).tolist()
+        rows.append((i, seq, None if i % 50 == 0 else [None if rng.random() < 0.02 else x for x in q][: len(seq) - i % 3]))
+    rows += [(900, None, None), (901, "", [])]
+    reads = spark.createDataFrame(rows, "read_id long, seq string, q array<int>")
+    for k, v, c in ((4, 7, 1), (5, 5, 2), (3, 13, 1)):
+        best = km.consensus(km.pairs(reads, k, v, c=c), 2)
+        lines = lambda df: sorted(map(tuple, df.collect()))
+        wanted = lines(sk.covariate_rates(sk.scan(reads, best, k, v, c), v))
+        found = sk.scan_rates(reads, best, k, v, c)
+        assert lines(found) == wanted and sum(x[3] for x in wanted) > 20
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        assert lines(sk.scan_rates(reads, best, k, v, c, most=1)) == wanted
+    assert sk.scan_rates(reads, best.filter("false"), 3, 13, 1).count() == 0
+
+
+def test_a_position_level_shuffles_no_read(spark):
+    from readlens.plans import queries
+
+    plan = queries.QUERIES["sketch_position_level"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
