@@ -474,3 +474,31 @@ def test_draws_of_gapped_reads_are_added_up_before_they_leave_a_task(spark):
     assert {(r.t_op, r.n) for r in table.select(F.concat("pos_start", "op").alias("t_op"), "n").collect()} == {("4T>-", 300), *((f"{t}=", 300) for t in (1, 2, 3, 5, 6, 7, 8))}
     plan = table._jdf.queryExecution().optimizedPlan().toString()
     assert "sum(n" in plan and "count(1)" not in plan
+
+
+def test_kmers_dealt_in_blocks_are_added_up(monkeypatch):
+    import pyarrow as pa
+
+    from readlens.kernels import windows
+
+    rng = random.Random(23)
+    reads = ["".join(rng.choice("ACGTACGTACGTN") for _ in range(rng.randint(1, 60))) for _ in range(300)] + ["ACGTTGCAAGTCAACGTTGCAAGTCAACGTTGCAAGTCA"] * 50
+    monkeypatch.setattr(windows, "GATHERED", 500)
+    monkeypatch.setattr(windows, "EMITTED", 100)
+    flip = str.maketrans("ACGT", "TGCA")
+    for k in (1, 5, 6, 7, 21, 31):
+        own = [r for r in reads if len(r) >= k]
+        batches = [pa.RecordBatch.from_arrays([pa.array(own[i : i + 20])], names=["up"]) for i in range(0, len(own), 20)]
+        blocks = pa.Table.from_batches(list(windows.canonical(k)(batches))).sort_by("bucket")
+        found = pa.Table.from_batches(list(windows.totals(k)(blocks.to_batches(max_chunksize=7))))
+        each = (r[i : i + k] for r in own for i in range(len(r) - k + 1))
+        wanted = Counter(min(w, w.translate(flip)[::-1]) for w in each if "N" not in w)
+        assert len(found) == len(wanted) and dict(zip(found["kmer"].to_pylist(), found["n"].to_pylist())) == wanted
+    assert not list(windows.totals(5)([]))
+
+
+def test_canonical_kmers_are_not_shuffled_as_text(spark):
+    counts = km.kmers(spark.createDataFrame([("acgtACGTACGTACGTACGTAC",), ("ACGTN",), (None,), ("",)], "seq string"), 21)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan and {tuple(r) for r in counts.collect()} == {("ACGTACGTACGTACGTACGTA", 1), ("CGTACGTACGTACGTACGTAC", 1)}
+    assert km.kmers(spark.createDataFrame([("A" * 40,), ("T" * 33,)], "seq string"), 33).collect()[0].n == 9
